@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
@@ -60,7 +61,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """(from, to) row ranges of at most ``max_bytes`` of text, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     at, n = 0, len(sizes)
     while at < n:
@@ -75,7 +76,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type)
     n = len(texts)
     _, off, data = texts.buffers()
