@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, repetition, secrets, sharding
+from . import bpe, fingerprint, langid, mixing, repetition, secrets, sharding, warc
 from .common import documents
 
 LANG_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def secret_model(docs: DataFrame) -> list[float]:
     return secrets.train(secrets.samples(docs))
 
@@ -50,5 +58,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_karmarkar_karp, op2_repetition, op3_byte_bpe, op4_pfair_mix, op5_language_id, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_karmarkar_karp, op2_repetition, op3_byte_bpe, op4_pfair_mix, op5_language_id, op8_prefix_hash, op9_warc, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
