@@ -51,7 +51,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -175,3 +175,13 @@ def window_hashes(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndar
             h += word[j : j + n]
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     return mix64(h[at]), at
+
+
+def sequence_hashes(word: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words of any lengths, from the words' hashes."""
+    with np.errstate(over="ignore"):
+        n = len(word)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(word * powers(n)[:n], out=total[1:])
+        h = (total[start + size] - total[start]) * powers(n + 1, _INVERSE)[start]
+        return mix64(h ^ (size.astype(np.uint64) << np.uint64(48)))
