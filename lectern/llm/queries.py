@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, repetition, secrets, sharding, substring, warc
+from . import bpe, fingerprint, langid, minhash, mixing, repetition, secrets, sharding, substring, warc
 from .common import documents
 
 LANG_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,11 @@ def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir), with_text=False)
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op8_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
@@ -62,5 +67,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_karmarkar_karp, op2_repetition, op3_byte_bpe, op4_pfair_mix, op5_language_id, op6_suffix_automata, op8_prefix_hash, op9_warc, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_karmarkar_karp, op2_repetition, op3_byte_bpe, op4_pfair_mix, op5_language_id, op6_suffix_automata, op7_weighted_minhash, op8_prefix_hash, op9_warc, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
