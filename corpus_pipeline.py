@@ -1,11 +1,58 @@
-"""The corpus pipeline; its stages are added below as the operators land."""
+"""The corpus pipeline: language, near copies, secrets, mixture, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. All but the last return the columns
+of documents; the last one returns the token ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, langid, minhash, mixing, secrets
+from lectern.llm.common import documents, materialize
+from lectern.llm.queries import ENCODER, language_model, secret_model
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go."""
+    return langid.keep_known(docs, language_model(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest doc_id stays."""
+    return minhash.distinct_documents(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask; n_chars follows the text."""
+    found = secrets.scan(docs, secret_model(docs))
+    clean = found.withColumn("clean", F.when(F.col("doc.text").isNull(), F.lit(None)).otherwise(secrets.redact(F.col("doc.text"), "spans")))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.char_length("clean").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return clean.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the Pfair schedule of their sources."""
+    return mixing.mix(docs).orderBy("mix_order").select("doc.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the round trip."""
+    return bpe.encode_documents(docs, public_tokenizers.path(ENCODER), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]
+
+#: SQL cannot express the language model, the sampling or the transducer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another on ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

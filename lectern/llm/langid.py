@@ -269,6 +269,22 @@ def identify(docs: DataFrame, model: Model, slice_bytes: int = 4 << 20) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, slice_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        v = vocabulary(model.path)
+        for b in batches:
+            for i, j in slices(b.column(at), slice_bytes):
+                best, score = score_texts(b.column(at)[i:j], model, v)
+                yield b.slice(i, j - i).filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: Column, folds: int = 4) -> Column:
     """Fold of a document: CRC-32 of its id as text, modulo ``folds``."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))

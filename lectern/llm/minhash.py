@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, materialize, mix64, sequence_hashes, slices
@@ -123,6 +123,11 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return 1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)
 
 
+def node_of(text: Column) -> Column:
+    """Digest of a text; null differs from every text."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("n"))))
+
+
 def sketches(nodes: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     """node, keys (one 64-bit key for each band) of texts with a word."""
 
@@ -220,9 +225,11 @@ def centre_pairs(large: DataFrame, labels: DataFrame | None, done: DataFrame | N
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12) -> DataFrame:
-    """doc_id, node, class_id (smallest doc_id of the class), class_size of every row."""
+    """doc_id, node (digest of the text), class_id (smallest doc_id of the class),
+    class_size, and keeper (the row that stands for the class) of every row. Rows that
+    repeat the keeper's doc_id and text are keepers, too."""
     spark = docs.sparkSession
-    named = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n")))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.select("doc_id", node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     # Bounded: BINS numbers.
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
@@ -257,9 +264,19 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
         done = done.unionByName(taken)
         centres *= 8
     by_class = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = by_class.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size"), "classes")
-    return named.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "class_id", "class_size")
+    sizes = by_class.groupBy("label").agg(F.min(F.struct("least", "node")).alias("keeper"), F.sum("n").alias("class_size"))
+    sizes = sizes.select("label", F.col("keeper.least").alias("class_id"), F.col("keeper.node").alias("keeper_node"), "class_size")
+    placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("keeper_node")).alias("keeps")), "classes")
+    keeper = F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return named.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "class_id", "class_size", keeper.alias("keeper"))
+
+
+def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of each class, with all columns of ``docs``."""
+    keepers = classes(docs, threshold).where("keeper").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).select("doc", "doc.doc_id", node_of(F.col("doc.text")).alias("node"))
+    kept = packed.join(keepers, F.expr("doc_id <=> kept_id and node = kept_node"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "node"]).select("doc.*")
 
 
 def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(documents(spark, sf_dir))
-    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", "class_size", F.col("keeper").alias("kept"))
 
 
 def op8_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
