@@ -93,8 +93,8 @@ def cycle_slots(spark: SparkSession, cycles: list[dict]) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, rows_per_slice: int = 50_000, max_sources: int = 256) -> DataFrame:
-    """doc (struct of the input's columns), block, slot, mix_order.
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, rows_per_slice: int = 4_000, max_sources: int = 256, columns: list[str] | None = None) -> DataFrame:
+    """doc (struct of the input's columns, or of ``columns``), block, slot, mix_order.
 
     ``block`` counts a source's blocks, ``slot`` the blocks of the whole schedule;
     ascending ``mix_order`` (unique) is the mixed order. ``weights`` are whole numbers
@@ -133,9 +133,10 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
         .join(F.broadcast(table(sources, "source:string,s:int")).withColumnRenamed("source", "name"), F.expr("source <=> name"))
         .select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"), "s", "offset")
     )
-    within = F.row_number().over(Window.partitionBy("src", "slice").orderBy("doc.doc_id", F.crc32(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"))))
+    within = F.row_number().over(Window.partitionBy("src", "slice").orderBy("id", "tie"))
+    tie = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie")
     placed = (
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("src"), key.alias("slice"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("doc"), F.col("source").alias("src"), key.alias("slice"), F.col("doc_id").alias("id"), tie)
         .withColumn("within", within)
         .join(offsets, F.expr("src <=> of_source and slice = of_slice"))
         .withColumn("at", F.col("offset") + F.col("within") - 1)
@@ -144,10 +145,11 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     # At most max_sources ** 2 * 2 rows: the size is bounded by the parameter.
     where = F.broadcast(table(parts, "s:int,cycle:int,`from`:bigint,`to`:bigint,c:bigint,total:bigint,slot:bigint").withColumnRenamed("s", "of"))
     found = placed.join(where, F.expr("s = of and block >= `from` and block < `to`")).withColumn("nth", F.expr("block - `from`"))
+    # Bounded like the parts: 2 * max_sources cycles of at most the weights' sum.
     slots = cycle_slots(spark, cycles) if cycles else spark.createDataFrame([], "cycle int, s int, i long, at long")
     return (
         found.withColumn("i", F.expr("nth % c"))
-        .join(slots, ["cycle", "s", "i"])
+        .join(F.broadcast(slots), ["cycle", "s", "i"])
         .withColumn("in_slot", F.expr("slot + (nth div c) * total + at"))
         .select("doc", "block", F.col("in_slot").alias("slot"), (F.col("in_slot") * block_rows + F.col("row")).alias("mix_order"))
     )

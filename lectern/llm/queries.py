@@ -26,7 +26,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc.doc_id", "doc.source", "block", "slot", "mix_order")
+    return mixing.mix(documents(spark, sf_dir), columns=["doc_id", "source"]).select("doc.doc_id", "doc.source", "block", "slot", "mix_order")
 
 
 def language_model(docs: DataFrame) -> langid.Model:
