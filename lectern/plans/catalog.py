@@ -1,4 +1,407 @@
-"""Registered queries and the SQL that DuckDB checks them with."""
+"""Registered queries over the driver's tables, and the SQL that DuckDB checks them with.
+
+Every query reads whole tables. A limit stands only where it is the feature (pages and
+top-k lists).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import citation, text
+from ..operators import documents, graph, lexicon, quality, taxonomy, vector, works
+from .fixtures import lexicon as lexicon_table
+from .fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return text.chunk_windows(view(spark, d, "documents").select("doc_id", "text"))
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.mention_counts(lexicon.mentions(chunks(spark, d), lexicon_table(spark), ["doc_id"]))
+
+
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_citations")
+
+
+@query("select category, canonical, cast(sum(n) as bigint) as mentions, count(*) as n_documents from v_counts group by all")
+def term_totals(spark, d):
+    return lexicon.term_totals(counts(spark, d))
+
+
+@query("select d.doc_id, " + ", ".join(f"coalesce(sum(case when canonical = '{t}' then n end), 0)::bigint as {'t_' + t}" for t in ["der", "die", "und"]) + " from documents d left join (select * from v_counts where category = 'de') c on c.doc_id = d.doc_id group by d.doc_id")
+def term_grid(spark, d):
+    grid = lexicon.term_grid(view(spark, d, "documents"), counts(spark, d), "de", ["der", "die", "und"])
+    return grid.withColumnsRenamed({t: f"t_{t}" for t in ["der", "die", "und"]})
+
+
+@query("select category, canonical, mentions, rank from (select *, row_number() over (partition by category order by mentions desc, canonical) as rank from (select category, canonical, cast(sum(n) as bigint) as mentions from v_counts group by all)) where rank <= 3")
+def top_terms(spark, d):
+    return lexicon.top_terms(counts(spark, d), 3).select("category", "canonical", "mentions", "rank")
+
+
+@query("select doc_id, n as mentions from v_counts where category = 'en' and canonical = 'the' order by n desc, doc_id limit 50")
+def term_dossier_docs(spark, d):
+    return lexicon.term_documents(counts(spark, d), "en", "the", 50)
+
+
+@query("select cast(floor(year / 10) * 10 as int) as decade, count(*) as n_documents from v_docs group by all")
+def decade_histogram(spark, d):
+    return documents.decade_histogram(view(spark, d, "v_docs"))
+
+
+@query("select count(*) as n_documents, min(year) as year_min, max(year) as year_max from v_docs")
+def corpus_overview(spark, d):
+    return documents.overview(view(spark, d, "v_docs")).drop("n_figures")
+
+
+@query("select category, count(distinct canonical) as n_terms, count(distinct doc_id) as n_documents, cast(sum(n) as bigint) as mentions from v_counts group by category")
+def category_coverage(spark, d):
+    return lexicon.coverage(counts(spark, d))
+
+
+@query("select doc_id, doc_hash, year from v_docs where year >= 1900 and year <= 1950 order by year, doc_hash limit 100 offset 20")
+def list_documents(spark, d):
+    return documents.list_documents(view(spark, d, "v_docs"), 1900, 1950, 100, 20).select("doc_id", "doc_hash", "year")
+
+
+WANTED = ["000000000000", *["5feceb66ffc8", "6b86b273ff34", "d4735e3a265e", "6b86b273ff34"]]
+
+
+@query("with wanted as (select unnest(range(5)) as pos, unnest([" + ", ".join(f"'{h}'" for h in WANTED) + "]) as doc_hash) select cast(pos as int) as pos, wanted.doc_hash, doc_id is not null as found, doc_id, year from wanted left join v_docs using (doc_hash)")
+def fetch_documents_in_order(spark, d):
+    return documents.fetch_documents(view(spark, d, "v_docs"), WANTED, ["doc_id", "year"]).select("pos", "doc_hash", "found", "doc_id", "year")
+
+
+@query("select doc_id, concat('c', cast(chunk_index as string)) as chunk_id, chunk_index, length(text) as n_chars from v_chunks where doc_id = 3 and chunk_index in (0, 2)")
+def chunks_subset(spark, d):
+    rows = chunks(spark, d).withColumn("doc_hash", F.col("doc_id").cast("string"))
+    return documents.fetch_chunks(rows, "3", ["c2", "c0", "c99"], with_text=False).select(F.col("doc_hash").cast("long").alias("doc_id"), "chunk_id", F.col("chunk_index").cast("long"), F.col("n_chars").cast("long"))
+
+
+@query("select doc_id, count(*) as n_chunks, cast(sum(length(text)) as bigint) as n_chars, max(length(text)) as longest from v_chunks group by doc_id")
+def chunk_sizes(spark, d):
+    return chunks(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.char_length("text")).cast("long").alias("n_chars"), F.max(F.char_length("text")).cast("long").alias("longest"))
+
+
+ASKED = "select c_name as name from customer union all select c_mktsegment from customer union all select 'no such name'"
+
+
+@query(
+    f"""with asked as (select distinct name from ({ASKED})),
+    hits as (select a.name, n.name as matched_name, n.name_type, coalesce(t.accepted_name_usage_id, t.taxon_id) as acc, t.scientific_name, t.taxon_rank,
+             row_number() over (partition by a.name order by (n.name_type <> 'accepted')::int, n.taxon_id) as rn
+             from asked a join v_names n on lower(trim(a.name)) = n.name_lowercase join v_taxa t on t.taxon_id = n.taxon_id)
+    select a.name, h.matched_name, h.name_type, h.acc as taxon_id, coalesce(x.scientific_name, h.scientific_name) as accepted_name, coalesce(x.taxon_rank, h.taxon_rank) as taxon_rank
+    from asked a left join (select * from hits where rn = 1) h on h.name = a.name left join v_taxa x on x.taxon_id = h.acc"""
+)
+def resolve_name(spark, d):
+    customer = view(spark, d, "customer")
+    asked = customer.select(F.col("c_name").alias("name")).union(customer.select("c_mktsegment")).union(spark.sql("select 'no such name'"))
+    return taxonomy.resolve_names(asked, view(spark, d, "v_names"), view(spark, d, "v_taxa"))
+
+
+@query(
+    """with recursive walk as (
+      select taxon_id, 0 as depth, taxon_id as ancestor_id from v_taxa
+      union all select w.taxon_id, w.depth + 1, p.taxon_id from walk w join v_taxa c on c.taxon_id = w.ancestor_id join v_taxa p on p.taxon_id = c.parent_name_usage_id where w.depth < 64)
+    select taxon_id, depth, ancestor_id from walk where depth > 0"""
+)
+def ancestor_chain(spark, d):
+    taxa = view(spark, d, "v_taxa")
+    return taxonomy.ancestors(taxa, taxa.select("taxon_id"))
+
+
+SUBTREE = """with recursive below as (select taxon_id from v_taxa where parent_name_usage_id = 'r1' union all select t.taxon_id from v_taxa t join below b on t.parent_name_usage_id = b.taxon_id) """
+
+
+@query(SUBTREE + "select taxon_id, scientific_name, taxon_rank from v_taxa join below using (taxon_id) where taxonomic_status = 'accepted' and lower(taxon_rank) in ('species', 'subspecies')")
+def subtree_species(spark, d):
+    return taxonomy.subtree_species(view(spark, d, "v_taxa"), "r1")
+
+
+@query(SUBTREE + "select taxon_id, scientific_name, cast(sum(n) as bigint) as mentions, count(*) as n_documents from (select taxon_id, scientific_name from v_taxa join below using (taxon_id) where taxonomic_status = 'accepted' and lower(taxon_rank) = 'species') join (select taxon_id, doc_id, count(*) as n from v_mentions group by all) using (taxon_id) group by all order by mentions desc, taxon_id limit 50")
+def subtree_dossier(spark, d):
+    return taxonomy.subtree_dossier(view(spark, d, "v_taxa"), view(spark, d, "v_mentions"), "r1")
+
+
+@query("select doc_id, count(*) as mentions from v_mentions where taxon_id = 'c7' group by doc_id having count(*) >= 1")
+def documents_for_taxon(spark, d):
+    return taxonomy.documents_for_taxon(view(spark, d, "v_mentions"), "c7")
+
+
+@query("select doc_id, chunk_id, min(char_start) as first_start from v_mentions where taxon_id = 'c7' group by all")
+def chunks_for_taxon(spark, d):
+    return taxonomy.chunks_for_taxon(view(spark, d, "v_mentions"), "c7")
+
+
+@query("select doc_id, chunk_id, char_start from v_mentions where taxon_id = 'c7' order by doc_id, chunk_id, char_start limit 20 offset 5")
+def mention_page(spark, d):
+    return taxonomy.mention_page(view(spark, d, "v_mentions"), "c7", 20, 5).select("doc_id", "chunk_id", "char_start")
+
+
+@query("select taxon_id, count(*) as n_documents, cast(sum(n) as bigint) as mentions from (select taxon_id, doc_id, count(*) as n from v_mentions where taxon_id <> 'c7' and doc_id in (select doc_id from v_mentions where taxon_id = 'c7') group by all) group by taxon_id order by n_documents desc, mentions desc, taxon_id limit 50")
+def cooccurring_taxa(spark, d):
+    return taxonomy.cooccurring_taxa(view(spark, d, "v_mentions"), "c7", 50)
+
+
+@query("select term as canonical, count(*) as n_chunks, count(distinct doc_id) as n_documents from (select distinct concat('t', cast(char_start as string)) as term, doc_id, chunk_id from v_mentions where char_start > 2) join (select distinct doc_id, chunk_id from v_mentions where char_start <= 2) using (doc_id, chunk_id) group by term")
+def chunk_cooccurrence(spark, d):
+    m = view(spark, d, "v_mentions")
+    terms = m.where("char_start > 2").select(F.concat(F.lit("t"), F.col("char_start").cast("string")).alias("canonical"), "doc_id", "chunk_id")
+    return lexicon.chunk_cooccurrence(m.where("char_start <= 2"), terms).drop("examples")
+
+
+@query("select count(*) as n_mentions, count(taxon_id) as n_resolved, count(distinct taxon_id) as n_taxa, count(distinct doc_id) as n_documents from v_mentions")
+def store_totals(spark, d):
+    return taxonomy.store_totals(view(spark, d, "v_mentions"))
+
+
+@query("select taxon_rank, count(*) as n from v_taxa group by 1")
+def rank_distribution(spark, d):
+    return taxonomy.rank_distribution(view(spark, d, "v_taxa"))
+
+
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.citing_work_id where c.cited_work_id = 84")
+def citing_works(spark, d):
+    return works.citing(citations(spark, d), view(spark, d, "v_works"), 84)
+
+
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.cited_work_id where c.citing_work_id = 84")
+def cited_works(spark, d):
+    return works.cited_by(citations(spark, d), view(spark, d, "v_works"), 84)
+
+
+@query("select work_id, title, year, n_citations from v_works join (select cited_work_id as work_id, count(*) as n_citations from v_citations group by all) using (work_id) where not held and n_citations >= 2 and year >= 1905 order by n_citations desc, work_id limit 50")
+def missing_works(spark, d):
+    return works.missing_works(citations(spark, d), view(spark, d, "v_works"), 2, 1905)
+
+
+@query("select work_id, title, year from v_works where held and work_id not in (select cited_work_id from v_citations)")
+def uncited_held_works(spark, d):
+    return works.uncited_held(citations(spark, d), view(spark, d, "v_works")).select("work_id", "title", "year")
+
+
+@query("select cited_work_id as work_id, count(*) as n_citations from v_citations group by all")
+def in_degree(spark, d):
+    return works.in_degree(citations(spark, d))
+
+
+WALK_START = 84
+
+
+@query(
+    f"""with deg as (select cited_work_id as dst, count(*) as n from v_citations group by all),
+    ranked as (select citing_work_id as src, cited_work_id as dst, row_number() over (partition by citing_work_id order by n desc, cited_work_id) as rk from v_citations join deg on dst = cited_work_id),
+    one as (select dst from ranked where src = {WALK_START} and rk <= 5),
+    two as (select distinct dst from ranked where src in (select dst from one) and rk <= 5 and dst <> {WALK_START} and dst not in (select dst from one))
+    select dst as work_id, 1 as depth from one union all select dst, 2 from two"""
+)
+def citation_walk_depth2(spark, d):
+    return graph.walk(citations(spark, d), WALK_START, "out", 2, per_node=5).select("work_id", "depth")
+
+
+@query("select work_id, case when work_id % 50 = 1 then 'imported' when held then 'held' when work_id in (select cited_work_id from v_citations where citing_work_id % 5 = 0) then 'reconciled' else 'unresolved' end as tier from v_works")
+def provenance_tier(spark, d):
+    edges = citations(spark, d).withColumns({"match_method": F.lit("doi"), "match_score": F.when(F.col("citing_work_id") % 5 == 0, 0.95).otherwise(0.5)})
+    held = view(spark, d, "v_works").withColumn("imported_at", F.when(F.col("work_id") % 50 == 1, F.lit("2024-01-01").cast("timestamp")))
+    return works.provenance(held, edges).select("work_id", "tier")
+
+
+@query("select work_id, case when license = 'cc-by' then true when license = 'all-rights-reserved' then false when license is not null then null else year <= 2025 - 95 end as publishable, case when license is not null then 'license' when year <= 2025 - 95 then 'age' else 'default' end as source from v_works")
+def publishable(spark, d):
+    return view(spark, d, "v_works").select("work_id", works.publishable(F.col("license"), F.col("year"), 2025).alias("p")).select("work_id", "p.publishable", "p.source")
+
+
+@query("select s_name as surname, year, work_id from (select s_name, year, min(work_id) as work_id from v_works join supplier on s_suppkey = supplier_no group by all having count(*) = 1)")
+def unique_author_year(spark, d):
+    w = view(spark, d, "v_works")
+    authors = w.join(view(spark, d, "supplier"), F.col("s_suppkey") == F.col("supplier_no")).select("work_id", F.lit(0).alias("position"), F.col("s_name").alias("surname_normalized"))
+    refs = authors.join(w.select("work_id", "year"), "work_id").select(F.col("surname_normalized").alias("surname"), "year").distinct()
+    return works.unique_author_year(w, authors, refs)
+
+
+@query("select conv_id, turn, case when role <> 'assistant' then text else last_value(case when role <> 'assistant' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) end as filled, role = 'assistant' as was_filled from conversations")
+def forward_fill(spark, d):
+    rows = view(spark, d, "conversations")
+    return works.forward_fill(rows, "conv_id", "turn", F.col("text"), F.col("role") != "assistant").select("conv_id", "turn", "filled", "was_filled")
+
+
+@query("select work_id, concat(s_name, cast(year as string), case when rn = 0 then '' when rn <= 26 then chr(96 + rn) else concat(chr(97 + ((rn - 27) // 26)), chr(97 + ((rn - 27) % 26))) end) as cite_key from (select work_id, s_name, year, cast(row_number() over (partition by s_name, year order by work_id) - 1 as int) as rn from v_works join supplier on s_suppkey = supplier_no)")
+def cite_keys(spark, d):
+    w = view(spark, d, "v_works").join(view(spark, d, "supplier"), F.col("s_suppkey") == F.col("supplier_no"))
+    return citation.cite_keys(w.select("work_id", F.col("s_name").alias("surname"), "year")).select("work_id", "cite_key")
+
+
+CITED = "select w.*, coalesce(n, 0) as n_citations from v_works w left join (select cited_work_id as work_id, count(*) as n from v_citations group by all) using (work_id)"
+
+
+@query(rf"select brand, size_class, first(work_id order by n_citations desc, work_id) as canonical_id from ({CITED}) where length(regexp_replace(title, '[^\p{{L}}]', '', 'g')) >= 5 group by all")
+def canonical_per_family(spark, d):
+    return works.canonical_members(cited(spark, d), ["brand", "size_class"], min_letters=5)
+
+
+def cited(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_works").join(works.in_degree(citations(spark, d)), "work_id", "left").na.fill(0, ["n_citations"])
+
+
+@query(
+    f"""with scored as (select brand, size_class, work_id, n_citations, cast(work_id % 40 as int) as score from ({CITED})),
+    tier as (select *, max(score) over (partition by brand, size_class) as best from scored),
+    ranked as (select *, row_number() over w as rn, lead(n_citations) over w as runner_up from tier where score > best - 15 window w as (partition by brand, size_class order by n_citations desc, score desc, work_id))
+    select brand, size_class, work_id, score, n_citations from ranked where rn = 1 and (runner_up is null or n_citations >= 2 * runner_up)"""
+)
+def dominance_pick(spark, d):
+    rows = cited(spark, d).select("brand", "size_class", "work_id", "n_citations", (F.col("work_id") % 40).cast("int").alias("score"))
+    return works.dominant(rows, ["brand", "size_class"])
+
+
+@query("select brand, size_class, count(*) as n, cast(sum((not held)::int) as bigint) as n_ghosts from v_works group by all having count(*) >= 2 and sum((not held)::int) >= 1")
+def work_families(spark, d):
+    return works.families(view(spark, d, "v_works"), ["brand", "size_class"])
+
+
+def first_vector(spark: SparkSession, d: str) -> list[float]:
+    return view(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+@query("select vec_id, round(list_cosine_distance(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]), 6) as distance from embeddings order by list_cosine_distance(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]), vec_id limit 20")
+def vector_topk(spark, d):
+    return vector.nearest(view(spark, d, "embeddings"), first_vector(spark, d)).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("select vec_id, round(list_cosine_distance(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]), 6) as distance from embeddings where label = 3 order by list_cosine_distance(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]), vec_id limit 10")
+def vector_topk_filtered(spark, d):
+    return vector.nearest(view(spark, d, "embeddings"), first_vector(spark, d), 10, F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("select sha256(text) as full_hash, count(*) as n_copies, min(doc_id) as first_doc_id from documents group by text")
+def duplicate_documents(spark, d):
+    return documents.duplicate_documents(view(spark, d, "documents"))
+
+
+@query(r"select doc_id, round(case when len(t) = 0 then 0 else len(list_filter(t, lambda x: length(x) <= 2 or regexp_full_match(x, '[0-9]+') or (regexp_matches(x, '[0-9]') and regexp_matches(x, '\p{L}')))) / len(t) end, 6) as score from (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') as t from documents)")
+def gibberish_score(spark, d):
+    return quality.gibberish(view(spark, d, "documents")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _share(kind: str) -> str:
+    return rf"round(case when l = 0 then 0 else length(regexp_replace(text, '[^\p{{{kind}}}]', '', 'g')) / l end, 6)"
+
+
+@query("select doc_id, " + ", ".join(f"{_share(k.title())} as {k}" for k in ("latin", "cyrillic", "greek", "han")) + r" from (select doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as l from documents)")
+def script_fractions(spark, d):
+    rows = quality.script_fractions(view(spark, d, "documents"))
+    return rows.select("doc_id", *[F.round(k, 6).alias(k) for k in ("latin", "cyrillic", "greek", "han")])
+
+
+@query(
+    r"""with sized as (select doc_id, length(text) as n, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') as t from documents),
+    odd as (select doc_id, n, case when len(t) = 0 then 0 else len(list_filter(t, lambda x: length(x) <= 2 or regexp_full_match(x, '[0-9]+') or (regexp_matches(x, '[0-9]') and regexp_matches(x, '\p{L}')))) / len(t) end as odd from sized),
+    med as (select doc_id, list_sort(list(length(text)))[count(*) // 2 + 1] as m, count(*) as k from v_chunks group by doc_id)
+    select doc_id, 'short_text' as gate, n::double as metric from odd where n < 200
+    union all select doc_id, 'gibberish', round(odd, 6) from odd where odd > 0.4
+    union all select doc_id, 'no_chunks', 0.0 from odd where doc_id not in (select doc_id from med)
+    union all select doc_id, 'small_chunks', m::double from med where m < 100
+    union all select doc_id, 'too_many_chunks', k::double from med where k > 1000"""
+)
+def quality_flags(spark, d):
+    return quality.gates(view(spark, d, "documents"), chunks(spark, d))
+
+
+@query("select stage, cast(sum(ok::int) as bigint) as n_ok, cast(sum((not ok)::int) as bigint) as n_failed, count(*) as total, round(100 * sum(ok::int) / count(*), 1) as ok_percent from v_runs group by stage")
+def status_rollup(spark, d):
+    return quality.status(view(spark, d, "v_runs"))
+
+
+@query("select doc_id, count(distinct stage) as n_stages, count(*) as n_failures from v_runs where not ok group by doc_id order by n_stages desc, n_failures desc, doc_id limit 20")
+def worst_documents(spark, d):
+    return quality.worst_documents(view(spark, d, "v_runs"), 20)
+
+
+@query("select stage as reason_code, cast(null as string) as stage, count(*) as n, count(distinct doc_id) as n_documents from v_runs where not ok group by stage union all select null, case when value < 2 then 'low' else 'mid' end as s, count(*), count(distinct doc_id) from v_runs where not ok group by s union all select stage, case when value < 2 then 'low' else 'mid' end as s, count(*), count(distinct doc_id) from v_runs where not ok group by stage, s")
+def failure_grouping_sets(spark, d):
+    failed = view(spark, d, "v_runs").where("not ok").select(F.col("stage").alias("reason_code"), F.when(F.col("value") < 2, "low").otherwise("mid").alias("stage"), F.col("doc_id").alias("doc_hash"))
+    return quality.failure_grouping_sets(failed)
+
+
+@query("select event_type as name, count(*) as calls, cast(sum((value < 5)::int) as bigint) as errors, round(avg(value), 1) as mean_ms from events group by all")
+def call_stats(spark, d):
+    calls = view(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("value") >= 5).alias("ok"), F.col("value").alias("ms"))
+    return quality.call_stats(calls)
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def json_property(spark, d):
+    return view(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(r"select doc_id, n_hits from (select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w = 'ete')) as n_hits from documents) where n_hits > 0")
+def folded_search(spark, d):
+    return documents.search_words(view(spark, d, "documents"), "ete").withColumn("n_hits", F.col("n_hits").cast("long"))
+
+
+HEADINGS = [["Part A", "Materials and Methods"], ["Results", "Ergebnisse"], ["Discussion", "Odd ends"], ["Plates"], [], ["Literatur", "Tables"], ["Résumé"]]
+_CLASSES = ["methods", "results", "discussion", "other", "other", "references", "abstract"]
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLASSES)) + ") as t(id, section_class)")
+def section_class(spark, d):
+    rows = spark.sql("select posexplode(from_json(x, 'array<array<string>>')) as (id, headings) from {t}", t=spark.range(1).select(F.to_json(F.array(*[F.array(*[F.lit(h) for h in hs]).cast("array<string>") for hs in HEADINGS])).alias("x")))
+    return rows.select("id", text.section_class(F.col("headings")).alias("section_class"))
+
+
+@query("select work_id, concat(s_name, ' (', cast(year as string), '). ', title, '.') as citation, concat('(', s_name, ', ', cast(year as string), ')') as inline from v_works join supplier on s_suppkey = supplier_no")
+def citation_strings(spark, d):
+    w = view(spark, d, "v_works").join(view(spark, d, "supplier"), F.col("s_suppkey") == F.col("supplier_no"))
+    one = F.array(F.struct(F.col("s_name").alias("surname"), F.lit(None).cast("string").alias("forename")))
+    none = F.lit(None).cast("string")
+    return w.select("work_id", citation.full_citation(one, F.col("year"), F.col("title"), none, none).alias("citation"), citation.inline_citation(one, F.col("year")).alias("inline"))
+
+
+@query("select doc_id from labels where doc_id not in (select doc_id from documents where lang = 'en')")
+def orphans(spark, d):
+    return documents.orphans(view(spark, d, "labels").select("doc_id"), view(spark, d, "documents").where("lang = 'en'"), "doc_id")
+
+
+@query(r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<a href=')) as n_links from pages")
+def page_fields(spark, d):
+    return view(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("n_links"))
+
+
+@query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by all")
+def event_windows(spark, d):
+    from ..streaming.windows import tumbling
+
+    return tumbling(view(spark, d, "events"), "1 hour").select("event_type", F.col("start").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """with marked as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
+    numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from marked)
+    select user_id, min(ts) as start, count(*) as n from numbered group by user_id, s"""
+)
+def session_windows(spark, d):
+    from ..streaming.windows import sessions
+
+    return sessions(view(spark, d, "events"), "30 minutes").select("user_id", "start", "n")
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
