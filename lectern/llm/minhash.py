@@ -16,7 +16,7 @@ copies costs one comparison for each member, and no link inside a bucket is lost
 
 Equal texts are one node from the start. Texts of fewer words than a shingle have one
 shingle of all their words; texts without a word are near only to equal ones; null is a
-text of its own. Rows with equal doc_id are told apart by their text. Columns other than
+text of its own, and a null doc_id is the smallest. Rows with equal doc_id are told apart by their text. Columns other than
 doc_id and text are ignored.
 """
 
@@ -35,6 +35,8 @@ from .common import Words, materialize, mix64, sequence_hashes, slices
 SHINGLE = 5
 BINS = 1 << 16
 SLICE = 1 << 19
+#: Stands for a null doc_id, which counts as the smallest.
+NO_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -229,7 +231,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     class_size, and keeper (the row that stands for the class) of every row. Rows that
     repeat the keeper's doc_id and text are keepers, too."""
     spark = docs.sparkSession
-    named = docs.select("doc_id", node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     # Bounded: BINS numbers.
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
@@ -267,8 +269,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     sizes = by_class.groupBy("label").agg(F.min(F.struct("least", "node")).alias("keeper"), F.sum("n").alias("class_size"))
     sizes = sizes.select("label", F.col("keeper.least").alias("class_id"), F.col("keeper.node").alias("keeper_node"), "class_size")
     placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("keeper_node")).alias("keeps")), "classes")
-    keeper = F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return named.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "class_id", "class_size", keeper.alias("keeper"))
+    keeper = F.col("keeps") & (F.col("doc_id") == F.col("class_id"))
+    out = named.select("doc_id", "node").join(placed, "node")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "node", F.nullif("class_id", F.lit(NO_ID)).alias("class_id"), "class_size", keeper.alias("keeper"))
 
 
 def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -37,7 +37,7 @@ def language_model(docs: DataFrame) -> langid.Model:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs, language_model(docs))
-    return found.select("doc_id", (langid.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(langid.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

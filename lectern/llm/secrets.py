@@ -31,6 +31,8 @@ HINT = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 #: Characters of tokens that the Markov models judge (fixed values).
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = 67
+#: Weight of the single character against the counts of a transition.
+BACKOFF = 20
 KINDS = "array('assign', 'access', 'hex', 'markov')"
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -83,14 +85,23 @@ def samples(docs: DataFrame, max_docs: int = 2000, n_random: int = 2000) -> Data
 
 def train(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of every transition between two
-    ASCII characters, at 128 * first + second; add-one smoothing over the alphabet."""
+    ASCII characters, at 128 * first + second. A transition's probability is backed off
+    to its second character's, and that one has add-one smoothing over the alphabet."""
     pairs = labelled.select("random", F.explode(F.expr("transform(sequence(1, greatest(1, char_length(token) - 1)), i -> struct(ascii(substring(token, i, 1)) as a, ascii(substring(token, i + 1, 1)) as b))")).alias("p"))
     rows = pairs.where("p.a between 1 and 127 and p.b between 1 and 127").groupBy("random", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 * 128 ** 2 rows at most
     n = {(r["random"], r["a"], r["b"]): r["n"] for r in rows}
-    total: dict[tuple[bool, int], int] = {}
-    for (label, a, _), k in n.items():
-        total[label, a] = total.get((label, a), 0) + k
-    log = lambda label, a, b: math.log((n.get((label, a, b), 0) + 1) / (total.get((label, a), 0) + ALPHABET))
+    first: dict[tuple[bool, int], int] = {}
+    second: dict[tuple[bool, int], int] = {}
+    total = {True: 0, False: 0}
+    for (label, a, b), k in n.items():
+        first[label, a] = first.get((label, a), 0) + k
+        second[label, b] = second.get((label, b), 0) + k
+        total[label] += k
+
+    def log(label: bool, a: int, b: int) -> float:
+        alone = (second.get((label, b), 0) + 1) / (total[label] + ALPHABET)
+        return math.log((n.get((label, a, b), 0) + BACKOFF * alone) / (first.get((label, a), 0) + BACKOFF))
+
     return [log(True, a, b) - log(False, a, b) for a in range(128) for b in range(128)]
 
 

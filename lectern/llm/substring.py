@@ -20,7 +20,7 @@ text that can match a shard are sent to it:
 Copies of a whole text need no shard: all but the one of smallest doc_id lose all words
 (if there are ``window`` or more).
 
-Null or empty text: no words, nothing removed. Rows of one doc_id are one document for
+Null or empty text: no words, nothing removed. A null doc_id is the smallest. Rows of one doc_id are one document for
 the comparison, and each has its own result. Columns other than doc_id and text are
 ignored.
 """
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, Words, materialize, mix64, sequence_hashes, slices
 
 GRAM = 5
+#: Stands for a null doc_id, which counts as the smallest.
+NO_ID = -(1 << 63)
 SLICE = 2 << 20
 
 
@@ -268,7 +270,7 @@ def removed_windows(docs: DataFrame, window: int = 13, shard_segments: int = 200
 
 def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, ``kept_text``."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
     least = keyed.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("content", "least")
     copies = materialize(keyed.join(least, "content").where("doc_id > least").select("rid").distinct(), "copies")
@@ -303,4 +305,5 @@ def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_te
 
     flagged = marks.unionByName(copies.select("rid", F.lit(None).cast("array<struct<first:int,bits:bigint>>").alias("marks"))).withColumn("copy", F.col("marks").isNull())
     joined = rows.join(flagged, "rid", "left").select("doc_id", "text", "marks", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    kept = joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
