@@ -7,12 +7,14 @@ fixed size. A sample of improved consistent weighted sampling agrees between two
 with probability equal to their weighted Jaccard similarity; ``bands`` groups of ``rows``
 samples are the bucket keys, and candidate pairs are verified by the exact similarity.
 
-No bucket becomes all its pairs. Small ones (``small`` members) do; larger ones are cut
-again by every other band, and those that stay large link their members to one of them.
-After verification, buckets whose members are not one component yet are taken up again
-with more centres, 8 times as many in every round, each compared with all members
-outside its component, until nothing is left to compare. So a large group of real
-copies costs one comparison for each member, and no link inside a bucket is lost.
+No large bucket becomes all its pairs. Small ones (``small`` members) do; larger ones
+link their members to one of them and are cut again by ``finer`` other bands. Of what
+stays large after that, buckets whose members are not one component after verification
+are taken up again with more centres, 8 times as many in every round, each compared with
+all members outside its component, until every member has been one. So a large group of
+real copies costs one comparison for each member, and no member goes uncompared. A
+comparison with a centre begins with four bits of every sample; pairs whose sketches
+differ beyond what chance leaves to a pair at the threshold are not verified.
 
 Equal texts are one node from the start. Texts of fewer words than a shingle have one
 shingle of all their words; texts without a word are near only to equal ones; null is a
@@ -130,26 +132,49 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("n"))))
 
 
-def sketches(nodes: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """node, keys (one 64-bit key for each band) of texts with a word."""
+def sketches(rows_: DataFrame, idf, bands: int, rows: int) -> DataFrame:
+    """node, doc_id, keys (one 64-bit key for each band; none for a text without a word)
+    and sketch (four bits of every sample, packed into numbers) of node, doc_id, text."""
+    size = bands * rows
+    numbers = -(-size // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for b in batches:
-            for i, j in slices(b.column(1), SLICE):
-                h, weight, first = shingle_sets(b.column(1)[i:j], table)
+            for i, j in slices(b.column(2), SLICE):
+                h, weight, first = shingle_sets(b.column(2)[i:j], table)
                 full = np.flatnonzero(np.diff(first))
-                if not len(full):
-                    continue
-                s = sample(h, weight, first[full], bands * rows)
+                n = np.zeros(j - i, np.int64)
+                n[full] = 1
+                s = sample(h, weight, first[full], size) if len(full) else np.zeros((0, size), np.uint64)
                 key = s[:, 0::rows].copy()
                 with np.errstate(over="ignore"):
                     for k in range(1, rows):
                         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + s[:, k::rows])
-                keys = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j].take(pa.array(full)), keys], ["node", "keys"])
+                packed = np.zeros((len(s), numbers), np.uint64)
+                for k in range(size):
+                    packed[:, k // 16] |= (s[:, k] >> np.uint64(60)) << np.uint64(4 * (k % 16))
+                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n * x.shape[1])]).astype(np.int32), pa.array(x.ravel().view(np.int64))) for x in (key, packed)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], *lists], ["node", "doc_id", "keys", "sketch"])
 
-    return nodes.mapInArrow(run, "node binary, keys array<bigint>")
+    return rows_.mapInArrow(run, "node binary, doc_id long, keys array<bigint>, sketch array<bigint>")
+
+
+def apart(a: str, b: str, size: int) -> Column:
+    """How many of the samples' four-bit parts differ."""
+    parts = []
+    for k in range(-(-size // 16)):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        parts.append(F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111))))
+    return sum(parts[1:], parts[0])
+
+
+def most_apart(size: int, threshold: float) -> int:
+    """Differing samples that a pair at the threshold stays within, with a margin of two
+    and a half standard deviations: pairs beyond it are not verified."""
+    p = (1 - threshold) * 15 / 16
+    return int(size * p + 2.5 * (size * p * (1 - p)) ** 0.5)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -204,29 +229,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bucket_pairs(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of the small buckets, members of the large ones) of (bucket, node)."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = members.join(sizes, "bucket")
-    few = sized.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+def bucket_pairs(members: DataFrame, small: int, near: Column) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members of the large buckets) of (bucket, node, sketch, ...): all pairs of
+    the small ones, and of the large ones each member with the bucket's centre if they are
+    ``near``. The centre is the least in an order that differs between buckets."""
+    order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "sketch")
+    stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("c")).where("n > 1")
+    joined = materialize(members.join(stats, "bucket").withColumn("centre_sketch", F.col("c.sketch")), "buckets")
+    few = joined.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = few.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    return pairs, sized.where(F.col("n") > small).select("bucket", "node")
-
-
-def centre_pairs(large: DataFrame, labels: DataFrame | None, done: DataFrame | None, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of ``centres`` members of each bucket with all others outside their component,
-    and the centres taken. ``done``: centres (bucket, node) of earlier rounds."""
-    order = F.xxhash64("bucket", "node")
-    named = large.withColumn("label", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    free = named if done is None else named.join(done, ["bucket", "node"], "left_anti")
-    # Smallest of an order that differs between buckets; one aggregation, no sort of a bucket.
-    best = free.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("seat")).agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("c"))
-    taken = best.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-    pairs = named.join(taken, "bucket").where("label <> centre_label").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    large = joined.where(F.col("n") > small).withColumn("centre", F.col("c.node"))
+    star = large.where((F.col("node") != F.col("centre")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return pairs.unionByName(star), large
+
+
+def centre_pairs(named: DataFrame, done: DataFrame, centres: int, near: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs of up to ``centres`` members of each bucket with all others outside their
+    component, and the centres taken. named: bucket, node, sketch, label; ``done``: the
+    centres (bucket, node) of earlier rounds."""
+    free = named.join(done, ["bucket", "node"], "left_anti")
+    order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "label", "sketch")
+    best = free.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("seat")).agg(F.min(order).alias("c"))
+    taken = materialize(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.sketch").alias("centre_sketch")), "centres")
+    pairs = named.join(taken, (named.bucket == taken.bucket) & (F.col("label") != F.col("centre_label")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return pairs, taken.select("bucket", F.col("centre").alias("node"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12) -> DataFrame:
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after more edges: components of the graph of labels, then one join."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+    ends = materialize(ends, "ends")
+    over = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    fresh = ends.select(F.col("a").alias("node"), F.col("x").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("label")))
+    return materialize(labels.unionByName(fresh).distinct().join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct(), "labels")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12, finer: int = 3) -> DataFrame:
     """doc_id, node (digest of the text), class_id (smallest doc_id of the class),
     class_size, and keeper (the row that stands for the class) of every row. Rows that
     repeat the keeper's doc_id and text are keepers, too."""
@@ -234,38 +273,40 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     # Bounded: BINS numbers.
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
-    nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    keys = materialize(sketches(named.select("node", "text"), idf, bands, rows).dropDuplicates(["node"]), "keys")
-    spread = keys.select("node", F.posexplode("keys").alias("band", "key"))
-    pairs, large = bucket_pairs(spread.select(F.struct("band", "key", F.lit(-1).alias("other"), F.lit(0).cast("long").alias("more")).alias("bucket"), "node"), small)
-    again = large.select("node", F.col("bucket.band").alias("band"), F.col("bucket.key").alias("key")).join(keys, "node")
-    finer = again.select("node", "band", "key", F.posexplode("keys").alias("other", "more")).where("band <> other")
-    finer = finer.select(F.struct("band", "key", "other", "more").alias("bucket"), "node")
-    more, crowded = bucket_pairs(finer, small)
-    crowded = materialize(crowded, "crowded")
-    centred, done = centre_pairs(crowded, None, None, 1)
-    done = materialize(done, "centres")
-    pairs = materialize(pairs.unionByName(more).unionByName(centred).distinct(), "pairs")
-    texts = candidate_texts(named, nodes, pairs)
-    edges = materialize(verify(pairs, texts, idf, threshold), "verified")
-    labels = components(edges)
+    sketched = sketches(named.select("node", "doc_id", "text"), idf, bands, rows)
+    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    near = apart("sketch", "centre_sketch", bands * rows) <= most_apart(bands * rows, threshold)
+
+    spread = nodes.select("node", "sketch", F.posexplode("keys").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
+    pairs, large = bucket_pairs(spread.select("bucket", "node", "sketch", "band"), small, near)
+    cut = large.select("node", "sketch", "band").join(nodes.select("node", "keys"), "node")
+    cut = cut.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(min(finer, bands - 1)))))
+    other = F.get("keys", F.pmod(F.col("band") + F.col("step"), F.lit(bands)))
+    cut = cut.select(F.xxhash64("band", F.get("keys", F.col("band")), "step", other).alias("bucket"), "node", "sketch")
+    more, crowded = bucket_pairs(cut, small, near)
+    pairs = materialize(pairs.unionByName(more).distinct(), "pairs")
+
+    texts = candidate_texts(named, nodes, pairs, large)
+    labels = components(materialize(verify(pairs, texts, idf, threshold), "verified"))
+    done = crowded.select("bucket", F.col("centre").alias("node")).distinct()
+    crowded = crowded.select("bucket", "node", "sketch")
     centres = 8
-    while True:
+    while not crowded.isEmpty():
         # Buckets that are not one component yet.
-        split = crowded.join(labels, "node", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x <> y").select("bucket")
-        open_ = materialize(crowded.join(split, "bucket"), "open")
-        pairs_now, taken = centre_pairs(open_, labels, done, centres)
-        taken = materialize(taken, "centres")
+        with_label = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = with_label.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        open_ = materialize(with_label.join(split, "bucket"), "open")
+        found, taken = centre_pairs(open_, done, centres, near)
         if taken.isEmpty():
             break
-        pairs_now = materialize(pairs_now.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not pairs_now.isEmpty():
-            edges = edges.unionByName(materialize(verify(pairs_now, candidate_texts(named, nodes, pairs_now), idf, threshold), "verified"))
-            pairs = pairs.unionByName(pairs_now)
-            labels = components(edges)
-        done = done.unionByName(taken)
-        centres *= 8
-    by_class = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not now.isEmpty():
+            edges = materialize(verify(now, texts, idf, threshold), "verified")
+            pairs = pairs.unionByName(now)
+            if not edges.isEmpty():
+                labels = relabelled(labels, edges)
+        crowded, done, centres = open_.select("bucket", "node", "sketch"), done.unionByName(taken), centres * 8
+    by_class = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = by_class.groupBy("label").agg(F.min(F.struct("least", "node")).alias("keeper"), F.sum("n").alias("class_size"))
     sizes = sizes.select("label", F.col("keeper.least").alias("class_id"), F.col("keeper.node").alias("keeper_node"), "class_size")
     placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("keeper_node")).alias("keeps")), "classes")
@@ -282,7 +323,9 @@ def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "node"]).select("doc.*")
 
 
-def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes in pairs, each from one of its rows."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node")
-    return materialize(named.join(materialize(wanted, "wanted"), ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
+def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """node, text of the nodes in pairs or large buckets, each from one of its rows. Texts
+    go through one shuffle by doc_id, whatever the number of candidates."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+    wanted = wanted.join(nodes.select("node", F.col("least").alias("doc_id")), "node").hint("merge")
+    return materialize(named.join(wanted, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
