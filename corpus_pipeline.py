@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the round trip."""
-    return bpe.encode_documents(docs, public_tokenizers.path(ENCODER), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]

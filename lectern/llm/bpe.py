@@ -312,10 +312,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096, keep_warm: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ``ids`` (array of
     int). Every text is encoded, then decoded from its ids in portions; the digest
-    is of the decoded text's UTF-8 bytes."""
+    is of the decoded text's UTF-8 bytes. ``keep_warm``: a worker keeps its states and
+    pieces for its next task; where workers go on to other stages, they should not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -338,6 +339,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        if not keep_warm:
+            codec.cache_clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

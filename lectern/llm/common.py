@@ -47,10 +47,19 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def parts_for(n_rows: int, per_part: int = 8_000) -> int:
+    """Tasks, and so files, for a table that goes with ``n_rows`` documents."""
+    return max(12, -(-n_rows // per_part))
+
+
+def materialize(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    ``parts`` (see ``parts_for``) bounds the files where there are more partitions than
+    the data need; without a shuffle, each task takes several of them."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    df = df.coalesce(parts) if parts else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

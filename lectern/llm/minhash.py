@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64, sequence_hashes, slices
+from .common import Words, materialize, mix64, parts_for, sequence_hashes, slices
 
 SHINGLE = 5
 BINS = 1 << 16
@@ -212,30 +212,30 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """node, label (its component's smallest node) of all nodes with an edge: smallest
     labels spread along edges, and labels jump to their own labels, until none falls."""
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", parts)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", parts)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         step = step.join(jump, F.col("new") == F.col("via"), "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new"))
-        step = materialize(step, "labels")
+        step = materialize(step, "labels", parts)
         changed = not step.where("label <> new").isEmpty()
         labels = step.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
 
 
-def bucket_pairs(members: DataFrame, small: int, near: Column) -> tuple[DataFrame, DataFrame]:
+def bucket_pairs(members: DataFrame, small: int, near: Column, parts: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, members of the large buckets) of (bucket, node, sketch, ...): all pairs of
     the small ones, and of the large ones each member with the bucket's centre if they are
     ``near``. The centre is the least in an order that differs between buckets."""
     order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "sketch")
     stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("c")).where("n > 1")
-    joined = materialize(members.join(stats, "bucket").withColumn("centre_sketch", F.col("c.sketch")), "buckets")
+    joined = materialize(members.join(stats, "bucket").withColumn("centre_sketch", F.col("c.sketch")), "buckets", parts)
     few = joined.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = few.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     large = joined.where(F.col("n") > small).withColumn("centre", F.col("c.node"))
@@ -243,26 +243,26 @@ def bucket_pairs(members: DataFrame, small: int, near: Column) -> tuple[DataFram
     return pairs.unionByName(star), large
 
 
-def centre_pairs(named: DataFrame, done: DataFrame, centres: int, near: Column) -> tuple[DataFrame, DataFrame]:
+def centre_pairs(named: DataFrame, done: DataFrame, centres: int, near: Column, parts: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of up to ``centres`` members of each bucket with all others outside their
     component, and the centres taken. named: bucket, node, sketch, label; ``done``: the
     centres (bucket, node) of earlier rounds."""
     free = named.join(done, ["bucket", "node"], "left_anti")
     order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "label", "sketch")
     best = free.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("seat")).agg(F.min(order).alias("c"))
-    taken = materialize(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.sketch").alias("centre_sketch")), "centres")
+    taken = materialize(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.sketch").alias("centre_sketch")), "centres", parts)
     pairs = named.join(taken, (named.bucket == taken.bucket) & (F.col("label") != F.col("centre_label")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return pairs, taken.select("bucket", F.col("centre").alias("node"))
 
 
-def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """Labels after more edges: components of the graph of labels, then one join."""
     name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     ends = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
-    ends = materialize(ends, "ends")
-    over = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    ends = materialize(ends, "ends", parts)
+    over = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), parts).select(F.col("node").alias("label"), F.col("label").alias("top"))
     fresh = ends.select(F.col("a").alias("node"), F.col("x").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("label")))
-    return materialize(labels.unionByName(fresh).distinct().join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct(), "labels")
+    return materialize(labels.unionByName(fresh).distinct().join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct(), "labels", parts)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12, finer: int = 3) -> DataFrame:
@@ -271,23 +271,24 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     repeat the keeper's doc_id and text are keepers, too."""
     spark = docs.sparkSession
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = parts_for(docs.count())
     # Bounded: BINS numbers.
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     sketched = sketches(named.select("node", "doc_id", "text"), idf, bands, rows)
-    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes", parts)
     near = apart("sketch", "centre_sketch", bands * rows) <= most_apart(bands * rows, threshold)
 
     spread = nodes.select("node", "sketch", F.posexplode("keys").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
-    pairs, large = bucket_pairs(spread.select("bucket", "node", "sketch", "band"), small, near)
+    pairs, large = bucket_pairs(spread.select("bucket", "node", "sketch", "band"), small, near, parts)
     cut = large.select("node", "sketch", "band").join(nodes.select("node", "keys"), "node")
     cut = cut.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(min(finer, bands - 1)))))
     other = F.get("keys", F.pmod(F.col("band") + F.col("step"), F.lit(bands)))
     cut = cut.select(F.xxhash64("band", F.get("keys", F.col("band")), "step", other).alias("bucket"), "node", "sketch")
-    more, crowded = bucket_pairs(cut, small, near)
-    pairs = materialize(pairs.unionByName(more).distinct(), "pairs")
+    more, crowded = bucket_pairs(cut, small, near, parts)
+    pairs = materialize(pairs.unionByName(more).distinct(), "pairs", parts)
 
-    texts = candidate_texts(named, nodes, pairs, large)
-    labels = components(materialize(verify(pairs, texts, idf, threshold), "verified"))
+    texts = candidate_texts(named, nodes, pairs, large, parts)
+    labels = components(materialize(verify(pairs, texts, idf, threshold), "verified", parts), parts)
     done = crowded.select("bucket", F.col("centre").alias("node")).distinct()
     crowded = crowded.select("bucket", "node", "sketch")
     centres = 8
@@ -295,21 +296,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
         # Buckets that are not one component yet.
         with_label = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = with_label.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        open_ = materialize(with_label.join(split, "bucket"), "open")
-        found, taken = centre_pairs(open_, done, centres, near)
+        open_ = materialize(with_label.join(split, "bucket"), "open", parts)
+        found, taken = centre_pairs(open_, done, centres, near, parts)
         if taken.isEmpty():
             break
-        now = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        now = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
         if not now.isEmpty():
-            edges = materialize(verify(now, texts, idf, threshold), "verified")
+            edges = materialize(verify(now, texts, idf, threshold), "verified", parts)
             pairs = pairs.unionByName(now)
             if not edges.isEmpty():
-                labels = relabelled(labels, edges)
+                labels = relabelled(labels, edges, parts)
         crowded, done, centres = open_.select("bucket", "node", "sketch"), done.unionByName(taken), centres * 8
     by_class = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = by_class.groupBy("label").agg(F.min(F.struct("least", "node")).alias("keeper"), F.sum("n").alias("class_size"))
     sizes = sizes.select("label", F.col("keeper.least").alias("class_id"), F.col("keeper.node").alias("keeper_node"), "class_size")
-    placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("keeper_node")).alias("keeps")), "classes")
+    placed = materialize(by_class.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("keeper_node")).alias("keeps")), "classes", parts)
     keeper = F.col("keeps") & (F.col("doc_id") == F.col("class_id"))
     out = named.select("doc_id", "node").join(placed, "node")
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "node", F.nullif("class_id", F.lit(NO_ID)).alias("class_id"), "class_size", keeper.alias("keeper"))
@@ -323,9 +324,9 @@ def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "node"]).select("doc.*")
 
 
-def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame, large: DataFrame, parts: int) -> DataFrame:
     """node, text of the nodes in pairs or large buckets, each from one of its rows. Texts
     go through one shuffle by doc_id, whatever the number of candidates."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     wanted = wanted.join(nodes.select("node", F.col("least").alias("doc_id")), "node").hint("merge")
-    return materialize(named.join(wanted, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    return materialize(named.join(wanted, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts", parts)

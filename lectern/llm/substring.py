@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, materialize, mix64, sequence_hashes, slices
+from .common import WHITE, Words, materialize, mix64, parts_for, sequence_hashes, slices
 
 GRAM = 5
 #: Stands for a null doc_id, which counts as the smallest.
@@ -173,7 +173,7 @@ def split_words(data: bytes) -> list[bytes]:
     return [x for x in data.translate(_SPLIT).split(b" ") if x]
 
 
-def removed_windows(docs: DataFrame, window: int = 13, shard_segments: int = 2000) -> DataFrame:
+def removed_windows(docs: DataFrame, window: int, shard_segments: int, parts: int) -> DataFrame:
     """rid, marks (array of (first window, bits)) for distinct texts with repeats.
 
     docs: rid (hash of doc_id and text), doc_id, text, without later copies."""
@@ -250,13 +250,13 @@ def removed_windows(docs: DataFrame, window: int = 13, shard_segments: int = 200
 
     content = docs.select(F.xxhash64("text").alias("content"), "text")
     found = content.mapInArrow(anchors, "anchor long, content long")
-    shared = materialize(found.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor"), "anchors")
+    shared = materialize(found.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor"), "anchors", parts)
     here = docs.select("rid", "text").mapInArrow(places, "anchor long, rid long, first int").join(shared, "anchor")
-    wanted = materialize(here.groupBy("rid").agg(F.collect_set("first").alias("firsts")), "places")
+    wanted = materialize(here.groupBy("rid").agg(F.collect_set("first").alias("firsts")), "places", parts)
     schema = "anchor long, segment long, rid long, doc_id long, first int, count int, words binary"
-    occurs = materialize(docs.select("rid", "doc_id", "text").join(wanted, "rid").mapInArrow(segments, schema), "segments")
+    occurs = materialize(docs.select("rid", "doc_id", "text").join(wanted, "rid").mapInArrow(segments, schema), "segments", parts)
     distinct = occurs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words"))
-    distinct = materialize(distinct, "reference")
+    distinct = materialize(distinct, "reference", parts)
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_segments)
     parts = distinct.join(crowded, "anchor", "left").select("anchor", "segment", "doc_id", "words", "n").mapInArrow(cut, "shard long, anchor long, segment long, doc_id long, shift int, words binary")
     hits = parts.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(match, "anchor long, segment long, bits long")
@@ -273,8 +273,9 @@ def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_te
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
     least = keyed.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("content", "least")
-    copies = materialize(keyed.join(least, "content").where("doc_id > least").select("rid").distinct(), "copies")
-    marks = removed_windows(rows.join(copies, "rid", "left_anti"), window, shard_segments)
+    parts = parts_for(docs.count())
+    copies = materialize(keyed.join(least, "content").where("doc_id > least").select("rid").distinct(), "copies", parts)
+    marks = removed_windows(rows.join(copies, "rid", "left_anti"), window, shard_segments, parts)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_slice(batches, 1):
