@@ -7,14 +7,14 @@ fixed size. A sample of improved consistent weighted sampling agrees between two
 with probability equal to their weighted Jaccard similarity; ``bands`` groups of ``rows``
 samples are the bucket keys, and candidate pairs are verified by the exact similarity.
 
-No large bucket becomes all its pairs. Small ones (``small`` members) do; larger ones
-link their members to one of them and are cut again by ``finer`` other bands. Of what
-stays large after that, buckets whose members are not one component after verification
-are taken up again with more centres, 8 times as many in every round, each compared with
-all members outside its component, until every member has been one. So a large group of
-real copies costs one comparison for each member, and no member goes uncompared. A
-comparison with a centre begins with four bits of every sample; pairs whose sketches
-differ beyond what chance leaves to a pair at the threshold are not verified.
+No large bucket becomes all its pairs. Small ones (``small`` members) do. A larger one
+links its members to its centre, the member nearest to the majority of their one-bit
+samples: in a group of edited copies that is the text the others were made from, even
+if they are not near each other. Where members are not one component after that, an
+exact join finds what is left: rarest shingles first, two sets at the threshold must
+share one among the first fifth of their weight, and early enough in both; pairs of
+different components that do are verified. So a large group of real copies costs one
+comparison for each member, and no link inside a bucket is lost.
 
 Equal texts are one node from the start. Texts of fewer words than a shingle have one
 shingle of all their words; texts without a word are near only to equal ones; null is a
@@ -37,6 +37,8 @@ from .common import Words, materialize, mix64, parts_for, sequence_hashes, slice
 SHINGLE = 5
 BINS = 1 << 16
 SLICE = 1 << 19
+#: Bins of the shingle counts that order prefixes.
+ORDER_BINS = 1 << 20
 #: Stands for a null doc_id, which counts as the smallest.
 NO_ID = -(1 << 63)
 
@@ -134,9 +136,8 @@ def node_of(text: Column) -> Column:
 
 def sketches(rows_: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     """node, doc_id, keys (one 64-bit key for each band; none for a text without a word)
-    and sketch (four bits of every sample, packed into numbers) of node, doc_id, text."""
+    and bits (one of every sample, up to 63) of node, doc_id, text."""
     size = bands * rows
-    numbers = -(-size // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -151,30 +152,13 @@ def sketches(rows_: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for k in range(1, rows):
                         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + s[:, k::rows])
-                packed = np.zeros((len(s), numbers), np.uint64)
-                for k in range(size):
-                    packed[:, k // 16] |= (s[:, k] >> np.uint64(60)) << np.uint64(4 * (k % 16))
-                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n * x.shape[1])]).astype(np.int32), pa.array(x.ravel().view(np.int64))) for x in (key, packed)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], *lists], ["node", "doc_id", "keys", "sketch"])
+                bits = np.zeros(j - i, np.int64)
+                for k in range(min(size, 63)):
+                    bits[full] |= (s[:, k] >> np.uint64(63)).astype(np.int64) << k
+                keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n * bands)]).astype(np.int32), pa.array(key.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], keys, pa.array(bits)], ["node", "doc_id", "keys", "bits"])
 
-    return rows_.mapInArrow(run, "node binary, doc_id long, keys array<bigint>, sketch array<bigint>")
-
-
-def apart(a: str, b: str, size: int) -> Column:
-    """How many of the samples' four-bit parts differ."""
-    parts = []
-    for k in range(-(-size // 16)):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        parts.append(F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111))))
-    return sum(parts[1:], parts[0])
-
-
-def most_apart(size: int, threshold: float) -> int:
-    """Differing samples that a pair at the threshold stays within, with a margin of two
-    and a half standard deviations: pairs beyond it are not verified."""
-    p = (1 - threshold) * 15 / 16
-    return int(size * p + 2.5 * (size * p * (1 - p)) ** 0.5)
+    return rows_.mapInArrow(run, "node binary, doc_id long, keys array<bigint>, bits bigint")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -229,30 +213,68 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
             return labels
 
 
-def bucket_pairs(members: DataFrame, small: int, near: Column, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members of the large buckets) of (bucket, node, sketch, ...): all pairs of
-    the small ones, and of the large ones each member with the bucket's centre if they are
-    ``near``. The centre is the least in an order that differs between buckets."""
-    order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "sketch")
-    stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("c")).where("n > 1")
-    joined = materialize(members.join(stats, "bucket").withColumn("centre_sketch", F.col("c.sketch")), "buckets", parts)
+def bucket_pairs(members: DataFrame, small: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members of the large buckets) of (bucket, node, bits): all pairs of the
+    small ones, and each member of a large one with its centre."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = materialize(members.join(sizes, "bucket"), "buckets", parts)
     few = joined.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = few.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    large = joined.where(F.col("n") > small).withColumn("centre", F.col("c.node"))
-    star = large.where((F.col("node") != F.col("centre")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.unionByName(star), large
+    large = joined.where(F.col("n") > small)
+    bit = lambda k: F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1))
+    votes = large.groupBy("bucket").agg(*[F.sum(bit(k)).alias(f"v{k}") for k in range(size)])
+    majority = sum((F.when(F.col(f"v{k}") * 2 > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, size)), F.when(F.col("v0") * 2 > F.col("n"), F.lit(1)).otherwise(F.lit(0)))
+    voted = large.join(votes, "bucket").select("bucket", "node", F.bit_count(F.col("bits").bitwiseXOR(majority.cast("long"))).alias("off"))
+    centres = voted.groupBy("bucket").agg(F.min(F.struct("off", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    star = large.join(centres, "bucket").where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return pairs.unionByName(star), large.select("bucket", "node")
+
+
+def prefix_pairs(open_: DataFrame, texts: DataFrame, idf, threshold: float, parts: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can reach the threshold, none left out.
 
+    open_: node, label, outer (not of its bucket's main component; a pair has one such
+    side). The order of shingles is by their count in a table of fixed size, then hash;
+    any order is right, and with rare ones first few pairs meet."""
+    spark = open_.sparkSession
+    here = materialize(texts.join(open_, "node"), "open-texts", parts)
 
-def centre_pairs(named: DataFrame, done: DataFrame, centres: int, near: Column, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of up to ``centres`` members of each bucket with all others outside their
-    component, and the centres taken. named: bucket, node, sketch, label; ``done``: the
-    centres (bucket, node) of earlier rounds."""
-    free = named.join(done, ["bucket", "node"], "left_anti")
-    order = F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "label", "sketch")
-    best = free.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("seat")).agg(F.min(order).alias("c"))
-    taken = materialize(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.sketch").alias("centre_sketch")), "centres", parts)
-    pairs = named.join(taken, (named.bucket == taken.bucket) & (F.col("label") != F.col("centre_label")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs, taken.select("bucket", F.col("centre").alias("node"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = idf.value, np.zeros(ORDER_BINS, np.int64)
+        for b in batches:
+            for i, j in slices(b.column(0), SLICE):
+                h, _, _ = shingle_sets(b.column(0)[i:j], table)
+                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=ORDER_BINS)
+        at = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["bin", "n"])
+
+    counts = np.ones(ORDER_BINS, np.int64)
+    for r in here.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # ORDER_BINS rows at most
+        counts[r.bin] = r.n
+    order = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rank = idf.value, order.value
+        for b in batches:
+            for i, j in slices(b.column(3), SLICE):
+                h, w, first = shingle_sets(b.column(3)[i:j], table)
+                doc = np.repeat(np.arange(j - i), np.diff(first))
+                by = np.lexsort((h, rank[(h >> np.uint64(44)).astype(np.int64)], doc))
+                h, w, doc = h[by], w[by], doc[by]
+                run = np.concatenate([[0.0], np.cumsum(w)])
+                whole = run[first[1:]] - run[first[:-1]]
+                before = run[:-1] - run[first[:-1]][doc]
+                at = np.flatnonzero(before <= (1 - threshold) * whole[doc] + 1e-6)
+                rows = pa.array(doc[at] + i)
+                columns = [b.column(c).take(rows) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[at].view(np.int64)), pa.array(whole[doc[at]]), pa.array(before[at])], ["node", "label", "outer", "shingle", "whole", "before"])
+
+    kept = here.select("node", "label", "outer", "text").mapInArrow(prefixes, "node binary, label binary, outer boolean, shingle long, whole double, before double")
+    x, y = kept.where("outer").alias("x"), kept.alias("y")
+    need = threshold / (1 + threshold) * (F.col("x.whole") + F.col("y.whole")) - 1e-6
+    early = F.least(F.col("x.whole") - F.col("x.before"), F.col("y.whole") - F.col("y.before")) >= need
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & early)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def relabelled(labels: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
@@ -265,7 +287,7 @@ def relabelled(labels: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     return materialize(labels.unionByName(fresh).distinct().join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct(), "labels", parts)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12, finer: int = 3) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, small: int = 12) -> DataFrame:
     """doc_id, node (digest of the text), class_id (smallest doc_id of the class),
     class_size, and keeper (the row that stands for the class) of every row. Rows that
     repeat the keeper's doc_id and text are keepers, too."""
@@ -275,38 +297,24 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     # Bounded: BINS numbers.
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     sketched = sketches(named.select("node", "doc_id", "text"), idf, bands, rows)
-    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes", parts)
-    near = apart("sketch", "centre_sketch", bands * rows) <= most_apart(bands * rows, threshold)
-
-    spread = nodes.select("node", "sketch", F.posexplode("keys").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
-    pairs, large = bucket_pairs(spread.select("bucket", "node", "sketch", "band"), small, near, parts)
-    cut = large.select("node", "sketch", "band").join(nodes.select("node", "keys"), "node")
-    cut = cut.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(min(finer, bands - 1)))))
-    other = F.get("keys", F.pmod(F.col("band") + F.col("step"), F.lit(bands)))
-    cut = cut.select(F.xxhash64("band", F.get("keys", F.col("band")), "step", other).alias("bucket"), "node", "sketch")
-    more, crowded = bucket_pairs(cut, small, near, parts)
-    pairs = materialize(pairs.unionByName(more).distinct(), "pairs", parts)
-
-    texts = candidate_texts(named, nodes, pairs, large, parts)
+    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes", parts)
+
+    spread = nodes.select("node", "bits", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "bits")
+    pairs, large = bucket_pairs(spread, small, min(bands * rows, 63), parts)
+    pairs = materialize(pairs.distinct(), "pairs", parts)
+    texts = candidate_texts(named, nodes, pairs, parts)
     labels = components(materialize(verify(pairs, texts, idf, threshold), "verified", parts), parts)
-    done = crowded.select("bucket", F.col("centre").alias("node")).distinct()
-    crowded = crowded.select("bucket", "node", "sketch")
-    centres = 8
-    while not crowded.isEmpty():
-        # Buckets that are not one component yet.
-        with_label = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = with_label.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        open_ = materialize(with_label.join(split, "bucket"), "open", parts)
-        found, taken = centre_pairs(open_, done, centres, near, parts)
-        if taken.isEmpty():
-            break
-        now = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
-        if not now.isEmpty():
-            edges = materialize(verify(now, texts, idf, threshold), "verified", parts)
-            pairs = pairs.unionByName(now)
-            if not edges.isEmpty():
-                labels = relabelled(labels, edges, parts)
-        crowded, done, centres = open_.select("bucket", "node", "sketch"), done.unionByName(taken), centres * 8
+
+    # Members of large buckets that are not one component yet.
+    labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("n", "label")).alias("main")).where("k > 1")
+    open_ = labelled.join(split, "bucket").groupBy("node", "label").agg(F.bool_or(F.col("label") != F.col("main")).alias("outer"))
+    open_ = materialize(open_, "open", parts)
+    if not open_.isEmpty():
+        more = materialize(prefix_pairs(open_, texts, idf, threshold, parts).join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
+        edges = materialize(verify(more, texts, idf, threshold), "verified", parts)
+        if not edges.isEmpty():
+            labels = relabelled(labels, edges, parts)
     by_class = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = by_class.groupBy("label").agg(F.min(F.struct("least", "node")).alias("keeper"), F.sum("n").alias("class_size"))
     sizes = sizes.select("label", F.col("keeper.least").alias("class_id"), F.col("keeper.node").alias("keeper_node"), "class_size")
@@ -324,9 +332,9 @@ def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "node"]).select("doc.*")
 
 
-def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame, large: DataFrame, parts: int) -> DataFrame:
-    """node, text of the nodes in pairs or large buckets, each from one of its rows. Texts
-    go through one shuffle by doc_id, whatever the number of candidates."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+def candidate_texts(named: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """node, text of the nodes in pairs, each from one of its rows. Texts go through one
+    shuffle by doc_id, whatever the number of candidates."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("node", F.col("least").alias("doc_id")), "node").hint("merge")
     return materialize(named.join(wanted, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts", parts)

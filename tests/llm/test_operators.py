@@ -503,3 +503,23 @@ def test_listing(spark):
 
 def test_fixture_is_readable_as_json(rows):
     assert json.loads(json.dumps(rows)) == [list(r) for r in rows]
+
+
+def test_a_hub_joins_copies_that_are_not_near_each_other(spark):
+    rng = random.Random(21)
+    base = [f"word{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(60):
+        words = list(base)
+        for k in range(20 + i % 7, 150, 45):
+            words[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 75):  # further away: near only to its own copy
+        words = list(base)
+        for k in range(i % 9, 150, 14):
+            words[k] = f"far{i}x{k}"
+        rows += [(i, " ".join(words)), (i + 100, " ".join([*words[:-1], "last"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for small in (12, 2):
+        got = minhash.classes(docs, small=small).collect()
+        assert collections.Counter((r.doc_id, r.class_id) for r in got) == naive_classes(docs, rows)
