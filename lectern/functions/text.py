@@ -36,18 +36,12 @@ def fold_latin(c: Column) -> Column:
 
 
 def chunk_windows(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """Fixed character windows with offsets, the last one clipped. An empty text has none."""
-    n = F.char_length("text")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
-    out = docs.select(*[c for c in docs.columns if c != "text"], "text", F.explode(starts).alias("start_char"))
-    return out.select(
-        *[c for c in docs.columns if c != "text"],
-        F.concat(F.lit("c"), F.expr(f"cast(start_char div {size} as string)")).alias("chunk_id"),
-        F.expr(f"cast(start_char div {size} as int)").alias("chunk_index"),
-        F.substring(F.col("text"), F.col("start_char") + 1, F.lit(size)).alias("text"),
-        "start_char",
-        F.least(F.col("start_char") + size, F.char_length("text")).alias("end_char"),
-    )
+    """Fixed character windows with offsets, the last one clipped. An empty text has none.
+    One pass over the text; rows carry their window only."""
+    keep = [c for c in docs.columns if c != "text"]
+    out = docs.select(*keep, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("chunk_index", "text"))
+    start = F.col("chunk_index") * size
+    return out.select(*keep, F.concat(F.lit("c"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "text", start.alias("start_char"), (start + F.char_length("text")).alias("end_char"))
 
 
 def words(c: Column) -> Column:

@@ -405,3 +405,122 @@ def session_windows(spark, d):
     return sessions(view(spark, d, "events"), "30 minutes").select("user_id", "start", "n")
 
 
+
+
+FIGURE_TEXTS = ["See Fig. 1 and figure 2b.", "Figs. 1 only", "no mention", "Abb. 3 zeigt, Fig. 9 nicht"]
+
+
+@query("select * from (values (0, 'f1'), (0, 'f2'), (1, 'f1'), (3, 'f3')) as t(chunk, figure_id)")
+def figure_refs(spark, d):
+    from ..operators import figures
+
+    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in FIGURE_TEXTS])).alias("chunk_id", "text")).withColumn("doc_id", F.lit(1))
+    figs = spark.range(1, 4).select(F.lit(1).alias("doc_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("figure_id"), F.col("id").cast("string").alias("figure_number"))
+    return figures.link_chunks(rows, figs).select(F.col("chunk_id").alias("chunk"), "figure_id")
+
+
+@query()
+def best_title_match(spark, d):
+    from ..operators import resolution
+
+    titled = lambda df, key: df.where("text is not null").select(F.col(key).alias("id"), F.lower(F.left("text", F.lit(60))).alias("title"), F.lower(F.left("text", F.lit(3))).alias("block"))
+    return resolution.best_title_match(titled(view(spark, d, "benchmark"), "item_id"), titled(view(spark, d, "documents"), "doc_id"), ["block"])
+
+
+@query()
+def ghost_merge(spark, d):
+    from ..operators import resolution
+
+    return resolution.ghost_merges(view(spark, d, "v_works"), citations(spark, d), ["brand", "size_class"], fragment=5)
+
+
+@query("select doc_id, stage from (select distinct cast(doc_id as string) as doc_id, stage from v_runs) where (doc_id, stage) not in (select cast(doc_id as string), stage from v_runs where value >= 9.8)")
+def pending_work(spark, d):
+    from ..operators import incremental
+
+    runs = view(spark, d, "v_runs").select(F.col("doc_id").cast("string").alias("doc_hash"), "stage", "value")
+    work = runs.select("doc_hash", "stage", F.lit("f").alias("fingerprint")).distinct()
+    state = runs.where("value >= 9.8").select("doc_hash", "stage", F.lit("1").alias("engine_version"), F.lit("f").alias("fingerprint")).distinct()
+    return incremental.pending(work, state, "1").select(F.col("doc_hash").alias("doc_id"), "stage")
+
+
+@query("select distinct doc_id from v_runs where not ok and value < 2 intersect select distinct doc_id from v_runs where not ok and stage = 'click'")
+def filtered_documents(spark, d):
+    failed = view(spark, d, "v_runs").where("not ok").select(F.col("doc_id").alias("doc_hash"), "stage", F.when(F.col("value") < 2, "low").otherwise("mid").alias("reason_code"))
+    flags = failed.select("doc_hash", F.lit("none").alias("gate")).limit(0)
+    return quality.filtered_documents(failed, flags, stage="click", reason="low").select(F.col("doc_hash").alias("doc_id"))
+
+
+@query("select work_id, title, year, coalesce(n, 0) as n_citations from v_works join supplier on s_suppkey = supplier_no left join (select cited_work_id as work_id, count(*) as n from v_citations group by all) using (work_id) where s_name = (select min(s_name) from supplier where s_suppkey = 7) order by year, work_id limit 100")
+def works_by_author(spark, d):
+    w = view(spark, d, "v_works")
+    people = w.join(view(spark, d, "supplier"), F.col("s_suppkey") == F.col("supplier_no")).select("work_id", F.col("s_name").alias("surname_normalized"))
+    name = view(spark, d, "supplier").where("s_suppkey = 7").select(F.min("s_name")).first()[0]
+    return works.works_by_author(w, people, citations(spark, d), name or "").select("work_id", "title", "year", "n_citations")
+
+
+@query("select doc_id, cast((length(lower(text)) - length(replace(lower(text), 'en', ''))) // 2 as int) as n from documents")
+def substring_counts(spark, d):
+    return view(spark, d, "documents").select("doc_id", text.count_substring(F.col("text"), F.lit("EN")).alias("n"))
+
+
+@query("select doc_id, chunk_id, char_start, taxon_id from (select *, row_number() over (partition by doc_id, chunk_id order by char_start, taxon_id) as rn from v_mentions) where rn = 1")
+def first_mentions(spark, d):
+    return taxonomy.first_mentions(view(spark, d, "v_mentions")).select("doc_id", "chunk_id", "char_start", "taxon_id")
+
+
+@query("select substr(h, 1, 3) as doc_hash, count(distinct h) as n from (select sha256(text) as h from documents) group by 1 having count(distinct h) > 1")
+def hash_collisions(spark, d):
+    hashed = view(spark, d, "documents").select(F.sha2("text", 256).alias("full_hash"))
+    return documents.hash_collisions(hashed, 3)
+
+
+@query("with recursive below as (select taxon_id, 0 as depth from v_taxa where taxon_id = 'r2' union all select t.taxon_id, b.depth + 1 from v_taxa t join below b on t.parent_name_usage_id = b.taxon_id) select taxon_id, depth from below where depth > 0")
+def descendants(spark, d):
+    return taxonomy.descendants(view(spark, d, "v_taxa"), "r2")
+
+
+@query("with recursive below as (select taxon_id from v_taxa where taxon_id = 'n3' union all select t.taxon_id from v_taxa t join below b on t.parent_name_usage_id = b.taxon_id) select taxon_id, scientific_name from v_taxa where taxon_id in (select taxon_id from below) or accepted_name_usage_id in (select taxon_id from below)")
+def subtree_records(spark, d):
+    return taxonomy.subtree_records(view(spark, d, "v_taxa"), "n3").select("taxon_id", "scientific_name")
+
+
+@query(
+    """with deg as (select cited_work_id as dst, count(*) as n from v_citations group by all),
+    o as (select cited_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, cited_work_id) as rk from v_citations left join deg on dst = cited_work_id where citing_work_id = 84),
+    i as (select citing_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, citing_work_id) as rk from v_citations left join deg on dst = citing_work_id where cited_work_id = 84)
+    select work_id, 'out' as direction from o where rk <= 4 union all select work_id, 'in' from i where rk <= 4"""
+)
+def citation_neighbourhood(spark, d):
+    return graph.neighbourhood(citations(spark, d), 84, "both", 1, per_node=4).select("work_id", "direction")
+
+
+REFS = "select concat('d', cast(citing_work_id as string)) as doc_hash, concat('b', cast(cited_work_id as string)) as ref_id, cited_work_id from v_citations"
+
+
+@query(f"with refs as ({REFS}) select ref_id, title as work_title, held, n as n_citations from (select * from refs where doc_hash = 'd84' order by ref_id limit 50) r join v_works w on w.work_id = r.cited_work_id left join (select cited_work_id, count(*) as n from v_citations group by all) g on g.cited_work_id = r.cited_work_id")
+def bibliography(spark, d):
+    edges = citations(spark, d).select(F.concat(F.lit("d"), F.col("citing_work_id").cast("string")).alias("citing_doc_hash"), F.concat(F.lit("b"), F.col("cited_work_id").cast("string")).alias("ref_id"), "citing_work_id", "cited_work_id")
+    refs = edges.select(F.col("citing_doc_hash").alias("doc_hash"), "ref_id")
+    return works.bibliography(refs, edges, view(spark, d, "v_works"), "d84").select("ref_id", "work_title", "held", "n_citations")
+
+
+@query("select conv_id, turn, dense_rank() over (order by turn) - 1 as page_para from (select * from conversations where conv_id = 3 order by turn, role, text limit 5 offset 1)")
+def intext_page(spark, d):
+    rows = view(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_hash"), F.col("role").alias("target"), F.col("text").alias("surface"), F.col("turn").alias("para_index"))
+    page = works.intext_page(rows, "3", 5, 1)
+    return page.select(F.col("doc_hash").cast("long").alias("conv_id"), F.col("para_index").alias("turn"), F.col("page_para").cast("long").alias("page_para"))
+
+
+@query("select doc_hash, count(distinct gate) as n_gates from (select user_id as doc_hash, event_type as gate from events where value < 1) where doc_hash % 3 <> 0 group by 1 having count(distinct gate) >= 2")
+def propose_skips(spark, d):
+    flags = view(spark, d, "events").where("value < 1").select(F.col("user_id").alias("doc_hash"), F.col("event_type").alias("gate"))
+    unserved = view(spark, d, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("doc_hash")).distinct()
+    return quality.propose_skips(flags, unserved)
+
+
+@query(r"select event_type, start, n, round(total, 4) as total from (select event_type, time_bucket(interval 15 minute, ts) as start, count(*) as n, sum(value) as total from events group by all)")
+def quarter_hour_windows(spark, d):
+    from ..streaming.windows import tumbling
+
+    return tumbling(view(spark, d, "events"), "15 minutes").select("event_type", "start", "n", F.round("total", 4).alias("total"))
