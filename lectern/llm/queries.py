@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, minhash, mixing, repetition, secrets, sharding, substring, warc
+from . import bpe, fingerprint, langid, minhash, mixing, oracles, repetition, secrets, sharding, substring, warc
 from .common import documents
 
 LANG_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -68,4 +68,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_karmarkar_karp, op2_repetition, op3_byte_bpe, op4_pfair_mix, op5_language_id, op6_suffix_automata, op7_weighted_minhash, op8_prefix_hash, op9_warc, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
