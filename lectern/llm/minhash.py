@@ -267,13 +267,19 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, idf, threshold: float, part
                 at = np.flatnonzero(before <= (1 - threshold) * whole[doc] + 1e-6)
                 rows = pa.array(doc[at] + i)
                 columns = [b.column(c).take(rows) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[at].view(np.int64)), pa.array(whole[doc[at]]), pa.array(before[at])], ["node", "label", "outer", "shingle", "whole", "before"])
+                nth = at - first[doc[at]]  # a set's prefix is its first places
+                ends = np.cumsum(nth)
+                flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - nth, nth) + np.repeat(first[doc[at]], nth)
+                earlier = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(h[flat].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[at].view(np.int64)), pa.array(whole[doc[at]]), pa.array(before[at]), earlier], ["node", "label", "outer", "shingle", "whole", "before", "earlier"])
 
-    kept = here.select("node", "label", "outer", "text").mapInArrow(prefixes, "node binary, label binary, outer boolean, shingle long, whole double, before double")
+    kept = here.select("node", "label", "outer", "text").mapInArrow(prefixes, "node binary, label binary, outer boolean, shingle long, whole double, before double, earlier array<bigint>")
     x, y = kept.where("outer").alias("x"), kept.alias("y")
     need = threshold / (1 + threshold) * (F.col("x.whole") + F.col("y.whole")) - 1e-6
     early = F.least(F.col("x.whole") - F.col("x.before"), F.col("y.whole") - F.col("y.before")) >= need
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & early)
+    # A pair meets once: at its first common shingle, and from its outer side.
+    once = ~F.arrays_overlap("x.earlier", "y.earlier") & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & early & once)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
