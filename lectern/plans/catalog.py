@@ -434,13 +434,13 @@ def ghost_merge(spark, d):
     return resolution.ghost_merges(view(spark, d, "v_works"), citations(spark, d), ["brand", "size_class"], fragment=5)
 
 
-@query("select doc_id, stage from (select distinct cast(doc_id as string) as doc_id, stage from v_runs) where (doc_id, stage) not in (select cast(doc_id as string), stage from v_runs where value >= 9.8)")
+@query("select doc_id, stage from (select distinct cast(doc_id as string) as doc_id, stage from v_runs) where (doc_id, stage) not in (select cast(doc_id as string), stage from v_runs where value < 0.3)")
 def pending_work(spark, d):
     from ..operators import incremental
 
     runs = view(spark, d, "v_runs").select(F.col("doc_id").cast("string").alias("doc_hash"), "stage", "value")
     work = runs.select("doc_hash", "stage", F.lit("f").alias("fingerprint")).distinct()
-    state = runs.where("value >= 9.8").select("doc_hash", "stage", F.lit("1").alias("engine_version"), F.lit("f").alias("fingerprint")).distinct()
+    state = runs.where("value < 0.3").select("doc_hash", "stage", F.lit("1").alias("engine_version"), F.lit("f").alias("fingerprint")).distinct()
     return incremental.pending(work, state, "1").select(F.col("doc_hash").alias("doc_id"), "stage")
 
 
