@@ -230,3 +230,43 @@ def box_overlap(a: Column, b: Column) -> Column:
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     least = F.least(box_area(a), box_area(b))
     return F.when(least > 0, F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h) / least).otherwise(0.0)
+
+
+def structured_chunks(elements: DataFrame, size: int = 1000) -> DataFrame:
+    """Chunks of whole paragraphs with their heading trail, at most ``size`` characters
+    unless one paragraph is longer. elements: doc_id, seq, level (of a heading, else
+    null), text. A heading ends the chunk before it; one document is one task's work."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, trail, held = [], {}, []
+
+        def close() -> None:
+            if held:
+                out.append((pdf["doc_id"].iloc[0], f"c{len(out)}", len(out), [trail[k] for k in sorted(trail)], "\n".join(held)))
+                held.clear()
+
+        for e in pdf.sort_values("seq").itertuples():
+            if not pd.isna(e.level):
+                close()
+                trail = {k: v for k, v in trail.items() if k < e.level} | {e.level: e.text}
+            elif e.text:
+                if held and sum(map(len, held)) + len(held) + len(e.text) > size:
+                    close()
+                held.append(e.text)
+        close()
+        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "chunk_index", "headings", "text"])
+
+    return elements.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_id string, chunk_index int, headings array<string>, text string")
+
+
+#: Recogniser packs by language and by script (fixed values).
+PACKS = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "ru": "rus", "la": "lat"}
+SCRIPT_PACKS = {"latin": "eng", "cyrillic": "rus", "greek": "ell", "han": "chi_sim"}
+
+
+def recogniser_packs(iso: Column, script: Column) -> Column:
+    """Packs by language, else by script, else the default union; English comes last."""
+    lookup = lambda m, k: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])[k]
+    one = F.coalesce(lookup(PACKS, iso), lookup(SCRIPT_PACKS, script))
+    default = F.array(*[F.lit(x) for x in ("deu", "fra", "eng")])
+    return F.when(one.isNull(), default).otherwise(F.array_distinct(F.array(one, F.lit("eng"))))

@@ -231,3 +231,25 @@ def label_candidates(tokens: DataFrame) -> DataFrame:
     return tokens.where((F.col("confidence") > 30) & F.trim("token").rlike(r"^\(?[A-Z]\)?[.:]?$"))
 
 
+
+
+def panel_regions(labels: DataFrame) -> DataFrame:
+    """Approximate panel boxes from label positions: the page is cut half-way between
+    neighbouring rows (of 30 points), and each row half-way between neighbouring labels.
+    labels: figure_id, label, x, y, width, height."""
+    row = (-F.bround(F.col("y") / 30)).cast("int")
+    rows = labels.withColumn("row", row)
+    ys = rows.groupBy("figure_id", "row").agg(F.avg("y").alias("row_y"))
+    w = Window.partitionBy("figure_id").orderBy("row_y")
+    ys = ys.withColumns({"up": F.lead("row_y").over(w), "down": F.lag("row_y").over(w)})
+    across = Window.partitionBy("figure_id", "row").orderBy("x", "label")
+    out = rows.withColumns({"left": F.lag("x").over(across), "right": F.lead("x").over(across)}).join(ys, ["figure_id", "row"])
+    half = lambda a, b: (F.col(a) + F.col(b)) / 2
+    return out.select(
+        "figure_id",
+        "label",
+        F.coalesce(half("x", "left"), F.lit(0.0)).alias("x0"),
+        F.coalesce(half("row_y", "down"), F.lit(0.0)).alias("y0"),
+        F.coalesce(half("x", "right"), F.col("width")).alias("x1"),
+        F.coalesce(half("row_y", "up"), F.col("height")).alias("y1"),
+    )

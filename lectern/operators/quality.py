@@ -121,3 +121,32 @@ def scan_state(n_chars: Column, banner: Column, odd: Column, script_matches: Col
 def zero_yield(attempted: DataFrame, chunks: DataFrame) -> DataFrame:
     counted = chunks.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("n"))
     return attempted.join(counted, "doc_hash", "left").agg(F.count(F.lit(1)).alias("attempted"), F.sum(F.coalesce("n", F.lit(0))).alias("total_chunks"), F.count(F.when(F.coalesce("n", F.lit(0)) == 0, 1)).alias("empty"))
+
+
+def run_summaries(summaries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Timings, failures and flags of run summaries (doc_hash and three arrays)."""
+    part = lambda c: summaries.select("doc_hash", F.explode(c).alias("x")).select("doc_hash", "x.*")
+    return part("stages"), part("failures"), part("flags")
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    return status(runs).agg(F.sum("n_ok").alias("n_ok"), F.sum("n_failed").alias("n_failed"), F.sum("total").alias("total"))
+
+
+def distributions(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """what, value, n: rows of each table by one of its columns."""
+    out = None
+    for what, (df, column) in tables.items():
+        part = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "value", "n")
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("what", F.desc("n"), "value")
+
+
+def unserved_listing(works: DataFrame) -> DataFrame:
+    return works.where("served = false and doc_hash is not null").select("serve_reason", "doc_hash", "title").orderBy("serve_reason", "doc_hash")
+
+
+def totals_without(figures: DataFrame, chunks: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Figures and chunks of the documents that are not excluded."""
+    left = lambda df, n: df.join(excluded.select("doc_hash"), "doc_hash", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("what"), "n")
+    return left(figures, "figures").unionByName(left(chunks, "chunks"))

@@ -218,3 +218,21 @@ def parse_reference(query: Column) -> Column:
     from ..functions.text import fold_latin
 
     return F.struct(fold_latin(F.regexp_extract(query, r"^\s*([\p{L}'’-]+)", 1)).alias("surname"), F.nullif(F.regexp_extract(query, r"\b(1[5-9]\d\d|20\d\d)\b", 1), F.lit("")).try_cast("int").alias("year"), F.trim(F.regexp_replace(F.regexp_replace(query, r"^\s*[\p{L}'’-]+", ""), r"[(,]?\s*\d{4}[a-z]?[).,]?", "")).alias("title"))
+
+
+def without_cached(refs: DataFrame, lookups: DataFrame) -> DataFrame:
+    """References still to be looked up: a found or not-found answer is final, an error is
+    tried again. refs: lookup_key."""
+    final = lookups.where(F.col("status").isin("found", "not_found")).select("lookup_key").distinct()
+    return refs.join(final, "lookup_key", "left_anti")
+
+
+def coalesced(works: DataFrame, given: DataFrame, fields: list[str]) -> DataFrame:
+    """Works with the given fields where they have a value (licence, serving)."""
+    new = given.select("work_id", *[F.col(f).alias(f"_{f}") for f in fields])
+    return works.join(new, "work_id", "left").withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
+def authors_of(authors: DataFrame) -> DataFrame:
+    """Authors of each work in position order."""
+    return authors.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "surname", "forename"))), lambda a: F.struct(a["surname"].alias("surname"), a["forename"].alias("forename"))).alias("authors"))

@@ -339,3 +339,43 @@ def test_breaker(spark, tmp_path, make):
     q = ingest.breaker(spark.readStream.schema(calls.schema).parquet(f"file://{tmp_path}/calls")).writeStream.outputMode("append").format("memory").queryName("breaker").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.state for r in spark.sql("select * from breaker order by ts").collect()] == ["closed", "closed", "closed", "open", "open", "open"]
+
+
+def test_structured_chunks(make):
+    from lectern.functions import text
+
+    rows = [(1, 0, 1.0, "Methods"), (1, 1, None, "a" * 6), (1, 2, None, "b" * 6), (1, 3, 2.0, "Sites"), (1, 4, None, "c"), (1, 5, 1.0, "Results"), (1, 6, None, "d")]
+    got = text.structured_chunks(make(rows, "doc_id long, seq int, level double, text string"), 10).orderBy("chunk_index").collect()
+    assert [(r.headings, r.text) for r in got] == [(["Methods"], "aaaaaa"), (["Methods"], "bbbbbb"), (["Methods", "Sites"], "c"), (["Results"], "d")]
+    packs = make([("de", "latin"), (None, "greek"), (None, None)], "iso string, script string").select(text.recogniser_packs(F.col("iso"), F.col("script")).alias("p")).collect()
+    assert [r.p for r in packs] == [["deu", "eng"], ["ell", "eng"], ["deu", "fra", "eng"]]
+
+
+def test_panel_regions(make):
+    from lectern.operators import figures
+
+    rows = [(1, "A", 10.0, 300.0, 100.0, 400.0), (1, "B", 50.0, 302.0, 100.0, 400.0), (1, "C", 10.0, 100.0, 100.0, 400.0)]
+    got = {r.label: (r.x0, r.y0, r.x1, r.y1) for r in figures.panel_regions(make(rows, "figure_id int, label string, x double, y double, width double, height double")).collect()}
+    assert got == {"A": (0.0, 200.5, 30.0, 400.0), "B": (30.0, 200.5, 100.0, 400.0), "C": (0.0, 0.0, 100.0, 200.5)}
+
+
+def test_cache_distributions_and_listing(make):
+    refs = make([("a",), ("b",), ("c",)], "lookup_key string")
+    assert [r[0] for r in works.without_cached(refs, make([("a", "found"), ("b", "error")], "lookup_key string, status string")).orderBy("lookup_key").collect()] == ["b", "c"]
+    got = quality.distributions({"key": (refs, "lookup_key")}).collect()
+    assert [(r.what, r.value, r.n) for r in got] == [("key", "a", 1), ("key", "b", 1), ("key", "c", 1)]
+    w = make([("w", "d1", False, "dup", "T"), ("v", "d2", True, None, "U")], "work_id string, doc_hash string, served boolean, serve_reason string, title string")
+    assert [r.doc_hash for r in quality.unserved_listing(w).collect()] == ["d1"]
+    assert {r.what: r.n for r in quality.totals_without(w, w, make([("d1",)], "doc_hash string")).collect()} == {"figures": 1, "chunks": 1}
+    s = make([("d", [("ocr", True)], [("ocr", "timeout")], [("short",)])], "doc_hash string, stages array<struct<stage:string,ok:boolean>>, failures array<struct<stage:string,reason_code:string>>, flags array<struct<gate:string>>")
+    timings, failures, flags = quality.run_summaries(s)
+    assert tuple(quality.run_totals(timings).first()) == (1, 0, 1) and failures.first().reason_code == "timeout" and flags.first().gate == "short"
+
+
+def test_settings():
+    from lectern.sources import config
+
+    assert config.load("works: {fuzzy_set: 90}")["works"] == {"fuzzy_set": 90, "fuzzy_ratio": 60, "publishable_after_years": 95} and config.load("")["chunking"]["size"] == 1000
+    for bad in ("odd: 1", "works: {fuzzy_set: 900}", "works: 3", "chunking: {size: x}"):
+        with pytest.raises(ValueError):
+            config.load(bad)
