@@ -447,7 +447,7 @@ def pending_work(spark, d):
 @query("select distinct doc_id from v_runs where not ok and value < 2 intersect select distinct doc_id from v_runs where not ok and stage = 'click'")
 def filtered_documents(spark, d):
     failed = view(spark, d, "v_runs").where("not ok").select(F.col("doc_id").alias("doc_hash"), "stage", F.when(F.col("value") < 2, "low").otherwise("mid").alias("reason_code"))
-    flags = failed.select("doc_hash", F.lit("none").alias("gate")).limit(0)
+    flags = failed.select("doc_hash", F.lit("none").alias("gate")).where("false")
     return quality.filtered_documents(failed, flags, stage="click", reason="low").select(F.col("doc_hash").alias("doc_id"))
 
 
