@@ -12,15 +12,15 @@ def _windows(m: int) -> str:
     cov{m} as (select doc_id, count(distinct i + j) as n from rep{m}, unnest(range({m})) as u(j) group by doc_id)"""
 
 
-OP2 = f"""with {_WORDS}, {_windows(5)}, {_windows(8)}, {_windows(61)},
+OP2 = f"""with {_WORDS}, {_windows(5)}, {_windows(8)}, {_windows(31)},
 base as (
   select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) as bigint) as n_dup_lines,
-    coalesce(cov5.n, 0) as n_repeat_words, coalesce(cov8.n, 0) as n8, coalesce(cov61.n, 0) as n61
-  from d left join cov5 on cov5.doc_id = d.doc_id left join cov8 on cov8.doc_id = d.doc_id left join cov61 on cov61.doc_id = d.doc_id),
+    coalesce(cov5.n, 0) as n_repeat_words, coalesce(cov8.n, 0) as n8, coalesce(cov31.n, 0) as n31
+  from d left join cov5 on cov5.doc_id = d.doc_id left join cov8 on cov8.doc_id = d.doc_id left join cov31 on cov31.doc_id = d.doc_id),
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and n8 <= 0.15 * n_words and n61 = 0 as kept from judged"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and n8 <= 0.18 * n_words and n31 = 0 as kept from judged"""
 
 OP6 = f"""with {_WORDS},
 win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as k from d, unnest(range(1, greatest(1, len(w) - 11))) as t(i)),

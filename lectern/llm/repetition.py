@@ -181,7 +181,7 @@ def judge(texts: pa.Array, min_words: int, max_fraction: float, max_longest: int
     }
 
 
-def repetition(docs: DataFrame, min_words: int = 8, max_fraction: float = 0.15, max_longest: int = 60, slice_bytes: int = 2 << 20) -> DataFrame:
+def repetition(docs: DataFrame, min_words: int = 8, max_fraction: float = 0.18, max_longest: int = 30, slice_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: counts, longest repeat, base rule and verdict.
 
     A document passes if repeats of ``min_words`` words or more cover at most

@@ -48,3 +48,18 @@ def test_run_and_registration(spark, tables):
     sf_dir, _ = tables
     assert {re.match(r"op(\d+)_", k)[1] for k in entry.queries() if re.match(r"op\d+_", k)} == set("123456789") | {"10"}
     assert entry.queries()["pipeline"](spark, sf_dir).count() == 41
+
+
+def test_stages_of_an_empty_table_and_of_extra_columns(spark, tables, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    sf_dir, rows = tables
+    wide = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*", *[F.lit(7).alias(n) for n in ("doc", "node", "spans", "slot", "clean", "s", "kept_id")])
+    for docs, expect in ((wide.where("false"), 0), (wide, 41)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            stage(spark, docs, sf_dir).write.parquet(f"file://{tmp_path}/{expect}-{name}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{expect}-{name}")
+            assert name == "tokens" or docs.columns == columns
+        assert docs.count() == expect
