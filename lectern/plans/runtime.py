@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint()
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies on the driver's path but not on
+    theirs (they start in another folder). On a cluster, ship it with ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
