@@ -180,14 +180,14 @@ def rank_distribution(spark, d):
     return taxonomy.rank_distribution(view(spark, d, "v_taxa"))
 
 
-@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.citing_work_id where c.cited_work_id = 84")
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.citing_work_id where c.cited_work_id = 589")
 def citing_works(spark, d):
-    return works.citing(citations(spark, d), view(spark, d, "v_works"), 84)
+    return works.citing(citations(spark, d), view(spark, d, "v_works"), 589)
 
 
-@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.cited_work_id where c.citing_work_id = 84")
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.cited_work_id where c.citing_work_id = 589")
 def cited_works(spark, d):
-    return works.cited_by(citations(spark, d), view(spark, d, "v_works"), 84)
+    return works.cited_by(citations(spark, d), view(spark, d, "v_works"), 589)
 
 
 @query("select work_id, title, year, n_citations from v_works join (select cited_work_id as work_id, count(*) as n_citations from v_citations group by all) using (work_id) where not held and n_citations >= 2 and year >= 1905 order by n_citations desc, work_id limit 50")
@@ -205,18 +205,18 @@ def in_degree(spark, d):
     return works.in_degree(citations(spark, d))
 
 
-WALK_START = 84
+WALK_START = 589
 
 
 @query(
     f"""with deg as (select cited_work_id as dst, count(*) as n from v_citations group by all),
     ranked as (select citing_work_id as src, cited_work_id as dst, row_number() over (partition by citing_work_id order by n desc, cited_work_id) as rk from v_citations join deg on dst = cited_work_id),
-    one as (select dst from ranked where src = {WALK_START} and rk <= 5),
-    two as (select distinct dst from ranked where src in (select dst from one) and rk <= 5 and dst <> {WALK_START} and dst not in (select dst from one))
+    one as (select dst from ranked where src = {WALK_START} and rk <= 3),
+    two as (select distinct dst from ranked where src in (select dst from one) and rk <= 3 and dst <> {WALK_START} and dst not in (select dst from one))
     select dst as work_id, 1 as depth from one union all select dst, 2 from two"""
 )
 def citation_walk_depth2(spark, d):
-    return graph.walk(citations(spark, d), WALK_START, "out", 2, per_node=5).select("work_id", "depth")
+    return graph.walk(citations(spark, d), WALK_START, "out", 2, per_node=3).select("work_id", "depth")
 
 
 @query("select work_id, case when work_id % 50 = 1 then 'imported' when held then 'held' when work_id in (select cited_work_id from v_citations where citing_work_id % 5 = 0) then 'reconciled' else 'unresolved' end as tier from v_works")
@@ -487,22 +487,22 @@ def subtree_records(spark, d):
 
 @query(
     """with deg as (select cited_work_id as dst, count(*) as n from v_citations group by all),
-    o as (select cited_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, cited_work_id) as rk from v_citations left join deg on dst = cited_work_id where citing_work_id = 84),
-    i as (select citing_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, citing_work_id) as rk from v_citations left join deg on dst = citing_work_id where cited_work_id = 84)
-    select work_id, 'out' as direction from o where rk <= 4 union all select work_id, 'in' from i where rk <= 4"""
+    o as (select cited_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, cited_work_id) as rk from v_citations left join deg on dst = cited_work_id where citing_work_id = 589),
+    i as (select citing_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, citing_work_id) as rk from v_citations left join deg on dst = citing_work_id where cited_work_id = 589)
+    select work_id, 'out' as direction from o where rk <= 2 union all select work_id, 'in' from i where rk <= 2"""
 )
 def citation_neighbourhood(spark, d):
-    return graph.neighbourhood(citations(spark, d), 84, "both", 1, per_node=4).select("work_id", "direction")
+    return graph.neighbourhood(citations(spark, d), 589, "both", 1, per_node=2).select("work_id", "direction")
 
 
 REFS = "select concat('d', cast(citing_work_id as string)) as doc_hash, concat('b', cast(cited_work_id as string)) as ref_id, cited_work_id from v_citations"
 
 
-@query(f"with refs as ({REFS}) select ref_id, title as work_title, held, n as n_citations from (select * from refs where doc_hash = 'd84' order by ref_id limit 50) r join v_works w on w.work_id = r.cited_work_id left join (select cited_work_id, count(*) as n from v_citations group by all) g on g.cited_work_id = r.cited_work_id")
+@query(f"with refs as ({REFS}) select ref_id, title as work_title, held, n as n_citations from (select * from refs where doc_hash = 'd589' order by ref_id limit 50) r join v_works w on w.work_id = r.cited_work_id left join (select cited_work_id, count(*) as n from v_citations group by all) g on g.cited_work_id = r.cited_work_id")
 def bibliography(spark, d):
     edges = citations(spark, d).select(F.concat(F.lit("d"), F.col("citing_work_id").cast("string")).alias("citing_doc_hash"), F.concat(F.lit("b"), F.col("cited_work_id").cast("string")).alias("ref_id"), "citing_work_id", "cited_work_id")
     refs = edges.select(F.col("citing_doc_hash").alias("doc_hash"), "ref_id")
-    return works.bibliography(refs, edges, view(spark, d, "v_works"), "d84").select("ref_id", "work_title", "held", "n_citations")
+    return works.bibliography(refs, edges, view(spark, d, "v_works"), "d589").select("ref_id", "work_title", "held", "n_citations")
 
 
 @query("select conv_id, turn, dense_rank() over (order by turn) - 1 as page_para from (select * from conversations where conv_id = 3 order by turn, role, text limit 5 offset 1)")

@@ -44,9 +44,9 @@ VIEWS = {
                case p_partkey % 7 when 0 then 'cc-by' when 1 then 'all-rights-reserved' when 2 then 'unclear' end as license
         from {part}""",
     "v_citations": """
-        select distinct l_partkey as citing_work_id, (l_orderkey * 7 + l_linenumber) % n as cited_work_id
-        from {lineitem} join (select count(*) as n from {part}) on l_orderkey % 23 = 0
-        where l_partkey <> (l_orderkey * 7 + l_linenumber) % n""",
+        select distinct l_partkey as citing_work_id, (l_orderkey * 7 + l_linenumber) % (select count(*) from {part}) as cited_work_id
+        from {lineitem}
+        where l_orderkey % 23 = 0 and l_partkey <> (l_orderkey * 7 + l_linenumber) % (select count(*) from {part})""",
     "v_runs": "select user_id as doc_id, event_type as stage, value >= 5 as ok, ts, value from {events}",
 }
 SHA = {"spark": "sha2(cast(doc_id as string), 256)", "duckdb": "sha256(cast(doc_id as string))"}
