@@ -29,11 +29,16 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 NEVER = 1 << 62
+#: Bytes of text whose ids are held at once.
+SLICE = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -320,25 +325,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
-            n, ids_hex, text_hex, all_ids = [], [], [], []
-            for text in b.column(1):
-                joined = c.encode(text.as_py() or "")
-                ids = joined.split(" ") if joined else []
-                digest = hashlib.sha256()
-                for part in c.decode_stream(ids[i : i + portion] for i in range(0, len(ids), portion)):
-                    digest.update(part.encode())
-                n.append(len(ids))
-                ids_hex.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hex.append(digest.hexdigest())
+        for whole in batches:
+            for i, j in slices(whole.column(1), SLICE):
+                b = whole.slice(i, j - i)
+                n, ids_hex, text_hex, all_ids = [], [], [], []
+                for text in b.column(1):
+                    joined = c.encode(text.as_py() or "")
+                    ids = joined.split(" ") if joined else []
+                    digest = hashlib.sha256()
+                    for part in c.decode_stream(ids[k : k + portion] for k in range(0, len(ids), portion)):
+                        digest.update(part.encode())
+                    n.append(len(ids))
+                    ids_hex.append(hashlib.sha256(joined.encode()).hexdigest())
+                    text_hex.append(digest.hexdigest())
+                    if with_ids:
+                        all_ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+                columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    all_ids.append([int(i) for i in ids])
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(all_ids)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
         if not keep_warm:
             codec.cache_clear()
 
