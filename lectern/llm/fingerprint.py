@@ -8,8 +8,22 @@ A document's fingerprint is its prefix arrays at the multiples of a stride (a po
 of two, so fingerprints of different strides share the multiples of the larger one),
 with the length and whole hash: about ``POINTS`` to 2 * ``POINTS`` entries. The same
 span equality and binary search run on fingerprints alone, to the stride's accuracy.
-Likeness is the common prefix and common suffix, as a share of the longer text; texts
-whose whole hashes agree have likeness 1.
+
+For agreement past differences a fingerprint also has prefix sums at content-chosen
+cuts: a position is a cut if the hash of the ``GRAM`` bytes from it is the least within
+a radius on both sides (the first of equal ones), so cuts depend on the text around them
+only, and those of a doubled radius are among those of the radius. Texts of different
+lengths are compared by the cuts of the larger radius (where the radii differ by more
+than 2 ** (LEVELS - 1), for texts more than 8 times as long, there are none). Spans
+between cuts that both texts have agree at any offset.
+
+Likeness is the larger of two counts of agreeing bytes, as a share of the longer text:
+those in equal steps of the stride at equal offsets; and common prefix, common suffix
+and the equal spans between them (each at most as often as both have it). Both counts
+are of bytes that do agree (up to hash collisions), in whole steps and spans: an edit
+takes the step or the one or two spans around it, of about n / 100 bytes (17 at least),
+so likeness is below the shared share by that. Stretches that repeat with a period
+below the radius have one cut. Texts whose whole hashes agree have likeness 1.
 
 Positions are UTF-8 bytes inside and code points at the interface of the query. A
 null text is an empty text; two empty texts are alike (1). A lone document is its own
@@ -20,6 +34,7 @@ text are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +42,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 POINTS = 32
+#: Bytes whose hash decides about a cut; least radius; doublings of it that are told apart.
+GRAM, RADIUS, LEVELS = 8, 8, 4
 #: Bytes whose products (< 256 * 2 ** 31) an int64 can sum without overflow.
 BLOCK = 1 << 22
-_POWERS = [np.ones(1, np.int64), np.ones(1, np.int64)]
+_POWERS = [np.ones(1, np.int64) for _ in range(4)]
+INVERSES = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True))
 
 
 def power(which: int, n: int) -> np.ndarray:
-    """base ** i modulo the prime for i below n at least."""
+    """base ** i modulo the prime for i below n at least; 2 and 3: of the inverse bases."""
     have = _POWERS[which]
+    base, p = (*BASES, *INVERSES)[which], PRIMES[which % 2]
     while len(have) < n:
-        have = np.concatenate([have, have * pow(BASES[which], len(have), PRIMES[which]) % PRIMES[which]])
+        have = np.concatenate([have, have * pow(base, len(have), p) % p])
     _POWERS[which] = have
     return have
 
@@ -59,14 +80,48 @@ def prefix_at(data: np.ndarray, points: np.ndarray, which: int) -> np.ndarray:
     return out
 
 
+def cuts(data: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Content-chosen cuts, ascending, and how often the radius (a power of two) may be
+    doubled with each still one (LEVELS - 1 at most)."""
+    n = len(data) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = data.astype(np.uint64)
+    gram = wide[:n].copy()
+    for j in range(1, GRAM):
+        gram |= wide[j : n + j] << np.uint64(8 * j)
+    pad = radius << (LEVELS - 1)
+    h = np.full(n + 2 * pad, np.iinfo(np.uint64).max)
+    h[pad : pad + n] = mix64(gram)
+    least, at, level = h.copy(), np.arange(pad, pad + n), np.zeros(n, np.int64)
+    width = 1  # least[i] is of h[i : i + width]
+    while width <= pad:
+        if width >= radius:
+            at = at[(least[at - width] > h[at]) & (least[at + 1] >= h[at])]
+            level[at - pad] += 1
+        least[:-width] = np.minimum(least[:-width], least[width:])
+        width *= 2
+    found = np.flatnonzero(level)
+    return found, level[found] - 1
+
+
 class PrefixHash:
-    """Prefix arrays of one text at the multiples of ``stride`` and at its end."""
+    """Prefix arrays of one text at the multiples of ``stride`` and at its end; with a
+    ``radius`` also at its cuts."""
+
+    radius = 0
 
-    def __init__(self, data: bytes, stride: int = 1):
-        self.n, self.stride = len(data), stride
+    def __init__(self, data: bytes, stride: int = 1, radius: int = 0):
+        self.n, self.stride, self.radius = len(data), stride, radius
         raw = np.frombuffer(data, np.uint8).astype(np.int64)
         points = np.append(np.arange(0, self.n + 1, stride), self.n)
+        if radius:
+            self.cut, self.level = cuts(raw, radius)
+            points = np.append(points, self.cut)
         self.at = [prefix_at(raw, points, k) for k in (0, 1)]
+        if radius:
+            size = len(points) - len(self.cut)
+            self.at, self.at_cut = [x[:size] for x in self.at], [x[size:] for x in self.at]
 
     def sums(self, i: int) -> tuple[int, int]:
         k = len(self.at[0]) - 1 if i == self.n else i // self.stride
@@ -114,17 +169,56 @@ class PrefixHash:
                 high = mid - 1
         return size(low)
 
+    def aligned(self, other: PrefixHash) -> int:
+        """Bytes in equal steps of the larger stride at equal offsets, and in equal rests."""
+        step = max(self.stride, other.stride)
+        steps = min(self.n, other.n) // step
+        same = np.ones(steps, bool)
+        for k in (0, 1):
+            a, b = (np.diff(x.at[k][: steps * (step // x.stride) + 1 : step // x.stride]) % PRIMES[k] for x in (self, other))
+            same &= a == b
+        at = steps * step
+        rest = self.n - at if self.n == other.n and self.equal(at, other, at, self.n - at) else 0
+        return step * int(same.sum()) + rest
+
+    def spans(self, radius: int, start: int, end: int) -> Counter[tuple[int, int, int]]:
+        """(length, two hashes) of the spans between the cuts of ``radius``, and from and
+        to the text's ends, that lie in [start, end)."""
+        level = (radius // self.radius).bit_length() - 1
+        kept = self.level >= level
+        points = np.concatenate([[0], self.cut[kept], [self.n]])
+        sums = [np.concatenate([[0], self.at_cut[k][kept], self.at[k][-1:]]) for k in (0, 1)]
+        on = np.flatnonzero((points[:-1] >= start) & (points[1:] <= end) & (points[1:] > points[:-1]))
+        size = points[on + 1] - points[on]
+        keys = [(sums[k][on + 1] - sums[k][on]) % PRIMES[k] * power(k + 2, self.n + 1)[points[on]] % PRIMES[k] for k in (0, 1)]
+        return Counter(zip(size.tolist(), keys[0].tolist(), keys[1].tolist(), strict=True))
+
     def text(self) -> str:
-        """n:stride:entries, each entry 16 hex digits."""
-        return f"{self.n}:{self.stride}:" + "".join(f"{a:08x}{b:08x}" for a, b in zip(*(x.tolist() for x in self.at), strict=True))
+        """n:stride:entries, each entry 16 hex digits; with a radius also :radius:marks:
+        entries, each mark the hex distance to the cut before and a digit for the level."""
+        entries = lambda at: "".join(f"{a:08x}{b:08x}" for a, b in zip(*(x.tolist() for x in at), strict=True))
+        own = f"{self.n}:{self.stride}:{entries(self.at)}"
+        if not self.radius:
+            return own
+        marks = ",".join(f"{d:x}{x}" for d, x in zip(np.diff(self.cut, prepend=0).tolist(), self.level.tolist(), strict=True))
+        return f"{own}:{self.radius}:{marks}:{entries(self.at_cut)}"
 
     @classmethod
     def parse(cls, text: str) -> PrefixHash:
-        n, stride, entries = text.split(":")
+        n, stride, entries, *more = text.split(":")
         self = cls.__new__(cls)
         self.n, self.stride = int(n), int(stride)
-        values = np.array([int(entries[i : i + 8], 16) for i in range(0, len(entries), 8)], np.int64)
-        self.at = [values[0::2], values[1::2]]
+
+        def values(entries: str) -> list[np.ndarray]:
+            x = np.array([int(entries[i : i + 8], 16) for i in range(0, len(entries), 8)], np.int64)
+            return [x[0::2], x[1::2]]
+
+        self.at = values(entries)
+        if more:
+            marks = [m for m in more[1].split(",") if m]
+            self.radius, self.at_cut = int(more[0]), values(more[2])
+            self.cut = np.cumsum(np.array([int(m[:-1], 16) for m in marks], np.int64))
+            self.level = np.array([int(m[-1]) for m in marks], np.int64)
         return self
 
 
@@ -133,15 +227,18 @@ def stride_for(n: int) -> int:
 
 
 def fingerprint(data: bytes) -> PrefixHash:
-    return PrefixHash(data, stride_for(len(data)))
+    stride = stride_for(len(data))
+    return PrefixHash(data, stride, max(RADIUS, stride // 4))
 
 
 def likeness(a: PrefixHash, b: PrefixHash) -> float:
+    """Share of the longer text that is found in the other (two fingerprints)."""
     if a.n == b.n and a.sums(a.n) == b.sums(b.n):
         return 1.0
-    longer = max(a.n, b.n)
-    front = a.extension(0, b, 0)
-    return min(1.0, min(front + a.back(b), a.n, b.n) / longer)
+    front, back, radius = a.extension(0, b, 0), a.back(b), max(a.radius, b.radius)
+    between = (x.spans(radius, front, x.n - back) for x in (a, b))
+    apart = sum(k[0] * times for k, times in (next(between) & next(between)).items())
+    return min(max(front + back + apart, a.aligned(b)), a.n, b.n) / max(a.n, b.n)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -151,7 +248,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (range, guest, doc_id, text) in ascending order of range, guests first,
     then doc_id; the row before is the successor. Guests only play that part."""
     before: tuple[str, PrefixHash] | None = None
-    for b in batches:
+    for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
         rows = []
         for guest, doc_id, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             text = text.as_py()

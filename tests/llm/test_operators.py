@@ -418,6 +418,65 @@ def test_fingerprints(docs, rows, per_range):
         assert r.n_chars < 30 or r.near_edited > 0.5
 
 
+def agreement(a, b):
+    return fingerprint.likeness(fingerprint.fingerprint(a.encode()), fingerprint.fingerprint(b.encode()))
+
+
+def scattered(words, n, rng, word="replacement"):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = word
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("size", [40, 260, 3000])
+def test_likeness_sees_past_differences(size):
+    rng = random.Random(5)
+    words = prose(rng, size).split(" ")
+    t = " ".join(words)
+    least = 0.8 if size < 100 else 0.93
+    assert agreement(t, "inserted " + t) > least
+    assert agreement(t, " ".join([*words[: size // 2], "inserted", *words[size // 2 :]])) > least
+    assert agreement(t, " ".join([*words[: size // 3], *words[size // 3 + 2 :]])) > least
+    assert agreement(t, "X" + t[1:-1] + "X") > least
+    assert agreement(t, "a " + t + " b") > least
+    moved = " ".join([*words[size // 2 :], *words[: size // 2]])
+    assert agreement(t, moved) > least - 0.1
+    assert agreement(t, prose(rng, size)) < 0.15
+
+
+def test_likeness_falls_with_the_number_of_edits():
+    rng = random.Random(6)
+    words = prose(rng, 1000).split(" ")
+    t = " ".join(words)
+    got = [agreement(t, scattered(words, n, rng)) for n in (0, 2, 8, 30, 100, 1000)]
+    assert got == sorted(got, reverse=True) and got[0] == 1 and got[1] > 0.94 and got[2] > 0.8 and got[3] > 0.5 and got[-1] < 0.1
+
+
+def test_likeness_of_contained_and_low_entropy_texts():
+    rng = random.Random(8)
+    for size in (50, 400, 2000):
+        t = prose(rng, size)
+        whole = prose(rng, size) + " " + t + " " + prose(rng, size)
+        assert 0.25 < agreement(t, whole) <= len(t) / len(whole) + 1e-9
+        assert agreement(t, whole) == agreement(whole, t)
+    for a, b in (("", ""), ("", "a"), ("a", "b"), ("a" * 500, "a" * 501), ("ab" * 4000, "x" + "ab" * 4000), ("日本" * 99, "本" * 50)):
+        assert 0 <= agreement(a, b) <= 1
+        for x in (a, b):
+            p = fingerprint.fingerprint(x.encode()).text()
+            assert fingerprint.PrefixHash.parse(p).text() == p and len(p) < 4000
+
+
+def test_cuts_are_least_hashes_around_them():
+    data = np.frombuffer(prose(random.Random(9), 200).encode(), np.uint8).astype(np.int64)
+    n = len(data) - fingerprint.GRAM + 1
+    h = fingerprint.mix64(np.array([int.from_bytes(bytes(data[i : i + 8].tolist()), "little") for i in range(n)], np.uint64)).tolist()
+    first = lambda i, r: all(x > h[i] for x in h[max(0, i - r) : i]) and all(x >= h[i] for x in h[i + 1 : i + r + 1])
+    at, level = fingerprint.cuts(data, 8)
+    for k in range(fingerprint.LEVELS):
+        assert at[level >= k].tolist() == [i for i in range(n) if first(i, 8 << k)]
+
+
 # 9
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1500
