@@ -1,15 +1,17 @@
 """Mixing sources to target weights: Pfair blocks, earliest deadline first.
 
 Every source's rows form blocks of ``block_rows``. A schedule has one block in each
-slot. In a cycle in which source s gives c_s of M blocks, its block i is released at
-floor(M i / c_s) and due at ceil(M (i + 1) / c_s); the earliest deadline among the
-released goes next, so after every slot each source is less than one block away from
-its share. Cycles repeat while every source has blocks; when one cannot fill its part
-of a cycle it gives its rest, and the others go on with their own weights. No row is
-dropped or repeated: with all of a source's blocks placed, its weight is no longer due.
+slot. While sources with weights c_s of M in sum have blocks, block i of source s is
+released at floor(M i / c_s) and due at ceil(M (i + 1) / c_s); the earliest deadline
+among the released goes next, so after every slot each source is less than one block
+away from its share. These cycles of M slots repeat until a source is exhausted: the
+cycle is cut at that slot, and the others go on from there with their own weights. No
+row is dropped or repeated: with all of a source's blocks placed, its weight is no
+longer due.
 
 The cycles are planned from one row count for each source (``max_sources`` is
-checked). The earliest-deadline fold runs inside Spark SQL's ``aggregate``, one row
+checked); the driver folds one cycle for each source, to see where it is cut. The
+earliest-deadline fold of the rows' slots runs inside Spark SQL's ``aggregate``, one row
 for each kind of cycle, and rows find their slot by arithmetic and two joins, so the
 schedule is made in parallel whatever its length. A source's order is by hash slice
 and doc_id, which needs no task to see a whole source.
@@ -21,6 +23,8 @@ no name can clash.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 import math
 from functools import reduce
@@ -35,30 +39,45 @@ def default_weights(rows: list[int], resolution: int = 1000) -> list[int]:
     return [max(1, round(resolution * math.sqrt(n) / total)) for n in rows]
 
 
-def plan_cycles(blocks: list[int], weights: list[int]) -> list[dict]:
-    """Kinds of cycles in order: blocks of each source in one (``c``), how often it is
-    repeated (``times``), its first slot and each source's first block. A tail cycle
-    takes what is left of the sources that end."""
-    left, start, slot, out = list(blocks), [0] * len(blocks), 0, []
+def earliest_deadlines(c: list[int]) -> list[int]:
+    """Source of each slot of one cycle, as ``EDF`` has it."""
+    total, given, out = sum(c), [0] * len(c), []
+    window = lambda s, i: (-(-total * (i + 1) // c[s]), s)
+    ready = [window(s, 0) for s, x in enumerate(c) if x]
+    heapq.heapify(ready)
+    later: list[tuple[int, int]] = []
+    for t in range(total):
+        while later and later[0][0] <= t:
+            s = heapq.heappop(later)[1]
+            heapq.heappush(ready, window(s, given[s]))
+        s = heapq.heappop(ready)[1]
+        given[s] += 1
+        if given[s] < c[s]:
+            heapq.heappush(later, (total * given[s] // c[s], s))
+        out.append(s)
+    return out
 
-    def add(c: list[int], times: int) -> None:
-        nonlocal slot
-        g = reduce(math.gcd, c)
-        c, times = [x // g for x in c], times * g
-        out.append({"c": c, "times": times, "slot": slot, "first": list(start)})
-        for s, x in enumerate(c):
-            start[s] += x * times
-            left[s] -= x * times
-        slot += sum(c) * times
 
+def plan_cycles(blocks: list[int], weights: list[int]) -> list[dict]:
+    """Kinds of cycles in order: blocks of each source in a whole one (``c``), its first
+    slot, each source's first block (``first``) and how many blocks it places before the
+    cycles are cut (``given``)."""
+    left, start, slot, out = list(blocks), [0] * len(blocks), 0, []
     while any(left):
         c = [w if n else 0 for w, n in zip(weights, left, strict=True)]
-        times = min(n // x for n, x in zip(left, c, strict=True) if x)
-        if times:
-            add(c, times)
-        tail = [min(w, n) for w, n in zip(weights, left, strict=True)]
-        if any(0 < n < w for n, w in zip(left, weights, strict=True)):
-            add(tail, 1)
+        g = reduce(math.gcd, c)
+        c = [x // g for x in c]
+        order = earliest_deadlines(c)
+        at: list[list[int]] = [[] for _ in c]
+        for t, s in enumerate(order):
+            at[s].append(t)
+        # The slot after the last block of the source that ends first.
+        cut = min((n - 1) // x * len(order) + at[s][(n - 1) % x] + 1 for s, (n, x) in enumerate(zip(left, c, strict=True)) if x)
+        given = [cut // len(order) * x + bisect.bisect_left(at[s], cut % len(order)) for s, x in enumerate(c)]
+        out.append({"c": c, "slot": slot, "first": list(start), "given": given})
+        start = [n + x for n, x in zip(start, given, strict=True)]
+        left = [n - x for n, x in zip(left, given, strict=True)]
+        slot += cut
     return out
 
 
@@ -117,10 +136,10 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
 
     sources = [{"source": s, "s": k} for k, s in enumerate(names)]
     parts = [
-        {"s": s, "cycle": k, "from": x["first"][s], "to": x["first"][s] + c * x["times"], "c": c, "total": sum(x["c"]), "slot": x["slot"]}
+        {"s": s, "cycle": k, "from": x["first"][s], "to": x["first"][s] + x["given"][s], "c": c, "total": sum(x["c"]), "slot": x["slot"]}
         for k, x in enumerate(cycles)
         for s, c in enumerate(x["c"])
-        if c
+        if x["given"][s]
     ]
     table = lambda rows, kind: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")).alias("x")).select("x.*")
 
@@ -142,10 +161,10 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
         .withColumn("at", F.col("offset") + F.col("within") - 1)
         .select("doc", "s", F.expr(f"at div {block_rows}").alias("block"), F.expr(f"at % {block_rows}").alias("row"))
     )
-    # At most max_sources ** 2 * 2 rows: the size is bounded by the parameter.
+    # At most max_sources ** 2 rows: the size is bounded by the parameter.
     where = F.broadcast(table(parts, "s:int,cycle:int,`from`:bigint,`to`:bigint,c:bigint,total:bigint,slot:bigint").withColumnRenamed("s", "of"))
     found = placed.join(where, F.expr("s = of and block >= `from` and block < `to`")).withColumn("nth", F.expr("block - `from`"))
-    # Bounded like the parts: 2 * max_sources cycles of at most the weights' sum.
+    # Bounded like the parts: max_sources cycles of at most the weights' sum.
     slots = cycle_slots(spark, cycles) if cycles else spark.createDataFrame([], "cycle int, s int, i long, at long")
     return (
         found.withColumn("i", F.expr("nth % c"))

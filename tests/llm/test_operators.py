@@ -243,6 +243,44 @@ def test_mix_places_every_row_once(docs, rows):
         assert [b for _, b in blocks] == list(range(len(blocks)))
 
 
+def deviations(counts, weights, block_rows, slots):
+    """Largest distance from the target while the same sources have blocks."""
+    left, worst, given, t = [-(-n // block_rows) for n in counts], 0, [0] * len(counts), 0
+    c = [w if n else 0 for w, n in zip(weights, left)]
+    for s in slots:
+        left[s] -= 1
+        given[s] += 1
+        t += 1
+        worst = max(worst, *(abs(n - t * x / sum(c)) for n, x in zip(given, c)))
+        if not left[s]:
+            given, t = [0] * len(counts), 0
+            c = [w if n else 0 for w, n in zip(weights, left)]
+    assert not any(left)
+    return worst
+
+
+@pytest.mark.parametrize(
+    ("counts", "weights"),
+    [([40, 40, 40], None), ([300, 40, 40, 40, 40, 40], None), ([1280, 160], None), ([1000, 50], None), ([90, 30, 7], [5, 3, 2]), ([200, 300, 1], [1, 999, 500]), ([64], [50])],
+)
+def test_mix_keeps_to_the_weights_until_a_source_ends(spark, counts, weights):
+    from pyspark.sql import functions as F
+
+    ends = [sum(counts[: k + 1]) for k in range(len(counts))]
+    docs = spark.range(sum(counts)).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("id"))).cast("string")).alias("source"))
+    given = {f"s{k}": w for k, w in enumerate(weights)} if weights else None
+    got = mixing.mix(docs, given, block_rows=2).select("doc.source", "block", "slot").distinct().orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(sum(-(-n // 2) for n in counts)))
+    for s in range(len(counts)):
+        assert [r.block for r in got if r.source == f"s{s}"] == list(range(-(-counts[s] // 2)))
+    assert deviations(counts, weights or mixing.default_weights(counts), 2, [int(r.source[1:]) for r in got]) < 1
+
+
+def test_planned_cycles_are_the_folded_ones():
+    for c in ([5, 3, 1], [1] * 7, [100, 1, 1], [13, 17, 19, 23], [0, 4, 0, 9], [1]):
+        assert mixing.earliest_deadlines(c) == [s for s, _ in edf(c)]
+
+
 def test_weights_must_be_whole_numbers(docs):
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s0": 0})
