@@ -2,11 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of documents; the last one returns the token ids.
+of documents; the last one returns the token ids and each document's place in the mixed
+order. That order is the one of the mixture's files (by number of their part) and of the
+rows in them; Spark reads files in another one, so the last stage takes it from there.
 """
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +43,27 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).orderBy("mix_order").select("doc.*")
 
 
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text and mix_order (from 0, without gaps) of a table that was written
+    sorted and read as it is: the rows before a row are those of the files before its
+    own and those before it in its file."""
+    of = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", of["file_path"].alias("path"), of["row_index"].alias("row"))
+    files = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    name = F.element_at(F.split("path", "/"), -1)
+    part = F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+    before, offsets = 0, []
+    for r in sorted(files.select("path", "n", part.alias("part"), name.alias("name")).collect(), key=lambda r: (r["part"], r["name"])):  # one row for each file
+        offsets.append({"of": r["path"], "before": before})
+        before += r["n"]
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(offsets)), "array<struct<of:string,before:bigint>>")).alias("x")).select("x.*")
+    return rows.join(F.broadcast(table), F.expr("path = of")).select("doc_id", "text", F.expr("before + row").alias("mix_order"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the round trip."""
-    return bpe.encode_documents(docs, public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False)
+    """Token ids of every document, with the digests of the round trip, and its place
+    in the mixed order (``mix_order``)."""
+    return bpe.encode_documents(placed(spark, docs), public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False, carry=("mix_order",))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]

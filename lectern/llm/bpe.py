@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -317,11 +318,12 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096, keep_warm: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096, keep_warm: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ``ids`` (array of
     int). Every text is encoded, then decoded from its ids in portions; the digest
     is of the decoded text's UTF-8 bytes. ``keep_warm``: a worker keeps its states and
-    pieces for its next task; where workers go on to other stages, they should not."""
+    pieces for its next task; where workers go on to other stages, they should not.
+    ``carry``: columns of ``docs`` that go along behind the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -345,9 +347,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(all_ids)))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns + b.columns[2:], names + list(carry))
         if not keep_warm:
             codec.cache_clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)

@@ -63,3 +63,35 @@ def test_stages_of_an_empty_table_and_of_extra_columns(spark, tables, tmp_path):
             docs = spark.read.parquet(f"file://{tmp_path}/{expect}-{name}")
             assert name == "tokens" or docs.columns == columns
         assert docs.count() == expect
+
+
+def test_the_mixed_order_reaches_the_result(spark, tmp_path):
+    import corpus_pipeline
+    from lectern.llm import mixing
+    from pyspark.sql import functions as F
+
+    text = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), F.when(F.col("id") % 7 == 0, F.lit(60)).otherwise(F.lit(1)).cast("int"))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 5 % 3).cast("string")).alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("mix_order").select("doc.doc_id").collect()]
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixture(spark, docs, "").write.option("maxRecordsPerFile", 70).parquet(f"file://{tmp_path}/mixed")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    mixed = spark.read.parquet(f"file://{tmp_path}/mixed")
+    assert len(mixed.inputFiles()) > 5
+    got = corpus_pipeline.tokens(spark, mixed, "").select("doc_id", "mix_order").collect()
+    assert sorted(r.mix_order for r in got) == list(range(600))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_order)] == want
+
+
+def test_run_returns_the_mixed_order(spark, tables, monkeypatch):
+    import corpus_pipeline
+    from lectern.llm import mixing
+
+    seen = []
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", lambda docs, mix=mixing.mix: seen.append(mix(docs)) or seen[-1])
+    rows = corpus_pipeline.run(spark, tables[0]).select("doc_id", "mix_order").collect()
+    want = [r.doc_id for r in seen[0].orderBy("mix_order").select("doc.doc_id").collect()]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_order)] == want and len(want) == 41
