@@ -14,11 +14,16 @@ from .works import in_degree
 
 def best_title_match(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
     """For each row of ``left`` (id, title) the best ``right`` row in its block by
-    (token set, ratio), then the smallest id."""
-    pairs = left.select("id", F.col("title").alias("a"), *block).join(right.select(F.col("id").alias("other"), F.col("title").alias("b"), *block), block)
-    scored = pairs.withColumns({"token_set": fuzzy.token_set_ratio("a", "b"), "ratio": fuzzy.indel_ratio("a", "b")})
+    (token set, ratio), then the smallest id. Equal titles of a block are scored once."""
+    titles = left.select(F.col("title").alias("a"), *block).distinct()
+    others = right.groupBy(F.col("title").alias("b"), *block).agg(F.min("id").alias("other"))
+    scored = titles.join(others, block).withColumns({"token_set": fuzzy.token_set_ratio("a", "b"), "ratio": fuzzy.indel_ratio("a", "b")})
     best = F.max(F.struct("token_set", "ratio", (-F.col("other")).alias("neg")))
-    return scored.groupBy("id").agg(best.alias("m")).select("id", (-F.col("m.neg")).alias("match_id"), "m.token_set", "m.ratio")
+    found = scored.groupBy("a", *block).agg(best.alias("m"))
+    same = F.col("title").eqNullSafe(F.col("a"))
+    for c in block:
+        same &= F.col(f"l.{c}") == F.col(f"r.{c}")
+    return left.alias("l").join(found.alias("r"), same).select("id", (-F.col("m.neg")).alias("match_id"), "m.token_set", "m.ratio")
 
 
 def resolve_references(refs: DataFrame, works: DataFrame, min_set: int = 85, min_ratio: int = 60) -> DataFrame:

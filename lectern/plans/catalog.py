@@ -423,8 +423,9 @@ def figure_refs(spark, d):
 def best_title_match(spark, d):
     from ..operators import resolution
 
-    titled = lambda df, key: df.where("text is not null").select(F.col(key).alias("id"), F.lower(F.left("text", F.lit(60))).alias("title"), F.lower(F.left("text", F.lit(3))).alias("block"))
-    return resolution.best_title_match(titled(view(spark, d, "benchmark"), "item_id"), titled(view(spark, d, "documents"), "doc_id"), ["block"])
+    w = view(spark, d, "v_works").where("title is not null")
+    titled = lambda df: df.select(F.col("work_id").alias("id"), "title", "brand", "year")
+    return resolution.best_title_match(titled(w.where("not held")), titled(w.where("held")), ["brand", "year"])
 
 
 @query()

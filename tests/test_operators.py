@@ -379,3 +379,43 @@ def test_settings():
     for bad in ("odd: 1", "works: {fuzzy_set: 900}", "works: 3", "chunking: {size: x}"):
         with pytest.raises(ValueError):
             config.load(bad)
+
+
+def best_titles(left, right):
+    """By trying every pair of a block: (id, match_id, token set, ratio)."""
+    from lectern.functions import fuzzy
+
+    out = set()
+    for i, a, *block in left:
+        scores = [(int(fuzzy.token_set(a, b)), int(fuzzy.ratio(a, b)), -j) for j, b, *other in right if other == block]
+        if scores:
+            token_set, ratio, j = max(scores)
+            out.add((i, -j, token_set, ratio))
+    return out
+
+
+def test_best_title_match_is_the_best_pair(spark):
+    import random
+
+    from lectern.operators import resolution
+
+    rng = random.Random(1)
+    title = lambda: " ".join(rng.choice(["old", "red", "ring", "bolt", "plate", "hinge"]) for _ in range(rng.randint(1, 4)))
+    left, right = ([(i, title(), rng.choice("xyz"), rng.randint(1, 3)) for i in ids] for ids in (range(60), range(100, 180)))
+    schema = "id long, title string, brand string, year int"
+    got = resolution.best_title_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["brand", "year"]).collect()
+    assert len(got) == len(left) and {tuple(r) for r in got} == best_titles(left, right)
+
+
+def test_best_title_match_query_compares_whole_titles(spark):
+    import os
+
+    from lectern.plans import catalog, fixtures
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    works = fixtures.view(spark, d, "v_works").where("title is not null").select("work_id", "title", "brand", "year", "held").collect()
+    left, right = ([tuple(r)[:4] for r in works if r.held is held] for held in (False, True))
+    got = catalog.QUERIES["best_title_match"](spark, d).collect()
+    assert {tuple(r) for r in got} == best_titles(left, right) and len(got) == len({r.id for r in got}) > 100
