@@ -34,7 +34,8 @@ from .common import Words, slices, span_hashes
 
 UNKNOWN = "und"
 MAX_WORD = 24
-MAX_PIECE = 10
+#: Longer pieces fit in no part of a word with its space.
+MAX_PIECE = MAX_WORD + 1
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[ord("a") : ord("z") + 1] = False
 _NOT_LETTER[0x80:] = False
@@ -57,7 +58,8 @@ class Vocabulary:
         self.size = len(self.pieces)
         h = np.zeros(self.size, np.uint64)
         length = np.array([len(p) for p in self.pieces])
-        for i in range(MAX_PIECE):
+        self.longest = int(length.max())
+        for i in range(self.longest):
             on = np.flatnonzero(length > i)
             h[on] = _roll(h[on], np.array([self.pieces[k][i] for k in on], np.uint8))
         self.hash = np.append(h, np.uint64(0))
@@ -122,7 +124,7 @@ def lattice(m: np.ndarray, length: np.ndarray, v: Vocabulary) -> Iterator[tuple[
         if not n:
             return
         byte = m[:n, j - 1]
-        hashes = [_roll(h[:n], byte) for h in hashes[-(MAX_PIECE - 1) :]] + [_roll(np.zeros(n, np.uint64), byte)]
+        hashes = [_roll(h[:n], byte) for h in hashes[-(v.longest - 1) :]] + [_roll(np.zeros(n, np.uint64), byte)]
         for k, h in enumerate(hashes):
             yield j, len(hashes) - k, n, v.find(h)
 

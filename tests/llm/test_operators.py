@@ -287,6 +287,25 @@ def test_weights_must_be_whole_numbers(docs):
 
 
 # 5
+def test_forward_sums_over_pieces_of_every_length():
+    import base64
+
+    with open(P.path(queries.LANG_VOCABULARY), "rb") as f:
+        raw = {base64.b64decode(line.split()[0]) for line in f}
+    weight = lambda piece: (zlib.crc32(piece) % 1000 + 1) / 1e4
+    v = langid.vocabulary(P.path(queries.LANG_VOCABULARY))
+    p = np.append([weight(x) for x in v.pieces], 0)[:, None]
+    words = "government information internationalization различных государственной пользователь responsabilidade".split()
+    m, length, _, _ = langid.word_matrix(langid.Words(pa.array([" ".join(words)]), langid._NOT_LETTER))
+    for row, n, got in zip(m, length, langid.forward(m, length, v, p)[:, 0], strict=True):
+        word = bytes(row[:n])
+        sums = [1.0]
+        for j in range(1, n + 1):
+            sums.append(sum(sums[i] * weight(word[i:j]) for i in range(j) if word[i:j] in raw))
+        assert np.isclose(got, np.log(sums[-1]))
+    assert b" government" in v.pieces and b" information" in v.pieces
+
+
 def test_forward_sums_all_segmentations():
     v = langid.vocabulary(P.path(queries.LANG_VOCABULARY))
     rng = np.random.default_rng(0)
