@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +39,23 @@ def ancestors(taxa: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFra
     )
 
 
-def descendants(taxa: DataFrame, root: str, with_root: bool = False, max_depth: int = 64) -> DataFrame:
-    """taxon_id and depth of everything below ``root``: one join a level on the frontier,
-    visited rows left out, so cycles end and the table may be of any size."""
+def descendants(taxa: DataFrame, root: str, with_root: bool = False) -> DataFrame:
+    """taxon_id and depth of everything below ``root``: one join a level on the frontier
+    until it is empty, visited rows left out, so cycles end and the table may be of any
+    size and depth."""
     from ..plans.runtime import checkpointed
 
     children = taxa.select(F.col("taxon_id").alias("child"), F.col("parent_name_usage_id").alias("parent"))
     seen = taxa.where(F.col("taxon_id") == root).select("taxon_id", F.lit(0).alias("depth"))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = children.join(frontier, children.parent == frontier.taxon_id).select(F.col("child").alias("taxon_id"), F.lit(depth).alias("depth")).distinct()
         frontier = checkpointed(step.join(seen.select("taxon_id"), "taxon_id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # keeps the plan short
+            seen = checkpointed(seen)
     return seen if with_root else seen.where("depth > 0")
 
 

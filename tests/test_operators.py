@@ -419,3 +419,12 @@ def test_best_title_match_query_compares_whole_titles(spark):
     left, right = ([tuple(r)[:4] for r in works if r.held is held] for held in (False, True))
     got = catalog.QUERIES["best_title_match"](spark, d).collect()
     assert {tuple(r) for r in got} == best_titles(left, right) and len(got) == len({r.id for r in got}) > 100
+
+
+def test_descendants_of_any_depth_and_cycles(spark):
+    from lectern.operators import taxonomy
+
+    rows = [(str(i), str(i - 1) if i else "69") for i in range(70)] + [("x", "68"), ("other", None)]
+    taxa = spark.createDataFrame(rows, "taxon_id string, parent_name_usage_id string")
+    want = {(str(i), i) for i in range(1, 70)} | {("x", 69)}
+    assert {tuple(r) for r in taxonomy.descendants(taxa, "0").collect()} == want
