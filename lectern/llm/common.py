@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,12 +25,14 @@ _SCRATCH: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The session's own folder inside ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Only where that setting is absent and Spark runs in one process (tests) a temporary
+    folder takes its place; on a cluster executors would not see it, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+        if not base and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         _SCRATCH[app] = f"{base.rstrip('/')}/lectern-{app}"
@@ -47,7 +50,7 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def parts_for(n_rows: int, per_part: int = 8_000) -> int:
+def parts_for(n_rows: int, per_part: int = 20_000) -> int:
     """Tasks, and so files, for a table that goes with ``n_rows`` documents."""
     return max(12, -(-n_rows // per_part))
 
@@ -108,32 +111,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes hashed chunk by chunk; longer spans are hashed by blocks of this size first.
+_BLOCK = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below n at least; grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None:
-        have = np.ones(1, np.uint64)
+def _short_hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans of up to ``_BLOCK`` bytes. Eight bytes at a time are xored in and
+    mixed; each step is one-to-one, so spans of one length differ unless mixing collides."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # 8 bytes from every place
+    h = mix64(size.astype(np.uint64) + _STEP)
+    on = np.flatnonzero(size > 0)
     with np.errstate(over="ignore"):
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _POWERS[base] = have
-    return have
+        for j in range(0, _BLOCK, 8):
+            if j:
+                on = on[size[on] > j]
+            if not len(on):
+                break
+            rest = np.minimum(size[on] - j, 8).astype(np.uint64)
+            chunk = wide[starts[on] + j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+            h[on] = mix64(h[on] ^ chunk) + _STEP
+    return h
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal spans have equal hashes anywhere."""
-    with np.errstate(over="ignore"):
-        n = len(data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers(n)[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * powers(n + 1, _INVERSE)[starts]
-        return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """64-bit hashes of the byte spans; equal spans have equal hashes anywhere. There is
+    no sum or product over the bytes: a long span is the tree of its blocks' hashes."""
+    size = ends - starts
+    large = size > _BLOCK
+    if not large.any():
+        return mix64(_short_hashes(data, starts, size))
+    h = np.empty(len(starts), np.uint64)
+    h[~large] = mix64(_short_hashes(data, starts[~large], size[~large]))
+    n = -(-size[large] // _BLOCK)
+    stop = np.cumsum(n)
+    at = np.repeat(starts[large], n) + (np.arange(stop[-1]) - np.repeat(stop - n, n)) * _BLOCK
+    blocks = _short_hashes(data, at, np.minimum(np.repeat(ends[large], n) - at, _BLOCK))
+    h[large] = mix64(span_hashes(blocks.view(np.uint8), (stop - n) * 8, stop * 8) ^ size[large].astype(np.uint64))
+    return h
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the (ascending, disjoint) byte spans; two spans have one number
+    exactly if their bytes are equal."""
+    size = ends - starts
+    edge = np.zeros(len(data) + 1, np.int8)
+    full = size > 0
+    edge[starts[full]] += 1
+    edge[ends[full]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    return np.asarray(spans.dictionary_encode().indices).astype(np.int64)
 
 
 WHITE = np.zeros(256, bool)
@@ -166,31 +196,26 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.start, self.end)
 
+    def numbers(self) -> np.ndarray:
+        """Numbers of the words: equal ones exactly for equal words."""
+        return numbered(self.data, self.start, self.end)
+
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value of every byte, by document."""
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return total[self.offs[1:]] - total[self.offs[:-1]]
 
 
-def window_hashes(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start word) of every ``size`` consecutive words of one document."""
-    n = len(word) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def run_hashes(word: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive words, from the words' hashes."""
+    n = max(0, len(word) - size + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        h = word[:n].copy()
-        for j in range(1, size):
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h += word[j : j + n]
-    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return mix64(h[at]), at
+        for j in range(size):
+            h = mix64(h ^ word[j : j + n]) + _STEP
+    return h
 
 
 def sequence_hashes(word: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of runs of words of any lengths, from the words' hashes."""
-    with np.errstate(over="ignore"):
-        n = len(word)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(word * powers(n)[:n], out=total[1:])
-        h = (total[start + size] - total[start]) * powers(n + 1, _INVERSE)[start]
-        return mix64(h ^ (size.astype(np.uint64) << np.uint64(48)))
+    return span_hashes(np.ascontiguousarray(word).view(np.uint8), start * 8, (start + size) * 8)

@@ -9,9 +9,13 @@ its longest repeat, and the LCP intervals of depth >= ``min_words`` are the
 maximal repeated substrings. Their spans are united, and two limits apply: the
 fraction of words covered, and the longest repeat.
 
-Null or empty text: zero counts, base rule fails (fewer than 10 words). Rows are
-judged one by one, so ties and repeated rows keep their own result; other
-columns of the input are ignored.
+Words and lines are told apart by their bytes (numbers from a dictionary of the batch),
+not by hashes.
+
+Null or empty text: zero counts, base rule fails (fewer than 10 words). A null doc_id is
+kept. Rows are judged one by one, so repeated rows keep their own result, and there are no
+ties to break. A text longer than ``slice_bytes`` is a batch of its own: memory and time
+grow with n log n of its words. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, slices, span_hashes
+from .common import Words, numbered, slices
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -30,15 +34,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def suffix_ranks(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array of all documents' word sequences, ordered by document
-    first, and the ranks by the first 1, 2, 4, ... words.
+    """The suffix array of all documents' word sequences (numbers below 2 ** 32), ordered
+    by document first, and the ranks by the first 1, 2, 4, ... words.
 
     Ranks are positions of the group's first suffix. Two suffixes share a rank at
     level k only if both have 2 ** k equal words left.
     """
     n = len(word)
-    _, ids = np.unique(word, return_inverse=True)
-    key = (doc.astype(np.int64) << 32) | ids
+    key = (doc.astype(np.int64) << 32) | word
     sa = np.argsort(key, kind="stable")
     fresh = np.ones(n, bool)
     fresh[1:] = key[sa[1:]] != key[sa[:-1]]
@@ -150,16 +153,16 @@ def duplicate_lines(w: Words) -> np.ndarray:
     full = ink[end] > ink[start]
     start, end = start[full], end[full]
     doc = np.searchsorted(w.offs, start, side="right") - 1
-    h = span_hashes(w.data, start, end)
-    order = np.lexsort((h, doc))
-    again = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    line = numbered(w.data, start, end)
+    order = np.lexsort((line, doc))
+    again = (line[order][1:] == line[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     return np.bincount(doc[order][1:][again], minlength=n_docs)
 
 
 def judge(texts: pa.Array, min_words: int, max_fraction: float, max_longest: int) -> dict[str, np.ndarray]:
     w = Words(texts)
     n_docs = len(w.offs) - 1
-    longest = longest_repeats(w.hashes(), w.doc)
+    longest = longest_repeats(w.numbers(), w.doc)
     n_words = np.diff(w.first)
     symbol = np.zeros(256, bool)
     symbol[[ord(c) for c in SYMBOLS]] = True

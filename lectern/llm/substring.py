@@ -7,22 +7,31 @@ text that can match a shard are sent to it:
 
 1. Of the ``GRAM``-word grams in a window, the one of least hash is its anchor; equal
    windows have equal anchors. Consecutive windows of one anchor make a segment.
-2. Anchors that occur in two different texts are found by one aggregation.
+2. Anchors that occur in two different texts are found by one aggregation, and the texts
+   that have them by one join; of equal texts only that of the smallest doc_id goes on.
 3. Segments at such anchors are the reference text. Equal segments are counted once,
    with their smallest doc_id, before anything is grouped.
-4. A shard holds the segments of one anchor. In ascending order of doc_id each is
-   streamed through the suffix automaton of those before it; where the matching
-   statistic reaches ``window``, a window has been seen. Then it is added. An anchor
-   with more than ``shard_segments`` segments is cut into shards by window hash.
+4. A shard holds the different segments of one anchor, if there are two at least. In
+   ascending order of doc_id each is streamed through the suffix automaton of those before
+   it; where the matching statistic reaches ``window``, a window has been seen. Then it is
+   added. Of an anchor with more than ``shard_segments`` segments (a window that is common
+   among changing neighbours) no task sees all: its windows are aggregated to their
+   smallest doc_id and joined with it.
 5. Every occurrence of a segment gets its windows marked: all of them where a smaller
    doc_id has the same segment, else those that its shard found.
 
 Copies of a whole text need no shard: all but the one of smallest doc_id lose all words
-(if there are ``window`` or more).
+(if there are ``window`` or more). Texts move in one shuffle; what most documents need,
+their word count and digest, is computed where they are read.
 
-Null or empty text: no words, nothing removed. A null doc_id is the smallest. Rows of one doc_id are one document for
-the comparison, and each has its own result. Columns other than doc_id and text are
-ignored.
+Hashes of grams only choose anchors; texts, segments and windows are compared by their
+words or 128-bit digests of them.
+
+Null or empty text: no words, nothing removed. A null doc_id is the smallest. Rows of one
+doc_id are one document for the comparison (so equal ones do not remove each other), and
+each has its own result. Ties cannot occur: only smaller doc_ids count. Very long texts
+are a slice of their own; a task needs about 100 bytes for each of its words. An empty
+table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, materialize, mix64, parts_for, sequence_hashes, slices
+from .common import WHITE, Words, materialize, parts_for, run_hashes, slices
 
 GRAM = 5
 #: Stands for a null doc_id, which counts as the smallest.
@@ -50,18 +59,12 @@ class Segments:
     def __init__(self, texts: pa.Array, window: int):
         w = self.words = Words(texts)
         self.word = w.hashes()
-        n = len(self.word)
-        starts = np.arange(max(0, n - window + 1))
+        starts = np.arange(max(0, len(self.word) - window + 1))
         starts = starts[w.doc[starts] == w.doc[starts + window - 1]]
         if not len(starts):
             self.anchor, self.first, self.count, self.doc = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
             return
-        with np.errstate(over="ignore"):
-            gram = self.word[: n - GRAM + 1].copy()
-            for j in range(1, GRAM):
-                gram *= np.uint64(0xD6E8FEB86659FD93)
-                gram += self.word[j : j + len(gram)]
-        gram = mix64(gram)
+        gram = run_hashes(self.word, GRAM)
         best, at = gram[starts], starts.copy()
         for j in range(1, window - GRAM + 1):
             other = gram[starts + j]
@@ -173,21 +176,40 @@ def split_words(data: bytes) -> list[bytes]:
     return [x for x in data.translate(_SPLIT).split(b" ") if x]
 
 
-def removed_windows(docs: DataFrame, window: int, shard_segments: int, parts: int) -> DataFrame:
-    """rid, marks (array of (first window, bits)) for distinct texts with repeats.
+#: Texts that a task remembers to have sent the anchors of.
+REMEMBERED = 100_000
+
+
+def unsent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of (content, text) without texts that the task has had a moment ago, so that
+    a text of many copies counts once in a task."""
+    sent: set[int] = set()
+    for b in each_slice(batches, 1):
+        fresh = []
+        for content in b.column(0).to_pylist():
+            fresh.append(content not in sent)
+            sent.add(content)
+        if len(sent) > REMEMBERED:
+            sent.clear()
+        yield b if all(fresh) else b.filter(pa.array(fresh))
+
 
-    docs: rid (hash of doc_id and text), doc_id, text, without later copies."""
+def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_segments: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, text of the texts that may lose words; doc_id, digest, marks (array
+    of (first window, bits)) of those that do).
+
+    rows: doc_id, digest, content, text. texts_of: digest, content, least (smallest doc_id)
+    of every different text."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_slice(batches, 1):
+        for b in unsent(batches):
             s = Segments(b.column(1), window)
-            content = np.asarray(b.column(0))[s.doc]
-            yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(content)], ["anchor", "content"])
+            yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(np.asarray(b.column(0))[s.doc])], ["anchor", "content"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_slice(batches, 1):
+        for b in unsent(batches):
             s = Segments(b.column(1), window)
-            yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(np.asarray(b.column(0))[s.doc]), pa.array(s.first - s.words.first[s.doc], pa.int32())], ["anchor", "rid", "first"])
+            yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(np.asarray(b.column(0))[s.doc]), pa.array(s.first - s.words.first[s.doc], pa.int32())], ["anchor", "content", "first"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_slice(batches, 2):
@@ -199,112 +221,114 @@ def removed_windows(docs: DataFrame, window: int, shard_segments: int, parts: in
             first, count, doc = s.first[keep], s.count[keep], s.doc[keep]
             size = count + window - 1
             data = w.data.tobytes()
-            texts = [data[x:y] for x, y in zip(w.start[first].tolist(), w.end[first + size - 1].tolist(), strict=True)]
+            texts = [b" ".join(split_words(data[x:y])) for x, y in zip(w.start[first].tolist(), w.end[first + size - 1].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [signed(s.anchor[keep]), signed(sequence_hashes(s.word, first, size)), pa.array(np.asarray(b.column(0))[doc]), pa.array(np.asarray(b.column(1))[doc]), pa.array(first - w.first[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.binary())],
-                ["anchor", "segment", "rid", "doc_id", "first", "count", "words"],
+                [signed(s.anchor[keep]), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(first - w.first[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.binary())],
+                ["anchor", "doc_id", "digest", "first", "count", "words"],
             )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (anchor, segment, doc_id, words, n): the windows of crowded anchors go to
-        shards by their hash, other segments to their anchor's shard."""
-        for b in batches:
-            rows = []
-            for anchor, segment, doc_id, data, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if n is None:
-                    rows.append((anchor, anchor, segment, doc_id, 0, data))
-                    continue
-                words = split_words(data)
-                for k in range(len(words) - window + 1):
-                    part = b" ".join(words[k : k + window])
-                    salt = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big") % (16 * n // shard_segments + 1)
-                    rows.append((anchor ^ (salt * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF), anchor, segment, doc_id, k, part))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["shard", "anchor", "segment", "doc_id", "shift", "words"])
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, segment, doc_id, shift, digest of the window) of crowded anchors."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                parts = [split_words(x) for x in b.column(3).to_pylist()]
+                n = np.array([len(p) - window + 1 for p in parts])
+                of = np.repeat(np.arange(len(parts)), n)
+                digests = [hashlib.blake2b(b" ".join(p[k : k + window]), digest_size=16).digest() for p in parts for k in range(len(p) - window + 1)]
+                shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of)) for c in range(3)), pa.array(shift, pa.int32()), pa.array(digests, pa.binary())], ["anchor", "segment", "doc_id", "shift", "win"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard, then doc_id."""
+        """Rows (anchor, segment, doc_id, words) by anchor, then doc_id. Held: the segments
+        of one anchor, ``shard_segments`` at most."""
         held: list[tuple] = []
-        out: list[tuple] = []
 
-        def close() -> None:
-            if len(held) > 1 and held[0][3] != held[-1][3]:
-                for row, bits in zip(held, seen_windows([(r[3], split_words(r[5])) for r in held], window), strict=True):
-                    if bits:
-                        out.append((row[1], row[2], bits << row[4]))
+        def found() -> list[tuple]:
+            bits = seen_windows([(r[2], split_words(r[3])) for r in held], window) if len(held) > 1 else [0]
+            out = [(row[0], row[1], x) for row, x in zip(held, bits, strict=True) if x]
             held.clear()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["anchor", "segment", "bits"])
-            out.clear()
-            return batch
-
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[0][0] != row[0]:
-                    close()
-                held.append(row)
-            yield flush()
-        close()
-        yield flush()
-
-    content = docs.select(F.xxhash64("text").alias("content"), "text")
-    found = content.mapInArrow(anchors, "anchor long, content long")
-    shared = materialize(found.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor"), "anchors", parts)
-    here = docs.select("rid", "text").mapInArrow(places, "anchor long, rid long, first int").join(shared, "anchor")
-    wanted = materialize(here.groupBy("rid").agg(F.collect_set("first").alias("firsts")), "places", parts)
-    schema = "anchor long, segment long, rid long, doc_id long, first int, count int, words binary"
-    occurs = materialize(docs.select("rid", "doc_id", "text").join(wanted, "rid").mapInArrow(segments, schema), "segments", parts)
-    distinct = occurs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words"))
-    distinct = materialize(distinct, "reference", parts)
-    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_segments)
-    parts = distinct.join(crowded, "anchor", "left").select("anchor", "segment", "doc_id", "words", "n").mapInArrow(cut, "shard long, anchor long, segment long, doc_id long, shift int, words binary")
-    hits = parts.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(match, "anchor long, segment long, bits long")
-    hits = hits.groupBy("anchor", "segment").agg(F.bit_or("bits").alias("bits"))
+            return out
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["anchor", "segment", "bits"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                out = []
+                for row in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns), strict=True):
+                    if held and held[0][0] != row[0]:
+                        out += found()
+                    held.append(row)
+                yield batch(out)
+        if held:
+            yield batch(found())
+
+    content = rows.select("content", "text")
+    shared = content.mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor")
+    here = content.mapInArrow(places, "anchor long, content long, first int").join(shared, "anchor").groupBy("content").agg(F.collect_set("first").alias("firsts"))
+    wanted = here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "firsts")
+    texts = materialize(rows.select("doc_id", "digest", "text").join(wanted, ["doc_id", "digest"]), "texts", parts)
+    occurs = texts.select("doc_id", "digest", "text", "firsts").mapInArrow(segments, "anchor long, doc_id long, digest binary, first int, count int, words binary")
+    occurs = materialize(occurs.withColumn("segment", F.unhex(F.md5("words"))), "segments", parts)
+    distinct = materialize(occurs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words")), "reference", parts)
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = distinct.join(sizes, "anchor").select("anchor", "segment", "doc_id", "words", "n")
+    few = sized.where(F.col("n") <= shard_segments).drop("n")
+    hits = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(match, "anchor long, segment binary, bits long")
+    crowded = sized.where(F.col("n") > shard_segments).drop("n").mapInArrow(windows, "anchor long, segment binary, doc_id long, shift int, win binary")
+    least = crowded.groupBy("win").agg(F.min("doc_id").alias("least"))
+    later = crowded.join(least, "win").where("doc_id > least").select("anchor", "segment", F.expr("shiftleft(1L, shift)").alias("bits"))
+    hits = hits.unionByName(later).groupBy("anchor", "segment").agg(F.bit_or("bits").alias("bits"))
     lead = distinct.select("anchor", "segment", F.col("doc_id").alias("lead")).join(hits, ["anchor", "segment"], "left")
     full = F.expr("shiftleft(1L, count) - 1L")
     marks = occurs.drop("words").join(lead, ["anchor", "segment"]).withColumn("bits", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")))
-    marks = marks.where("bits is not null and bits <> 0")
-    return marks.groupBy("rid").agg(F.collect_list(F.struct("first", "bits")).alias("marks"))
+    marks = marks.where("bits is not null and bits <> 0").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
+    return texts.select("doc_id", "digest", "text"), marks
 
 
 def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, ``kept_text``."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
-    least = keyed.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("content", "least")
-    parts = parts_for(docs.count())
-    copies = materialize(keyed.join(least, "content").where("doc_id > least").select("rid").distinct(), "copies", parts)
-    marks = removed_windows(rows.join(copies, "rid", "left_anti"), window, shard_segments, parts)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.xxhash64("text").alias("content"), "text")
+    texts_of = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"))
+    texts, marks = removed_windows(rows, texts_of.select("digest", "content", "least"), window, shard_segments, parts_for(docs.count()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_slice(batches, 1):
-            w = Words(b.column(1))
+        for b in each_slice(batches, 2):
+            w = Words(b.column(2))
             data = w.data.tobytes()
-            ids, marks, copy = b.column(0), b.column(2).to_pylist(), b.column(3).to_pylist()
-            n, gone, digest, texts = [], [], [], []
-            for k in range(len(b)):
+            gone, digest, texts = [], [], []
+            for k, marks in enumerate(b.column(3).to_pylist()):
                 i, j = int(w.first[k]), int(w.first[k + 1])
                 lost = np.zeros(j - i + 1, np.int64)
-                if copy[k] and j - i >= window:
-                    lost[:] = 1
-                elif marks[k]:
-                    for m in marks[k]:
-                        for shift in range(m["bits"].bit_length()):
-                            if m["bits"] >> shift & 1:
-                                lost[m["first"] + shift] += 1
-                                lost[m["first"] + shift + window] -= 1
-                    lost = np.cumsum(lost)
-                stay = np.flatnonzero(lost[: j - i] == 0) + i
+                for m in marks:
+                    for shift in range(m["bits"].bit_length()):
+                        if m["bits"] >> shift & 1:
+                            lost[m["first"] + shift] += 1
+                            lost[m["first"] + shift + window] -= 1
+                stay = np.flatnonzero(np.cumsum(lost)[: j - i] == 0) + i
                 text = b" ".join([data[x:y] for x, y in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)])
-                n.append(j - i)
                 gone.append(j - i - len(stay))
-                digest.append(hashlib.sha256(text).hexdigest())
+                digest.append(hashlib.sha256(text).digest())
                 texts.append(text.decode())
-            columns = [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
-
-    flagged = marks.unionByName(copies.select("rid", F.lit(None).cast("array<struct<first:int,bits:bigint>>").alias("marks"))).withColumn("copy", F.col("marks").isNull())
-    joined = rows.join(flagged, "rid", "left").select("doc_id", "text", "marks", F.coalesce("copy", F.lit(False)).alias("copy"))
-    kept = joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+            columns = [b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, ["doc_id", "digest", "gone", "sha"] + ["kept"] * with_text)
+
+    changed = texts.dropDuplicates(["doc_id", "digest"]).join(marks, ["doc_id", "digest"]).select("doc_id", "digest", "text", "marks")
+    changed = changed.mapInArrow(keep, "doc_id long, digest binary, gone long, sha binary" + ", kept string" * with_text)
+    plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    own = rows.select("doc_id", "digest", plain.alias("plain")).select(
+        "doc_id", "digest",
+        F.when(F.col("plain") == "", F.lit(0)).otherwise(F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
+        F.unhex(F.sha2("plain", 256)).alias("plain_sha"), *["plain"] * with_text)
+    copied = texts_of.where("least < most").select("digest", "least")
+    copy = (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= window)
+    out = own.join(copied, "digest", "left").join(changed, ["doc_id", "digest"], "left")
+    nothing = F.unhex(F.sha2(F.lit(""), 256))
+    return out.select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
+        F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("sha", "plain_sha")))).alias("kept_sha256"),
+        *[F.when(copy, F.lit("")).otherwise(F.coalesce("kept", "plain")).alias("kept_text")] * with_text)

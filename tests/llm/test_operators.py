@@ -153,8 +153,17 @@ def test_repetition_matches_brute_force():
         assert tuple(got[c][k] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "base_failed", "kept")) == want
 
 
+def test_lines_and_words_that_differ_are_not_taken_for_equal():
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = repetition.judge(pa.array([f"{a}\n{b}", f"{a} {b} " * 5, f"{a}\n{b}\n{a}"]), 8, 0.18, 30)
+    assert got["n_dup_lines"].tolist() == [0, 0, 1] and got["n_repeat_words"].tolist() == [0, 10, 0]
+
+
 def test_maximal_repeats():
-    word = np.array([1, 2, 3, 9, 1, 2, 3, 8, 2, 3, 7], np.uint64)
+    word = np.array([1, 2, 3, 9, 1, 2, 3, 8, 2, 3, 7], np.int64)
     got = repetition.maximal_repeats(word, np.zeros(11, int), 2)
     assert sorted(got) == [(2, [1, 5, 8]), (3, [0, 4])]
 
