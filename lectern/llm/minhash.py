@@ -18,8 +18,11 @@ comparison for each member, and no link inside a bucket is lost.
 
 Equal texts are one node from the start. Texts of fewer words than a shingle have one
 shingle of all their words; texts without a word are near only to equal ones; null is a
-text of its own, and a null doc_id is the smallest. Rows with equal doc_id are told apart by their text. Columns other than
-doc_id and text are ignored.
+text of its own, and a null doc_id is the smallest. Rows with equal doc_id are told apart
+by their text; of equal rows all are keepers, and ``distinct_documents`` returns one of
+them. Ties of the smallest doc_id of a class go to the text of least digest. Very long
+texts are slices of their own, and what a task holds grows with their words only. An empty
+table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .common import Words, materialize, mix64, parts_for, sequence_hashes, slice
 SHINGLE = 5
 BINS = 1 << 16
 SLICE = 1 << 19
+#: Shingles that a place of a prefix has with it to tell whether its pair has met before.
+RECENT = 64
 #: Bins of the shingle counts that order prefixes.
 ORDER_BINS = 1 << 20
 #: Stands for a null doc_id, which counts as the smallest.
@@ -266,19 +271,22 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, idf, threshold: float, part
                 before = run[:-1] - run[first[:-1]][doc]
                 at = np.flatnonzero(before <= (1 - threshold) * whole[doc] + 1e-6)
                 rows = pa.array(doc[at] + i)
-                columns = [b.column(c).take(rows) for c in range(3)]
-                nth = at - first[doc[at]]  # a set's prefix is its first places
-                ends = np.cumsum(nth)
-                flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - nth, nth) + np.repeat(first[doc[at]], nth)
-                earlier = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(h[flat].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(h[at].view(np.int64)), pa.array(whole[doc[at]]), pa.array(before[at]), earlier], ["node", "label", "outer", "shingle", "whole", "before", "earlier"])
-
-    kept = here.select("node", "label", "outer", "text").mapInArrow(prefixes, "node binary, label binary, outer boolean, shingle long, whole double, before double, earlier array<bigint>")
+                nth = np.minimum(at - first[doc[at]], RECENT)  # a set's prefix is its first places
+                for k in range(0, max(1, len(at)), 8192):
+                    n, to, size = nth[k : k + 8192], at[k : k + 8192], rows.slice(k, 8192)
+                    ends = np.cumsum(n)
+                    flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(to - n, n)
+                    recent = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(h[flat].view(np.int64)))
+                    columns = [b.column(c).take(size) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(h[to].view(np.int64)), pa.array(whole[doc[to]]), pa.array(before[to]), recent], ["node", "label", "outer", "shingle", "whole", "before", "recent"])
+
+    kept = here.select("node", "label", "outer", "text").mapInArrow(prefixes, "node binary, label binary, outer boolean, shingle long, whole double, before double, recent array<bigint>")
     x, y = kept.where("outer").alias("x"), kept.alias("y")
     need = threshold / (1 + threshold) * (F.col("x.whole") + F.col("y.whole")) - 1e-6
     early = F.least(F.col("x.whole") - F.col("x.before"), F.col("y.whole") - F.col("y.before")) >= need
-    # A pair meets once: at its first common shingle, and from its outer side.
-    once = ~F.arrays_overlap("x.earlier", "y.earlier") & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
+    # A pair meets at its first common shingle, and from its outer side; at a later one only
+    # if none of the RECENT before it is common.
+    once = ~F.arrays_overlap("x.recent", "y.recent") & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & early & once)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
