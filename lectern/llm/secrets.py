@@ -8,9 +8,11 @@ bigram tables learned from labelled samples by counting transitions in Spark SQL
 Everything is a column expression: positions come from the lengths of what
 ``split`` leaves between the matches of the same pattern.
 
-Null text is an empty text. Offsets are code points, ends exclusive. Rows are
-independent; columns other than doc_id and text are ignored by ``scan`` and kept by
-``redact``.
+Null text is an empty text, and ``redact`` keeps it null. Offsets are code points, ends
+exclusive. Rows are independent: repeated ones have equal results, a null doc_id is kept,
+and an empty table gives no rows. Spans of equal start come in the order of kinds; a
+Markov span that overlaps a base span is dropped. The cost of a very long text grows with
+its length. ``scan`` keeps all columns in a struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -33,10 +35,36 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = 67
 #: Weight of the single character against the counts of a transition.
 BACKOFF = 20
+MARKOV = 3
+#: More than any start.
+NO_START = 1 << 30
+#: Values that a fold appends one by one before it goes on with a new list.
+FOLD = 256
 KINDS = "array('assign', 'access', 'hex', 'markov')"
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """Inclusive prefix combinations of an array of ints, begun at 0. The fold appends to
+    lists of ``FOLD`` values, so its cost grows with the array, not with its square."""
+    ints = lambda: F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / FOLD).cast("int")), lambda k: F.slice(values, k * FOLD + 1, FOLD))
+
+    def append(st: Column, x: Column) -> Column:
+        return bound(combine(st["last"], x), lambda v: F.struct(v.alias("last"), F.concat(st["out"], F.array(v)).alias("out")))
+
+    def block(st: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(st["last"].alias("last"), ints().alias("out")), append)
+        return bound(inner, lambda i: F.struct(i["last"].alias("last"), F.concat(st["out"], F.array(i["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("out")), block)["out"])
+
+
 def matches(text: Column, pattern: str, kind: int, group: int, least: int, keep=None) -> Column:
     """Spans of all leftmost non-overlapping matches whose ``group`` has ``least``
     characters (and that ``keep`` accepts)."""
@@ -48,16 +76,30 @@ def matches(text: Column, pattern: str, kind: int, group: int, least: int, keep=
         F.transform(whole, F.char_length).alias("len"),
         F.transform(judged, lambda x: (F.char_length(x) >= least) & (keep(x) if keep else F.lit(True))).alias("ok"),
     )
-    empty = F.lit(None).cast(f"array<{SPAN}>")
-    folded = F.aggregate(
-        F.filter(rows, lambda r: r["len"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(f"array<{SPAN}>")).alias("out")),
-        lambda st, r: F.struct(
-            (st["at"] + r["gap"] + r["len"]).alias("at"),
-            F.when(r["ok"], F.concat(st["out"], F.array(F.struct((st["at"] + r["gap"]).alias("start"), F.lit(kind).alias("kind"), (st["at"] + r["gap"] + r["len"]).alias("end"))))).otherwise(st["out"]).alias("out"),
-        ),
-    )
-    return folded["out"]
+
+    def spans(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: r["gap"] + r["len"]), lambda s, x: s + x)
+        placed = F.zip_with(rows, ends, lambda r, e: F.when(r["ok"], F.struct((e - r["len"]).alias("start"), F.lit(kind).alias("kind"), e.alias("end"))))
+        return F.filter(placed, lambda x: x.isNotNull()).cast(f"array<{SPAN}>")
+
+    return bound(F.filter(rows, lambda r: r["len"].isNotNull()), spans)
+
+
+def apart(spans: Column) -> Column:
+    """The spans without those of the last kind that overlap another kind's. In the order
+    of starts, one overlaps a span before it that ends later than it starts (the running
+    greatest end tells), or one after it that starts before it ends (the least start)."""
+    other = lambda x, end, value: F.when(x["kind"] < MARKOV, value).otherwise(end)
+
+    def kept(spans: Column) -> Column:
+        latest = running(F.transform(spans, lambda x: other(x, F.lit(0), x["end"])), F.greatest)
+        # From the back, with starts as negative numbers: 0 is none.
+        soonest = F.reverse(running(F.transform(F.reverse(spans), lambda x: other(x, F.lit(0), x["start"] - NO_START)), lambda s, x: F.least(s, x)))
+        rows = F.arrays_zip(spans.alias("x"), latest.alias("latest"), soonest.alias("soonest"))
+        free = F.filter(rows, lambda r: (r["x"]["kind"] < MARKOV) | ((r["latest"] <= r["x"]["start"]) & (r["soonest"] + NO_START >= r["x"]["end"])))
+        return F.transform(free, lambda r: r["x"])
+
+    return bound(F.array_sort(spans), kept)
 
 
 def no_spans() -> Column:
@@ -120,7 +162,7 @@ def model_column(model: list[float]) -> Column:
 def all_spans(text: Column, model: list[float], threshold: float) -> tuple[dict[str, Column], Column]:
     """Base spans by kind, and the Markov spans before those that overlap are removed."""
     table = model_column(model)
-    markov = F.when(text.rlike(TOKEN), matches(text, TOKEN, 3, 0, 20, lambda x: llr(x, table) > threshold)).otherwise(no_spans())
+    markov = F.when(text.rlike(TOKEN), matches(text, TOKEN, MARKOV, 0, 20, lambda x: llr(x, table) > threshold)).otherwise(no_spans())
     return base_spans(text), markov
 
 
@@ -132,10 +174,9 @@ def scan(docs: DataFrame, model: list[float], threshold: float = 0.5) -> DataFra
     kinds, markov = all_spans(text, model, threshold)
     found = packed.select("doc", *[v.alias(k) for k, v in kinds.items()], markov.alias("markov"))
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    added = F.filter("markov", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
     return (
         found.select("doc", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base"), "markov")
-        .withColumn("spans", F.array_sort(F.concat("base", added)))
+        .withColumn("spans", apart(F.concat("base", "markov")))
         .drop("markov")
     )
 
@@ -146,13 +187,15 @@ def listed(spans: str) -> Column:
 
 
 def redact(text: Column, spans: str, mask: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones united) replaced by the mask."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda st, x: F.struct(
-            F.greatest(st["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= st["at"], F.concat(st["out"], F.substring(text, st["at"] + 1, x["start"] - st["at"]), F.lit(mask))).otherwise(st["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))).otherwise(text)
+    """The text with every span (overlapping ones united) replaced by the mask. It is cut
+    as UTF-32, where a code point's place is known without counting."""
+
+    def cut(wide: Column) -> Column:
+        ends = running(F.transform(F.col(spans), lambda x: x["end"]), F.greatest)
+        part = lambda start, end: F.decode(F.substring(wide, start * 4 + 1, (end - start) * 4), "UTF-32")
+        before = F.concat(F.array(F.lit(0)), ends)
+        pieces = F.zip_with(F.col(spans), F.slice(before, 1, F.size(spans)), lambda x, at: F.when(x["start"] >= at, F.concat(part(at, x["start"]), F.lit(mask))).otherwise(F.lit("")))
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(pieces, ""), part(last, F.floor(F.octet_length(wide) / 4).cast("int")))
+
+    return F.when(F.size(spans) > 0, bound(F.encode(text, "UTF-32"), cut)).otherwise(text)

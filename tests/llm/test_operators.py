@@ -436,6 +436,70 @@ def test_near_copies(docs, rows, small):
     assert len(kept) == len(sizes)
 
 
+def plain_classes(rows, threshold=0.8):
+    """Classes by all pairs, from dictionaries of word tuples and exact frequencies."""
+    words = [WORD.findall(r[1] or "") for r in rows]
+    df = collections.Counter(x for w in words for x in set(w))
+    idf = {x: 1 + np.log((1 + len(rows)) / (1 + n)) / np.log(2 + len(rows)) for x, n in df.items()}
+    sets = []
+    for w in words:
+        size = min(5, len(w))
+        count = collections.Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if w else {}
+        sets.append({k: n * sum(idf[x] for x in k) / size for k, n in count.items()})
+    links = {i: {i} for i in range(len(rows))}
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = sum(min(v, sets[j][k]) for k, v in sets[i].items() if k in sets[j])
+            whole = sum(sets[i].values()) + sum(sets[j].values()) - shared
+            if rows[i][1] == rows[j][1] or (rows[i][1] is not None and rows[j][1] is not None and shared and shared >= threshold * whole):
+                links[i].add(j)
+                links[j].add(i)
+    least = {}
+    for i in links:
+        seen, todo = set(), [i]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += links[k]
+        least[i] = min(seen, key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    return collections.Counter((rows[i][0], rows[least[i]][0]) for i in links)
+
+
+def test_near_copies_match_an_independent_brute_force(docs, rows):
+    got = minhash.classes(docs).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == plain_classes(rows)
+
+
+def test_recall_of_pairs_from_the_threshold_on(spark):
+    rng = random.Random(33)
+    rows, pairs = [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(rng.randint(80, 400))]
+        edited = list(words)
+        for k in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 50))):
+            edited[k] = f"e{rng.randrange(20_000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    want = plain_classes(rows)
+    pairs = [i for i in range(150) if want[2 * i + 1, 2 * i]]
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(got[2 * i + 1] == 2 * i for i in pairs)
+    assert len(pairs) > 100 and caught >= 0.98 * len(pairs)
+
+
+def test_prefixes_of_long_texts_stay_in_proportion(spark):
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-40], *(f"x{i}" for i in range(40))])), (2, " ".join(words[:70_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = spark.sparkContext.broadcast(minhash.document_frequencies(docs))
+    from pyspark.sql import functions as F
+
+    texts = docs.select(minhash.node_of(F.col("text")).alias("node"), "text")
+    open_ = texts.select("node", F.col("node").alias("label"), F.lit(True).alias("outer"))
+    assert minhash.prefix_pairs(open_, texts, idf, 0.8, 2).count() >= 1
+
+
 # 8
 def test_extensions_by_binary_search():
     rng = random.Random(4)
@@ -603,6 +667,47 @@ def test_secret_spans(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3))
 
 
+def naive_all_spans(text, model, threshold):
+    """Base spans, and the tokens whose mean log-likelihood ratio is high and which overlap none."""
+    base = naive_spans(text)
+    for m in re.finditer(secrets.TOKEN, text):
+        codes = [ord(c) for c in m[0]]
+        ratio = sum(model[a * 128 + b] for a, b in zip(codes, codes[1:])) / (len(codes) - 1)
+        if len(m[0]) >= 20 and ratio > threshold and not any(m.start() < e and s < m.end() for s, _, e in base):
+            yield m.start(), 3, m.end()
+    yield from base
+
+
+def test_markov_spans_match_brute_force(spark):
+    rng = random.Random(12)
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = [*secret_texts()[:200], *("".join(rng.choices(code, k=rng.randint(15, 60))) for _ in range(200)), *(prose(rng, 6).replace(" ", "_") for _ in range(100))]
+    texts = [" ".join(rng.choices([p for p in parts if p], k=rng.randint(0, 12))) for _ in range(150)] + [" ".join(rng.choices(parts[200:400], k=900)) + " é " + "0f" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(secrets.samples(docs))
+    model = [round(x, 6) for x in model]
+    for r in secrets.scan(docs, model).collect():
+        assert [tuple(s) for s in r.spans] == sorted(naive_all_spans(texts[r.doc.doc_id], model, 0.5))
+
+
+def test_time_of_the_scan_grows_with_the_text(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = []
+    for n in (2_000, 16_000):
+        rng = random.Random(n)
+        text = " ".join(f"{rng.getrandbits(128):032x}" for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        found = secrets.scan(docs, [0.0] * 128 * 128)
+        r = found.select(F.size("spans").alias("n"), secrets.redact(F.col("doc.text"), "spans").alias("t")).first()
+        took.append(time.perf_counter() - start)
+        assert r.n == n and r.t == " ".join(["[SECRET]"] * n)
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_model_tells_random_from_ordinary(spark):
     text = "the quick_brown-foxes jumped over international-cooperation documents " * 20
     docs = spark.createDataFrame([(i, text) for i in range(5)] + [(9, "see Zk3vQ9xT7bLmW2pRc8YdN4hJf6Gs ok international-cooperation-documents")], "doc_id long, text string")
