@@ -21,8 +21,9 @@ text that can match a shard are sent to it:
    doc_id has the same segment, else those that its shard found.
 
 Copies of a whole text need no shard: all but the one of smallest doc_id lose all words
-(if there are ``window`` or more). Texts move in one shuffle; what most documents need,
-their word count and digest, is computed where they are read.
+(if there are ``window`` or more). Texts are shuffled compressed, once to pick segments, and
+those with marks once more; what other documents need, their word count and digest, is
+computed where they are read.
 
 Hashes of grams only choose anchors; texts, segments and windows are compared by their
 words or 128-bit digests of them.
@@ -165,6 +166,21 @@ def each_slice(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Re
             yield b.slice(i, j - i)
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, text) with the text compressed: its length, then its bytes."""
+    for b in each_slice(batches, 2):
+        raw = [t.as_buffer() for t in b.column(2)]
+        small = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(small, pa.binary())], ["doc_id", "digest", "packed"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with the third column's texts as they were."""
+    for b in each_slice(batches, 2):
+        texts = [pa.decompress(memoryview(t)[8:], decompressed_size=int.from_bytes(t[:8], "little"), codec="zstd", asbytes=True) for t in b.column(2).to_pylist()]
+        yield from each_slice([pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.binary()).cast(pa.string()), *b.columns[3:]], b.schema.names)], 2)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -195,7 +211,7 @@ def unsent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_segments: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, text of the texts that may lose words; doc_id, digest, marks (array
+    """(doc_id, digest, packed text of the texts that may lose words; doc_id, digest, marks (array
     of (first window, bits)) of those that do).
 
     rows: doc_id, digest, content, text. texts_of: digest, content, least (smallest doc_id)
@@ -212,7 +228,7 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
             yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(np.asarray(b.column(0))[s.doc]), pa.array(s.first - s.words.first[s.doc], pa.int32())], ["anchor", "content", "first"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_slice(batches, 2):
+        for b in unpacked(batches):
             s = Segments(b.column(2), window)
             w = s.words
             at, n = b.column(3), np.diff(np.append(0, np.cumsum(np.asarray(pc.list_value_length(b.column(3))))))
@@ -268,8 +284,9 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
     shared = content.mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor")
     here = content.mapInArrow(places, "anchor long, content long, first int").join(shared, "anchor").groupBy("content").agg(F.collect_set("first").alias("firsts"))
     wanted = here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "firsts")
-    texts = materialize(rows.select("doc_id", "digest", "text").join(wanted, ["doc_id", "digest"]), "texts", parts)
-    occurs = texts.select("doc_id", "digest", "text", "firsts").mapInArrow(segments, "anchor long, doc_id long, digest binary, first int, count int, words binary")
+    small = rows.select("doc_id", "digest", "text").mapInArrow(packed, "doc_id long, digest binary, packed binary")
+    texts = materialize(small.join(wanted, ["doc_id", "digest"]), "texts", parts)
+    occurs = texts.select("doc_id", "digest", "packed", "firsts").mapInArrow(segments, "anchor long, doc_id long, digest binary, first int, count int, words binary")
     occurs = materialize(occurs.withColumn("segment", F.unhex(F.md5("words"))), "segments", parts)
     distinct = materialize(occurs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words")), "reference", parts)
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -284,7 +301,7 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
     full = F.expr("shiftleft(1L, count) - 1L")
     marks = occurs.drop("words").join(lead, ["anchor", "segment"]).withColumn("bits", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")))
     marks = marks.where("bits is not null and bits <> 0").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
-    return texts.select("doc_id", "digest", "text"), marks
+    return texts.select("doc_id", "digest", "packed"), marks
 
 
 def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_text: bool = True) -> DataFrame:
@@ -296,7 +313,7 @@ def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_te
     texts, marks = removed_windows(rows, texts_of.select("digest", "content", "least"), window, shard_segments, parts_for(docs.count()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_slice(batches, 2):
+        for b in unpacked(batches):
             w = Words(b.column(2))
             data = w.data.tobytes()
             gone, digest, texts = [], [], []
@@ -316,7 +333,7 @@ def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_te
             columns = [b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(digest, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, ["doc_id", "digest", "gone", "sha"] + ["kept"] * with_text)
 
-    changed = texts.dropDuplicates(["doc_id", "digest"]).join(marks, ["doc_id", "digest"]).select("doc_id", "digest", "text", "marks")
+    changed = texts.dropDuplicates(["doc_id", "digest"]).join(marks, ["doc_id", "digest"]).select("doc_id", "digest", "packed", "marks")
     changed = changed.mapInArrow(keep, "doc_id long, digest binary, gone long, sha binary" + ", kept string" * with_text)
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     own = rows.select("doc_id", "digest", plain.alias("plain")).select(
