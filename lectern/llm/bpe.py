@@ -18,8 +18,11 @@ kept while the worker lives (up to ``max_states``; then the table starts anew).
 Decoding maps ids to bytes and runs an incremental UTF-8 state machine, so ids
 can arrive in any portions.
 
-Null text is an empty text (no token). Any Unicode text is valid input; rows are
-independent, and columns other than doc_id and text are ignored.
+Null text is an empty text (no token). Any Unicode text is valid input. Rows are
+independent: repeated ones have equal results, a null doc_id is kept, and there are no ties
+to break (of equal merges the leftmost is first). A very long text is encoded piece by
+piece, its ids are held at once. An empty table gives no rows; columns other than doc_id,
+text and those of ``carry`` are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from .common import slices
 
 NEVER = 1 << 62
 #: Bytes of text whose ids are held at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +58,7 @@ class Merges:
         self.token = {r: t for t, r in ranks.items()}
         self.right: dict[int, list[tuple[bytes, int]] | None] = {}
         self.left: dict[int, list[tuple[bytes, int]] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the merges below the token's own rank leave, or
@@ -95,7 +98,7 @@ class Merges:
         """Whether b may follow a. A merge across the border wins if it comes before
         the merge that takes its right part in, and strictly before the one that
         takes its left part in (of equal merges the leftmost is done first)."""
-        key = (a, b)
+        key = a << 32 | b
         if key not in self._fits:
             if len(self._fits) > 500_000:
                 self._fits.clear()
@@ -114,7 +117,7 @@ class Transducer:
     """Lazily determinised. A state is a tuple of guesses (pending tokens, last
     token or -1, trie node); the order of guesses is the order of their starts."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.merges = Merges(ranks)
         self.max_states = max_states
         self.next: dict[int, int] = {}  # trie: 256 * node + byte -> node

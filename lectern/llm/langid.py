@@ -11,14 +11,18 @@ maximal run of letters (ASCII letters and bytes above 0x7F of the lower-cased
 text) with a space before it, as the vocabulary has it; words of more than
 ``MAX_WORD`` bytes count as consecutive parts of that length.
 
-Null text or text without a letter: language ``und`` with score 0. With no
-labelled row every text is ``und``. Rows are independent; ties between languages
-go to the one that sorts first. Columns beyond doc_id, text and lang are ignored.
+Null text or text without a letter: language ``und`` with score 0. With no labelled row
+every text is ``und``. Rows are independent, so repeated ones have equal results; ties
+between languages go to the one that sorts first. A null doc_id is kept. A very long text
+is a slice of its own, whose distinct words are scored a few thousand at a time. An empty
+table gives no rows. Any number of languages works; a worker holds 0.3 MB for each. Columns
+beyond doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,7 +37,10 @@ from pyspark.sql import functions as F
 from .common import Words, slices, span_hashes
 
 UNKNOWN = "und"
+SLICE = 1 << 20
 MAX_WORD = 24
+#: Languages that go through the forward algorithm together.
+GROUP = 16
 #: Longer pieces fit in no part of a word with its space.
 MAX_PIECE = MAX_WORD + 1
 _NOT_LETTER = np.ones(256, bool)
@@ -191,25 +198,23 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def train(labelled: DataFrame, path: str, docs_per_lang: int = 2000, rounds: int = 3, smooth: float = 0.05, max_langs: int = 256) -> Model:
+def train(labelled: DataFrame, path: str, docs_per_lang: int = 2000, rounds: int = 3, smooth: float = 0.05) -> Model:
     """Fit on about ``docs_per_lang`` rows of each language of ``labelled`` (doc_id,
     text, lang): all rows whose hash falls below that share of the language's rows.
     The bound makes the fit's cost independent of the table's size; what reaches one
     task is the word counts of one language's sample."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     if not counts:
         return Model([], np.zeros((vocabulary(path).size + 1, 0)), path)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(docs_per_lang / n))])
+    share = F.from_json(F.lit(json.dumps({k: docs_per_lang / n for k, n in counts.items()})), "map<string,double>")
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang in pc.unique(b.column(0)).to_pylist():
                 texts = pc.utf8_lower(b.column(1).filter(pc.equal(b.column(0), lang)))
-                for i, j in slices(texts, 4 << 20):
+                for i, j in slices(texts, SLICE):
                     m, length, row, _ = word_matrix(Words(texts[i:j], _NOT_LETTER))
                     n = np.bincount(row, minlength=len(m))
                     words = [bytes(m[k, 1 : length[k]]) for k in range(len(m))]
@@ -238,9 +243,11 @@ def score_texts(texts: pa.Array, model: Model, v: Vocabulary) -> tuple[np.ndarra
     sums = np.zeros((n, k))
     if len(w.start) and k:
         m, length, row, doc = word_matrix(w)
-        logp = np.concatenate([forward(m[i : i + 8192], length[i : i + 8192], v, model.p) for i in range(0, len(m), 8192)])
-        for c in range(k):
-            sums[:, c] = np.bincount(doc, weights=logp[row, c], minlength=n)
+        for at in range(0, k, GROUP):
+            p = np.ascontiguousarray(model.p[:, at : at + GROUP])
+            logp = np.concatenate([forward(m[i : i + 8192], length[i : i + 8192], v, p) for i in range(0, len(m), 8192)])
+            for c in range(p.shape[1]):
+                sums[:, at + c] = np.bincount(doc, weights=logp[row, c], minlength=n)
     ascii_ = np.zeros(256, bool)
     ascii_[ord("a") : ord("z") + 1] = True
     known = w.per_doc(ascii_[w.data]) > 0 if len(w.data) else np.zeros(n, bool)
@@ -254,9 +261,9 @@ def score_texts(texts: pa.Array, model: Model, v: Vocabulary) -> tuple[np.ndarra
     return np.where(known, best, -1), np.where(known, score, 0.0)
 
 
-def identify(docs: DataFrame, model: Model, slice_bytes: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: Model, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text)."""
-    # Its size is fixed by vocabulary and max_langs: at most 256 * 50,000 numbers.
+    # Its size is that of the vocabulary (50,000 numbers at most) for each language.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +278,7 @@ def identify(docs: DataFrame, model: Model, slice_bytes: int = 4 << 20) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, slice_bytes: int = 4 << 20) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, slice_bytes: int = SLICE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -9,16 +9,21 @@ cycle is cut at that slot, and the others go on from there with their own weight
 row is dropped or repeated: with all of a source's blocks placed, its weight is no
 longer due.
 
-The cycles are planned from one row count for each source (``max_sources`` is
-checked); the driver folds one cycle for each source, to see where it is cut. The
-earliest-deadline fold of the rows' slots runs inside Spark SQL's ``aggregate``, one row
-for each kind of cycle, and rows find their slot by arithmetic and two joins, so the
-schedule is made in parallel whatever its length. A source's order is by hash slice
-and doc_id, which needs no task to see a whole source.
-
-A null source is a source of its own. Ties of doc_id follow the text's CRC. An empty
-table gives an empty result. Columns of the input are kept in the struct ``doc``, so
-no name can clash.
+The cycles are planned from one row count for each source; the driver folds one cycle for
+each source, to see where it is cut. The earliest-deadline fold of the rows' slots runs
+inside Spark SQL's ``aggregate``, one row for each kind of cycle, and rows find their slot
+by arithmetic and two joins, so the schedule is made in parallel whatever its length. A
+source's order is by hash slice and doc_id, which needs no task to see a whole source.
+
+Any number of sources works. There are as many kinds of cycles as sources, each of as many
+slots as the weights' sum (``max_cycle`` at most for given weights), and the fold of one
+takes slots times sources steps: plans are cheap up to some hundreds of sources. The tables
+of slots are broadcast up to ``BROADCAST`` rows and joined plainly beyond.
+
+A null source is a source of its own. A null doc_id is the smallest. Ties of doc_id follow
+the text's CRC; equal rows are placed one by one, in any order. Texts of any length move
+once at most. An empty table gives an empty result. Columns of the input are kept in the
+struct ``doc``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the planned tables (some 40 bytes each) that are broadcast.
+BROADCAST = 200_000
+
+
 def default_weights(rows: list[int], resolution: int = 1000) -> list[int]:
     """Whole-number weights in proportion to the square root of the row counts."""
     total = sum(math.sqrt(n) for n in rows)
@@ -102,27 +111,32 @@ aggregate(
 
 
 def cycle_slots(spark: SparkSession, cycles: list[dict]) -> DataFrame:
-    """cycle, s, i, at: the slot of block i of source s in each kind of cycle."""
+    """cycle, s, i, at: the slot of block i of source s in each kind of cycle. Only sources
+    with a weight in the cycle are folded; ``of`` has their numbers."""
+    kinds = []
+    for k, x in enumerate(cycles):
+        of = [s for s, c in enumerate(x["c"]) if c]
+        kinds.append({"cycle": k, "of": of, "c": [x["c"][s] for s in of]})
     return (
         spark.range(1)
-        .select(F.explode(F.from_json(F.lit(json.dumps([{"cycle": k, "c": x["c"]} for k, x in enumerate(cycles)])), "array<struct<cycle:int,c:array<bigint>>>")).alias("x"))
-        .select("x.cycle", "x.c", F.expr("aggregate(x.c, 0L, (m, v) -> m + v)").alias("total"))
-        .select("cycle", F.posexplode(F.expr(EDF)).alias("at", "e"))
-        .select("cycle", F.col("e.s").alias("s"), F.col("e.i").alias("i"), F.col("at").cast("long"))
+        .select(F.explode(F.from_json(F.lit(json.dumps(kinds)), "array<struct<cycle:int,of:array<int>,c:array<bigint>>>")).alias("x"))
+        .repartition(max(1, len(kinds) // 8), "x.cycle")
+        .select("x.cycle", "x.of", "x.c", F.expr("aggregate(x.c, 0L, (m, v) -> m + v)").alias("total"))
+        .select("cycle", "of", F.posexplode(F.expr(EDF)).alias("at", "e"))
+        .select("cycle", F.expr("of[e.s]").alias("s"), F.col("e.i").alias("i"), F.col("at").cast("long"))
     )
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, rows_per_slice: int = 4_000, max_sources: int = 256, columns: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, rows_per_slice: int = 4_000, max_cycle: int = 10_000, columns: list[str] | None = None) -> DataFrame:
     """doc (struct of the input's columns, or of ``columns``), block, slot, mix_order.
 
     ``block`` counts a source's blocks, ``slot`` the blocks of the whole schedule;
     ascending ``mix_order`` (unique) is the mixed order. ``weights`` are whole numbers
-    by source; sources without one get the mean of the others'.
+    by source, of at most ``max_cycle`` in sum after division by their greatest common
+    divisor; sources without one get the mean of the others'.
     """
     spark = docs.sparkSession
-    counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").limit(max_sources + 1).collect()
-    if len(counted) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    counted = sorted(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is not None, r["source"]))  # one row for each source
     names, rows = [r["source"] for r in counted], [r["n"] for r in counted]
     if weights is None:
         ws = default_weights(rows)
@@ -131,6 +145,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
         ws = [weights.get(s, mean) for s in names]
         if any(w < 1 or w != int(w) for w in ws):
             raise ValueError("weights are whole numbers from 1")
+        if ws and sum(ws) // reduce(math.gcd, ws) > max(max_cycle, len(ws)):
+            raise ValueError(f"weights of more than {max_cycle} in sum; give the same shares in smaller numbers")
     cycles = plan_cycles([-(-n // block_rows) for n in rows], ws) if rows else []
     slices = max(1, math.ceil(sum(rows) / rows_per_slice))
 
@@ -161,14 +177,13 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
         .withColumn("at", F.col("offset") + F.col("within") - 1)
         .select("doc", "s", F.expr(f"at div {block_rows}").alias("block"), F.expr(f"at % {block_rows}").alias("row"))
     )
-    # At most max_sources ** 2 rows: the size is bounded by the parameter.
-    where = F.broadcast(table(parts, "s:int,cycle:int,`from`:bigint,`to`:bigint,c:bigint,total:bigint,slot:bigint").withColumnRenamed("s", "of"))
+    small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST else df
+    where = small(table(parts, "s:int,cycle:int,`from`:bigint,`to`:bigint,c:bigint,total:bigint,slot:bigint").withColumnRenamed("s", "of"), len(parts))
     found = placed.join(where, F.expr("s = of and block >= `from` and block < `to`")).withColumn("nth", F.expr("block - `from`"))
-    # Bounded like the parts: max_sources cycles of at most the weights' sum.
     slots = cycle_slots(spark, cycles) if cycles else spark.createDataFrame([], "cycle int, s int, i long, at long")
     return (
         found.withColumn("i", F.expr("nth % c"))
-        .join(F.broadcast(slots), ["cycle", "s", "i"])
+        .join(small(slots, sum(sum(x["c"]) for x in cycles)), ["cycle", "s", "i"])
         .withColumn("in_slot", F.expr("slot + (nth div c) * total + at"))
         .select("doc", "block", F.col("in_slot").alias("slot"), (F.col("in_slot") * block_rows + F.col("row")).alias("mix_order"))
     )

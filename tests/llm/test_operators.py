@@ -285,6 +285,20 @@ def test_mix_keeps_to_the_weights_until_a_source_ends(spark, counts, weights):
     assert deviations(counts, weights or mixing.default_weights(counts), 2, [int(r.source[1:]) for r in got]) < 1
 
 
+def test_three_hundred_sources(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.pmod("id", F.lit(300)).cast("string")).alias("source"))
+    got = mixing.mix(docs, block_rows=2).select("doc.source", "slot", "mix_order").collect()
+    assert len(got) == 1500 == len({r.mix_order for r in got}) and {r.slot for r in got} == set(range(900))
+    assert len({r.source for r in got if r.slot < 300}) == 300
+
+
+def test_weights_of_too_long_a_cycle_are_refused(docs):
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s0": 99_991, "s1": 99_989, "s2": 1})
+
+
 def test_planned_cycles_are_the_folded_ones():
     for c in ([5, 3, 1], [1] * 7, [100, 1, 1], [13, 17, 19, 23], [0, 4, 0, 9], [1]):
         assert mixing.earliest_deadlines(c) == [s for s, _ in edf(c)]
@@ -344,6 +358,51 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_three_hundred_languages(spark):
+    """Word scores and choices do not depend on how languages are grouped."""
+    v = langid.vocabulary(P.path(queries.LANG_VOCABULARY))
+    rng = np.random.default_rng(5)
+    p = np.append(rng.random((v.size, 300)), np.zeros((1, 300)), 0)
+    model = langid.Model([f"l{k:03d}" for k in range(300)], p / p.sum(0), P.path(queries.LANG_VOCABULARY))
+    texts = pa.array(["the tokenization of words", "été à la mer", "12", "zzzz"])
+    best, score = langid.score_texts(texts, model, v)
+    for t in (0, 1, 3):
+        m, length, row, _ = langid.word_matrix(langid.Words(langid.pc.utf8_lower(texts[t : t + 1]), langid._NOT_LETTER))
+        sums = langid.forward(m, length, v, model.p)[row].sum(0)
+        assert best[t] == sums.argmax() and score[t] == pytest.approx(1 / np.exp(sums - sums.max()).sum())
+    assert best[2] == -1 and score[2] == 0
+
+
+def naive_language(text, model):
+    """(language, posterior) by summing over segmentations with plain Python."""
+    at = {x: k for k, x in enumerate(langid.vocabulary(model.path).pieces)}
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    sums = np.zeros(len(model.langs))
+    for run in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+        for k in range(0, len(run), 24):
+            word = b" " + run[k : k + 24]
+            alpha = [np.ones(len(model.langs))]
+            for j in range(1, len(word) + 1):
+                alpha.append(sum((alpha[i] * model.p[at[word[i:j]]] for i in range(j) if word[i:j] in at), np.zeros(len(model.langs))))
+            sums += np.log(np.maximum(alpha[-1], 1e-300))
+    return model.langs[sums.argmax()], 1 / np.exp(sums - sums.max()).sum()
+
+
+def test_predictions_match_brute_force(docs, rows):
+    model = queries.language_model(docs)
+    want = {(r[0], r[1]): naive_language(r[1], model) for r in rows if len(r[1] or "") < 20_000}
+    got = langid.identify(docs, model).collect()
+    texts = collections.defaultdict(set)
+    for r in rows:
+        texts[r[0]].add(r[1])
+    for r in got:
+        (t,) = texts[r.doc_id]
+        if (r.doc_id, t) in want:
+            lang, score = want[r.doc_id, t]
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9)
+
+
 def test_texts_without_letters_are_unknown(docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, queries.language_model(docs)).collect()}
     assert all(got[i] == ("und", 0.0) for i in (60, 61, 62, 65)) and got[66][0] != "und"
