@@ -27,19 +27,23 @@ below the radius have one cut. Texts whose whole hashes agree have likeness 1.
 
 Positions are UTF-8 bytes inside and code points at the interface of the query. A
 null text is an empty text; two empty texts are alike (1). A lone document is its own
-successor. Rows of one doc_id are ordered by their texts; columns other than doc_id and
-text are ignored.
+successor. A null doc_id is the smallest. Rows of one doc_id are ordered by the digests of
+their texts, so of equal rows each but the first is its successor's copy. A very long text
+takes some hundred bytes of memory for each of its own, and a fingerprint of usual size. An
+empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64
@@ -265,31 +269,41 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def fingerprints(docs: DataFrame, rows_per_range: int = 2_500, max_ranges: int = 4096) -> DataFrame:
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most ``value`` (null: 0), found in two steps
+    of about the root of their number of comparisons."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
+    group = F.greatest(below(constant([g[0] for g in groups], "array<bigint>")) - 1, F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(group * step + below(F.get(constant(groups, "array<array<bigint>>"), group)))
+
+
+def fingerprints(docs: DataFrame, rows_per_range: int = 2_500, max_ranges: int = 50_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next for every row.
 
-    Rows are dealt by ranges of doc_id and sorted, so that a row's successor (the next
-    smaller doc_id) is the row before it; a task streams its ranges. The first row of a
-    range has its successor in an earlier one: the last rows of the ranges go along as
-    guests of the range that follows (of the first range, for the last)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = min(max_ranges, -(-n // rows_per_range))
-    if ranges > 1:
-        bounds = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-        bounds = sorted(set(bounds))
-    else:
-        bounds = []
-    dealt = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    dealt = F.greatest(dealt, F.lit(0))
-    tops = sorted((r["range"], r["top"]) for r in rows.groupBy(dealt.alias("range")).agg(F.max("doc_id").alias("top")).collect())  # max_ranges rows
+    Rows are dealt by ranges of doc_id, a task for each, and sorted, so that a row's
+    successor (the next smaller doc_id) is the row before it. The first row of a range has
+    its successor in an earlier one: the last rows of the ranges go along as guests of the
+    range that follows (of the first range, for the last). Tables of more than
+    ``max_ranges * rows_per_range`` rows have longer ranges, which a task streams."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ranges = min(max_ranges, -(-rows.count() // rows_per_range))
+    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000))).first()[0] if ranges > 1 else None
+    dealt = range_of(F.col("doc_id"), sorted(set(found or [])))
+    # One row for each range.
+    tops = sorted((r["range"], r["top"]) for r in rows.groupBy(dealt.alias("range")).agg(F.max("doc_id").alias("top")).collect())
     tops = [t for t in tops if t[1] is not None]
-    rows = rows.select(dealt.alias("range"), F.lit(False).alias("guest"), "doc_id", "text")
+    own = rows.select(dealt.cast("int").alias("range"), F.lit(False).alias("guest"), "doc_id", "text")
     if tops:
-        follows = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-        to = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])
-        guests = rows.where(F.col("doc_id").isin(list(follows))).select(to[F.col("doc_id")].cast("int").alias("range"), F.lit(True).alias("guest"), "doc_id", "text")
-        rows = rows.unionByName(guests)
-    sorted_ = rows.repartition("range").sortWithinPartitions("range", F.desc("guest"), "doc_id", F.md5("text"))
+        follows = [{"top": top, "to": tops[(i + 1) % len(tops)][0]} for i, (_, top) in enumerate(tops)]
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(follows)), "array<struct<top:bigint,to:int>>")).alias("x")).select("x.*")
+        guests = rows.join(F.broadcast(table), F.expr("doc_id = top"))  # max_ranges rows at most
+        own = own.unionByName(guests.select(F.col("to").alias("range"), F.lit(True).alias("guest"), "doc_id", "text"))
+    sorted_ = own.repartitionById(max(1, ranges), F.col("range")).sortWithinPartitions("range", F.desc("guest"), "doc_id", F.md5("text"))
     return sorted_.mapInArrow(compare, SCHEMA)
