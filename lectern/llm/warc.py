@@ -8,13 +8,16 @@ page_id is the response and the others are revisits without a payload.
 Reading. Files are split at the magic ``WARC/1.0`` line by the text source, however
 large they are. Every piece is a candidate record: its byte offset is the sum of the
 lengths before it, and its header gives the offset of its successor. Pointer jumping
-from the file's start (log2 of the candidates rounds over arrays of offsets) keeps the
-reachable candidates only, so a magic line inside a payload is no record. A record cut
-by such lines is put together again from its pieces.
-
-Null html is an empty payload, a null url an empty one. A page that occurs several
-times gets a record each time. Empty tables give empty archives and no rows; columns
-other than page_id, url and html are ignored.
+from the file's start (log2 of the candidates rounds over arrays of offsets, by split, then
+by file over the places where chains enter splits) keeps the reachable candidates only, so
+a magic line inside a payload is no record. A record cut by such lines is put together
+again from its pieces.
+
+Null html is an empty payload, a null url an empty one, a null page_id is written as such.
+A page that occurs several times gets a record each time, and rows that repeat the keeper's
+page_id and payload are responses, too; there are no other ties. A very long page is one
+record; a task needs memory for the largest one. Empty tables give empty archives and no
+rows; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -98,46 +101,89 @@ def with_parsed(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumns(parsed(F.col(body))).drop("clen", "stated_text")
 
 
-def reachable(begin: np.ndarray, successor: np.ndarray) -> np.ndarray:
-    """Marks of the candidates on the chain from the first one, by pointer jumping.
-    ``begin`` ascends; a successor that is no candidate ends the chain."""
+def reachable(begin: np.ndarray, successor: np.ndarray, entries: np.ndarray | None = None) -> np.ndarray:
+    """Marks of the candidates on the chains from the entries (else from the candidate at
+    offset 0), by pointer jumping. ``begin`` ascends; a successor that is no candidate
+    ends a chain."""
     n = len(begin)
     at = np.searchsorted(begin, successor)
     hit = at < n
     hit[hit] = begin[at[hit]] == successor[hit]
     jump = np.append(np.where(hit, at, n), n)
     mark = np.zeros(n + 1, bool)
-    mark[0] = n > 0 and begin[0] == 0
+    mark[:n] = begin == 0 if entries is None else entries
     for _ in range(max(1, int(n).bit_length())):
         mark[jump[mark]] = True
         jump = jump[jump]
     return mark[:n]
 
 
+def exits(begin: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Where the chain from each candidate of a split leads outside of these candidates,
+    by pointer jumping. ``begin`` ascends, successors are larger than their candidate."""
+    n = len(begin)
+    at = np.searchsorted(begin, successor)
+    hit = at < n
+    hit[hit] = begin[at[hit]] == successor[hit]
+    jump = np.where(hit, at, np.arange(n))
+    for _ in range(max(1, int(n).bit_length())):
+        jump = jump[jump]
+    return successor[jump]
+
+
+def reached(candidates: DataFrame) -> DataFrame:
+    """file, begin of the candidates (file, split, begin, successor) on the chain from the
+    file's start. Every split jumps through its own candidates; then the few places where
+    chains enter a split are jumped through by file; then splits mark from their entries."""
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("begin", ignore_index=True)
+        return pdf.assign(successor=exits(pdf["begin"].to_numpy(), pdf["successor"].to_numpy()))[["file", "split", "begin", "successor"]]
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("begin").sort_values("begin", ignore_index=True)
+        return pdf.loc[reachable(pdf["begin"].to_numpy(), pdf["successor"].to_numpy()), ["file", "split", "begin"]]
+
+    def mark(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("begin", ignore_index=True)
+        begin = pdf["begin"].to_numpy()
+        return pdf.loc[reachable(begin, pdf["successor"].to_numpy(), np.isin(begin, entries["begin"].to_numpy())), ["file", "begin"]]
+
+    kind = "file string, split long, begin long"
+    out = materialize(candidates.groupBy("file", "split").applyInPandas(leave, f"{kind}, successor long"), "exits")
+    targets = out.select("file", F.col("successor").alias("begin")).distinct()
+    nodes = out.join(targets, ["file", "begin"], "left_semi").unionByName(out.where("begin = 0"))
+    entries = nodes.groupBy("file").applyInPandas(enter, kind)
+    by = lambda df: df.groupBy("file", "split")
+    return by(candidates).cogroup(by(entries)).applyInPandas(mark, "file string, begin long")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Verified records: page_id, record_type, payload_bytes, payload_digest, refers_to,
     verified (the payload has the digest and length that its header states)."""
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
     pieces = materialize(with_parsed(raw.withColumn("size", F.octet_length("body").cast("long")).withColumn("piece", F.sha1("body"))).drop("body"), "pieces")
-    before = Window.partitionBy("file").orderBy("split", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    # Offsets: those of the splits in a file, then those of the pieces in a split.
+    splits = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", F.coalesce(F.sum("bytes").over(before("file").orderBy("split")), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before("file", "split").orderBy("nth")), F.lit(0))
     # The text before the first magic line is a piece without one.
-    placed = pieces.withColumn("begin", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC))
+    placed = pieces.withColumn("inner", inner).join(splits, ["file", "split"]).withColumn("begin", F.col("base") + F.col("inner") - len(MAGIC)).drop("inner", "base")
     placed = placed.withColumn("successor", F.col("begin") + len(MAGIC) + F.col("header_bytes") + len(GAP) + F.col("content_length") + len(GAP))
     placed = materialize(placed, "placed")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("begin", ignore_index=True)
-        keep = reachable(pdf["begin"].to_numpy(), pdf["successor"].to_numpy())
-        return pdf.loc[keep, ["file", "begin"]]
-
-    candidates = placed.where("begin >= 0 and content_length is not null").select("file", "begin", "successor")
-    kept = materialize(placed.join(candidates.groupBy("file").applyInPandas(chain, "file string, begin long"), ["file", "begin"]), "records")
+    chain = reached(placed.where("begin >= 0 and content_length >= 0").select("file", "split", "begin", "successor"))
+    placed = placed.join(chain.withColumn("kept", F.lit(True)), ["file", "begin"], "left")
+    kept = placed.where("kept")
     whole = kept.where("whole")
     cut = kept.where("not whole")
     if not cut.isEmpty():
-        spans = cut.select("file", F.col("begin").alias("of"), F.col("successor").alias("to"))
-        inside = placed.join(spans, "file").where("begin >= of and begin < to").select("file", "of", "to", "begin", "piece")
+        # A piece belongs to the last record on the chain that began before it.
+        owner = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = lambda c: F.last(F.when(F.col("kept"), F.col(c)), ignorenulls=True).over(owner)
+        inside = placed.select("file", "begin", "piece", last("begin").alias("of"), last("successor").alias("to"), last("whole").alias("of_whole"))
+        inside = inside.where("not of_whole and begin < to").select("file", "of", "begin", "piece")
         texts = raw.withColumn("piece", F.sha1("body")).join(inside.select("file", "piece").distinct(), ["file", "piece"]).dropDuplicates(["file", "piece"]).select("file", "piece", "body")
         glued = inside.join(texts, ["file", "piece"]).groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("begin", "body"))).alias("parts"))
         body = F.array_join(F.transform("parts", lambda p: p["body"]), MAGIC)

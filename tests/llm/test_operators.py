@@ -587,6 +587,24 @@ def test_prefix_sums_of_long_texts(monkeypatch):
     assert want[2] == sum(int(x) * pow(b, i, p) for i, x in enumerate(data[:500])) % p
 
 
+def test_ranges_of_ids(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        bounds = sorted(random.Random(n).sample(range(-50, 400), n))
+        got = spark.range(-60, 420).select("id", fingerprint.range_of(F.col("id"), bounds).alias("r")).collect()
+        assert all(r.r == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_near_next_of_near_copies(spark):
+    rng = random.Random(41)
+    words = prose(rng, 900).split(" ")
+    t = " ".join(words)
+    rows = [(1, t), (2, "before " + t), (3, " ".join([*words[:400], "between", *words[400:]])), (4, scattered(words, 3, rng)), (5, prose(rng, 900))]
+    got = {r.doc_id: r.near_next for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert min(got[2], got[3]) > 0.93 and got[4] > 0.88 and got[5] < 0.15 and got[1] < 0.15
+
+
 @pytest.mark.parametrize("per_range", [2500, 5])
 def test_fingerprints(docs, rows, per_range):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
@@ -703,6 +721,41 @@ def test_pointer_jumping():
     assert not warc.reachable(np.array([3, 9]), np.array([9, 12])).any()
 
 
+def test_chains_across_splits(spark):
+    rng = random.Random(18)
+    rows, want = [], set()
+    for f in range(6):
+        begin = [0, *sorted(rng.sample(range(1, 900), 60))]
+        succ = {b: rng.choice([*[x for x in begin if x > b], 1000 + b]) for b in begin}
+        rows += [(f"f{f}", b // 150 * 150, b, s) for b, s in succ.items()]
+        at = 0
+        while at in succ:
+            want.add((f"f{f}", at))
+            at = succ[at]
+    rows.append(("late", 0, 5, 9))
+    got = warc.reached(spark.createDataFrame(rows, "file string, split long, begin long, successor long").repartition(3)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_warc_of_many_pages_with_magic_lines(spark):
+    line = f"{warc.MAGIC}WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, "u", f"<p>{i}</p>" + line * (1 + i % 3) + "x" * (i % 7)) for i in range(3000)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3000 and all(r.verified for r in got)
+    assert {(r.page_id, r.payload_digest) for r in got} == {(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_warc_of_a_long_page_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long_ = "é <b>" * 400_000
+    pages = spark.createDataFrame([(1, "u", long_), (2, "u", long_), (None, None, None)], "page_id long, url string, html string")
+    names = "file split nth piece begin successor kept keeper digest bytes body size rid n".split()
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to, r.verified) for r in warc.round_trip(pages.select("*", *[F.lit(1).alias(c) for c in names])).collect()}
+    n = len(long_.encode())
+    assert got == {1: ("revisit", n, 2, True), 2: ("response", n, None, True), None: ("response", 0, None, True)}
+
+
 # 10
 PATTERNS = [(re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), (re.compile("AKIA[A-Z0-9]+"), 0, 16), (re.compile("[0-9a-f]+"), 0, 32)]
 
