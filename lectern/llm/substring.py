@@ -8,24 +8,27 @@ text that can match a shard are sent to it:
 1. Of the ``GRAM``-word grams in a window, the one of least hash is its anchor; equal
    windows have equal anchors. Consecutive windows of one anchor make a segment.
 2. Anchors that occur in two different texts are found by one aggregation, and the texts
-   that have them by one join; of equal texts only that of the smallest doc_id goes on.
-3. Segments at such anchors are the reference text. Equal segments are counted once,
-   with their smallest doc_id, before anything is grouped.
-4. A shard holds the different segments of one anchor, if there are two at least. In
-   ascending order of doc_id each is streamed through the suffix automaton of those before
-   it; where the matching statistic reaches ``window``, a window has been seen. Then it is
-   added. Of an anchor with more than ``shard_segments`` segments (a window that is common
-   among changing neighbours) no task sees all: its windows are aggregated to their
-   smallest doc_id and joined with it.
-5. Every occurrence of a segment gets its windows marked: all of them where a smaller
-   doc_id has the same segment, else those that its shard found.
+   that have them by one join; of equal texts only that of the smallest doc_id goes on. An
+   anchor's home is the least text (by hash) that has it, so what two texts share has one
+   home, and neighbouring anchors of one passage mostly have the same.
+3. Consecutive segments of one home make a piece, the reference text. Pieces are cut where
+   the anchors say so, the same way in every text, and at ``MOST_WINDOWS``. Equal pieces
+   are counted once, with their smallest doc_id, before anything is grouped.
+4. A shard holds the different pieces of one home, if there are two at least. In ascending
+   order of doc_id each is streamed through the suffix automaton of those before it;
+   where the matching statistic reaches ``window``, a window has been seen. Then it is
+   added. Of a home with more than ``shard_pieces`` pieces (a window that is common among
+   changing neighbours) no task sees all: its windows are aggregated to their smallest
+   doc_id and joined with it.
+5. Every occurrence of a piece gets its windows marked: all of them where a smaller
+   doc_id has the same piece, else those that its shard found.
 
 Copies of a whole text need no shard: all but the one of smallest doc_id lose all words
-(if there are ``window`` or more). Texts are shuffled compressed, once to pick segments, and
+(if there are ``window`` or more). Texts are shuffled compressed, once to pick pieces, and
 those with marks once more; what other documents need, their word count and digest, is
 computed where they are read.
 
-Hashes of grams only choose anchors; texts, segments and windows are compared by their
+Hashes of grams only choose anchors; texts, pieces and windows are compared by their
 words or 128-bit digests of them.
 
 Null or empty text: no words, nothing removed. A null doc_id is the smallest. Rows of one
@@ -49,6 +52,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, Words, materialize, parts_for, run_hashes, slices
 
 GRAM = 5
+#: One in so many anchors ends a piece; windows of a piece, whose marks are bits of a long.
+CUT, MOST_WINDOWS = 8, 62
 #: Stands for a null doc_id, which counts as the smallest.
 NO_ID = -(1 << 63)
 SLICE = 2 << 20
@@ -80,6 +85,25 @@ class Segments:
         self.doc = w.doc[self.first]
 
 
+def joined(s: Segments, at: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the segments ``at`` (ascending) with their homes: place of the first segment
+    in ``at``, first window and number of windows of each piece."""
+    first, count = s.first[at], s.count[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (s.doc[at][1:] != s.doc[at][:-1]) | (first[1:] != first[:-1] + count[:-1]) | (home[1:] != home[:-1]) | (s.anchor[at][1:] % np.uint64(CUT) == 0)
+    total = np.concatenate([[0], np.cumsum(count)])
+    while True:  # a piece of too many windows is cut before the segment that is too much
+        head = np.flatnonzero(new)
+        start = total[:-1][head][np.cumsum(new) - 1] if len(at) else total[:0]
+        over = np.flatnonzero(total[1:] - start > MOST_WINDOWS)
+        if not len(over):
+            break
+        piece = (np.cumsum(new) - 1)[over]
+        new[over[np.concatenate([[True], piece[1:] != piece[:-1]])]] = True
+    ends = np.append(head[1:], len(at))
+    return head, first[head], total[ends] - total[head]
+
+
 class Automaton:
     """Suffix automaton of word sequences, extended online."""
 
@@ -210,7 +234,7 @@ def unsent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b if all(fresh) else b.filter(pa.array(fresh))
 
 
-def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_segments: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_pieces: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, packed text of the texts that may lose words; doc_id, digest, marks (array
     of (first window, bits)) of those that do).
 
@@ -227,24 +251,28 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
             s = Segments(b.column(1), window)
             yield pa.RecordBatch.from_arrays([signed(s.anchor), pa.array(np.asarray(b.column(0))[s.doc]), pa.array(s.first - s.words.first[s.doc], pa.int32())], ["anchor", "content", "first"])
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in unpacked(batches):
             s = Segments(b.column(2), window)
             w = s.words
-            at, n = b.column(3), np.diff(np.append(0, np.cumsum(np.asarray(pc.list_value_length(b.column(3))))))
-            wanted = np.asarray(at.flatten(), np.int64) + w.first[np.repeat(np.arange(len(b)), n)]
-            keep = np.isin(s.first, wanted)
-            first, count, doc = s.first[keep], s.count[keep], s.doc[keep]
-            size = count + window - 1
+            n = np.diff(np.append(0, np.cumsum(np.asarray(pc.list_value_length(b.column(3))))))
+            places = b.column(3).flatten()
+            wanted = np.asarray(places.field("first"), np.int64) + w.first[np.repeat(np.arange(len(b)), n)]
+            wanted, order = np.unique(wanted, return_index=True)
+            at = np.searchsorted(s.first, wanted)
+            real = np.append(s.first, -1)[at] == wanted  # texts whose hashes collide have each other's places, too
+            at, home = at[real], np.asarray(places.field("home"), np.int64)[order[real]]
+            head, first, count = joined(s, at, home)
+            doc, size = s.doc[at][head], count + window - 1
             data = w.data.tobytes()
             texts = [b" ".join(split_words(data[x:y])) for x, y in zip(w.start[first].tolist(), w.end[first + size - 1].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [signed(s.anchor[keep]), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(first - w.first[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.binary())],
-                ["anchor", "doc_id", "digest", "first", "count", "words"],
+                [pa.array(home[head]), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(first - w.first[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.binary())],
+                ["home", "doc_id", "digest", "first", "count", "words"],
             )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, segment, doc_id, shift, digest of the window) of crowded anchors."""
+        """(home, piece, doc_id, shift, digest of the window) of crowded homes."""
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -253,11 +281,11 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
                 of = np.repeat(np.arange(len(parts)), n)
                 digests = [hashlib.blake2b(b" ".join(p[k : k + window]), digest_size=16).digest() for p in parts for k in range(len(p) - window + 1)]
                 shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of)) for c in range(3)), pa.array(shift, pa.int32()), pa.array(digests, pa.binary())], ["anchor", "segment", "doc_id", "shift", "win"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of)) for c in range(3)), pa.array(shift, pa.int32()), pa.array(digests, pa.binary())], ["home", "piece", "doc_id", "shift", "win"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (anchor, segment, doc_id, words) by anchor, then doc_id. Held: the segments
-        of one anchor, ``shard_segments`` at most."""
+        """Rows (home, piece, doc_id, words) by home, then doc_id. Held: the pieces of one
+        home, ``shard_pieces`` at most."""
         held: list[tuple] = []
 
         def found() -> list[tuple]:
@@ -267,7 +295,7 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
             return out
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["anchor", "segment", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["home", "piece", "bits"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -281,36 +309,36 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_seg
             yield batch(found())
 
     content = rows.select("content", "text")
-    shared = content.mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("anchor")
-    here = content.mapInArrow(places, "anchor long, content long, first int").join(shared, "anchor").groupBy("content").agg(F.collect_set("first").alias("firsts"))
-    wanted = here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "firsts")
+    shared = content.mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.min("content").alias("home"), F.max("content").alias("b")).where("home <> b").select("anchor", "home")
+    here = content.mapInArrow(places, "anchor long, content long, first int").join(shared, "anchor").groupBy("content").agg(F.collect_set(F.struct("first", "home")).alias("places"))
+    wanted = here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "places")
     small = rows.select("doc_id", "digest", "text").mapInArrow(packed, "doc_id long, digest binary, packed binary")
     texts = materialize(small.join(wanted, ["doc_id", "digest"]), "texts", parts)
-    occurs = texts.select("doc_id", "digest", "packed", "firsts").mapInArrow(segments, "anchor long, doc_id long, digest binary, first int, count int, words binary")
-    occurs = materialize(occurs.withColumn("segment", F.unhex(F.md5("words"))), "segments", parts)
-    distinct = materialize(occurs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words")), "reference", parts)
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = distinct.join(sizes, "anchor").select("anchor", "segment", "doc_id", "words", "n")
-    few = sized.where(F.col("n") <= shard_segments).drop("n")
-    hits = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(match, "anchor long, segment binary, bits long")
-    crowded = sized.where(F.col("n") > shard_segments).drop("n").mapInArrow(windows, "anchor long, segment binary, doc_id long, shift int, win binary")
+    occurs = texts.select("doc_id", "digest", "packed", "places").mapInArrow(pieces, "home long, doc_id long, digest binary, first int, count int, words binary")
+    occurs = materialize(occurs.withColumn("piece", F.unhex(F.md5("words"))), "pieces", parts)
+    distinct = materialize(occurs.groupBy("home", "piece").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words")), "reference", parts)
+    sizes = distinct.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = distinct.join(sizes, "home").select("home", "piece", "doc_id", "words", "n")
+    few = sized.where(F.col("n") <= shard_pieces).drop("n")
+    hits = few.repartition("home").sortWithinPartitions("home", "doc_id").mapInArrow(match, "home long, piece binary, bits long")
+    crowded = sized.where(F.col("n") > shard_pieces).drop("n").mapInArrow(windows, "home long, piece binary, doc_id long, shift int, win binary")
     least = crowded.groupBy("win").agg(F.min("doc_id").alias("least"))
-    later = crowded.join(least, "win").where("doc_id > least").select("anchor", "segment", F.expr("shiftleft(1L, shift)").alias("bits"))
-    hits = hits.unionByName(later).groupBy("anchor", "segment").agg(F.bit_or("bits").alias("bits"))
-    lead = distinct.select("anchor", "segment", F.col("doc_id").alias("lead")).join(hits, ["anchor", "segment"], "left")
+    later = crowded.join(least, "win").where("doc_id > least").select("home", "piece", F.expr("shiftleft(1L, shift)").alias("bits"))
+    hits = hits.unionByName(later).groupBy("home", "piece").agg(F.bit_or("bits").alias("bits"))
+    lead = distinct.select("home", "piece", F.col("doc_id").alias("lead")).join(hits, ["home", "piece"], "left")
     full = F.expr("shiftleft(1L, count) - 1L")
-    marks = occurs.drop("words").join(lead, ["anchor", "segment"]).withColumn("bits", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")))
+    marks = occurs.drop("words").join(lead, ["home", "piece"]).withColumn("bits", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")))
     marks = marks.where("bits is not null and bits <> 0").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
     return texts.select("doc_id", "digest", "packed"), marks
 
 
-def dedup(docs: DataFrame, window: int = 13, shard_segments: int = 2000, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, shard_pieces: int = 2000, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, ``kept_text``."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.xxhash64("text").alias("content"), "text")
     texts_of = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"))
-    texts, marks = removed_windows(rows, texts_of.select("digest", "content", "least"), window, shard_segments, parts_for(docs.count()))
+    texts, marks = removed_windows(rows, texts_of.select("digest", "content", "least"), window, shard_pieces, parts_for(docs.count()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in unpacked(batches):

@@ -435,10 +435,22 @@ def test_substring_dedup(spark, crowded):
         parts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(0, 30))) for _ in range(3)]
         rows.append((i, " ".join([parts[0], rng.choice(shared), parts[1], rng.choice(shared), parts[2]])))
     rows += [(70, rows[3][1]), (71, rows[3][1].replace(" ", "\n")), (None, shared[0]), (2, shared[1]), (72, None), (73, "short"), (73, "short")]
-    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_segments=crowded).collect()
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_pieces=crowded).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == naive_dedup(rows)
 
 
+def test_pieces_cover_their_segments():
+    rng = random.Random(19)
+    texts = pa.array([" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (0, 12, 13, 14, 60, 400, 2000)])
+    s = substring.Segments(texts, 13)
+    at = np.flatnonzero(np.array([rng.random() < 0.9 for _ in s.first]))
+    home = np.array([rng.choice([1, 1, 1, 2]) for _ in at])
+    head, first, count = substring.joined(s, at, home)
+    want = [(int(s.first[k]) + i, int(h)) for k, h in zip(at, home) for i in range(int(s.count[k]))]
+    assert [(int(f) + i, int(home[h])) for h, f, c in zip(head, first, count) for i in range(int(c))] == want
+    assert count.max() <= substring.MOST_WINDOWS and len(head) < len(at)
+
+
 def test_automaton_statistics():
     rng = random.Random(2)
     for _ in range(50):
