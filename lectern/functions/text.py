@@ -3,8 +3,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,12 @@ def fold_key(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
+@F.pandas_udf(T.StringType())
+def without_marks(s: pd.Series) -> pd.Series:
+    """Decomposed, without combining marks."""
+    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+
+
 def fold_latin(c: Column) -> Column:
     """``fold_key`` for Latin letters, as a built-in expression."""
     marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
@@ -113,12 +123,17 @@ def authorship(c: Column) -> Column:
     return F.struct(F.filter(bare, lambda p: (p != "") & (F.lower(p) != "al.")).alias("surnames"), year.alias("year"))
 
 
+#: Leading surname and the first four digits after it (fixed value).
+FILENAME = r"^([A-Za-zÀ-ÿ]+)[^0-9]*?(\d{4})"
+
+
 def from_filename(name: Column) -> Column:
-    """struct(surname, year) of names like Totton1965a.pdf; a year outside 1600 to 2100 is null."""
-    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    surname = F.nullif(F.regexp_extract(stem, r"^([\p{L}'’]+)", 1), F.lit(""))
-    year = F.nullif(F.regexp_extract(stem, r"(?<!\d)(\d{4})(?!\d)", 1), F.lit("")).try_cast("int")
-    return F.struct(F.regexp_replace(surname, "(?<=\\p{Ll})etal$", "").alias("surname"), F.when(year.between(1600, 2100), year).alias("year"))
+    """struct(surname, year) of names like Totton1965a.pdf. A name without such digits has
+    neither; a year outside 1600 to 2100 is null."""
+    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    surname, year = (F.nullif(F.regexp_extract(stem, FILENAME, k), F.lit("")) for k in (1, 2))
+    year = year.try_cast("int")
+    return F.struct(surname.alias("surname"), F.when(year.between(1600, 2100), year).alias("year"))
 
 
 def year_in_filename(name: Column) -> Column:
@@ -127,30 +142,49 @@ def year_in_filename(name: Column) -> Column:
 
 
 def ascii_surname(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(fold_key(c), "[^a-z0-9]", ""), F.lit("")), F.lit("Anon"))
+    """Letters and digits of a surname without marks, case kept; 'Anon' for none."""
+    return F.coalesce(F.nullif(F.regexp_replace(without_marks(c), "[^A-Za-z0-9]+", ""), F.lit("")), F.lit("Anon"))
+
+
+def year_or_nodate(year: Column) -> Column:
+    return F.coalesce(year.cast("string"), F.lit("nodate"))
 
 
 def alpha_suffix(n: Column) -> Column:
-    """0: none, 1: a, 26: z, 27: aa (up to two letters)."""
-    letter = lambda i: F.char(F.lit(97) + i)
-    one, two = letter(n - 1), F.concat(letter(F.floor((n - 27) / 26).cast("int")), letter(F.pmod(n - 27, F.lit(26))))
-    return F.when(n <= 0, F.lit("")).when(n <= 26, one).otherwise(two)
+    """0: none, 1: a, 26: z, 27: aa, 703: aaa and so on, for any long."""
+    step = lambda st, _: F.when(st["n"] <= 0, st).otherwise(F.struct(F.floor((st["n"] - 1) / 26).cast("bigint").alias("n"), F.concat(F.char(F.lit(97) + F.pmod(st["n"] - 1, F.lit(26))), st["out"]).alias("out")))
+    # 14 letters are enough for 2 ** 63.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(n.cast("bigint").alias("n"), F.lit("").alias("out")), step)["out"]
+
+
+#: Well-formed Roman numerals up to 4999 (fixed value).
+ROMAN = r"(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
 def roman(c: Column) -> Column:
-    """Value of a Roman numeral, null for anything else."""
+    """Value of a well-formed Roman numeral, null for anything else."""
     value = F.create_map(*[F.lit(x) for pair in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in pair])
-    letters = F.transform(F.split(F.upper(c), ""), lambda ch: value[ch])
-    folded = F.aggregate(F.reverse(letters), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")), lambda s, v: F.struct((s["sum"] + F.when(v < s["top"], -v).otherwise(v)).alias("sum"), F.greatest(s["top"], v).alias("top")))
-    return F.when(F.upper(c).rlike("^[IVXLCDM]+$"), folded["sum"])
+    clean = F.upper(F.trim(c))
+    letters = F.transform(F.split(clean, ""), lambda ch: value[ch])
+    folded = F.aggregate(F.reverse(letters), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, v: F.struct((s["sum"] + F.when(v < s["last"], -v).otherwise(v)).alias("sum"), v.alias("last")))
+    return F.when((clean != "") & clean.rlike(ROMAN), folded["sum"])
+
+
+#: What a figure is called in captions and texts (fixed value).
+FIGURE_PREFIX = (
+    r"fig(?:ure|\.?)|abb(?:ildung|\.?)|pl(?:ate|\.?)|plate|рис(?:унок|\.?)"
+    r"|image|illustration|lám(?:ina|\.?)|tav(?:ola|\.?)|bild"
+    r"|text[\-\s]?fig(?:ure|\.?)"
+    r"|taf(?:el|\.?)|tab(?:ula|\.?)"
+)
 
 
 def figure_number(caption: Column) -> Column:
-    """Number at the head of a caption in several languages, Roman ones as digits."""
-    head = r"(?i)^\s*(?:fig(?:ure|\.)?|abb(?:ildung|\.)?|plate|pl\.?|taf(?:el|\.)?|planche|рис\.?)\s*\.?\s*"
-    digits = F.regexp_extract(caption, head + r"(\d+[a-z]?)\b", 1)
-    numeral = F.regexp_extract(caption, head + r"([IVXLC]+)\b", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")), roman(F.nullif(numeral, F.lit(""))).cast("string"))
+    """Number at the head of a caption in several languages, with a letter or a decimal;
+    Roman ones as digits, letters that are no numeral as they are."""
+    head = rf"(?iu)^\s*(?:{FIGURE_PREFIX})\s*(\d+(?:\.\d+)?[a-z]?|[IVXLCDM]+\b)"
+    found = F.nullif(F.regexp_extract(caption, head, 1), F.lit(""))
+    return F.coalesce(roman(found).cast("string"), found)
 
 
 def letter_count(c: Column) -> Column:
@@ -161,48 +195,80 @@ def stopword_free(c: Column, stopwords: list[str]) -> Column:
     return ~F.lower(c).isin(stopwords)
 
 
-#: Scripts of the text layer: name and class of code points (fixed values).
-SCRIPTS = {"latin": r"\p{Latin}", "cyrillic": r"\p{Cyrillic}", "greek": r"\p{Greek}", "han": r"\p{Han}"}
-JAVA_SCRIPTS = {k: rf"\p{{Is{v[3:-1]}}}" for k, v in SCRIPTS.items()}
+#: Writing systems by ranges of code points, ends inclusive (fixed values).
+SCRIPTS = {
+    "latin": [(0x0000, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F)],
+    "cyrillic": [(0x0400, 0x052F)],
+    "greek": [(0x0370, 0x03FF)],
+    "arabic": [(0x0600, 0x06FF)],
+}
+
+
+@lru_cache(maxsize=1)
+def _script_classes() -> np.ndarray:
+    """For every code point: 0 no letter, 1 another letter, else a script's number."""
+    kind = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+    for k, ranges in enumerate(SCRIPTS.values(), 2):
+        for low, high in ranges:
+            kind[low : high + 1] = np.where(kind[low : high + 1] > 0, k, 0)
+    return kind
+
+
+def script_counts(c: Column) -> Column:
+    """struct(letters, latin, cyrillic, greek, arabic): letters of each system, and all.
+    One pass over the code points of a batch."""
 
+    @F.pandas_udf("letters long, " + ", ".join(f"{k} long" for k in SCRIPTS))  # a session exists here
+    def counts(s: pd.Series) -> pd.DataFrame:
+        classes, rows = _script_classes(), []
+        for x in s:
+            n = np.bincount(classes[np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=2 + len(SCRIPTS))
+            rows.append((int(n[1:].sum()), *map(int, n[2:])))
+        return pd.DataFrame(rows, columns=["letters", *SCRIPTS])
 
-def script_counts(c: Column) -> dict[str, Column]:
-    """Letters of each script, and all letters."""
-    return {"letters": F.regexp_count(c, F.lit(r"\p{L}"))} | {k: F.regexp_count(c, F.lit(v)) for k, v in JAVA_SCRIPTS.items()}
+    return counts(c)
+
+
+#: White space that separates tokens, and what is stripped from their ends (fixed values).
+TOKEN_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+TOKEN_EDGE = ".,;:!?()[]{}\"'"
 
 
 def suspicious_share(c: Column) -> Column:
-    """Share of white-space tokens of at most two characters, all digits, or digits
-    mixed with letters. 0 for a text without tokens."""
-    tokens = F.filter(F.split(c, r"[ \t\n\r\f\x0B]+"), lambda t: t != "")
-    odd = F.filter(tokens, lambda t: (F.char_length(t) <= 2) | t.rlike(r"^[0-9]+$") | (t.rlike("[0-9]") & t.rlike(r"\p{L}")))
+    """Share of tokens, punctuation stripped, of at most two characters, all digits, or
+    with digits and letters. 0 for a text without tokens."""
+    edge = "[" + re.escape(TOKEN_EDGE) + "]+"
+    bare = F.transform(F.split(c, TOKEN_SPACE), lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", ""))
+    tokens = F.filter(bare, lambda t: t != "")
+    odd = F.filter(tokens, lambda t: (F.char_length(t) <= 2) | t.rlike(r"^\p{Nd}+$") | (t.rlike(r"\p{Nd}") & t.rlike(r"\p{L}")))
     return F.when(F.size(tokens) > 0, F.size(odd) / F.size(tokens)).otherwise(0.0)
 
 
-#: Section classes by heading pattern, first match wins (fixed values, four languages).
+#: Section classes by pattern, first match wins (fixed values, in five languages).
 SECTIONS = [
-    ("abstract", r"(?i)^(abstract|summary|zusammenfassung|résumé|resumen)"),
-    ("introduction", r"(?i)^(introduction|einleitung|introducción|background)"),
-    ("methods", r"(?i)^(materials? and methods|methods?|methoden|méthodes|métodos)"),
-    ("results", r"(?i)^(results?|ergebnisse|résultats|resultados)"),
-    ("discussion", r"(?i)^(discussion|diskussion|discusión)"),
-    ("conclusion", r"(?i)^(conclusions?|schluss|conclusión)"),
-    ("systematics", r"(?i)^(systematics?|taxonomy|systematik|systématique|sistemática)"),
-    ("description", r"(?i)^(description|beschreibung|descripción|diagnosis)"),
-    ("references", r"(?i)^(references|literature|bibliography|literatur|références|referencias)"),
-    ("acknowledgements", r"(?i)^(acknowledge?ments?|danksagung|remerciements|agradecimientos)"),
+    ("abstract", r"\babstract\b|\bsummary\b|\bzusammenfassung\b|\br[ée]sum[ée]\b|резюме|сводка"),
+    ("introduction", r"\bintroduction\b|\bвведение\b|\beinleitung\b"),
+    ("methods", r"materials?\s+and\s+methods|\bmethods?\b|\bmethodology\b|study\s+area|материалы\s+и\s+методы|m[ée]thodes"),
+    ("results", r"\bresults?\b|\bр[еé]зультаты\b|\bergebnisse\b|\br[ée]sultats\b"),
+    ("description", r"\bdescription\b|\bsystematics?\b|\btaxonomy\b|\bsystematic\s+account\b|\bdiagnosis\b|описание"),
+    ("discussion", r"\bdiscussion\b|обсуждение|\bdiskussion\b"),
+    ("conclusion", r"\bconclusions?\b|выводы|\bschlussfolgerung"),
+    ("acknowledgements", r"acknowledg(?:e?ment)s?|благодарности|danksagung|remerciements"),
+    ("references", r"\breferences?\b|\bbibliograph|\bliterature\s+cited\b|литература"),
+    ("appendix", r"\bappendix\b|приложение|anhang"),
 ]
 
 
 def section_class(headings: Column) -> Column:
-    """Class of the most specific heading that matches, 'other' if none does."""
-    classify = lambda h: F.coalesce(*[F.when(F.trim(h).rlike(p), F.lit(k)) for k, p in SECTIONS])
+    """Class of the most specific heading in which a pattern is found, null if none is."""
+    classify = lambda h: F.coalesce(*[F.when(F.lower(h).rlike("(?U)" + p), F.lit(k)) for k, p in SECTIONS])
     hits = F.filter(F.transform(F.reverse(headings), classify), lambda x: x.isNotNull())
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit("other"))
+    return F.try_element_at(hits, F.lit(1))
 
 
 def relative_path(c: Column, root: str) -> Column:
-    return F.when(c.startswith(root.rstrip("/") + "/"), F.substring(c, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(c)
+    top = root.rstrip("/") + "/"
+    return F.when(c.startswith(top), F.right(c, F.char_length(c) - len(top))).otherwise(c)
 
 
 def absolute_path(c: Column) -> Column:
@@ -215,8 +281,10 @@ def element_text(c: Column) -> Column:
 
 
 def outer_json(c: Column) -> Column:
-    """Outermost JSON object in a free text, null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+    """Outermost JSON object in a free text (first to last brace), null if there is none or
+    it is malformed."""
+    found = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.when(F.json_object_keys(found).isNotNull(), found)
 
 
 def box_area(b: Column) -> Column:
@@ -260,13 +328,67 @@ def structured_chunks(elements: DataFrame, size: int = 1000) -> DataFrame:
 
 
 #: Recogniser packs by language and by script (fixed values).
-PACKS = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "ru": "rus", "la": "lat"}
-SCRIPT_PACKS = {"latin": "eng", "cyrillic": "rus", "greek": "ell", "han": "chi_sim"}
-
-
-def recogniser_packs(iso: Column, script: Column) -> Column:
-    """Packs by language, else by script, else the default union; English comes last."""
-    lookup = lambda m, k: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])[k]
-    one = F.coalesce(lookup(PACKS, iso), lookup(SCRIPT_PACKS, script))
-    default = F.array(*[F.lit(x) for x in ("deu", "fra", "eng")])
-    return F.when(one.isNull(), default).otherwise(F.array_distinct(F.array(one, F.lit("eng"))))
+PACKS = {
+    "en": "eng", "de": "deu", "fr": "fra", "la": "lat", "it": "ita", "es": "spa", "pt": "por", "nl": "nld", "pl": "pol", "sv": "swe",
+    "no": "nor", "da": "dan", "fi": "fin", "ca": "cat", "cs": "ces", "hu": "hun", "ro": "ron", "sk": "slk", "sl": "slv", "hr": "hrv",
+    "et": "est", "lv": "lav", "lt": "lit", "sq": "sqi", "cy": "cym", "af": "afr", "id": "ind", "sw": "swa", "tl": "tgl", "vi": "vie",
+    "tr": "tur", "ru": "rus", "uk": "ukr", "bg": "bul", "mk": "mkd", "el": "ell", "ar": "ara", "fa": "fas", "ur": "urd", "he": "heb",
+    "hi": "hin", "mr": "mar", "ne": "nep", "bn": "ben", "gu": "guj", "pa": "pan", "ta": "tam", "te": "tel", "kn": "kan", "ml": "mal",
+    "th": "tha", "ja": "jpn", "ko": "kor", "zh-cn": "chi_sim", "zh-tw": "chi_tra",
+}
+SCRIPT_PACKS = {
+    "Cyrillic": ["rus"], "Greek": ["ell"], "Fraktur": ["deu_latf", "deu"], "Arabic": ["ara"], "Hebrew": ["heb"], "Devanagari": ["hin"],
+    "Japanese": ["jpn"], "Hangul": ["kor"], "Han": ["chi_sim", "chi_tra"], "Thai": ["tha"], "Bengali": ["ben"], "Tamil": ["tam"],
+    "Telugu": ["tel"], "Kannada": ["kan"], "Malayalam": ["mal"], "Gujarati": ["guj"], "Gurmukhi": ["pan"],
+}
+DEFAULT_PACKS = ["eng", "deu", "deu_latf", "fra", "rus", "lat"]
+
+
+def recogniser_packs(iso: Column, script: Column, installed: list[str] | None = None) -> Column:
+    """Packs of a known script, whatever the language; else of the language (German with
+    its black-letter pack); else the default union. English comes last. ``installed``
+    restricts them; without one it is every pack named here."""
+    have = sorted({*PACKS.values(), *(p for ps in SCRIPT_PACKS.values() for p in ps), *DEFAULT_PACKS}) if installed is None else installed
+    names = lambda ps: F.array(*[F.lit(p) for p in ps if p in have]).cast("array<string>")
+    table = lambda m: F.create_map(*[x for k, ps in m.items() for x in (F.lit(k), names(ps))])
+    languages = {k: [v, "deu_latf"] if v == "deu" and "deu" in have else [v] for k, v in PACKS.items()}
+    by_script = table(SCRIPT_PACKS)[script]
+    chosen = F.when(by_script.isNotNull(), by_script).otherwise(F.coalesce(table(languages)[iso], names([])))
+    english = names(["eng"])
+    union = F.array_union(names(DEFAULT_PACKS), english)
+    return F.when(F.size(chosen) > 0, F.array_union(chosen, english)).otherwise(union)
+
+
+#: Marks of a vendor's cover page in place of a text layer (fixed values).
+VENDOR_MARKS = ("ProQuest ebrary", "biodiversitylibrary.org", "This page intentionally left blank")
+
+
+def vendor_banner(c: Column, most: int = 5000) -> Column:
+    """Whether a text is little more than a vendor's banner."""
+    marked = F.lit(False)
+    for m in VENDOR_MARKS:
+        marked |= F.contains(c, F.lit(m))
+    return marked & (F.char_length(c) < most)
+
+
+def json_strings(c: Column) -> Column:
+    """All string leaves of a JSON text, in order of appearance; null for malformed JSON."""
+
+    @F.pandas_udf("array<string>")  # a session exists here
+    def leaves(s: pd.Series) -> pd.Series:
+        def walk(x, out: list) -> list:
+            for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+                walk(y, out)
+            if isinstance(x, str):
+                out.append(x)
+            return out
+
+        def one(text: str | None) -> list | None:
+            try:
+                return None if text is None else walk(json.loads(text), [])
+            except ValueError:
+                return None
+
+        return s.map(one)
+
+    return leaves(c)

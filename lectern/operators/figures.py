@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import figure_number, preview
+from ..functions.text import FIGURE_PREFIX, figure_number, preview
 
 REAL = ("figure", "plate", "subpanel")
 PAGE_AREA = 500_000
@@ -18,34 +18,49 @@ def real_figures(figures: DataFrame) -> DataFrame:
     return figures.where(F.col("figure_type").isin(*REAL))
 
 
+#: Least side in points and least share of the page (fixed values).
+MIN_SIDE, MIN_SHARE = 50, 0.03
+#: Caption of a plate; Roman numbers count, too.
+PLATE = r"(?iu)^\s*(?:plate|pl\.?|tafel|planche)\s*(?:\d+|[ivxlcdm]+\b)"
+
+
 def figure_type(width: Column, height: Column, caption: Column, page_area: int = PAGE_AREA) -> Column:
-    """Small and uncaptioned things are graphical elements; then plates by their prefix
-    (Roman numbers too), numbered captions, large captioned ones, the rest."""
-    text = F.trim(F.coalesce(caption, F.lit("")))
-    small = (F.least(width, height) < 50) | (width * height < 0.03 * page_area)
+    """Things with a short side, or small and uncaptioned, are graphical elements; then
+    plates by their caption, captions with a number, large captioned ones, the rest. An
+    unknown size (null or 0) rules nothing out."""
+    text = F.coalesce(caption, F.lit(""))
+    w, h = F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0))
+    area, least = w * h, MIN_SHARE * page_area
     return (
-        F.when(small & (text == ""), "graphical_element")
-        .when(text.rlike(r"(?i)^(plate|pl\.?|taf(el|\.)?|planche)\s*(\d+|[ivxlc]+\b)"), "plate")
+        F.when((w != 0) & (h != 0) & (F.least(w, h) < MIN_SIDE), "graphical_element")
+        .when((area > 0) & (area < least) & (text == ""), "graphical_element")
+        .when(text.rlike(PLATE), "plate")
         .when(figure_number(text).isNotNull(), "figure")
-        .when((text != "") & (width * height >= 0.1 * page_area), "figure")
+        .when((text != "") & (area > least), "figure")
         .otherwise("unclassified")
     )
 
 
-MENTION = r"(?i)\b(?:figs?\.?|figures?|abb\.?|abbildung(?:en)?)\s*(\d+[a-z]?)"
+#: A figure's number in running text; of what is missing, not the first of two numbers.
+REFERENCE = rf"(?iu)\b(?:{FIGURE_PREFIX})\s*(\d+)"
+MENTION = rf"(?iu)\b(?:{FIGURE_PREFIX})\s*(\d+)(?![\w.,]\d)"
+#: What follows a number that is only referred to, up to eight characters on (fixed value).
+CLOSING = r"^[A-Z]?[,\s\-\u2013A-Z]*\)"
 
 
 def figure_references(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, figure_number of every mention of a number in a chunk."""
-    return chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1)), F.lower))).alias("figure_number"))
+    """doc_id, chunk_id, figure_number of every number that a chunk refers to."""
+    return chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)))).alias("figure_number"))
 
 
 def link_chunks(chunks: DataFrame, figures: DataFrame) -> DataFrame:
-    """chunk and figure pairs on the figure number; a number with a letter links to the
-    figure without it as well."""
-    refs = figure_references(chunks)
-    bare = refs.withColumn("figure_number", F.regexp_extract("figure_number", r"^(\d+)", 1))
-    return refs.union(bare).distinct().join(figures.select("doc_id", "figure_id", "figure_number"), ["doc_id", "figure_number"]).select("doc_id", "chunk_id", "figure_id").distinct()
+    """chunk and figure pairs on the figure number; a figure without one takes it from its
+    caption, if the figures have that."""
+    number = F.nullif(F.col("figure_number"), F.lit(""))
+    if "caption_text" in figures.columns:
+        number = F.coalesce(number, figure_number(F.col("caption_text")))
+    figs = figures.select("doc_id", "figure_id", number.alias("figure_number"))
+    return figure_references(chunks).join(figs, ["doc_id", "figure_number"]).select("doc_id", "chunk_id", "figure_id").distinct()
 
 
 def chunk_figure_refs(links: DataFrame) -> DataFrame:
@@ -59,22 +74,23 @@ def figure_chunks(links: DataFrame, most: int) -> DataFrame:
 
 
 def missing_figures(texts: DataFrame, figures: DataFrame) -> DataFrame:
-    """Mentioned numbers that no figure has: numbers far above the document's own highest
-    (twice, or ten more) are left out, and so are those only ever followed by a closing
-    bracket, which are references to other papers. texts: doc_id, text."""
-    hits = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(MENTION + r"\s*(.?)"), F.lit(0))).alias("hit"))
-    hits = hits.select("doc_id", F.regexp_extract("hit", r"(\d+)", 1).alias("figure_number"), F.col("hit").rlike(r"[\])]$").alias("closing"))
+    """Mentioned numbers that no figure has, and how often they are mentioned: numbers far
+    above the document's own highest (twice, or ten more) are left out, and so are those
+    only ever followed by a closing bracket. texts: doc_id, text."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1)).alias("number"), F.regexp_extract_all("text", F.lit(MENTION + r"(?=([\s\S]{0,8}))"), F.lit(2)).alias("after"))
+    hits = texts.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.col("p.number").alias("figure_number"), F.col("p.after").rlike(CLOSING).alias("closing"))
     counted = hits.groupBy("doc_id", "figure_number").agg(F.count(F.lit(1)).alias("mention_count"), F.bool_and("closing").alias("all_closing"))
-    own = figures.groupBy("doc_id").agg(F.max(F.regexp_extract("figure_number", r"(\d+)", 1).try_cast("int")).alias("own_max"))
-    known = figures.select("doc_id", F.regexp_extract("figure_number", r"(\d+)", 1).alias("figure_number"))
-    out = counted.join(known, ["doc_id", "figure_number"], "left_anti").join(own, "doc_id", "left")
+    own = figures.where(F.col("figure_number").rlike(r"^\d+$")).groupBy("doc_id").agg(F.max(F.col("figure_number").try_cast("int")).alias("own_max"))
+    out = counted.join(figures.select("doc_id", "figure_number"), ["doc_id", "figure_number"], "left_anti").join(own, "doc_id", "left")
     top = F.greatest(2 * F.col("own_max"), F.col("own_max") + 10)
-    return out.where(~F.col("all_closing") & (F.col("own_max").isNull() | (F.col("figure_number").cast("int") <= top))).select("doc_id", "figure_number", "mention_count")
+    own_max = F.nullif("own_max", F.lit(0))
+    return out.where(~F.col("all_closing") & (own_max.isNull() | (F.col("figure_number").cast("decimal(38,0)") <= top))).select("doc_id", "figure_number", "mention_count")
 
 
 def caption_candidates(texts: DataFrame, longest: int = 600) -> DataFrame:
-    """Longest stretch from a mention of each number to the next mention."""
-    parts = texts.select("doc_id", F.posexplode(F.split("text", r"(?i)(?=\b(?:figs?\.?|figures?|abb\.?|abbildung)\s*\d)")).alias("nth", "part"))
+    """Longest stretch from a mention of each number to the next mention; the first of
+    equally long ones."""
+    parts = texts.select("doc_id", F.posexplode(F.split("text", rf"(?iu)(?=\b(?:{FIGURE_PREFIX})\s*\d)")).alias("nth", "part"))
     parts = parts.withColumn("figure_number", F.regexp_extract("part", r"^" + MENTION, 1)).where("figure_number <> ''")
     cut = F.trim(F.substring("part", 1, longest))
     return parts.groupBy("doc_id", "figure_number").agg(F.max_by(cut, F.struct(F.char_length(cut), -F.col("nth"))).alias("candidate_caption"))
@@ -138,6 +154,25 @@ def overlap_groups(figures: DataFrame, drop: float = 0.5) -> DataFrame:
     return figures.groupBy("doc_id", "figure_number").applyInPandas(keep, figures.schema)
 
 
+def panel_letters(figures: DataFrame, contained: float = 0.8) -> DataFrame:
+    """Boxes left of one document and number: where the largest holds at least
+    ``contained`` of each other's area, it is the figure and they are its subpanels;
+    else all are panels. Panels are lettered in reading order; a lone box has no letter."""
+    w = Window.partitionBy("doc_id", "figure_number")
+    area = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
+    box = F.struct("x0", "y0", "x1", "y1")
+    sized = figures.withColumn("_area", area).withColumns({"_n": F.count(F.lit(1)).over(w), "_top": F.max_by(F.struct("figure_id", box.alias("b"), F.col("_area").alias("area")), F.struct("_area", F.col("figure_id"))).over(w)})
+    lead = F.col("figure_id") == F.col("_top.figure_id")
+    wide = F.least("x1", "_top.b.x1") - F.greatest("x0", "_top.b.x0")
+    high = F.least("y1", "_top.b.y1") - F.greatest("y0", "_top.b.y0")
+    held = lead | (F.greatest(F.lit(0.0), wide) * F.greatest(F.lit(0.0), high) >= contained * F.col("_area"))
+    sized = sized.withColumn("_whole", F.bool_and(held).over(w) & (F.col("_n") > 1)).withColumn("_lead", lead)
+    order = Window.partitionBy("doc_id", "figure_number", F.col("_whole") & F.col("_lead")).orderBy(-F.bround(F.col("y1") / 30) * 30, "x0", "figure_id")
+    letter = F.when((F.col("_n") > 1) & ~(F.col("_whole") & F.col("_lead")), F.char(F.lit(96) + F.row_number().over(order)))
+    kind = F.when(F.col("_whole") & ~F.col("_lead"), "subpanel").otherwise(F.col("figure_type"))
+    return sized.withColumns({"panel_letter": letter, "figure_type": kind}).drop("_area", "_n", "_top", "_whole", "_lead")
+
+
 def nearest_captions(pictures: DataFrame, captions: DataFrame, penalty: float = 1000.0) -> DataFrame:
     """Caption of each picture: least vertical gap on its page, or with a penalty on the
     next one. The page equality keeps it an equi-join."""
@@ -165,8 +200,16 @@ def compound_name(prefix: str, numbers: Column, extension: str) -> Column:
     return F.concat(F.lit(prefix), joined, F.lit(extension))
 
 
-def figure_filename(kind: Column, number: Column, page: Column, figure_id: Column) -> Column:
-    return F.when(number.isNotNull(), F.concat(F.when(kind == "plate", "plate_").otherwise("fig_"), number, F.lit(".png"))).otherwise(F.concat(F.lit("p"), page.cast("string"), F.lit("_"), figure_id, F.lit(".png")))
+def figure_filename(kind: Column, number: Column, letter: Column, idx: Column) -> Column:
+    """File of a figure by its type, number and panel letter, else by its index."""
+    i = idx.cast("string")
+    named = lambda stem, other: F.when(number.isNotNull() & (number != ""), F.concat(F.lit(stem), number, F.coalesce(F.concat(F.lit("_"), F.nullif(letter, F.lit(""))), F.lit("")))).otherwise(F.concat(F.lit(other), i))
+    sub = F.when((number != "") & (letter != ""), F.concat(F.lit("fig_"), number, F.lit("_"), letter)).otherwise(F.concat(F.lit("_subpanel_"), i))
+    stem = (
+        F.when(kind == "figure", named("fig_", "fig_docling_")).when(kind == "plate", named("plate_", "plate_docling_")).when(kind == "subpanel", sub)
+        .when(kind == "graphical_element", F.concat(F.lit("_graphic_"), i)).otherwise(F.concat(F.lit("_unclassified_"), i))
+    )
+    return F.concat(stem, F.lit(".png"))
 
 
 def numeric_key(number: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import NOT_WORD
 
 
+#: Variants of a lexicon: it is a configuration file, not data.
+MAX_VARIANTS = 200_000
+
+
 def category_pattern(variants: list[str]) -> str:
     """One alternation, longest variant first; underscores stand for spaces."""
     spelled = sorted({v.replace("_", " ").lower() for v in variants}, key=lambda v: (-len(v), v))
@@ -18,11 +22,14 @@ def category_pattern(variants: list[str]) -> str:
 
 def mentions(chunks: DataFrame, lexicon: DataFrame, by: list[str]) -> DataFrame:
     """category, canonical and ``by`` for every whole-word, case-insensitive match of a
-    variant. lexicon: category, canonical, variant; a configuration table.
+    variant. lexicon: category, canonical, variant; a configuration table, which is read to
+    the driver (``MAX_VARIANTS`` rows are checked).
 
     Where all variants are single words the text is split into words once and joined;
     else each category's alternation is run, longest variant first."""
-    rows = [(r["category"], r["canonical"], r["variant"]) for r in lexicon.select("category", "canonical", "variant").collect()]
+    rows = [(r["category"], r["canonical"], r["variant"]) for r in lexicon.select("category", "canonical", "variant").limit(MAX_VARIANTS + 1).collect()]
+    if len(rows) > MAX_VARIANTS:
+        raise ValueError(f"a lexicon of more than {MAX_VARIANTS} variants")
     if all(re.fullmatch(r"\w+", v) and "_" not in v for _, _, v in rows):
         tokens = chunks.select(*by, F.explode(F.split(F.lower("text"), NOT_WORD)).alias("variant"))
         return tokens.join(lexicon.select("category", "canonical", F.lower("variant").alias("variant")), "variant").select("category", "canonical", *by)
@@ -84,17 +91,22 @@ def row_set(docs: DataFrame, hashes: list[str] | None = None, year_from: int | N
 
 
 def chunk_cooccurrence(taxon_chunks: DataFrame, term_chunks: DataFrame, top_n: int = 25, examples: int = 5) -> DataFrame:
-    """Terms in the chunks of a taxon: distinct chunks and documents, sample documents.
-    Both sides have (doc_id, chunk_id); each chunk counts once."""
+    """Terms in the chunks of a taxon: distinct chunks and documents, and the ``examples``
+    smallest documents. Both sides have (doc_id, chunk_id); each chunk counts once. Counts
+    are by document first; only the top terms' first documents are collected."""
     both = term_chunks.select("canonical", "doc_id", "chunk_id").distinct().join(taxon_chunks.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"])
-    out = both.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, examples).alias("examples"))
-    return out.orderBy(F.desc("n_chunks"), "canonical").limit(top_n)
+    by_doc = both.groupBy("canonical", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    top = by_doc.groupBy("canonical").agg(F.sum("n").alias("n_chunks"), F.count(F.lit(1)).alias("n_documents")).orderBy(F.desc("n_chunks"), "canonical").limit(top_n)
+    rank = F.row_number().over(Window.partitionBy("canonical").orderBy("doc_id"))
+    shown = by_doc.join(top.select("canonical"), "canonical", "left_semi").withColumn("rn", rank).where(F.col("rn") <= examples)
+    shown = shown.groupBy("canonical").agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
+    return top.join(shown, "canonical").orderBy(F.desc("n_chunks"), "canonical")
 
 
 def category_or_error(counts: DataFrame, category: str) -> str:
-    known = sorted(r[0] for r in counts.select("category").distinct().collect())
-    if category.lower() not in known:
-        raise ValueError(f"unknown category {category!r}; available: {', '.join(known)}")
+    if counts.where(F.col("category") == category.lower()).isEmpty():
+        known = counts.select("category").distinct().orderBy("category").limit(100)  # for the message
+        raise ValueError(f"unknown category {category!r}; available: {', '.join(r[0] for r in known.collect())}")
     return category.lower()
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import script_counts, suspicious_share
+from ..functions.text import SCRIPTS, script_counts, suspicious_share
 
 
 def gibberish(docs: DataFrame) -> DataFrame:
@@ -13,12 +13,11 @@ def gibberish(docs: DataFrame) -> DataFrame:
 
 
 def script_fractions(docs: DataFrame) -> DataFrame:
-    """Share of letters of each script; the rest is ``other``."""
-    counted = docs.select("doc_id", *[c.alias(k) for k, c in script_counts(F.col("text")).items()])
+    """Share of letters of each of four writing systems; the rest is ``other``."""
+    counted = docs.select("doc_id", script_counts(F.col("text")).alias("n")).select("doc_id", "n.*")
     share = lambda n: F.when(F.col("letters") > 0, n / F.col("letters")).otherwise(0.0)
-    named = [k for k in ("latin", "cyrillic", "greek", "han")]
-    other = F.col("letters") - sum((F.col(k) for k in named), F.lit(0))
-    return counted.select("doc_id", *[share(F.col(k)).alias(k) for k in named], share(F.greatest(other, F.lit(0))).alias("other"))
+    other = F.col("letters") - sum((F.col(k) for k in SCRIPTS), F.lit(0))
+    return counted.select("doc_id", *[share(F.col(k)).alias(k) for k in SCRIPTS], share(other).alias("other"))
 
 
 def upper_median(values: Column) -> Column:
@@ -29,25 +28,39 @@ def upper_median(values: Column) -> Column:
 def upper_median_length(chunks: DataFrame) -> DataFrame:
     """Per document. By counts of equal lengths, so that no array of a whole document is
     built: the first length at which half of the chunks are passed."""
-    from pyspark.sql import Window
-
     sizes = chunks.groupBy("doc_id", F.char_length("text").alias("len")).agg(F.count(F.lit(1)).alias("n"))
     run = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("doc_id").orderBy("len"))).withColumn("all", F.sum("n").over(Window.partitionBy("doc_id")))
     return run.where(F.col("upto") > F.expr("all div 2")).groupBy("doc_id").agg(F.min("len").alias("median_len"), F.first("all").alias("n_chunks"))
 
 
-def gates(docs: DataFrame, chunks: DataFrame, min_chars: int = 200, min_median: int = 100, max_odd: float = 0.4, max_chunks: int = 1000) -> DataFrame:
-    """doc_id, gate, metric: a row for each gate that a document fails."""
-    sized = docs.select("doc_id", F.char_length("text").alias("n"), suspicious_share(F.col("text")).alias("odd")).join(upper_median_length(chunks), "doc_id", "left")
-    rules = {
-        "short_text": (F.col("n") < min_chars, F.col("n").cast("double")),
-        "gibberish": (F.col("odd") > max_odd, F.round("odd", 6)),
-        "no_chunks": (F.col("n_chunks").isNull(), F.lit(0.0)),
-        "small_chunks": (F.col("median_len") < min_median, F.col("median_len").cast("double")),
-        "too_many_chunks": (F.col("n_chunks") > max_chunks, F.col("n_chunks").cast("double")),
-    }
-    flags = F.array(*[F.when(bad, F.struct(F.lit(k).alias("gate"), metric.alias("metric"))) for k, (bad, metric) in rules.items()])
-    return sized.select("doc_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.gate", "f.metric")
+#: Thresholds of the gates (fixed values).
+MIN_CHARS, MIN_CHARS_PER_PAGE, MAX_GIBBERISH, MIN_PAGES_FOR_REFERENCES, MIN_MEDIAN_CHARS, MIN_INTENSITY, MAX_FIGURES = 500, 200, 0.5, 5, 50, 10, 50
+
+
+def gates(docs: DataFrame, chunks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """doc_id, gate, severity, metric: a row for each gate that a document fails.
+
+    docs: doc_id, text, n_pages, n_references, needs_ocr. chunks: doc_id, text. figures, if
+    their pictures have been read: doc_id, seq, mean_intensity (the first MAX_FIGURES of a
+    document count). The gibberish score is of the whole text."""
+    sized = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n"), F.coalesce("n_pages", F.lit(0)).alias("pages"), F.coalesce("n_references", F.lit(0)).alias("refs"), F.when(F.coalesce("needs_ocr", F.lit(False)), suspicious_share(F.col("text"))).alias("odd"))
+    sized = sized.join(upper_median_length(chunks), "doc_id", "left")
+    if figures is not None:
+        first = figures.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).where(F.col("rn") <= MAX_FIGURES)
+        seen = first.where("mean_intensity is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("mean_intensity") < MIN_INTENSITY, 1)).alias("black"))
+        sized = sized.join(seen, "doc_id", "left")
+    density = F.col("n") / F.nullif("pages", F.lit(0))
+    rules = [
+        ("empty_text", "error", F.col("n") < MIN_CHARS, F.col("n")),
+        ("low_text_density", "warn", density < MIN_CHARS_PER_PAGE, F.round(density, 1)),
+        ("gibberish_after_ocr", "error", F.col("odd") > MAX_GIBBERISH, F.round("odd", 3)),
+        ("zero_references_unexpected", "warn", (F.col("pages") >= MIN_PAGES_FOR_REFERENCES) & (F.col("refs") == 0), F.col("pages")),
+        ("single_token_chunks", "warn", F.col("median_len") < MIN_MEDIAN_CHARS, F.col("median_len")),
+    ]
+    if figures is not None:
+        rules.append(("all_black_figures", "warn", F.col("black") / F.col("seen") > 0.5, F.col("black")))
+    flags = F.array(*[F.when(bad, F.struct(F.lit(k).alias("gate"), F.lit(severity).alias("severity"), metric.cast("double").alias("metric"))) for k, severity, bad, metric in rules])
+    return sized.select("doc_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
 
 
 def status(runs: DataFrame) -> DataFrame:
@@ -66,8 +79,10 @@ def failure_grouping_sets(failures: DataFrame) -> DataFrame:
 
 
 def worst_documents(runs: DataFrame, limit: int) -> DataFrame:
-    """Documents by distinct failing stages."""
-    return runs.where(~F.col("ok")).groupBy("doc_id").agg(F.countDistinct("stage").alias("n_stages"), F.count(F.lit(1)).alias("n_failures")).orderBy(F.desc("n_stages"), F.desc("n_failures"), "doc_id").limit(limit)
+    """Documents by distinct failures: (reason, stage) where reasons are known, else stages."""
+    what = ["reason_code", "stage"] if "reason_code" in runs.columns else ["stage"]
+    failed = runs.where(~F.col("ok"))
+    return failed.groupBy("doc_id").agg(F.countDistinct(*[F.coalesce(F.col(c), F.lit("")) for c in what]).alias("n_kinds"), F.count(F.lit(1)).alias("n_failures")).orderBy(F.desc("n_kinds"), F.desc("n_failures"), "doc_id").limit(limit)
 
 
 def propose_skips(flags: DataFrame, unserved: DataFrame, min_flags: int = 2) -> DataFrame:
@@ -96,22 +111,32 @@ def call_stats(calls: DataFrame) -> DataFrame:
     return calls.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.sum((~F.col("ok")).cast("int")).alias("errors"), F.round(F.avg("ms"), 1).alias("mean_ms"))
 
 
+#: Exception classes by what they mean (fixed values).
+TOO_LARGE = ("HugeDocumentError", "_HugeDocumentError")
+COMMAND_TIMEOUT = ("TimeoutExpired",)
+CONNECTION = ("ConnectionError", "ProxyError", "SSLError", "ConnectTimeout", "Timeout", "ReadTimeout")
+UNAVAILABLE = ("GrobidUnavailableError", "HTTPError", *CONNECTION)
+RETRY_STATUS = (408, 429, 500, 502, 503, 504)
+
+
 def reason_code(kind: Column, message: Column) -> Column:
-    """Code of a failure from its exception class and message."""
+    """Code of a failure from its exception's class, then from its message."""
     low = F.lower(F.coalesce(message, F.lit("")))
+    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     return (
-        F.when(low.contains("timeout") | kind.contains("Timeout"), "timeout")
-        .when(low.contains("memory") | (kind == "MemoryError"), "out_of_memory")
-        .when(kind.isin("ConnectionError", "HTTPError"), "service_unavailable")
-        .when(kind.isin("FileNotFoundError", "PermissionError", "OSError"), "io_error")
-        .when(kind.isin("ValueError", "KeyError", "JSONDecodeError"), "bad_data")
-        .otherwise("unexpected")
+        F.when(kind.isin(*TOO_LARGE), "too_large")
+        .when(kind.isin(*COMMAND_TIMEOUT), "timeout")
+        .when(kind.isin(*UNAVAILABLE), "external_unavailable")
+        .when(has("encrypted", "password"), "unsupported_format")
+        .when(has("corrupt", "invalid pdf", "syntax error"), "corrupted")
+        .otherwise("crash")
     )
 
 
-def transient(status_code: Column) -> Column:
-    """Whether a failed call is worth another try."""
-    return F.coalesce(status_code.isin(408, 425, 429, 500, 502, 503, 504), F.lit(True))
+def transient(kind: Column, status_code: Column) -> Column:
+    """Whether a failed call is worth another try: a failed connection or a time-out, or an
+    HTTP error with one of some codes; nothing else."""
+    return F.coalesce(kind.isin(*CONNECTION) | ((kind == "HTTPError") & status_code.isin(*RETRY_STATUS)), F.lit(False))
 
 
 def scan_state(n_chars: Column, banner: Column, odd: Column, script_matches: Column, min_chars: int = 100, max_odd: float = 0.4) -> Column:

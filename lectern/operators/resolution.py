@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
-from ..functions.text import alias_key, fold_key, letter_count, normalize_doi, surname_of, surrogate_id
+from ..functions.text import alias_key, fold_key, letter_count, normalize_doi, surrogate_id
 from ..plans.runtime import checkpointed
 from .works import in_degree
 
@@ -15,72 +15,109 @@ from .works import in_degree
 def best_title_match(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
     """For each row of ``left`` (id, title) the best ``right`` row in its block by
     (token set, ratio), then the smallest id. Equal titles of a block are scored once."""
-    titles = left.select(F.col("title").alias("a"), *block).distinct()
-    others = right.groupBy(F.col("title").alias("b"), *block).agg(F.min("id").alias("other"))
-    scored = titles.join(others, block).withColumns({"token_set": fuzzy.token_set_ratio("a", "b"), "ratio": fuzzy.indel_ratio("a", "b")})
-    best = F.max(F.struct("token_set", "ratio", (-F.col("other")).alias("neg")))
-    found = scored.groupBy("a", *block).agg(best.alias("m"))
-    same = F.col("title").eqNullSafe(F.col("a"))
-    for c in block:
-        same &= F.col(f"l.{c}") == F.col(f"r.{c}")
-    return left.alias("l").join(found.alias("r"), same).select("id", (-F.col("m.neg")).alias("match_id"), "m.token_set", "m.ratio")
+    keys = [f"_k{i}" for i in range(len(block))]
+    keyed = lambda df: df.select("id", "title", *[F.col(f"`{c}`").alias(k) for c, k in zip(block, keys, strict=True)])
+    left, right = keyed(left), keyed(right)
+    titles = left.select(F.col("title").alias("_a"), *keys).distinct()
+    others = right.groupBy(F.col("title").alias("_b"), *keys).agg(F.min("id").alias("_other"))
+    scored = titles.join(others, keys).withColumns({"_set": fuzzy.token_set_ratio("_a", "_b"), "_ratio": fuzzy.indel_ratio("_a", "_b")})
+    best = F.min(F.struct((-F.col("_set")).alias("s"), (-F.col("_ratio")).alias("r"), "_other"))
+    found = scored.groupBy("_a", *keys).agg(best.alias("m"))
+    same = left["title"].eqNullSafe(found["_a"])
+    for k in keys:
+        same &= left[k] == found[k]
+    return left.join(found, same).select("id", F.col("m._other").alias("match_id"), (-F.col("m.s")).alias("token_set"), (-F.col("m.r")).alias("ratio"))
+
+
+#: Particles that belong to the surname of a reference's author (fixed values).
+PARTICLES = "van|von|de|di|le|la|du|del|der|den|dos"
+
+
+def reference_surname(author: Column) -> Column:
+    """Last word of a name, with the particles before it, or what is before a comma; folded."""
+    name = F.trim(F.regexp_replace(author, r"\s+", " "))
+    return fold_key(F.when(F.contains(name, F.lit(",")), F.substring_index(name, ",", 1)).otherwise(F.regexp_extract(name, rf"(?i)((?:\b(?:{PARTICLES}) )*\S+)$", 1)))
 
 
 def resolve_references(refs: DataFrame, works: DataFrame, min_set: int = 85, min_ratio: int = 60) -> DataFrame:
     """doc_hash, ref_id, work_id, match_method, match_score for every reference.
 
-    References (doc_hash, ref_id, title, authors, year, doi) and works (work_id, title,
-    surname, year, doi). Equal DOIs and equal alias keys are equal works whatever the
-    order, so those two steps are joins. What is left may match works that earlier
-    references have made: it is worked through in the order (doc_hash, ref_id) inside
-    its block, all references of one folded first surname, where title matches live.
-    """
-    r = refs.select("doc_hash", "ref_id", "title", "year", normalize_doi(F.col("doi")).alias("doi"), fold_key(surname_of(F.try_element_at("authors", F.lit(1)))).alias("surname"))
-    r = r.withColumns({"surname": F.coalesce("surname", F.lit("")), "folded": fold_key(F.col("title"))})
-    r = checkpointed(r.withColumn("alias", alias_key(F.col("surname"), F.col("year"), F.col("title"))))
+    References: doc_hash, ref_id, title, authors, year, doi, and raw and ref_position if
+    they have them. Works: work_id (string), title, surname, year, doi. A reference goes, in
+    the order (doc_hash, ref_position, ref_id), to the work of its DOI, else of its alias (folded first surname, year, title
+    or raw text), else of the best title of that surname and year, or without a title to
+    the only work of surname and year; else to a new work, which later ones may find.
+
+    A DOI is looked up before anything else, so the first reference with a new one makes
+    the work, and the others of it meet by a join. A reference without an author can have
+    neither alias nor candidates: its work follows from its text. The rest is worked
+    through in order inside its block: one surname and year, or the whole surname where one
+    of its references has no year and so sees all years. Works that a DOI makes take
+    part in their block from their place in the order on."""
+    raw = F.col("raw") if "raw" in refs.columns else F.lit(None).cast("string")
+    place = F.col("ref_position").cast("long") if "ref_position" in refs.columns else F.lit(0).cast("long")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    r = refs.select("doc_hash", place.alias("place"), "ref_id", blank("title").alias("title"), blank(raw).alias("raw"), F.nullif("year", F.lit(0)).alias("year"), normalize_doi(F.col("doi")).alias("doi"), F.coalesce(reference_surname(F.try_element_at("authors", F.lit(1))), F.lit("")).alias("surname"))
+    r = r.withColumns({"folded": fold_key("title"), "named": F.when(F.col("title") != "", F.col("title")).otherwise(F.col("raw"))})
+    r = checkpointed(r.withColumn("alias", F.when((F.col("surname") != "") & (F.col("named") != ""), alias_key(F.col("surname"), F.col("year"), F.col("named")))))
     by_doi = works.where("doi is not null").groupBy(normalize_doi(F.col("doi")).alias("doi")).agg(F.min("work_id").alias("doi_work"))
-    by_alias = works.where("title is not null").groupBy(alias_key(F.col("surname"), F.col("year"), F.col("title")).alias("alias")).agg(F.min("work_id").alias("alias_work"))
-    step = r.join(by_doi, "doi", "left").join(by_alias, "alias", "left")
-    new_doi = F.when(F.col("doi").isNotNull(), F.concat(F.lit("doi:"), "doi"))
-    titled = F.coalesce(F.trim("title"), F.lit("")) != ""
-    sure = F.coalesce("doi_work", new_doi, F.when(titled, F.col("alias_work")))
-    method = F.when(F.col("doi").isNotNull(), "doi").when(titled & F.col("alias_work").isNotNull(), "alias")
-    step = checkpointed(step.select("doc_hash", "ref_id", "surname", "year", "folded", "alias", sure.alias("work_id"), method.alias("match_method")))
-    known = works.select("work_id", fold_key(F.col("surname")).alias("surname"), "year", fold_key(F.col("title")).alias("folded"))
-    done = step.where("work_id is not null")
-    rest = step.where("work_id is null")
-    rows = rest.select("surname", "doc_hash", "ref_id", "year", "folded", "alias", F.lit(None).cast("string").alias("work_id")).unionByName(
-        known.join(rest.select("surname").distinct(), "surname", "left_semi").select("surname", F.lit(None).cast("string").alias("doc_hash"), F.lit(None).cast("string").alias("ref_id"), "year", "folded", F.lit(None).cast("string").alias("alias"), F.col("work_id").cast("string"))
-    )
+    with_doi = r.where("doi is not null").join(by_doi, "doi", "left")
+    first = with_doi.where("doi_work is null").groupBy("doi").agg(F.min(F.struct("doc_hash", "place", "ref_id")).alias("f")).select("doi", F.col("f.doc_hash").alias("doc_hash"), F.col("f.ref_id").alias("ref_id"))
+    exact = lambda df, work, method, score: df.select("doc_hash", "ref_id", work.alias("work_id"), F.lit(method).alias("match_method"), F.lit(score).alias("match_score"))
+    done = exact(with_doi, F.coalesce("doi_work", F.concat(F.lit("doi:"), "doi")), "doi_exact", 1.0)
+    nameless = r.where("doi is null and surname = ''")
+    # The first reference of a text makes its work; the insert of the others is ignored.
+    text = F.when(F.col("named") != "", F.col("named")).otherwise(F.concat_ws("_", F.lit("unknown"), "doc_hash", "ref_id"))
+    done = done.unionByName(exact(nameless, F.concat(F.lit("key:unknown|"), F.left(fold_key(text), F.lit(60))), "new", 1.0))
+
+    todo = r.where("doi is null and surname <> ''")
+    made = r.where("surname <> ''").join(first, ["doi", "doc_hash", "ref_id"], "left_semi")
+    known = works.select("work_id", F.coalesce(fold_key("surname"), F.lit("")).alias("surname"), F.nullif("year", F.lit(0)).alias("year"), fold_key(blank("title")).alias("folded"), alias_key(F.col("surname"), F.nullif("year", F.lit(0)), F.col("title")).alias("alias"))
+    rest = todo.groupBy("surname").agg(F.bool_or(F.col("year").isNull()).alias("whole"))
+    row = lambda df, kind, work: df.select("surname", F.lit(kind).alias("kind"), "doc_hash", "place", "ref_id", "year", "folded", "alias", work.alias("work_id"))
+    none = F.lit(None).cast("string")
+    rows = row(todo, 2, none).unionByName(row(made, 1, F.concat(F.lit("doi:"), "doi"))).unionByName(row(known.withColumns({"doc_hash": none, "place": F.lit(None).cast("long"), "ref_id": none}), 0, F.col("work_id")))
+    rows = rows.join(rest, "surname").withColumn("block_year", F.when(~F.col("whole"), F.coalesce("year", F.lit(-1))).otherwise(F.lit(-2)))
 
     def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = [(w.work_id, None if pd.isna(w.year) else int(w.year), w.folded) for w in pdf[pdf.work_id.notna()].sort_values("work_id").itertuples()]
+        works_: list[tuple] = []  # (work_id, year, folded title)
+        ids: set[str] = set()
         aliases: dict[str, str] = {}
         out = []
-        for x in pdf[pdf.work_id.isna()].sort_values(["doc_hash", "ref_id"]).itertuples():
+
+        def add(work: str, year: int | None, folded: str, alias: str | None) -> None:
+            if work not in ids:
+                ids.add(work)
+                works_.append((work, year, folded))
+            if alias is not None:
+                aliases.setdefault(alias, work)
+
+        for x in pdf.sort_values("work_id").loc[lambda d: d["kind"] == 0].itertuples():
+            add(x.work_id, None if pd.isna(x.year) else int(x.year), x.folded, x.alias)
+        for x in pdf[pdf["kind"] > 0].sort_values(["doc_hash", "place", "ref_id"]).itertuples():
             year = None if pd.isna(x.year) else int(x.year)
-            block = [w for w in have if year is None or w[1] == year]
-            if x.folded:
-                if x.alias in aliases:
-                    out.append((x.doc_hash, x.ref_id, aliases[x.alias], "alias", 1.0))
-                    continue
-                scored = [(int(fuzzy.token_set(x.folded, w[2])), int(fuzzy.ratio(x.folded, w[2])), w[0]) for w in block if w[2]]
-                best = max(scored, key=lambda s: (s[0], s[1]), default=None)
-                if best and best[0] >= min_set and best[1] >= min_ratio:
-                    aliases[x.alias] = best[2]
-                    out.append((x.doc_hash, x.ref_id, best[2], "fuzzy", best[0] / 100))
-                    continue
-            elif year is not None and len(block) == 1:
-                out.append((x.doc_hash, x.ref_id, block[0][0], "author_year", 0.6))
+            if x.kind == 1:
+                add(x.work_id, year, x.folded, x.alias)
                 continue
-            fresh = f"key:{x.alias}" if x.folded else f"key:{x.alias}|{x.doc_hash}|{x.ref_id}"
-            aliases[x.alias] = fresh
-            have.append((fresh, year, x.folded))
-            out.append((x.doc_hash, x.ref_id, fresh, "new", 0.5))
+            found = (aliases[x.alias], "alias_exact", 1.0) if x.alias is not None and x.alias in aliases else None
+            candidates = [w for w in works_ if year is None or w[1] == year] if found is None else []
+            if found is None and x.folded:
+                scored = [(int(fuzzy.token_set(x.folded, w[2])), int(fuzzy.ratio(x.folded, w[2])), w[0]) for w in candidates if w[2]]
+                best = max(scored, key=lambda s: s[:2], default=None)
+                if best and best[0] >= min_set and best[1] >= min_ratio:
+                    aliases.setdefault(x.alias, best[2])
+                    found = best[2], "title_fuzzy", best[0] / 100
+            elif found is None and year is not None and len(candidates) == 1:
+                found = candidates[0][0], "author_year_only", 0.6
+            if found is None:
+                fresh = f"key:{x.alias}" if x.alias is not None else f"key:{x.surname}|{year or 'unknown'}||{x.doc_hash}|{x.ref_id}"
+                add(fresh, year, x.folded, x.alias)
+                found = fresh, "new", 1.0
+            out.append((x.doc_hash, x.ref_id, *found))
         return pd.DataFrame(out, columns=["doc_hash", "ref_id", "work_id", "match_method", "match_score"])
 
     schema = "doc_hash string, ref_id string, work_id string, match_method string, match_score double"
-    return done.select("doc_hash", "ref_id", F.col("work_id").cast("string"), "match_method", F.lit(1.0).alias("match_score")).unionByName(rows.groupBy("surname").applyInPandas(cascade, schema))
+    return done.unionByName(rows.groupBy("surname", "block_year").applyInPandas(cascade, schema))
 
 
 def closed_mapping(mapping: DataFrame, max_rounds: int = 32) -> DataFrame:
@@ -119,9 +156,9 @@ def apply_merge(works: DataFrame, authors: DataFrame, citations: DataFrame, mapp
 def ghost_merges(works: DataFrame, citations: DataFrame, by: list[str], fragment: int = 20, min_set: int = 95, min_ratio: int = 40) -> DataFrame:
     """old_id -> new_id: within a family (``by``) the works that are not held and are a
     fragment, an empty title or a variant of the canonical one, the most cited with a
-    whole title. Held works never go."""
+    whole title (then the smallest id). Held works never go."""
     rows = works.join(in_degree(citations), "work_id", "left").na.fill(0, ["n_citations"]).withColumn("letters", letter_count(F.coalesce("title", F.lit(""))))
-    lead = rows.where(F.col("letters") >= fragment).groupBy(*by).agg(F.max_by(F.struct("work_id", "title"), F.struct("n_citations", F.hash("work_id"))).alias("c"))
+    lead = rows.where(F.col("letters") >= fragment).groupBy(*by).agg(F.min(F.struct((-F.col("n_citations")).alias("n"), "work_id", "title")).alias("c"))
     pairs = rows.join(lead, by).where((~F.col("held")) & (F.col("work_id") != F.col("c.work_id")))
     scored = pairs.withColumns({"s": fuzzy.token_set_ratio(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.col("c.title"))), "r": fuzzy.indel_ratio(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.col("c.title")))})
     return scored.where((F.col("letters") < fragment) | ((F.col("s") >= min_set) & (F.col("r") >= min_ratio))).select(F.col("work_id").alias("old_id"), F.col("c.work_id").alias("new_id"))

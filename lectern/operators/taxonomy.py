@@ -23,20 +23,22 @@ def resolve_names(asked: DataFrame, names: DataFrame, taxa: DataFrame) -> DataFr
 
 
 def ancestors(taxa: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
-    """start (taxon_id) -> (taxon_id, depth, ancestor_id), parent first. A cycle or a
-    missing parent ends the walk. A recursive query: depth rounds of one join."""
-    return taxa.sparkSession.sql(
-        f"""
-        with recursive walk(taxon_id, depth, ancestor_id, path) as (
-          select s.taxon_id, 0, s.taxon_id, array(s.taxon_id) from {{start}} s
-          union all
-          select w.taxon_id, w.depth + 1, p.taxon_id, concat(w.path, array(p.taxon_id))
-          from walk w join {{taxa}} c on c.taxon_id = w.ancestor_id join {{taxa}} p on p.taxon_id = c.parent_name_usage_id
-          where w.depth < {max_depth} and not array_contains(w.path, p.taxon_id))
-        select taxon_id, depth, ancestor_id from walk where depth > 0""",
-        taxa=taxa,
-        start=start,
-    )
+    """start (taxon_id) -> (taxon_id, depth, ancestor_id), parent first. A missing parent,
+    a cycle or ``max_depth`` ends a walk. One join a level on the walks that go on, so
+    neither rows nor depth are bounded by a recursive query's limits."""
+    from ..plans.runtime import checkpointed
+
+    parents = taxa.select(F.col("taxon_id").alias("_c"), F.col("parent_name_usage_id").alias("_p")).join(taxa.select(F.col("taxon_id").alias("_p")).distinct(), "_p")
+    frontier = taxa.select("taxon_id").join(start.select("taxon_id").distinct(), "taxon_id", "left_semi").distinct()
+    frontier = frontier.select("taxon_id", F.lit(0).alias("depth"), F.col("taxon_id").alias("ancestor_id"), F.array("taxon_id").alias("_path"))
+    out = frontier.select("taxon_id", "depth", "ancestor_id").where("depth > 0")
+    for depth in range(1, max_depth + 1):
+        step = frontier.join(parents, F.col("ancestor_id") == F.col("_c")).where(~F.array_contains("_path", F.col("_p")))
+        frontier = checkpointed(step.select("taxon_id", F.lit(depth).alias("depth"), F.col("_p").alias("ancestor_id"), F.concat("_path", F.array("_p")).alias("_path")))
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier.select("taxon_id", "depth", "ancestor_id"))
+    return out
 
 
 def descendants(taxa: DataFrame, root: str, with_root: bool = False) -> DataFrame:
@@ -118,17 +120,31 @@ def first_mentions(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+#: A capitalised word and up to two lower-case ones (fixed value).
 NAME = r"\b\p{Lu}\p{Ll}{2,}(?:\s+\p{Ll}{3,}){0,2}"
 
 
 def extract_mentions(chunks: DataFrame, names: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     """Longest-prefix resolution of capitalised candidates: of three, two and one words
-    the longest that is a name. chunks: doc_id, chunk_id, text."""
-    found = chunks.select("doc_id", "chunk_id", F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("nth", "candidate"))
+    the longest that is a name, with its place in the text (code points). chunks: doc_id,
+    chunk_id, text."""
+    gaps = F.split("text", NAME, -1)
+    found = chunks.select("doc_id", "chunk_id", gaps.alias("gaps"), F.regexp_extract_all("text", F.lit(NAME), F.lit(0)).alias("hits"))
+    # A chunk has few candidates, so summing what is before each is cheap.
+    at = F.transform("hits", lambda h, i: F.struct(i.alias("nth"), h.alias("candidate"), F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.char_length(x)).alias("before"), F.aggregate(F.slice("hits", F.lit(1), i), F.lit(0), lambda s, x: s + F.char_length(x)).alias("taken")))
+    found = found.select("doc_id", "chunk_id", F.explode(at).alias("c")).select("doc_id", "chunk_id", "c.nth", "c.candidate", (F.col("c.before") + F.col("c.taken")).alias("char_start"))
     parts = F.split("candidate", r"\s+")
-    prefixes = found.select("doc_id", "chunk_id", "nth", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), " ").alias("surface")))).alias("p"))
+    prefixes = found.select("doc_id", "chunk_id", "nth", "char_start", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), " ").alias("surface")))).alias("p"))
     prefixes = prefixes.where((F.col("p.k") > 1) | ~F.lower("p.surface").isin(list(stopwords)) if stopwords else F.lit(True))
     hits = prefixes.join(names.select("name_lowercase", "taxon_id", "name_type"), F.lower("p.surface") == F.col("name_lowercase"))
     order = Window.partitionBy("doc_id", "chunk_id", "nth").orderBy(F.desc("p.k"), (F.col("name_type") != "accepted").cast("int"), "taxon_id")
     best = hits.withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    return best.select("doc_id", "chunk_id", "nth", F.col("p.surface").alias("mention_text"), "taxon_id", "name_type")
+    return best.select("doc_id", "chunk_id", "nth", "char_start", (F.col("char_start") + F.char_length("p.surface")).alias("char_end"), F.col("p.surface").alias("mention_text"), "taxon_id", "name_type")
+
+
+def mention_rollup(mentions: DataFrame) -> DataFrame:
+    """Per document and taxon: mentions, chunks, the first chunk and the first text seen.
+    mentions: doc_id, chunk_index, char_start, mention_text, taxon_id."""
+    first = F.min(F.struct("chunk_index", "char_start", "mention_text"))
+    out = mentions.groupBy("doc_id", "taxon_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("chunk_index").alias("n_chunks"), first.alias("f"))
+    return out.select("doc_id", "taxon_id", "n_mentions", "n_chunks", F.col("f.chunk_index").alias("first_chunk"), F.col("f.mention_text").alias("first_text"))

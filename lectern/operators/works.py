@@ -36,26 +36,31 @@ def uncited_held(citations: DataFrame, works: DataFrame) -> DataFrame:
     return works.where("held").join(citations.select(F.col("cited_work_id").alias("work_id")), "work_id", "left_anti")
 
 
-def provenance(works: DataFrame, citations: DataFrame, sure: float = 0.9, methods: tuple[str, ...] = ("doi", "alias", "fuzzy")) -> DataFrame:
-    """Tier of each work: imported, held, reconciled (a sure match by one of the
-    methods), unresolved."""
+#: Methods and score that make a reference's work reconciled (fixed values).
+RECONCILED = ("doi_exact", "alias_exact", "bhl_lookup")
+RECONCILED_SCORE = 0.9
+
+
+def provenance(works: DataFrame, citations: DataFrame, sure: float = RECONCILED_SCORE, methods: tuple[str, ...] = RECONCILED) -> DataFrame:
+    """Tier of each work: imported; held; reconciled (a reference came to it by one of the
+    exact methods with a sure score); unresolved (a title match is not enough)."""
     matched = citations.where(F.col("match_method").isin(*methods) & (F.col("match_score") >= sure)).select(F.col("cited_work_id").alias("work_id")).distinct().withColumn("sure", F.lit(True))
     tier = F.when(F.col("imported_at").isNotNull(), "imported").when(F.col("held"), "held").when(F.col("sure"), "reconciled").otherwise("unresolved")
     return works.join(matched, "work_id", "left").withColumn("tier", tier).drop("sure")
 
 
 #: Licences that settle the question (fixed values).
-OPEN = ("cc0", "cc-by", "cc-by-sa", "public-domain")
-CLOSED = ("all-rights-reserved", "cc-by-nc-nd")
+OPEN = ("public-domain", "cc0-1.0", "cc-by-1.0", "cc-by-2.0", "cc-by-2.5", "cc-by-3.0", "cc-by-4.0", "cc-by-sa-3.0", "cc-by-sa-4.0")
+CLOSED = ("all-rights-reserved", "publisher-permission", "unknown")
 
 
 def publishable(license_: Column, year: Column, this_year: int, cutoff: int = 95) -> Column:
-    """struct(publishable, source): by licence, else by age, else no; an unlisted licence
-    leaves it open (null)."""
-    low = F.lower(F.trim(license_))
-    by_age = F.coalesce(year <= this_year - cutoff, F.lit(False))
-    value = F.when(low.isin(*OPEN), True).when(low.isin(*CLOSED), False).when(F.coalesce(low, F.lit("")) != "", F.lit(None)).otherwise(by_age)
-    source = F.when(F.coalesce(low, F.lit("")) != "", "license").when(by_age, "age").otherwise("default")
+    """struct(publishable, source): by a given licence (an unlisted one leaves it open, null;
+    source ``bibtex``), else by age (``age_based_pd``), else no (``unknown``)."""
+    low, given = F.lower(F.trim(license_)), F.coalesce(license_ != "", F.lit(False))
+    by_age = F.coalesce(this_year - year >= cutoff, F.lit(False))
+    value = F.when(given, F.when(low.isin(*OPEN), True).when(low.isin(*CLOSED), False)).otherwise(by_age)
+    source = F.when(given, "bibtex").when(by_age, "age_based_pd").otherwise("unknown")
     return F.struct(value.alias("publishable"), source.alias("source"))
 
 
@@ -93,6 +98,19 @@ def documents_by_author(docs: DataFrame, surname: str) -> DataFrame:
     return docs.where(F.exists("authors", lambda a: fold_latin(a["surname"]) == surname))
 
 
+def ghost_candidates(works: DataFrame, authors: DataFrame, citations: DataFrame, asked: DataFrame) -> DataFrame:
+    """Works that are not held, of a first author and year: asked (surname, year) with
+    work_id, title and the edges that point at each."""
+    first = authors.where("position = 0").select("work_id", F.col("surname_normalized").alias("surname"))
+    found = works.where(~F.col("held")).select("work_id", "title", "year").join(first, "work_id").join(asked.distinct(), ["surname", "year"])
+    return found.join(in_degree(citations), "work_id", "left").na.fill(0, ["n_citations"])
+
+
+def taxon_links(links: DataFrame, work_id: int | str) -> DataFrame:
+    """Taxa that a work is linked with, by link type and taxon."""
+    return links.where(F.col("work_id") == work_id).select("taxon_id", "link_type", "confidence").orderBy("link_type", "taxon_id")
+
+
 def bibliography(refs: DataFrame, citations: DataFrame, works: DataFrame, doc_hash: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of a document's references, then the works they resolve to."""
     page = refs.where(F.col("doc_hash") == doc_hash).orderBy("ref_id").offset(offset).limit(limit)
@@ -168,12 +186,17 @@ def canonical_members(family: DataFrame, by: list[str], min_letters: int = 20) -
     from ..functions.text import letter_count
 
     good = family.where(letter_count(F.col("title")) >= min_letters)
-    best = F.max_by("work_id", F.struct("n_citations", (-F.col("work_id")).alias("x")))
-    return good.groupBy(*by).agg(best.alias("canonical_id"))
+    best = F.min(F.struct((-F.col("n_citations")).alias("n"), "work_id"))
+    return good.groupBy(*by).agg(best.alias("c")).select(*by, F.col("c.work_id").alias("canonical_id"))
 
 
 def families(works: DataFrame, by: list[str], min_size: int = 2) -> DataFrame:
-    """Families of at least ``min_size`` rows with a row that is not held."""
+    """Families of at least ``min_size`` rows with a row that is not held. Where the works
+    have them, rows known by a DOI and surnames of under three letters stay out."""
+    if "doi" in works.columns:
+        works = works.where("doi is null")
+    if "surname" in works.columns:
+        works = works.where(F.char_length("surname") >= 3)
     return works.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("held")).cast("int")).alias("n_ghosts")).where((F.col("n") >= min_size) & (F.col("n_ghosts") >= 1))
 
 

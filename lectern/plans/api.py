@@ -1,6 +1,6 @@
 """The query surface: one method for each query function, over a set of tables.
 
-``Corpus`` holds DataFrames with the schemas of ``lectern.schema``; what a corpus lacks
+``Collection`` holds DataFrames with the schemas of ``lectern.schema``; what a collection lacks
 is an empty table. Methods return DataFrames that nothing has run yet, dossiers a dict of
 them by section. Errors in arguments raise ``QueryError`` with one of a few codes."""
 
@@ -37,7 +37,7 @@ def with_hash(df: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Corpus:
+class Collection:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     profile: str = "full"
@@ -52,7 +52,7 @@ class Corpus:
         except KeyError:
             raise AttributeError(name) from None
 
-    # Corpus
+    # Collection
     def bundle_info(self) -> DataFrame:
         counts = [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows")) for n, df in sorted(self.tables.items())]
         out = counts[0]
@@ -63,7 +63,7 @@ class Corpus:
     def counts(self) -> DataFrame:
         return lexicon.mention_counts(by_doc(self.lexicon_mentions))
 
-    def corpus_summary(self, top_taxa: int = 25, top_terms: int = 15) -> dict[str, DataFrame]:
+    def collection_summary(self, top_taxa: int = 25, top_terms: int = 15) -> dict[str, DataFrame]:
         totals = self.taxon_mentions.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_hash").alias("n_documents"), F.min("accepted_name").alias("accepted_name"), F.min("taxon_rank").alias("taxon_rank"))
         return {
             "overview": documents.overview(self.documents),

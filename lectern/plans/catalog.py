@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import documents, graph, lexicon, quality, taxonomy, vector, works
+from ..operators import documents, figures, graph, lexicon, quality, taxonomy, vector, works
 from .fixtures import lexicon as lexicon_table
 from .fixtures import view, with_views
 
@@ -69,7 +69,7 @@ def decade_histogram(spark, d):
 
 
 @query("select count(*) as n_documents, min(year) as year_min, max(year) as year_max from v_docs")
-def corpus_overview(spark, d):
+def collection_overview(spark, d):
     return documents.overview(view(spark, d, "v_docs")).drop("n_figures")
 
 
@@ -219,16 +219,21 @@ def citation_walk_depth2(spark, d):
     return graph.walk(citations(spark, d), WALK_START, "out", 2, per_node=3).select("work_id", "depth")
 
 
-@query("select work_id, case when work_id % 50 = 1 then 'imported' when held then 'held' when work_id in (select cited_work_id from v_citations where citing_work_id % 5 = 0) then 'reconciled' else 'unresolved' end as tier from v_works")
+@query("select work_id, case when work_id % 50 = 1 then 'imported' when held then 'held' when work_id in (select cited_work_id from v_matches where match_method in ('doi_exact', 'alias_exact', 'bhl_lookup') and match_score >= 0.9) then 'reconciled' else 'unresolved' end as tier from v_works")
 def provenance_tier(spark, d):
-    edges = citations(spark, d).withColumns({"match_method": F.lit("doi"), "match_score": F.when(F.col("citing_work_id") % 5 == 0, 0.95).otherwise(0.5)})
     held = view(spark, d, "v_works").withColumn("imported_at", F.when(F.col("work_id") % 50 == 1, F.lit("2024-01-01").cast("timestamp")))
-    return works.provenance(held, edges).select("work_id", "tier")
+    return works.provenance(held, view(spark, d, "v_matches")).select("work_id", "tier")
 
 
-@query("select work_id, case when license = 'cc-by' then true when license = 'all-rights-reserved' then false when license is not null then null else year <= 2025 - 95 end as publishable, case when license is not null then 'license' when year <= 2025 - 95 then 'age' else 'default' end as source from v_works")
+@query(
+    """select work_id, case
+      when license is null or license = '' then 2025 - year >= 95
+      when lower(trim(license)) in ('public-domain', 'cc0-1.0', 'cc-by-1.0', 'cc-by-2.0', 'cc-by-2.5', 'cc-by-3.0', 'cc-by-4.0', 'cc-by-sa-3.0', 'cc-by-sa-4.0') then true
+      when lower(trim(license)) in ('all-rights-reserved', 'publisher-permission', 'unknown') then false end as publishable,
+      case when license is not null and license <> '' then 'bibtex' when 2025 - year >= 95 then 'age_based_pd' else 'unknown' end as source from v_licences"""
+)
 def publishable(spark, d):
-    return view(spark, d, "v_works").select("work_id", works.publishable(F.col("license"), F.col("year"), 2025).alias("p")).select("work_id", "p.publishable", "p.source")
+    return view(spark, d, "v_licences").select("work_id", works.publishable(F.col("license"), F.col("year"), 2025).alias("p")).select("work_id", "p.publishable", "p.source")
 
 
 @query("select s_name as surname, year, work_id from (select s_name, year, min(work_id) as work_id from v_works join supplier on s_suppkey = supplier_no group by all having count(*) = 1)")
@@ -245,10 +250,20 @@ def forward_fill(spark, d):
     return works.forward_fill(rows, "conv_id", "turn", F.col("text"), F.col("role") != "assistant").select("conv_id", "turn", "filled", "was_filled")
 
 
-@query("select work_id, concat(s_name, cast(year as string), case when rn = 0 then '' when rn <= 26 then chr(96 + rn) else concat(chr(97 + ((rn - 27) // 26)), chr(97 + ((rn - 27) % 26))) end) as cite_key from (select work_id, s_name, year, cast(row_number() over (partition by s_name, year order by work_id) - 1 as int) as rn from v_works join supplier on s_suppkey = supplier_no)")
+# Bijective base 26 by its digits: one, two and three letters from 1, 27 and 703 on.
+_SUFFIX = "case when n = 0 then '' when n <= 26 then chr(96 + n) when n <= 702 then concat(chr(97 + ((n - 27) // 26)), chr(97 + ((n - 27) % 26))) else concat(chr(97 + ((n - 703) // 676)), chr(97 + (((n - 703) // 26) % 26)), chr(97 + ((n - 703) % 26))) end"
+
+
+@query(f"select id, year, concat('Anon', cast(year as string), {_SUFFIX}) as cite_key from (select id, year, cast(row_number() over (partition by year order by id) - 1 as int) as n from (select c_custkey as id, 1900 + cast(c_custkey % 2 as int) as year from customer))")
 def cite_keys(spark, d):
+    rows = view(spark, d, "customer").select(F.col("c_custkey").alias("work_id"), F.lit("Anon").alias("surname"), (1900 + F.col("c_custkey") % 2).cast("int").alias("year"))
+    return citation.cite_keys(rows).select(F.col("work_id").alias("id"), "year", "cite_key")
+
+
+@query(f"select work_id, concat(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g'), cast(year as string), {_SUFFIX}) as cite_key from (select work_id, s_name, year, cast(row_number() over (partition by s_name, year order by work_id) - 1 as int) as n from v_works join supplier on s_suppkey = supplier_no)")
+def cite_keys_by_author(spark, d):
     w = view(spark, d, "v_works").join(view(spark, d, "supplier"), F.col("s_suppkey") == F.col("supplier_no"))
-    return citation.cite_keys(w.select("work_id", F.col("s_name").alias("surname"), "year")).select("work_id", "cite_key")
+    return citation.cite_keys(w.select("work_id", text.ascii_surname(F.col("s_name")).alias("surname"), "year")).select("work_id", "cite_key")
 
 
 CITED = "select w.*, coalesce(n, 0) as n_citations from v_works w left join (select cited_work_id as work_id, count(*) as n from v_citations group by all) using (work_id)"
@@ -298,33 +313,44 @@ def duplicate_documents(spark, d):
     return documents.duplicate_documents(view(spark, d, "documents"))
 
 
-@query(r"select doc_id, round(case when len(t) = 0 then 0 else len(list_filter(t, lambda x: length(x) <= 2 or regexp_full_match(x, '[0-9]+') or (regexp_matches(x, '[0-9]') and regexp_matches(x, '\p{L}')))) / len(t) end, 6) as score from (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') as t from documents)")
+# The rule as SQL: tokens between white space, stripped of punctuation; suspicious if of at
+# most two characters, all digits, or digits with letters.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TOKENS = f"list_filter(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda x: trim(x, concat('.,;:!?()[]{{}}\"', chr(39)))), lambda x: x <> '')"
+_ODD = r"case when len(t) = 0 then 0 else len(list_filter(t, lambda x: length(x) <= 2 or regexp_full_match(x, '\p{Nd}+') or (regexp_matches(x, '\p{Nd}') and regexp_matches(x, '\p{L}')))) / len(t) end"
+
+
+@query(f"select doc_id, round({_ODD}, 6) as score from (select doc_id, {_TOKENS} as t from documents)")
 def gibberish_score(spark, d):
     return quality.gibberish(view(spark, d, "documents")).select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Ranges of code points by writing system, as RE2 has them (fixed values).
+_RANGES = {"latin": r"\x{0}-\x{24F}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}", "cyrillic": r"\x{400}-\x{52F}", "greek": r"\x{370}-\x{3FF}", "arabic": r"\x{600}-\x{6FF}"}
+
+
 def _share(kind: str) -> str:
-    return rf"round(case when l = 0 then 0 else length(regexp_replace(text, '[^\p{{{kind}}}]', '', 'g')) / l end, 6)"
+    return f"round(case when length(t) = 0 then 0 else length(regexp_replace(t, '[^{_RANGES[kind]}]', '', 'g')) / length(t) end, 6)"
 
 
-@query("select doc_id, " + ", ".join(f"{_share(k.title())} as {k}" for k in ("latin", "cyrillic", "greek", "han")) + r" from (select doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as l from documents)")
+@query("select doc_id, " + ", ".join(f"{_share(k)} as {k}" for k in _RANGES) + r" from (select doc_id, regexp_replace(text, '[^\p{L}]', '', 'g') as t from documents)")
 def script_fractions(spark, d):
     rows = quality.script_fractions(view(spark, d, "documents"))
-    return rows.select("doc_id", *[F.round(k, 6).alias(k) for k in ("latin", "cyrillic", "greek", "han")])
+    return rows.select("doc_id", *[F.round(k, 6).alias(k) for k in _RANGES])
 
 
 @query(
-    r"""with sized as (select doc_id, length(text) as n, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') as t from documents),
-    odd as (select doc_id, n, case when len(t) = 0 then 0 else len(list_filter(t, lambda x: length(x) <= 2 or regexp_full_match(x, '[0-9]+') or (regexp_matches(x, '[0-9]') and regexp_matches(x, '\p{L}')))) / len(t) end as odd from sized),
-    med as (select doc_id, list_sort(list(length(text)))[count(*) // 2 + 1] as m, count(*) as k from v_chunks group by doc_id)
-    select doc_id, 'short_text' as gate, n::double as metric from odd where n < 200
-    union all select doc_id, 'gibberish', round(odd, 6) from odd where odd > 0.4
-    union all select doc_id, 'no_chunks', 0.0 from odd where doc_id not in (select doc_id from med)
-    union all select doc_id, 'small_chunks', m::double from med where m < 100
-    union all select doc_id, 'too_many_chunks', k::double from med where k > 1000"""
+    f"""with sized as (select doc_id, length(text) as n, n_pages, n_references, needs_ocr, {_TOKENS} as t from v_artifacts),
+    odd as (select doc_id, {_ODD} as odd from sized where needs_ocr),
+    med as (select doc_id, list_sort(list(length(text)))[count(*) // 2 + 1] as m from v_chunks group by doc_id)
+    select doc_id, 'empty_text' as gate, 'error' as severity, n::double as metric from sized where n < 500
+    union all select doc_id, 'low_text_density', 'warn', round(n / n_pages, 1) from sized where n_pages > 0 and n / n_pages < 200
+    union all select doc_id, 'gibberish_after_ocr', 'error', round(odd, 3) from odd where odd > 0.5
+    union all select doc_id, 'zero_references_unexpected', 'warn', n_pages::double from sized where n_pages >= 5 and n_references = 0
+    union all select doc_id, 'single_token_chunks', 'warn', m::double from med where m < 50"""
 )
 def quality_flags(spark, d):
-    return quality.gates(view(spark, d, "documents"), chunks(spark, d))
+    return quality.gates(view(spark, d, "v_artifacts"), chunks(spark, d))
 
 
 @query("select stage, cast(sum(ok::int) as bigint) as n_ok, cast(sum((not ok)::int) as bigint) as n_failed, count(*) as total, round(100 * sum(ok::int) / count(*), 1) as ok_percent from v_runs group by stage")
@@ -332,9 +358,9 @@ def status_rollup(spark, d):
     return quality.status(view(spark, d, "v_runs"))
 
 
-@query("select doc_id, count(distinct stage) as n_stages, count(*) as n_failures from v_runs where not ok group by doc_id order by n_stages desc, n_failures desc, doc_id limit 20")
+@query("select doc_id, count(distinct concat(stage, case when value < 2 then '|low' else '|mid' end)) as n_kinds, count(*) as n_failures from v_runs where not ok group by doc_id order by n_kinds desc, n_failures desc, doc_id limit 20")
 def worst_documents(spark, d):
-    return quality.worst_documents(view(spark, d, "v_runs"), 20)
+    return quality.worst_documents(view(spark, d, "v_runs").withColumn("reason_code", F.when(F.col("value") < 2, "low").otherwise("mid")), 20)
 
 
 @query("select stage as reason_code, cast(null as string) as stage, count(*) as n, count(distinct doc_id) as n_documents from v_runs where not ok group by stage union all select null, case when value < 2 then 'low' else 'mid' end as s, count(*), count(distinct doc_id) from v_runs where not ok group by s union all select stage, case when value < 2 then 'low' else 'mid' end as s, count(*), count(distinct doc_id) from v_runs where not ok group by stage, s")
@@ -359,14 +385,29 @@ def folded_search(spark, d):
     return documents.search_words(view(spark, d, "documents"), "ete").withColumn("n_hits", F.col("n_hits").cast("long"))
 
 
-HEADINGS = [["Part A", "Materials and Methods"], ["Results", "Ergebnisse"], ["Discussion", "Odd ends"], ["Plates"], [], ["Literatur", "Tables"], ["Résumé"]]
-_CLASSES = ["methods", "results", "discussion", "other", "other", "references", "abstract"]
+# A word that is not part of a longer one, in any script (RE2's \b knows ASCII only).
+_B, _E = r"(^|[^\p{L}\p{M}\p{N}_])", r"($|[^\p{L}\p{M}\p{N}_])"
+_SECTION_WORDS = [
+    ("abstract", [f"{_B}(abstract|summary|zusammenfassung|resume|resumé|résume|résumé){_E}", "резюме", "сводка"]),
+    ("introduction", [f"{_B}(introduction|введение|einleitung){_E}"]),
+    ("methods", [r"materials?\s+and\s+methods", f"{_B}(method|methods|methodology){_E}", r"study\s+area", r"материалы\s+и\s+методы", "methodes", "méthodes"]),
+    ("results", [f"{_B}(result|results|результаты|рéзультаты|ergebnisse|resultats|résultats){_E}"]),
+    ("description", [f"{_B}(description|systematic|systematics|taxonomy|diagnosis){_E}", "описание"]),
+    ("discussion", [f"{_B}(discussion|diskussion){_E}", "обсуждение"]),
+    ("conclusion", [f"{_B}(conclusion|conclusions){_E}", "выводы", f"{_B}schlussfolgerung"]),
+    ("acknowledgements", ["acknowledg(ement|ment)", "благодарности", "danksagung", "remerciements"]),
+    ("references", [f"{_B}(reference|references){_E}", f"{_B}bibliograph", rf"{_B}literature\s+cited{_E}", "литература"]),
+    ("appendix", [f"{_B}appendix{_E}", "приложение", "anhang"]),
+]
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLASSES)) + ") as t(id, section_class)")
+def _classified(column: str) -> str:
+    return "case " + " ".join("when " + " or ".join(f"regexp_matches(lower({column}), '{p}')" for p in ps) + f" then '{k}'" for k, ps in _SECTION_WORDS) + " end"
+
+
+@query(f"select doc_id, coalesce({_classified('inner_heading')}, {_classified('outer_heading')}) as section_class from v_headings")
 def section_class(spark, d):
-    rows = spark.sql("select posexplode(from_json(x, 'array<array<string>>')) as (id, headings) from {t}", t=spark.range(1).select(F.to_json(F.array(*[F.array(*[F.lit(h) for h in hs]).cast("array<string>") for hs in HEADINGS])).alias("x")))
-    return rows.select("id", text.section_class(F.col("headings")).alias("section_class"))
+    return view(spark, d, "v_headings").select("doc_id", text.section_class(F.array("outer_heading", "inner_heading")).alias("section_class"))
 
 
 @query("select work_id, concat(s_name, ' (', cast(year as string), '). ', title, '.') as citation, concat('(', s_name, ', ', cast(year as string), ')') as inline from v_works join supplier on s_suppkey = supplier_no")
@@ -407,16 +448,13 @@ def session_windows(spark, d):
 
 
 
-FIGURE_TEXTS = ["See Fig. 1 and figure 2b.", "Figs. 1 only", "no mention", "Abb. 3 zeigt, Fig. 9 nicht"]
+_PREFIX = r"(fig(ure|\.?)|abb(ildung|\.?)|pl(ate|\.?)|рис(унок|\.?)|image|illustration|lám(ina|\.?)|tav(ola|\.?)|bild|text[\-\s]?fig(ure|\.?)|taf(el|\.?)|tab(ula|\.?))"
+_REFS = rf"select doc_id, chunk_id, unnest(regexp_extract_all(text, '(?i)\b{_PREFIX}\s*(\d+)', 11)) as figure_number from v_figure_chunks"
 
 
-@query("select * from (values (0, 'f1'), (0, 'f2'), (1, 'f1'), (3, 'f3')) as t(chunk, figure_id)")
+@query(f"select distinct r.doc_id, r.chunk_id, f.figure_id from ({_REFS}) r join v_figures f on f.doc_id = r.doc_id and f.figure_number = r.figure_number")
 def figure_refs(spark, d):
-    from ..operators import figures
-
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in FIGURE_TEXTS])).alias("chunk_id", "text")).withColumn("doc_id", F.lit(1))
-    figs = spark.range(1, 4).select(F.lit(1).alias("doc_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("figure_id"), F.col("id").cast("string").alias("figure_number"))
-    return figures.link_chunks(rows, figs).select(F.col("chunk_id").alias("chunk"), "figure_id")
+    return figures.link_chunks(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures")).select("doc_id", "chunk_id", "figure_id")
 
 
 @query()

@@ -16,6 +16,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Function words by language, the lexicon of the sample queries (fixed values).
 LEXICON = {"en": ["the", "of", "and", "to", "in"], "de": ["der", "die", "und", "den", "von"], "fr": ["de", "la", "le", "et", "les"], "es": ["que", "el", "los", "se", "del"]}
 
+#: Headings of all section classes, and of none.
+HEADINGS = [
+    "Abstract", "Summary of this", "Zusammenfassung", "Résumé", "Resume", "Резюме", "1. Introduction", "Введение", "Einleitung", "2. Materials and Methods", "Study area", "Materials  and  methods",
+    "Материалы и методы", "Méthodes", "Methodology", "Results", "Результаты", "Ergebnisse", "Résultats", "Description of species", "Systematic account", "Diagnosis", "Описание", "Discussion", "Обсуждение",
+    "Diskussion", "Conclusions", "Выводы", "Schlussfolgerungen", "Acknowledgments", "Acknowledgements", "Благодарности", "Danksagung", "References", "Bibliography", "Literature cited", "Литература",
+    "Appendix A", "Приложение", "Anhang 2", "Plates", "Odd ends", "Resulting", "Undescribed", "",
+]
+
 VIEWS = {
     "v_docs": """
         select doc_id, substr({sha}, 1, 12) as doc_hash, cast(1850 + doc_id % 170 as int) as year,
@@ -34,7 +42,7 @@ VIEWS = {
         select scientific_name as name, lower(scientific_name) as name_lowercase, coalesce(accepted_name_usage_id, taxon_id) as taxon_id,
                taxonomic_status as name_type from {v_taxa}
         union all
-        select c_mktsegment, lower(c_mktsegment), concat('c', cast(c_custkey as string)), 'vernacular' from {customer} where c_custkey < 60""",
+        select c_mktsegment, lower(c_mktsegment), concat('c', cast(c_custkey as string)), 'vernacular' from {customer}""",
     "v_mentions": """
         select concat('c', cast(o_custkey as string)) as taxon_id, l_suppkey as doc_id, l_partkey as chunk_id, l_linenumber as char_start
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
@@ -44,9 +52,47 @@ VIEWS = {
                case p_partkey % 7 when 0 then 'cc-by' when 1 then 'all-rights-reserved' when 2 then 'unclear' end as license
         from {part}""",
     "v_citations": """
-        select distinct l_partkey as citing_work_id, (l_orderkey * 7 + l_linenumber) % (select count(*) from {part}) as cited_work_id
+        select distinct l_partkey as citing_work_id, (l_orderkey * 7 + l_linenumber) % (select cast(floor(count(*) * 2 / 3) as bigint) + 1 from {part}) as cited_work_id
         from {lineitem}
-        where l_orderkey % 23 = 0 and l_partkey <> (l_orderkey * 7 + l_linenumber) % (select count(*) from {part})""",
+        where l_partkey <> (l_orderkey * 7 + l_linenumber) % (select cast(floor(count(*) * 2 / 3) as bigint) + 1 from {part})""",
+    # Every licence the rules name, others, and blanks; years on both sides of the age limit.
+    "v_licences": """
+        select p_partkey as work_id, 1880 + p_size * 2 + cast(p_partkey % 3 as int) as year,
+               case p_partkey % 19 when 0 then 'public-domain' when 1 then 'cc0-1.0' when 2 then 'cc-by-1.0' when 3 then 'cc-by-2.0' when 4 then ' CC-BY-2.5 '
+                 when 5 then 'cc-by-3.0' when 6 then 'CC-BY-4.0' when 7 then 'cc-by-sa-3.0' when 8 then 'cc-by-sa-4.0' when 9 then 'all-rights-reserved'
+                 when 10 then 'publisher-permission' when 11 then 'unknown' when 12 then 'cc-by-nc-4.0' when 13 then 'cc-by' when 14 then ' ' when 15 then '' end as license
+        from {part}""",
+    "v_matches": """
+        select citing_work_id, cited_work_id,
+               case (citing_work_id + cited_work_id) % 7 when 0 then 'doi_exact' when 1 then 'alias_exact' when 2 then 'bhl_lookup' when 3 then 'title_fuzzy'
+                 when 4 then 'author_year_only' else 'new' end as match_method,
+               case when citing_work_id % 5 = 0 then cast(0.9 as double) when citing_work_id % 5 = 1 then cast(1.0 as double) else cast(0.6 as double) end as match_score
+        from {v_citations}""",
+    "v_artifacts": """
+        select doc_id, text, cast(case when doc_id % 4 = 0 then 0 else 1 + floor(n_chars / 400) end as int) as n_pages, cast(doc_id % 3 as int) as n_references, doc_id % 2 = 0 as needs_ocr
+        from {documents}""",
+    "v_heading_texts": "select * from (values " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADINGS)) + ") as t(k, heading)",
+    "v_headings": f"""
+        select d.doc_id, a.heading as outer_heading, b.heading as inner_heading
+        from {{documents}} d left join {{v_heading_texts}} a on a.k = d.doc_id % {len(HEADINGS)} left join {{v_heading_texts}} b on b.k = (d.doc_id * 7 + 3) % {len(HEADINGS) + 5}""",
+    "v_captions": """
+        select p_partkey as id, p_size as size,
+               concat(case p_partkey % 19 when 0 then 'Fig. ' when 1 then 'Figure ' when 2 then '  fig ' when 3 then 'Abb. ' when 4 then 'Abbildung ' when 5 then 'Pl. ' when 6 then 'Plate '
+                 when 7 then 'Рис. ' when 8 then 'рисунок ' when 9 then 'Tav. ' when 10 then 'Tavola ' when 11 then 'Taf. ' when 12 then 'TAFEL ' when 13 then 'Tab. ' when 14 then 'Tabula '
+                 when 15 then 'Text-fig. ' when 16 then 'see Fig. ' when 17 then 'lámina ' else 'Bild ' end,
+               case p_size % 11 when 0 then 'IV' when 1 then 'xii' when 2 then 'IIII' when 3 then 'VV' when 4 then '3.1' when 5 then '12b' when 6 then 'MCMXC' when 7 then 'XL' else cast(p_size as string) end,
+               case p_partkey % 3 when 0 then '. All of it' when 1 then '' else ', in part' end) as caption
+        from {part}""",
+    "v_figures": """
+        select p_partkey % 40 as doc_id, concat('f', cast(p_partkey as string)) as figure_id, cast(1 + p_size % 12 as string) as figure_number,
+               case p_partkey % 5 when 0 then 'plate' when 1 then 'graphical_element' when 2 then 'subpanel' else 'figure' end as figure_type,
+               concat('Fig. ', cast(1 + p_size % 12 as string), '. ', p_name, ' and ', p_type, ' of the ', p_name) as caption_text
+        from {part}""",
+    "v_figure_chunks": """
+        select p_partkey % 40 as doc_id, concat('c', cast(p_partkey as string)) as chunk_id,
+               concat('Here ', case p_partkey % 6 when 0 then 'Fig. ' when 1 then 'figure ' when 2 then 'Abb. ' when 3 then 'Pl. ' when 4 then '(Fig. ' else 'nothing ' end, cast(1 + (p_size * 3) % 17 as string),
+                 case p_partkey % 6 when 4 then ')' else ' shows' end, case when p_partkey % 4 = 0 then concat(' and Plate ', cast(1 + p_size % 29 as string), ', too') else '' end) as text
+        from {part}""",
     "v_runs": "select user_id as doc_id, event_type as stage, value >= 5 as ok, ts, value from {events}",
 }
 SHA = {"spark": "sha2(cast(doc_id as string), 256)", "duckdb": "sha256(cast(doc_id as string))"}

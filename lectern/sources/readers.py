@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -55,50 +56,65 @@ def capabilities(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "store string, state string")
 
 
-#: Darwin Core fields and the headers they may have (fixed values).
+#: Darwin Core fields and the headers they may have, in order of preference (fixed values).
 DWC = {
-    "taxon_id": ["taxonID", "id", "scientificNameID"],
-    "scientific_name": ["scientificName", "name"],
-    "scientific_name_authorship": ["scientificNameAuthorship", "authorship"],
-    "taxon_rank": ["taxonRank", "rank"],
-    "taxonomic_status": ["taxonomicStatus", "status"],
-    "parent_name_usage_id": ["parentNameUsageID", "parentID"],
-    "accepted_name_usage_id": ["acceptedNameUsageID", "acceptedID"],
-    "accepted_name": ["acceptedNameUsage"],
-    "kingdom": ["kingdom"],
-    "phylum": ["phylum"],
-    "class": ["class"],
-    "order": ["order"],
-    "family": ["family"],
-    "genus": ["genus"],
-    "citation": ["bibliographicCitation", "nameAccordingTo"],
+    "taxon_id": ["taxonID", "dwc:taxonID", "taxon_id", "id"],
+    "scientific_name": ["scientificName", "dwc:scientificName", "scientific_name"],
+    "scientific_name_authorship": ["scientificNameAuthorship", "dwc:scientificNameAuthorship", "namePublishedInYear", "authorship"],
+    "taxon_rank": ["taxonRank", "dwc:taxonRank", "rank"],
+    "taxonomic_status": ["taxonomicStatus", "dwc:taxonomicStatus", "status"],
+    "parent_name_usage_id": ["parentNameUsageID", "dwc:parentNameUsageID", "parent_id"],
+    "accepted_name_usage_id": ["acceptedNameUsageID", "dwc:acceptedNameUsageID", "valid_AphiaID", "accepted_id"],
+    "accepted_name": ["acceptedNameUsage", "dwc:acceptedNameUsage", "valid_name"],
+    "kingdom": ["kingdom", "dwc:kingdom"],
+    "phylum": ["phylum", "dwc:phylum"],
+    "class": ["class", "dwc:class"],
+    "order": ["order", "dwc:order"],
+    "family": ["family", "dwc:family"],
+    "genus": ["genus", "dwc:genus"],
+    "citation": ["bibliographicCitation", "dwc:bibliographicCitation", "citation"],
 }
+#: Characters from which the delimiter is told.
+SNIFFED = 4096
 
 
 def header_index(headers: list[str]) -> dict[str, str]:
-    """Field to header: an exact alias, else one that differs in case only."""
-    low = {h.strip().lower(): h for h in reversed(headers)}
+    """Field to header: alias by alias, each exactly or else in any case."""
+    low = {h.lower(): h for h in headers}
     out = {}
     for field, aliases in DWC.items():
-        exact = next((a for a in aliases if a in headers), None)
-        found = exact or next((low[a.lower()] for a in aliases if a.lower() in low), None)
+        found = next((a if a in headers else low[a.lower()] for a in aliases if a in headers or a.lower() in low), None)
         if found is not None:
             out[field] = found
     return out
 
 
+def checked_headers(headers: list[str], path: str) -> dict[str, str]:
+    at = header_index(headers)
+    if "taxon_id" not in at or "scientific_name" not in at:
+        raise ValueError(f"{path}: needs at least the columns taxonID and scientificName; has {headers!r}")
+    return at
+
+
+def delimiter(sample: str) -> str:
+    """Tab, comma or semicolon, told from a file's first characters; a tab where they do
+    not tell."""
+    try:
+        return csv.Sniffer().sniff(sample[:SNIFFED], delimiters="\t,;").delimiter
+    except csv.Error:
+        return "\t"
+
+
 def darwin_core(spark: SparkSession, path: str) -> DataFrame:
-    """A Darwin Core text file; the delimiter is what its first line has most of, a tab
-    on ties. Rows without id or name are dropped, blanks are null."""
-    head = spark.read.text(path).limit(1).collect()
-    line = head[0][0] if head else ""
-    sep = max(["\t", ",", ";"], key=line.count)
-    raw = spark.read.option("header", "true").option("sep", sep).option("multiLine", "true").option("escape", '"').csv(path)
-    at = header_index(raw.columns)
+    """A Darwin Core text file. Rows without id or name are dropped, blanks are null."""
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(SNIFFED // 2).collect())
+    raw = spark.read.option("header", "true").option("sep", delimiter(head)).option("multiLine", "true").option("escape", '"').csv(path)
+    at = checked_headers(raw.columns, path)
     cols = [blank_to_null(F.col(f"`{at[f]}`")).alias(f) if f in at else F.lit(None).cast("string").alias(f) for f in DWC]
     return raw.select(*cols).where("taxon_id is not null and scientific_name is not null")
 
 
+#: Name of an archive's core file (fixed value).
 CORE_FILE = re.compile(r"(?i)(^|/)(taxon|taxa)[^/]*\.(tsv|csv|txt)$")
 
 
@@ -109,7 +125,6 @@ def darwin_core_archive(spark: SparkSession, path: str) -> DataFrame:
         return darwin_core(spark, path if CORE_FILE.search(path) else f"{path.rstrip('/')}/tax*.*")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
         import io
         import zipfile
 
@@ -119,13 +134,13 @@ def darwin_core_archive(spark: SparkSession, path: str) -> DataFrame:
                     core = next((n for n in sorted(z.namelist()) if CORE_FILE.search(n)), None)
                     if core is None:
                         continue
-                    lines = io.TextIOWrapper(z.open(core), encoding="utf-8-sig")
-                    first = lines.readline()
-                    sep = max(["\t", ",", ";"], key=first.count)
-                    headers = next(csv.reader([first], delimiter=sep))
-                    at = {f: headers.index(h) for f, h in header_index(headers).items()}
+                    with z.open(core) as f:
+                        sep = delimiter(f.read(4 * SNIFFED).decode("utf-8-sig", "ignore"))
+                    lines = csv.reader(io.TextIOWrapper(z.open(core), encoding="utf-8-sig", newline=""), delimiter=sep)
+                    headers = next(lines)
+                    at = {f: headers.index(h) for f, h in checked_headers(headers, core).items()}
                     rows = []
-                    for row in csv.reader(lines, delimiter=sep):
+                    for row in lines:
                         get = {f: (row[i].strip() or None) if i < len(row) else None for f, i in at.items()}
                         if get.get("taxon_id") and get.get("scientific_name"):
                             rows.append([get.get(f) for f in DWC])
@@ -259,13 +274,27 @@ def tei_header(xml: str) -> dict:
     }
 
 
-_ADDRESS = re.compile(r"(?i)\b(department|university|institute|street|laborator|address|e-?mail)\b")
-_DASHES = re.compile(r"^[\s\-–—_.]+$")
+#: What tells a block of addresses or end matter from a reference (fixed values).
+ADDRESS_TITLE = re.compile(
+    r"^\s*(?:addresses?|correspondence|corresponding author|funding|acknowledg(?:e?ment)s?|competing interest|author contributions|"
+    r"orcid|ethics statement|data availability|conflict of interest)[:.]?\s",
+    re.IGNORECASE,
+)
+PLACEHOLDER_AUTHORS = {"submitted", "received", "accepted", "corresponding"}
+ADDRESS_JOURNAL = re.compile(r"[A-Z]\.[A-Z]\.\)\s")
+#: Authors that repeat those before (fixed value).
+DASHES = re.compile(r"^[\s_\-\u2012-\u2015\u2E3A\u2E3B]+$")
+
+
+def bogus_reference(title: str | None, authors: list[str], journal: str | None) -> bool:
+    """A title like that of an address block, authors that are all placeholders, or a
+    journal with the rest of someone's initials."""
+    return bool(ADDRESS_TITLE.match(title or "") or (authors and all(a.lower() in PLACEHOLDER_AUTHORS for a in authors)) or ADDRESS_JOURNAL.search(journal or ""))
 
 
 def tei_references(xml: str) -> list[dict]:
-    """Reference rows. A dash in place of the authors repeats those before it; blocks that
-    look like an address are left out."""
+    """Reference rows. A dash in place of the authors repeats those before it; then blocks
+    that look like an address are left out."""
     out, before = [], []
     for n, b in enumerate(ET.fromstring(xml).iter(f"{_TEI}biblStruct")):
         ref = b.get("{http://www.w3.org/XML/1998/namespace}id")
@@ -273,15 +302,16 @@ def tei_references(xml: str) -> list[dict]:
             continue
         title = _plain(b.find(f".//{_TEI}analytic/{_TEI}title")) or _plain(b.find(f".//{_TEI}monogr/{_TEI}title"))
         authors = [f"{p['forename']} {p['surname']}" if p["forename"] else p["surname"] for p in _people(b)]
-        filled = bool(authors) and all(_DASHES.match(a) for a in authors)
+        journal = _plain(b.find(f".//{_TEI}monogr/{_TEI}title[@level='j']")) or None
+        filled = bool(authors) and all(DASHES.match(a) for a in authors)
         if filled:
             authors = list(before)
         elif authors:
             before = authors
-        if _ADDRESS.search(title or ""):
+        if bogus_reference(title, authors, journal):
             continue
         doi = b.find(f".//{_TEI}idno[@type='DOI']")
-        out.append({"ref_id": ref, "ref_position": n, "title": title or None, "authors": authors, "authors_filled": filled, "year": _year(b), "journal": _plain(b.find(f".//{_TEI}monogr/{_TEI}title[@level='j']")) or None, "doi": _plain(doi) or None, "raw": _plain(b.find(f".//{_TEI}note[@type='raw_reference']")) or None})
+        out.append({"ref_id": ref, "ref_position": n, "title": title or None, "authors": authors, "authors_filled": filled, "year": _year(b), "journal": journal, "doi": _plain(doi) or None, "raw": _plain(b.find(f".//{_TEI}note[@type='raw_reference']")) or None})
     return out
 
 

@@ -12,7 +12,8 @@ from ..functions.text import absolute_path, ascii_surname, relative_path
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"([{}])", r"\\\\$1")
+    """One backslash before each brace."""
+    return F.regexp_replace(c, r"([{}])", r"\\$1")
 
 
 def bibtex_entry(key: Column, fields: dict[str, Column], kind: str = "article") -> Column:
@@ -28,7 +29,7 @@ def export_bibtex(works: DataFrame, authors: DataFrame, held_only: bool = False)
     rows = rows.join(people, "work_id", "left")
     first = F.try_element_at("people", F.lit(1))["surname"]
     keyed = cite_keys(rows.withColumn("surname", ascii_surname(first)))
-    names = F.array_join(F.transform("people", lambda p: F.concat_ws(", ", p["surname"], p["forename"])), " and ")
+    names = F.array_join(F.transform("people", lambda p: F.concat_ws(", ", p["surname"], F.nullif(p["forename"], F.lit("")))), " and ")
     fields = {"author": names, "title": F.col("title"), "journal": F.col("journal"), "year": F.col("year"), "doi": F.col("doi")}
     return keyed.select("work_id", "year", "cite_key", bibtex_entry(F.col("cite_key"), fields).alias("value"))
 

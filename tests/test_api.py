@@ -1,13 +1,13 @@
-"""Every query function on a corpus of a few rows."""
+"""Every query function on a collection of a few rows."""
 
 import pytest
 
-from lectern.plans.api import Corpus, QueryError
+from lectern.plans.api import Collection, QueryError
 from lectern.schema import schema
 
 
 @pytest.fixture(scope="module")
-def corpus(spark):
+def collection(spark):
     def table(name, *rows):
         s = schema(name)
         return spark.createDataFrame([tuple(r.get(c) for c in s.names) for r in rows], s)
@@ -32,74 +32,74 @@ def corpus(spark):
         "paragraphs": [{"doc_hash": "d1", "para_index": 3, "text": "As Totton says."}],
         "taxon_work_links": [{"taxon_id": "s", "work_id": "w1", "link_type": "original_description", "confidence": 0.7}],
     }
-    return Corpus(spark, {n: table(n, *rows) for n, rows in spec.items()}, version="1")
+    return Collection(spark, {n: table(n, *rows) for n, rows in spec.items()}, version="1")
 
 
 def ids(df, *columns):
     return [tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()]
 
 
-def test_corpus_and_chunks(corpus):
-    assert dict(ids(corpus.bundle_info(), "table", "n_rows"))["works"] == 3
-    s = corpus.corpus_summary()
+def test_overview_and_chunks(collection):
+    assert dict(ids(collection.bundle_info(), "table", "n_rows"))["works"] == 3
+    s = collection.collection_summary()
     assert tuple(s["overview"].first()) == (3, 2005, 2010, 2) and ids(s["decades"], "decade", "n_documents") == [(2000, 1), (2010, 1)]
     assert ids(s["taxa"], "taxon_id", "mentions") == [("s", 4), ("a", 1)] and {r.canonical: r.mentions for r in s["terms"].collect()} == {"bell": 2, "arm": 1}
-    assert ids(corpus.list_documents(2006), "doc_hash") == ["d2"] and ids(corpus.get_documents(["d2", "zz"]), "found") == [True, False]
-    assert ids(corpus.get_chunks("d1", ["c2", "c0", "zz"]), "chunk_id") == ["c0", "c2"] and ids(corpus.get_chunks_by_section("d1", "results"), "chunk_id") == ["c0", "c1"]
-    hits = corpus.get_chunks_for_topic([1.0, 0.0], 5, with_cites=True).collect()
+    assert ids(collection.list_documents(2006), "doc_hash") == ["d2"] and ids(collection.get_documents(["d2", "zz"]), "found") == [True, False]
+    assert ids(collection.get_chunks("d1", ["c2", "c0", "zz"]), "chunk_id") == ["c0", "c2"] and ids(collection.get_chunks_by_section("d1", "results"), "chunk_id") == ["c0", "c1"]
+    hits = collection.get_chunks_for_topic([1.0, 0.0], 5, with_cites=True).collect()
     assert [r.chunk_id for r in hits] == ["d1c0", "d1c1"] and hits[0].cited_works == ["w2"]
 
 
-def test_taxa(corpus):
-    found = corpus.search_taxon("marrus CLAUDANIELIS", True)
+def test_taxa(collection):
+    found = collection.search_taxon("marrus CLAUDANIELIS", True)
     assert (found["taxon"].first().taxon_id, found["taxon"].first().n_documents) == ("s", 2) and ids(found["parents"], "ancestor_id") == ["g"]
     name = "Marrus claudanielis"
-    assert ids(corpus.get_documents_for_taxon(name, 2), "doc_hash") == ["d1"] and ids(corpus.get_chunks_for_taxon(name), "doc_hash", "chunk_id") == [("d1", "c0"), ("d1", "c1"), ("d2", "c0")]
-    d = corpus.get_taxon_dossier(name)
+    assert ids(collection.get_documents_for_taxon(name, 2), "doc_hash") == ["d1"] and ids(collection.get_chunks_for_taxon(name), "doc_hash", "chunk_id") == [("d1", "c0"), ("d1", "c1"), ("d2", "c0")]
+    d = collection.get_taxon_dossier(name)
     assert ids(d["documents"], "doc_hash") == ["d1", "d2"] and ids(d["figures"], "figure_id") == ["f1", "f2"] and ids(d["taxa"], "taxon_id") == ["a"]
     assert ids(d["chunks"], "doc_hash", "chunk_id") == [("d1", "c0"), ("d1", "c1"), ("d2", "c0")] and {r.canonical for r in d["terms"].collect()} == {"bell", "arm"}
-    assert ids(corpus.get_taxon_lexicon_slice(name, "Anatomy"), "canonical", "n_chunks") == [("bell", 2), ("arm", 1)]
-    assert ids(corpus.get_taxon_mentions(name, 2, 1), "char_start") == [9, 0] and ids(corpus.get_documents_by_author("MULLER"), "doc_hash") == ["d1"]
-    sub = corpus.get_taxon_subtree_dossier("Marrus")
+    assert ids(collection.get_taxon_lexicon_slice(name, "Anatomy"), "canonical", "n_chunks") == [("bell", 2), ("arm", 1)]
+    assert ids(collection.get_taxon_mentions(name, 2, 1), "char_start") == [9, 0] and ids(collection.get_documents_by_author("MULLER"), "doc_hash") == ["d1"]
+    sub = collection.get_taxon_subtree_dossier("Marrus")
     assert ids(sub["species"], "taxon_id", "mentions") == [("s", 4)] and ids(sub["documents"], "doc_hash", "mentions") == [("d1", 3), ("d2", 1)]
-    assert ids(corpus.list_valid_species_under("Marrus"), "taxon_id") == ["s"]
+    assert ids(collection.list_valid_species_under("Marrus"), "taxon_id") == ["s"]
     with pytest.raises(QueryError) as e:
-        corpus.get_documents_for_taxon("Nothing")
+        collection.get_documents_for_taxon("Nothing")
     assert e.value.code == "not_found"
     with pytest.raises(QueryError):
-        corpus.get_taxon_dossier(name, ("odd",))
+        collection.get_taxon_dossier(name, ("odd",))
 
 
-def test_bibliography(corpus):
-    assert ids(corpus.get_bibliography("d1"), "ref_id", "work_title", "n_citations") == [("b0", "Synopsis of things", 2), ("b1", None, None)]
-    assert ids(corpus.get_intext_citations("d1"), "surface", "page_para") == [("Totton 1965", 0), ("X", 1)]
-    assert ids(corpus.get_excerpts_citing("w2"), "text") == ["As Totton says."]
-    assert set(ids(corpus.get_citation_graph("w2"), "work_id", "direction")) == {("w1", "in"), ("w3", "in")}
-    assert ids(corpus.resolve_reference("Totton 1965 Synopsis"), "work_id") == ["w2"] and ids(corpus.resolve_reference("Totton (1965) quite other"), "work_id") == ["w2"]
-    assert ids(corpus.format_citations(["w2", "zz"]), "found", "citation")[0] == (True, "Totton (1965). Synopsis of things.")
-    assert ids(corpus.format_citations(doc_hashes=["d1"]), "inline", "tier") == [("(Müller, 2005)", "held")]
-    assert ids(corpus.get_missing_references(), "work_id", "n_citations") == [("w2", 2)] and ids(corpus.get_works_by_author("Totton"), "work_id") == ["w2"]
-    assert ids(corpus.get_original_description("Marrus claudanielis"), "work_id", "n_candidates") == [("w1", 1)]
-    for bad in (lambda: corpus.format_citations(), lambda: corpus.resolve_reference(), lambda: corpus.get_citation_graph("w2", "up")):
+def test_bibliography(collection):
+    assert ids(collection.get_bibliography("d1"), "ref_id", "work_title", "n_citations") == [("b0", "Synopsis of things", 2), ("b1", None, None)]
+    assert ids(collection.get_intext_citations("d1"), "surface", "page_para") == [("Totton 1965", 0), ("X", 1)]
+    assert ids(collection.get_excerpts_citing("w2"), "text") == ["As Totton says."]
+    assert set(ids(collection.get_citation_graph("w2"), "work_id", "direction")) == {("w1", "in"), ("w3", "in")}
+    assert ids(collection.resolve_reference("Totton 1965 Synopsis"), "work_id") == ["w2"] and ids(collection.resolve_reference("Totton (1965) quite other"), "work_id") == ["w2"]
+    assert ids(collection.format_citations(["w2", "zz"]), "found", "citation")[0] == (True, "Totton (1965). Synopsis of things.")
+    assert ids(collection.format_citations(doc_hashes=["d1"]), "inline", "tier") == [("(Müller, 2005)", "held")]
+    assert ids(collection.get_missing_references(), "work_id", "n_citations") == [("w2", 2)] and ids(collection.get_works_by_author("Totton"), "work_id") == ["w2"]
+    assert ids(collection.get_original_description("Marrus claudanielis"), "work_id", "n_candidates") == [("w1", 1)]
+    for bad in (lambda: collection.format_citations(), lambda: collection.resolve_reference(), lambda: collection.get_citation_graph("w2", "up")):
         with pytest.raises(QueryError):
             bad()
 
 
-def test_figures_lexicon_and_profiles(corpus):
+def test_figures_lexicon_and_profiles(collection):
     name = "Marrus claudanielis"
-    assert ids(corpus.get_figures_for_taxon(name), "figure_id", "score") == [("f1", 1), ("f2", 0)]
-    assert ids(corpus.get_figures_for_lexicon_term("anatomy", "bell"), "figure_id", "score") == [("f1", 1), ("f2", 0)]
-    assert ids(corpus.get_figure_dossier_for_taxon(name), "figure_id", "chunks")[0] == ("f1", ["c0", "c1"]) and ids(corpus.get_figure_dossier_for_term("anatomy", "bell"), "figure_id") == ["f1"]
-    assert ids(corpus.get_figure("d1", "f1"), "license") == ["cc-by"] and ids(corpus.list_figure_rois("d1", "f1"), "label") == ["A"]
-    assert ids(corpus.get_figure_roi_image("d1", "f1", "A"), "filename", "servable") == [("fig_1.png", True)]
-    assert ids(corpus.get_figure_image("d2", "f2", "publication"), "servable") == [False] and ids(corpus.get_figure_image("d2", "f2"), "servable") == [True]
-    assert ids(corpus.get_figure_url("d1", "f1", "http://x", "publication"), "url") == ["http://x/d1/fig_1.png"]
-    assert {r.canonical: (r.mentions, r.n_documents) for r in corpus.lexicon_matrix("anatomy").collect()} == {"bell": (2, 2), "arm": (1, 1)}
-    assert sorted(map(tuple, corpus.lexicon_matrix("anatomy", detail=True).select("doc_hash", "bell", "arm").collect())) == [("d1", 1, 0), ("d2", 1, 1), ("d3", 0, 0)]
-    d = corpus.get_lexicon_term_dossier("anatomy", "bell")
+    assert ids(collection.get_figures_for_taxon(name), "figure_id", "score") == [("f1", 1), ("f2", 0)]
+    assert ids(collection.get_figures_for_lexicon_term("anatomy", "bell"), "figure_id", "score") == [("f1", 1), ("f2", 0)]
+    assert ids(collection.get_figure_dossier_for_taxon(name), "figure_id", "chunks")[0] == ("f1", ["c0", "c1"]) and ids(collection.get_figure_dossier_for_term("anatomy", "bell"), "figure_id") == ["f1"]
+    assert ids(collection.get_figure("d1", "f1"), "license") == ["cc-by"] and ids(collection.list_figure_rois("d1", "f1"), "label") == ["A"]
+    assert ids(collection.get_figure_roi_image("d1", "f1", "A"), "filename", "servable") == [("fig_1.png", True)]
+    assert ids(collection.get_figure_image("d2", "f2", "publication"), "servable") == [False] and ids(collection.get_figure_image("d2", "f2"), "servable") == [True]
+    assert ids(collection.get_figure_url("d1", "f1", "http://x", "publication"), "url") == ["http://x/d1/fig_1.png"]
+    assert {r.canonical: (r.mentions, r.n_documents) for r in collection.lexicon_matrix("anatomy").collect()} == {"bell": (2, 2), "arm": (1, 1)}
+    assert sorted(map(tuple, collection.lexicon_matrix("anatomy", detail=True).select("doc_hash", "bell", "arm").collect())) == [("d1", 1, 0), ("d2", 1, 1), ("d3", 0, 0)]
+    d = collection.get_lexicon_term_dossier("anatomy", "bell")
     assert ids(d["documents"], "doc_hash") == ["d1", "d2"] and d["description"].first().description == "a bell" and d["chunks"].count() == 2
-    assert corpus.list_output_profiles().count() == 3 and ids(corpus.get_active_profile("publication"), "strict") == [True]
+    assert collection.list_output_profiles().count() == 3 and ids(collection.get_active_profile("publication"), "strict") == [True]
     with pytest.raises(QueryError):
-        corpus.get_active_profile("odd")
+        collection.get_active_profile("odd")
     with pytest.raises(QueryError):
-        corpus.lexicon_matrix("odd")
+        collection.lexicon_matrix("odd")

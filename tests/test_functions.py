@@ -16,7 +16,7 @@ def one(spark):
     return value
 
 
-@pytest.mark.parametrize("name,want", [("Totton1965a.pdf", ("Totton", 1965)), ("dir/Müller2001.pdf", ("Müller", 2001)), ("Paper0042.pdf", ("Paper", None)), ("Pugh-1999-notes.pdf", ("Pugh", 1999)), ("12345678.pdf", (None, None))])
+@pytest.mark.parametrize("name,want", [("Totton1965a.pdf", ("Totton", 1965)), ("dir/Müller2001.pdf", ("Müller", 2001)), ("Paper0042.pdf", ("Paper", None)), ("Pugh-1999-notes.pdf", ("Pugh", 1999)), ("12345678.pdf", (None, None)), ("Totton.pdf", (None, None)), ("123456_Totton1965.pdf", (None, None)), ("Dunn_Pugh_Haddock2005.pdf", ("Dunn", 2005)), ("Dunn-etal2005_Marrus.pdf", ("Dunn", 2005)), ("a.b/Haeckel1888", ("Haeckel", 1888)), ("Old1599.pdf", ("Old", None))])
 def test_from_filename(one, name, want):
     assert tuple(one(text.from_filename(F.col("s")), s=name)) == want
 
@@ -26,12 +26,12 @@ def test_year_in_filename(one, name, want):
     assert one(text.year_in_filename(F.col("s")), s=name) == want
 
 
-@pytest.mark.parametrize("numeral,want", [("IV", 4), ("xii", 12), ("MCMXC", 1990), ("A", None), ("", None)])
+@pytest.mark.parametrize("numeral,want", [("IV", 4), ("xii", 12), ("MCMXC", 1990), ("A", None), ("", None), ("IIII", None), ("VV", None), ("IC", None), ("XL", 40), ("MMMM", 4000), ("3", None), (" ix ", 9)])
 def test_roman(one, numeral, want):
     assert one(text.roman(F.col("s")), s=numeral) == want
 
 
-@pytest.mark.parametrize("caption,want", [("Figure 3. A thing", "3"), ("Fig. 12b: more", "12b"), ("Abb. 4 Tier", "4"), ("Plate IV. All", "4"), ("Plate covers all", None), ("see Fig. 3", None)])
+@pytest.mark.parametrize("caption,want", [("Figure 3. A thing", "3"), ("Fig. 12b: more", "12b"), ("Abb. 4 Tier", "4"), ("Plate IV. All", "4"), ("Plate covers all", None), ("see Fig. 3", None), ("Tav. 7", "7"), ("Рис. 8", "8"), ("РИСУНОК 8", "8"), ("Tab. XII", "12"), ("Tabula IV", "4"), ("Taf. III. x", "3"), ("Fig. 3.1 y", "3.1"), ("Text-fig. 2", "2"), ("Fig. IIII", "IIII"), ("lámina 5", "5"), (None, None)])
 def test_figure_number(one, caption, want):
     assert one(text.figure_number(F.col("s")), s=caption) == want
 
@@ -73,17 +73,32 @@ def test_alpha_suffix(spark):
     got = spark.range(60).select(text.alpha_suffix(F.col("id").cast("int")).alias("v")).collect()
     assert [r.v for r in got][:3] == ["", "a", "b"] and got[26].v == "z" and got[27].v == "aa" and got[53].v == "ba"
 
+    def slow(n):
+        out = ""
+        while n > 0:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out
+
+    rows = [0, 1, 26, 27, 702, 703, 704, 729, 1378, 18278, 18279, 10**6, 2**31, 2**40]
+    got = spark.createDataFrame([(n,) for n in rows], "n long").select("n", text.alpha_suffix(F.col("n")).alias("v")).collect()
+    assert {r.n: r.v for r in got} == {n: slow(n) for n in rows}
+
 
 def test_scripts_and_suspicious_tokens(one):
     assert one(text.suspicious_share(F.col("s")), s="ab abc 123 a1b word") == pytest.approx(3 / 5)
     assert one(text.suspicious_share(F.col("s")), s=" ") == 0
-    counts = {k: one(c, text="ab жя α 日") for k, c in text.script_counts(F.col("text")).items()}
-    assert counts == {"letters": 6, "latin": 2, "cyrillic": 2, "greek": 1, "han": 1}
+    assert one(text.suspicious_share(F.col("s")), s="(ab) \"word\", 12. ... é1x ²²x") == pytest.approx(3 / 5)
+    counts = one(text.script_counts(F.col("s")), s="ab жя α 日 ش 12")
+    assert counts.asDict() == {"letters": 7, "latin": 2, "cyrillic": 2, "greek": 1, "arabic": 1}
 
 
 def test_json_and_paths(one):
     assert one(text.outer_json(F.col("s")), s='say {"a": {"b": 1}} so') == '{"a": {"b": 1}}'
+    assert one(text.outer_json(F.col("s")), s="a {b} c") is None and one(text.outer_json(F.col("s")), s="none") is None
+    assert one(text.json_strings(F.col("s")), s='{"a": "x", "b": [1, "y", {"c": null, "d": "z"}]}') == ["x", "y", "z"] and one(text.json_strings(F.col("s")), s="{") is None
     assert one(text.relative_path(F.col("s"), "/data/x/"), s="/data/x/a/b.png") == "a/b.png"
+    assert len(one(text.relative_path(F.col("s"), "/d"), s="/d/" + "x" * 1_200_000)) == 1_200_000
     assert one(text.absolute_path(F.col("s")), s="/home/u/f") and not one(text.absolute_path(F.col("s")), s="a/b")
 
 
@@ -128,7 +143,13 @@ def test_citation_strings(spark):
     people = lambda *names: F.array(*[F.struct(F.lit(s).alias("surname"), F.lit(f).alias("forename")) for s, f in names])
     two = people(("Dunn", "Casey W."), ("Pugh", "Philip"))
     r = spark.range(1).select(citation.author_list(two).alias("a"), citation.inline_authors(two).alias("b"), citation.inline_authors(people(("A", None), ("B", None), ("C", None))).alias("c"), citation.full_citation(people(("Dunn", None)), F.lit(2005), F.lit("Marrus claudanielis"), F.lit("Bull."), F.lit(None).cast("string")).alias("d")).first()
-    assert tuple(r) == ("Dunn, C. W., & Pugh, P.", "Dunn & Pugh", "A et al.", "Dunn (2005). Marrus claudanielis. Bull.")
+    assert tuple(r) == ("Dunn, C. W., & Pugh, P.", "Dunn & Pugh", "A et al.", "Dunn (2005). Marrus claudanielis. *Bull.*.")
+    r = spark.range(1).select(
+        citation.full_citation(people(("Totton", "A. K."), (" ", "X"), (None, "A")), F.lit(1965), F.lit(" A synopsis? "), F.lit("Bulletin"), F.lit("10.1/x"), F.lit("7"), F.lit("1-200")).alias("a"),
+        citation.full_citation(people(("", "A")), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("string")).alias("b"),
+        citation.inline_citation(people(("", None), ("Smith", None)), F.lit(2010)).alias("c"), citation.inline_citation(people((None, "A")), F.lit(0)).alias("d"),
+        citation.author_list(people(("A", "b c"), ("B", None), ("C", "Éa"))).alias("e")).first()
+    assert tuple(r) == ("Totton, A. K. (1965). A synopsis? *Bulletin*, *7*, 1-200. https://doi.org/10.1/x", "(n.d.).", "(Smith, 2010)", "(n.d.)", "A, B. C., B, & C, É.")
 
 
 def test_cite_keys(spark):
@@ -138,8 +159,17 @@ def test_cite_keys(spark):
 
 # Figures
 def test_figure_types(spark):
-    rows = spark.createDataFrame([(20, 400, None), (300, 300, "Plate IV. x"), (300, 300, "Fig. 2 y"), (600, 600, "uncounted"), (200, 200, None)], "w int, h int, c string")
-    assert [r[0] for r in rows.select(figures.figure_type(F.col("w"), F.col("h"), F.col("c"))).collect()] == ["graphical_element", "plate", "figure", "figure", "unclassified"]
+    rows = spark.createDataFrame([(20, 400, None), (300, 300, "Plate IV. x"), (300, 300, "Fig. 2 y"), (600, 600, "uncounted"), (200, 200, None), (40, 400, "Fig. 2 y"), (100, 100, None), (100, 100, "text"), (None, None, "Pl. 3"), (200, 200, "text")], "w int, h int, c string")
+    assert [r[0] for r in rows.select(figures.figure_type(F.col("w"), F.col("h"), F.col("c"))).collect()] == ["graphical_element", "plate", "figure", "figure", "unclassified", "graphical_element", "graphical_element", "unclassified", "plate", "figure"]
+
+
+def test_panel_letters_and_names(spark):
+    ddl = "doc_id int, figure_number string, figure_id string, figure_type string, x0 double, y0 double, x1 double, y1 double"
+    rows = [(1, "3", "w", "figure", 0.0, 0.0, 100.0, 100.0), (1, "3", "p", "figure", 50.0, 50.0, 90.0, 95.0), (1, "3", "q", "figure", 5.0, 50.0, 45.0, 95.0), (1, "4", "a", "plate", 0.0, 0.0, 10.0, 10.0), (1, "4", "b", "plate", 0.0, 200.0, 10.0, 300.0), (1, "5", "z", "figure", 0.0, 0.0, 9.0, 9.0)]
+    got = {r.figure_id: (r.figure_type, r.panel_letter) for r in figures.panel_letters(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {"w": ("figure", None), "q": ("subpanel", "a"), "p": ("subpanel", "b"), "b": ("plate", "a"), "a": ("plate", "b"), "z": ("figure", None)}
+    names = spark.createDataFrame([("figure", "3", None, 1), ("figure", "3", "a", 1), ("plate", None, None, 7), ("subpanel", "3", "b", 2), ("subpanel", "3", None, 2), ("graphical_element", "1", None, 4), ("odd", None, None, 5)], "k string, n string, l string, i int")
+    assert [r[0] for r in names.select(figures.figure_filename(F.col("k"), F.col("n"), F.col("l"), F.col("i"))).collect()] == ["fig_3.png", "fig_3_a.png", "plate_docling_7.png", "fig_3_b.png", "_subpanel_2.png", "_graphic_4.png", "_unclassified_5.png"]
 
 
 @pytest.mark.parametrize("caption,want", [("Fig. 1. A. Whole animal; B. Detail.", [("A", "Whole animal"), ("B", "Detail")]), ("Fig. 2 (A) one, (B-C) two", [("A", "one"), ("B", "two"), ("C", "two")]), ("Fig. 3. B. no start", []), (None, [])])
@@ -151,8 +181,11 @@ def test_links_both_ways(spark):
     chunks = spark.createDataFrame([(1, "c0", "see Fig. 1 and figure 2b"), (1, "c1", "Figs. 1"), (1, "c2", "none"), (2, "c0", "Fig. 1")], "doc_id int, chunk_id string, text string")
     figs = spark.createDataFrame([(1, "f1", "1"), (1, "f2", "2")], "doc_id int, figure_id string, figure_number string")
     links = figures.link_chunks(chunks, figs)
-    assert {(r.chunk_id, tuple(r.figure_refs)) for r in figures.chunk_figure_refs(links).collect()} == {("c0", ("f1", "f2")), ("c1", ("f1",))}
+    assert {(r.chunk_id, tuple(r.figure_refs)) for r in figures.chunk_figure_refs(links).collect()} == {("c0", ("f1", "f2"))}  # the plural is no prefix
     assert {(r.figure_id, r.chunk_id) for r in figures.figure_chunks(links, 1).collect()} == {("f1", "c0"), ("f2", "c0")}
+    more = spark.createDataFrame([(1, "f3", None, "Taf. III. x"), (1, "f4", "", "no number")], "doc_id int, figure_id string, figure_number string, caption_text string")
+    text_ = spark.createDataFrame([(1, "c9", "Рис. 3 and tabula 9")], "doc_id int, chunk_id string, text string")
+    assert {(r.chunk_id, r.figure_id) for r in figures.link_chunks(text_, more).collect()} == {("c9", "f3")}
 
 
 def test_missing_figures(spark):
