@@ -92,7 +92,7 @@ def count_substring(text: Column, term: Column) -> Column:
 
 def preview(c: Column, limit: int = 200) -> Column:
     """At most ``limit`` characters, cut at the last space, with an ellipsis."""
-    head = F.rtrim(F.regexp_replace(F.substring(c, 1, limit), r"\s+\S*$", ""))
+    head = F.rtrim(F.regexp_replace(F.substring(c, 1, limit), r"\s+\S*\z", ""))
     return F.when(F.char_length(c) <= limit, c).otherwise(F.concat(head, F.lit("…")))
 
 

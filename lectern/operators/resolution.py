@@ -135,13 +135,13 @@ def closed_mapping(mapping: DataFrame, max_rounds: int = 32) -> DataFrame:
 def apply_merge(works: DataFrame, authors: DataFrame, citations: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Works, authors and citations after merging old_id into new_id: edges are redirected
     and repeated ones dropped, authors not there yet are appended, survivors take fields
-    that they lack."""
+    that they lack, from the smallest id that has one."""
     m = closed_mapping(mapping)
     renamed = lambda df, c: df.join(m, F.col(c) == F.col("old_id"), "left").withColumn(c, F.coalesce("new_id", c)).drop("old_id", "new_id")
     edges = renamed(renamed(citations, "citing_work_id"), "cited_work_id").where("citing_work_id <> cited_work_id").dropDuplicates(["citing_work_id", "cited_work_id", "citing_doc_hash"])
     fields = [c for c in works.columns if c != "work_id"]
     gone = works.join(m, F.col("work_id") == F.col("old_id"))
-    spare = gone.groupBy("new_id").agg(*[F.min_by(c, "work_id").alias(f"_{c}") for c in fields])
+    spare = gone.groupBy("new_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("work_id"))).alias(f"_{c}") for c in fields])
     kept = works.join(m, F.col("work_id") == F.col("old_id"), "left_anti").join(spare, F.col("work_id") == F.col("new_id"), "left")
     kept = kept.select("work_id", *[F.coalesce(c, f"_{c}").alias(c) for c in fields])
     moved = authors.join(m, F.col("work_id") == F.col("old_id")).select(F.col("new_id").alias("work_id"), "position", "surname_normalized", "surname", "forename")

@@ -149,7 +149,7 @@ def authority_links(taxa: DataFrame, works: DataFrame, authors: DataFrame) -> Da
     out = parsed.join(by(0, "s1", "single"), ["s1", "year"], "left").join(second, ["s1", "s2", "year"], "left")
     stub = F.concat(F.lit("stub:"), "s1", F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("unknown")))
     unique = F.when(F.col("n_single") == 1, F.col("single"))
-    return out.select("taxon_id", F.coalesce(unique, F.col("pair").cast("string"), stub).alias("work_id"), F.when(unique.isNotNull(), 0.7).when(F.col("pair").isNotNull(), 0.85).otherwise(0.5).alias("confidence"))
+    return out.select("taxon_id", F.coalesce(unique.cast("string"), F.col("pair").cast("string"), stub).alias("work_id"), F.when(unique.isNotNull(), 0.7).when(F.col("pair").isNotNull(), 0.85).otherwise(0.5).alias("confidence"))
 
 
 def licence_of(figures: DataFrame, works: DataFrame) -> DataFrame:

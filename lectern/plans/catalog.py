@@ -6,29 +6,14 @@ top-k lists).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
 from ..operators import documents, figures, graph, lexicon, quality, taxonomy, vector, works
 from .fixtures import lexicon as lexicon_table
-from .fixtures import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
+from .fixtures import view
+from .registry import ORACLE_SQL, QUERIES, query
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return text.chunk_windows(view(spark, d, "documents").select("doc_id", "text"))
@@ -180,14 +165,14 @@ def rank_distribution(spark, d):
     return taxonomy.rank_distribution(view(spark, d, "v_taxa"))
 
 
-@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.citing_work_id where c.cited_work_id = 589")
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.citing_work_id where c.cited_work_id = 89")
 def citing_works(spark, d):
-    return works.citing(citations(spark, d), view(spark, d, "v_works"), 589)
+    return works.citing(citations(spark, d), view(spark, d, "v_works"), 89)
 
 
-@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.cited_work_id where c.citing_work_id = 589")
+@query("select w.work_id, w.title, w.year from v_citations c join v_works w on w.work_id = c.cited_work_id where c.citing_work_id = 89")
 def cited_works(spark, d):
-    return works.cited_by(citations(spark, d), view(spark, d, "v_works"), 589)
+    return works.cited_by(citations(spark, d), view(spark, d, "v_works"), 89)
 
 
 @query("select work_id, title, year, n_citations from v_works join (select cited_work_id as work_id, count(*) as n_citations from v_citations group by all) using (work_id) where not held and n_citations >= 2 and year >= 1905 order by n_citations desc, work_id limit 50")
@@ -205,7 +190,7 @@ def in_degree(spark, d):
     return works.in_degree(citations(spark, d))
 
 
-WALK_START = 589
+WALK_START = 89
 
 
 @query(
@@ -448,8 +433,8 @@ def session_windows(spark, d):
 
 
 
-_PREFIX = r"(fig(ure|\.?)|abb(ildung|\.?)|pl(ate|\.?)|рис(унок|\.?)|image|illustration|lám(ina|\.?)|tav(ola|\.?)|bild|text[\-\s]?fig(ure|\.?)|taf(el|\.?)|tab(ula|\.?))"
-_REFS = rf"select doc_id, chunk_id, unnest(regexp_extract_all(text, '(?i)\b{_PREFIX}\s*(\d+)', 11)) as figure_number from v_figure_chunks"
+_PREFIX = r"(?:fig(?:ure|\.?)|abb(?:ildung|\.?)|pl(?:ate|\.?)|рис(?:унок|\.?)|image|illustration|lám(?:ina|\.?)|tav(?:ola|\.?)|bild|text[\-\s]?fig(?:ure|\.?)|taf(?:el|\.?)|tab(?:ula|\.?))"
+_REFS = rf"select doc_id, chunk_id, unnest(regexp_extract_all(text, '(?i)\b{_PREFIX}\s*(\d+)', 1)) as figure_number from v_figure_chunks"
 
 
 @query(f"select distinct r.doc_id, r.chunk_id, f.figure_id from ({_REFS}) r join v_figures f on f.doc_id = r.doc_id and f.figure_number = r.figure_number")
@@ -526,22 +511,22 @@ def subtree_records(spark, d):
 
 @query(
     """with deg as (select cited_work_id as dst, count(*) as n from v_citations group by all),
-    o as (select cited_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, cited_work_id) as rk from v_citations left join deg on dst = cited_work_id where citing_work_id = 589),
-    i as (select citing_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, citing_work_id) as rk from v_citations left join deg on dst = citing_work_id where cited_work_id = 589)
+    o as (select cited_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, cited_work_id) as rk from v_citations left join deg on dst = cited_work_id where citing_work_id = 89),
+    i as (select citing_work_id as work_id, row_number() over (order by coalesce(n, 0) desc, citing_work_id) as rk from v_citations left join deg on dst = citing_work_id where cited_work_id = 89)
     select work_id, 'out' as direction from o where rk <= 2 union all select work_id, 'in' from i where rk <= 2"""
 )
 def citation_neighbourhood(spark, d):
-    return graph.neighbourhood(citations(spark, d), 589, "both", 1, per_node=2).select("work_id", "direction")
+    return graph.neighbourhood(citations(spark, d), 89, "both", 1, per_node=2).select("work_id", "direction")
 
 
 REFS = "select concat('d', cast(citing_work_id as string)) as doc_hash, concat('b', cast(cited_work_id as string)) as ref_id, cited_work_id from v_citations"
 
 
-@query(f"with refs as ({REFS}) select ref_id, title as work_title, held, n as n_citations from (select * from refs where doc_hash = 'd589' order by ref_id limit 50) r join v_works w on w.work_id = r.cited_work_id left join (select cited_work_id, count(*) as n from v_citations group by all) g on g.cited_work_id = r.cited_work_id")
+@query(f"with refs as ({REFS}) select ref_id, title as work_title, held, n as n_citations from (select * from refs where doc_hash = 'd89' order by ref_id limit 50) r join v_works w on w.work_id = r.cited_work_id left join (select cited_work_id, count(*) as n from v_citations group by all) g on g.cited_work_id = r.cited_work_id")
 def bibliography(spark, d):
     edges = citations(spark, d).select(F.concat(F.lit("d"), F.col("citing_work_id").cast("string")).alias("citing_doc_hash"), F.concat(F.lit("b"), F.col("cited_work_id").cast("string")).alias("ref_id"), "citing_work_id", "cited_work_id")
     refs = edges.select(F.col("citing_doc_hash").alias("doc_hash"), "ref_id")
-    return works.bibliography(refs, edges, view(spark, d, "v_works"), "d589").select("ref_id", "work_title", "held", "n_citations")
+    return works.bibliography(refs, edges, view(spark, d, "v_works"), "d89").select("ref_id", "work_title", "held", "n_citations")
 
 
 @query("select conv_id, turn, dense_rank() over (order by turn) - 1 as page_para from (select * from conversations where conv_id = 3 order by turn, role, text limit 5 offset 1)")
@@ -563,3 +548,9 @@ def quarter_hour_windows(spark, d):
     from ..streaming.windows import tumbling
 
     return tumbling(view(spark, d, "events"), "15 minutes").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+# The other modules register theirs; the names stay those of one catalogue.
+from . import catalog_build, catalog_text, catalog_works  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_build", "catalog_text", "catalog_works"]
