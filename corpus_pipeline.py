@@ -5,6 +5,9 @@ Parquet and read again as the next stage's docs. All but the last return the col
 of documents; the last one returns the token ids and each document's place in the mixed
 order. That order is the one of the mixture's files (by number of their part) and of the
 rows in them; Spark reads files in another one, so the last stage takes it from there.
+
+Every stage takes an empty table (and gives one), extra columns of any name (which stay),
+nulls in any column and texts of any length; what it makes of them is in its docstring.
 """
 
 from __future__ import annotations
@@ -21,17 +24,22 @@ from lectern.llm.queries import ENCODER, language_model, secret_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go."""
+    """Documents without a known language go: null texts, texts without a letter, and those
+    whose best language has a posterior below a half. Repeated rows are judged alike, ties
+    go to the language that sorts first; a null doc_id is no reason to go."""
     return langid.keep_known(docs, language_model(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
+    """Of each class of near copies the document with the smallest doc_id stays; of rows of
+    that doc_id the one whose text has the least digest, of equal rows one. A null doc_id
+    is the smallest. Empty texts are one class, null texts another."""
     return minhash.distinct_documents(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask; n_chars follows the text."""
+    """Secrets are replaced by a mask; n_chars follows the text where one was. No row goes;
+    null and empty texts stay as they are, repeated rows are masked alike."""
     found = secrets.scan(docs, secret_model(docs))
     clean = found.withColumn("clean", F.when(F.col("doc.text").isNull(), F.lit(None)).otherwise(secrets.redact(F.col("doc.text"), "spans")))
     new = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.char_length("clean").cast("long")).otherwise(F.col("doc.n_chars"))}
@@ -39,7 +47,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the Pfair schedule of their sources."""
+    """All documents, repeated rows too, written in the order of the Pfair schedule of their
+    sources. A null source is a source; ties inside one follow the text's CRC."""
     return mixing.mix(docs).orderBy("mix_order").select("doc.*")
 
 
@@ -62,7 +71,8 @@ def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the round trip, and its place
-    in the mixed order (``mix_order``)."""
+    in the mixed order (``mix_order``). A null text has no token; repeated rows have equal
+    ids and places of their own."""
     return bpe.encode_documents(placed(spark, docs), public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False, carry=("mix_order",))
 
 

@@ -35,7 +35,7 @@ def fetch_documents(docs: DataFrame, hashes: list[str], fields: list[str] | None
     return wanted.join(found, wanted.asked == found.doc_hash, "left").select("pos", F.col("asked").alias("doc_hash"), F.coalesce("hit", F.lit(False)).alias("found"), *keep).orderBy("pos")
 
 
-def fetch_chunks(chunks: DataFrame, doc_hash: str, chunk_ids: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def fetch_chunks(chunks: DataFrame, doc_hash: str | int, chunk_ids: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """Chunks of one document in document order; unknown ids are skipped."""
     rows = chunks.where(F.col("doc_hash") == doc_hash)
     if chunk_ids is not None:

@@ -27,10 +27,29 @@ def checked_dimension(vectors: DataFrame, dimension: int, vector: str = "embeddi
 
 
 def with_citations(hits: DataFrame, citations: DataFrame) -> DataFrame:
-    """Works that a hit's document cites, ascending."""
+    """Works that a hit's document cites, ascending; only the hits' edges are grouped."""
+    citations = citations.join(hits.select(F.col("doc_hash").alias("citing_doc_hash")).distinct(), "citing_doc_hash", "left_semi")
     cited = citations.groupBy(F.col("citing_doc_hash").alias("doc_hash")).agg(F.array_sort(F.collect_set("cited_work_id")).alias("cited_works"))
     return hits.join(cited, "doc_hash", "left")
 
 
 def served(vectors: DataFrame, unserved: DataFrame) -> DataFrame:
     return vectors.join(unserved.select("doc_hash"), "doc_hash", "left_anti")
+
+
+def records(chunks: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of the vector table: text, vector and a struct of the chunk's and its document's
+    fields, names of authors as 'Forename Surname'. chunks: doc_hash, chunk_id, text,
+    headings, section_class; vectors: doc_hash, chunk_id, vector; docs: doc_hash, title,
+    authors, year, journal, doi, paths, total_pages."""
+    name = lambda a: F.trim(F.concat_ws(" ", F.trim(F.coalesce(a["forename"], F.lit(""))), F.trim(F.coalesce(a["surname"], F.lit("")))))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    paths = F.coalesce("paths", F.array().cast("array<string>"))
+    head = docs.select(
+        "doc_hash", F.coalesce(F.try_element_at(paths, F.lit(1)), F.lit("")).alias("filename"), text("title"),
+        F.filter(F.transform(F.coalesce("authors", F.array().cast(docs.schema["authors"].dataType)), name), lambda n: n != "").alias("authors"),
+        "year", text("journal"), text("doi"), "total_pages", paths.alias("relative_paths"),
+    )
+    rows = chunks.join(vectors, ["doc_hash", "chunk_id"]).join(head, "doc_hash", "left")
+    fields = ["doc_hash", "filename", "title", "authors", "year", "journal", "doi", "total_pages", "chunk_id", "relative_paths", "section_class", F.coalesce("headings", F.array().cast("array<string>")).alias("headings")]
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "vector", F.struct(*fields).alias("metadata"))

@@ -192,7 +192,8 @@ class Collection:
             asked = asked.join(self.works.select("doc_hash", "work_id"), F.col("asked") == F.col("doc_hash"), "left").select("pos", "work_id")
         else:
             asked = asked.withColumnRenamed("asked", "work_id")
-        tier = works.provenance(self.works, self.citations).select("work_id", "tier")
+        wanted = self.works.join(asked.select("work_id").distinct(), "work_id", "left_semi")
+        tier = works.provenance(wanted, self.citations.join(asked.select(F.col("work_id").alias("cited_work_id")).distinct(), "cited_work_id", "left_semi")).select("work_id", "tier")
         return works.format_citations(self.works, self.work_authors, asked).join(tier, "work_id", "left").orderBy("pos")
 
     def get_missing_references(self, min_citations: int = 2, year_from=None, year_to=None, limit: int = 50) -> DataFrame:
@@ -205,8 +206,10 @@ class Collection:
         return works.works_by_author(self.works, self.work_authors, self.citations, self.folded(surname), held_only, limit)
 
     # Figures
-    def links(self) -> DataFrame:
-        return figures.link_chunks(by_doc(self.chunks), by_doc(self.figures))
+    def links(self, scope: DataFrame) -> DataFrame:
+        """Chunk and figure pairs of the documents in scope; other chunks are not searched."""
+        inside = lambda df: by_doc(df).join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
+        return figures.link_chunks(inside(self.chunks), inside(self.figures))
 
     def get_figures_for_taxon(self, name: str, limit: int = 50, full_caption: bool = False) -> DataFrame:
         scope = taxonomy.documents_for_taxon(by_doc(self.taxon_mentions), self.resolve(name))
@@ -218,13 +221,14 @@ class Collection:
 
     def get_figure_dossier_for_taxon(self, name: str, limit: int = 50) -> DataFrame:
         scope = taxonomy.documents_for_taxon(by_doc(self.taxon_mentions), self.resolve(name))
-        return with_hash(figures.figure_dossier(by_doc(self.figures), self.links(), scope, name, limit=limit))
+        return with_hash(figures.figure_dossier(by_doc(self.figures), self.links(scope), scope, name, limit=limit))
 
     def get_figure_dossier_for_term(self, category: str, term: str, limit: int = 50) -> DataFrame:
         """All documents are in scope; only figures whose caption has the term are listed."""
         self.category(category)
         rows = by_doc(self.figures)
-        return with_hash(figures.figure_dossier(rows, self.links(), rows.select("doc_id"), term, limit=limit).where("score > 0"))
+        named = rows.where(F.contains(F.lower("caption_text"), F.lit(term.lower()))).select("doc_id")
+        return with_hash(figures.figure_dossier(rows, self.links(named), named, term, limit=limit).where("score > 0"))
 
     def get_figure(self, doc_hash: str, figure_id: str) -> DataFrame:
         return works.licence_of(self.figures.where((F.col("doc_hash") == doc_hash) & (F.col("figure_id") == figure_id)), self.works)

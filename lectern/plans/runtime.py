@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -18,11 +19,13 @@ def session(app: str = "lectern", **conf: str) -> SparkSession:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder of ``spark.checkpoint.dir`` (a temporary one only
-    where none is named, as in tests), so that loops keep short plans and a lost
-    executor costs a re-read."""
+    where none is named and Spark runs in one process, as in tests), so that loops keep
+    short plans and a lost executor costs a re-read."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint()
 
