@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -31,14 +32,21 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-        if not base and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         _SCRATCH[app] = f"{base.rstrip('/')}/lectern-{app}"
+        atexit.register(_clear_at_exit, spark, app)
     return _SCRATCH[app]
 
 
+def _clear_at_exit(spark: SparkSession, app: str) -> None:
+    """The scratch tables go with the driver, if its Spark is still there."""
+    if SparkSession.getActiveSession() is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        clear_scratch(spark)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -9,7 +9,9 @@ however many groups there are, and what moves is one small row for each group.
 
 A group heavier than a shard's share stays whole and that shard is as much heavier.
 Null texts form one group of size 1 each row; empty texts another. Rows are kept
-one by one, repeated rows too; an empty table gives an empty result. Columns other
+one by one, repeated rows too. Ties of weight follow the groups' digests, slots those of
+doc_id the text's CRC; a null doc_id comes first. Very long texts are groups like others,
+and only their digest and size move. An empty table gives an empty result. Columns other
 than doc_id and text are ignored.
 """
 

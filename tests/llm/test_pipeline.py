@@ -95,3 +95,33 @@ def test_run_returns_the_mixed_order(spark, tables, monkeypatch):
     rows = corpus_pipeline.run(spark, tables[0]).select("doc_id", "mix_order").collect()
     want = [r.doc_id for r in seen[0].orderBy("mix_order").select("doc.doc_id").collect()]
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_order)] == want and len(want) == 41
+
+
+def test_awkward_rows_and_token_ids_of_the_library(spark, tmp_path):
+    """Very long, empty and repeated rows through every stage; ids as the library has them."""
+    import random
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+    from lectern.llm import bpe
+    from lectern.llm.queries import ENCODER
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ra", "to", "mi", "ne", "sol", "ka"]) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long_ = text(60_000) + ' token = "' + "aB3" * 8 + '" ' + text(10)
+    rows = [(i, text(50), "en" if i % 2 else "fr", None if i % 5 == 0 else "s1", 0) for i in range(20)]
+    rows += [(20, long_, "en", "s1", 0), (21, "", "en", "s1", 0), (22, " \n ", "en", "s1", 0), (None, text(40), "en", "s1", 0), (3, rows[3][1], "en", "s1", 0), (3, text(45), "en", "s2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{name}")
+        last, docs = docs, spark.read.parquet(f"file://{tmp_path}/{name}")
+    kept = sorted(((r.doc_id, r.text) for r in last.collect()), key=str)
+    assert sorted(i for i, _ in kept if i is not None) == [*range(3), 3, 3, *range(4, 21)] and sum(i is None for i, _ in kept) == 1
+    masked = dict(kept)[20]
+    assert "aB3" not in masked and masked.startswith(long_[:1000]) and masked.endswith(long_[-30:])
+    encoder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(ENCODER)), special_tokens={})
+    got = sorted(((r.doc_id, encoder.decode(r.ids), list(r.ids)) for r in docs.collect()), key=lambda r: str(r[:2]))
+    assert [(i, t) for i, t, _ in got] == kept and all(ids == encoder.encode_ordinary(t) for _, t, ids in got)
+    assert sorted(r.mix_order for r in docs.select("mix_order").collect())[0] == 0 and docs.select("mix_order").distinct().count() == len(kept)
