@@ -12,16 +12,13 @@ text that can match a shard are sent to it:
    anchor's home is the least text (by hash) that has it, so what two texts share has one
    home, and neighbouring anchors of one passage mostly have the same.
 3. Consecutive segments of one home make a piece, the reference text. Pieces are cut where
-   the anchors say so, the same way in every text, and at ``MOST_WINDOWS``. Equal pieces
-   are counted once, with their smallest doc_id, before anything is grouped.
-4. A shard holds the different pieces of one home, if there are two at least. In ascending
-   order of doc_id each is streamed through the suffix automaton of those before it;
-   where the matching statistic reaches ``window``, a window has been seen. Then it is
-   added. Of a home with more than ``shard_pieces`` pieces (a window that is common among
-   changing neighbours) no task sees all: its windows are aggregated to their smallest
-   doc_id and joined with it.
-5. Every occurrence of a piece gets its windows marked: all of them where a smaller
-   doc_id has the same piece, else those that its shard found.
+   the anchors say so, the same way in every text, and at ``MOST_WINDOWS``.
+4. A shard holds the pieces of one home. In ascending order of doc_id each is streamed
+   through the suffix automaton of those before it; where the matching statistic reaches
+   ``window``, a window has been seen. Then it is added. A piece that a smaller doc_id has
+   as it is needs no streaming. Of a home with more than ``shard_pieces`` pieces (a
+   passage of very many texts) no task sees all: equal pieces are aggregated to their
+   smallest doc_id, then the windows of different ones, which are joined with it.
 
 Copies of a whole text need no shard: all but the one of smallest doc_id lose all words
 (if there are ``window`` or more). Texts are shuffled compressed, once to pick pieces, and
@@ -54,6 +51,8 @@ from .common import WHITE, Words, materialize, parts_for, run_hashes, slices
 GRAM = 5
 #: One in so many anchors ends a piece; windows of a piece, whose marks are bits of a long.
 CUT, MOST_WINDOWS = 8, 62
+#: Hot homes (8 bytes each) that are broadcast; more are joined plainly.
+BROADCAST = 100_000
 #: Stands for a null doc_id, which counts as the smallest.
 NO_ID = -(1 << 63)
 SLICE = 2 << 20
@@ -161,25 +160,33 @@ class Automaton:
         return out
 
 
-def seen_windows(group: list[tuple[int, list]], window: int) -> list[int]:
-    """group: (doc_id, words), ascending. Bits of the windows of each that occur in one
-    of a smaller doc_id."""
-    reference, out, i = Automaton(), [], 0
+def seen_windows(group: list[tuple[int, bytes]], window: int) -> list[int]:
+    """group: (doc_id, piece), ascending. Bits of the windows of each that occur in one of a
+    smaller doc_id."""
+    reference, whole, out, i = Automaton(), set(), [], 0
+    lone = len({piece for _, piece in group}) == 1  # equal pieces only
     while i < len(group):
         j = i
         while j < len(group) and group[j][0] == group[i][0]:
             j += 1
-        fresh = []
-        for _, words in group[i:j]:
+        fresh: dict[bytes, list | None] = {}
+        for _, piece in group[i:j]:
+            full = (1 << (piece.count(b" ") + 2 - window)) - 1
+            if piece in whole:
+                out.append(full)
+                continue
+            words = None if lone else split_words(piece)
             bits = 0
-            for k, l in enumerate(reference.statistics(words)[window - 1 :] if i else ()):  # noqa: E741
-                bits |= (l >= window) << k
+            if i and words:
+                for k, l in enumerate(reference.statistics(words)[window - 1 :]):  # noqa: E741
+                    bits |= (l >= window) << k
             out.append(bits)
-            if bits != (1 << (len(words) - window + 1)) - 1:
-                fresh.append(words)
+            fresh[piece] = words if bits != full else None
         if j < len(group):
-            for words in fresh:
-                reference.add(words)
+            for piece, words in fresh.items():
+                whole.add(piece)
+                if words:
+                    reference.add(words)
         i = j
     return out
 
@@ -284,18 +291,18 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_pie
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of)) for c in range(3)), pa.array(shift, pa.int32()), pa.array(digests, pa.binary())], ["home", "piece", "doc_id", "shift", "win"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (home, piece, doc_id, words) by home, then doc_id. Held: the pieces of one
-        home, ``shard_pieces`` at most."""
+        """Rows (home, doc_id, digest, first, words) by home, then doc_id. Held: the pieces of
+        one home, ``shard_pieces`` at most."""
         held: list[tuple] = []
 
         def found() -> list[tuple]:
-            bits = seen_windows([(r[2], split_words(r[3])) for r in held], window) if len(held) > 1 else [0]
-            out = [(row[0], row[1], x) for row, x in zip(held, bits, strict=True) if x]
+            bits = seen_windows([(r[1], r[4]) for r in held], window) if held[0][1] != held[-1][1] else [0] * len(held)
+            out = [(*row[1:4], x) for row, x in zip(held, bits, strict=True) if x]
             held.clear()
             return out
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["home", "piece", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64()))], ["doc_id", "digest", "first", "bits"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -315,20 +322,23 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_pie
     small = rows.select("doc_id", "digest", "text").mapInArrow(packed, "doc_id long, digest binary, packed binary")
     texts = materialize(small.join(wanted, ["doc_id", "digest"]), "texts", parts)
     occurs = texts.select("doc_id", "digest", "packed", "places").mapInArrow(pieces, "home long, doc_id long, digest binary, first int, count int, words binary")
-    occurs = materialize(occurs.withColumn("piece", F.unhex(F.md5("words"))), "pieces", parts)
-    distinct = materialize(occurs.groupBy("home", "piece").agg(F.min("doc_id").alias("doc_id"), F.min("words").alias("words")), "reference", parts)
-    sizes = distinct.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = distinct.join(sizes, "home").select("home", "piece", "doc_id", "words", "n")
-    few = sized.where(F.col("n") <= shard_pieces).drop("n")
-    hits = few.repartition("home").sortWithinPartitions("home", "doc_id").mapInArrow(match, "home long, piece binary, bits long")
-    crowded = sized.where(F.col("n") > shard_pieces).drop("n").mapInArrow(windows, "home long, piece binary, doc_id long, shift int, win binary")
+    occurs = materialize(occurs, "pieces", parts)
+    hot = materialize(occurs.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_pieces).select("home"), "hot-homes")
+    few = hot.count() <= BROADCAST
+    hot = F.broadcast(hot) if few else hot
+    calm = occurs.join(hot, "home", "left_anti").select("home", "doc_id", "digest", "first", "words")
+    marked = calm.repartition("home").sortWithinPartitions("home", "doc_id").mapInArrow(match, "doc_id long, digest binary, first int, bits long")
+
+    hot_rows = occurs.join(hot, "home").withColumn("piece", F.unhex(F.md5("words")))
+    distinct = hot_rows.groupBy("home", "piece").agg(F.min("doc_id").alias("lead"), F.min("words").alias("words"))
+    distinct = materialize(distinct, "reference", parts)
+    crowded = distinct.select("home", "piece", "lead", "words").mapInArrow(windows, "home long, piece binary, doc_id long, shift int, win binary")
     least = crowded.groupBy("win").agg(F.min("doc_id").alias("least"))
-    later = crowded.join(least, "win").where("doc_id > least").select("home", "piece", F.expr("shiftleft(1L, shift)").alias("bits"))
-    hits = hits.unionByName(later).groupBy("home", "piece").agg(F.bit_or("bits").alias("bits"))
-    lead = distinct.select("home", "piece", F.col("doc_id").alias("lead")).join(hits, ["home", "piece"], "left")
+    later = crowded.join(least, "win").where("doc_id > least").groupBy("home", "piece").agg(F.bit_or(F.expr("shiftleft(1L, shift)")).alias("bits"))
+    lead = distinct.select("home", "piece", "lead").join(later, ["home", "piece"], "left")
     full = F.expr("shiftleft(1L, count) - 1L")
-    marks = occurs.drop("words").join(lead, ["home", "piece"]).withColumn("bits", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")))
-    marks = marks.where("bits is not null and bits <> 0").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
+    rest = hot_rows.drop("words").join(lead, ["home", "piece"]).select("doc_id", "digest", "first", F.when(F.col("doc_id") > F.col("lead"), full).otherwise(F.col("bits")).alias("bits"))
+    marks = marked.unionByName(rest).where("bits is not null and bits <> 0").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
     return texts.select("doc_id", "digest", "packed"), marks
 
 
