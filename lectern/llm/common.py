@@ -63,15 +63,25 @@ def parts_for(n_rows: int, per_part: int = 20_000) -> int:
     return max(12, -(-n_rows // per_part))
 
 
+#: Spark's setting by which the shuffle files of an action go when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back. The shuffle files of
+    the write go with it: what comes after reads the table.
 
     ``parts`` (see ``parts_for``) bounds the files where there are more partitions than
     the data need; without a shuffle, each task takes several of them."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df = df.coalesce(parts) if parts else df
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -318,7 +318,8 @@ def removed_windows(rows: DataFrame, texts_of: DataFrame, window: int, shard_pie
     content = rows.select("content", "text")
     shared = content.mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.min("content").alias("home"), F.max("content").alias("b")).where("home <> b").select("anchor", "home")
     here = content.mapInArrow(places, "anchor long, content long, first int").join(shared, "anchor").groupBy("content").agg(F.collect_set(F.struct("first", "home")).alias("places"))
-    wanted = here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "places")
+    # Written before texts move, so that the shuffles of anchors are gone by then.
+    wanted = materialize(here.join(texts_of, "content").select("digest", F.col("least").alias("doc_id"), "places"), "places", parts)
     small = rows.select("doc_id", "digest", "text").mapInArrow(packed, "doc_id long, digest binary, packed binary")
     texts = materialize(small.join(wanted, ["doc_id", "digest"]), "texts", parts)
     occurs = texts.select("doc_id", "digest", "packed", "places").mapInArrow(pieces, "home long, doc_id long, digest binary, first int, count int, words binary")
