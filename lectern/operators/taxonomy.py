@@ -74,6 +74,11 @@ def subtree_records(taxa: DataFrame, root: str) -> DataFrame:
     return taxa.join(inside.unionByName(also).distinct(), "taxon_id", "left_semi")
 
 
+def name_set(names: DataFrame) -> DataFrame:
+    """Distinct lower-cased names."""
+    return names.select(F.lower("name").alias("name")).distinct()
+
+
 def documents_for_taxon(mentions: DataFrame, taxon_id: str, min_mentions: int = 1) -> DataFrame:
     return mentions.where(F.col("taxon_id") == taxon_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("mentions")).where(F.col("mentions") >= min_mentions).orderBy(F.desc("mentions"), "doc_id")
 

@@ -106,6 +106,20 @@ def ghost_candidates(works: DataFrame, authors: DataFrame, citations: DataFrame,
     return found.join(in_degree(citations), "work_id", "left").na.fill(0, ["n_citations"])
 
 
+def works_by_doi(works: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (doi, in any form) with the work of that DOI, the smallest id on ties."""
+    from ..functions.text import normalize_doi
+
+    known = works.where("doi is not null").groupBy(normalize_doi(F.col("doi")).alias("_doi")).agg(F.min("work_id").alias("work_id"))
+    return asked.select("doi").distinct().withColumn("_doi", normalize_doi(F.col("doi"))).join(known, "_doi", "left").select("doi", "work_id")
+
+
+def works_by_alias(aliases: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (alias_key) with the work of that alias, the smallest id where several share it."""
+    known = aliases.groupBy("alias_key").agg(F.min("work_id").alias("work_id"))
+    return asked.select("alias_key").distinct().join(known, "alias_key", "left")
+
+
 def taxon_links(links: DataFrame, work_id: int | str) -> DataFrame:
     """Taxa that a work is linked with, by link type and taxon."""
     return links.where(F.col("work_id") == work_id).select("taxon_id", "link_type", "confidence").orderBy("link_type", "taxon_id")

@@ -366,9 +366,9 @@ def json_property(spark, d):
     return view(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(r"select doc_id, n_hits from (select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w = 'ete')) as n_hits from documents) where n_hits > 0")
+@query(r"select doc_id, n_hits from (select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w = 'fur')) as n_hits from documents) where n_hits > 0")
 def folded_search(spark, d):
-    return documents.search_words(view(spark, d, "documents"), "ete").withColumn("n_hits", F.col("n_hits").cast("long"))
+    return documents.search_words(view(spark, d, "documents"), "fur").withColumn("n_hits", F.col("n_hits").cast("long"))
 
 
 # A word that is not part of a longer one, in any script (RE2's \b knows ASCII only).
@@ -443,7 +443,27 @@ def figure_refs(spark, d):
     return figures.link_chunks(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures")).select("doc_id", "chunk_id", "figure_id")
 
 
-@query()
+# Ratios of the titles in ``compared`` (a, b) as their definitions have them: the longest
+# common subsequence by dynamic programming, a row of the table for each step.
+_RATIOS = """sets as (select a, b, list_sort(list_distinct(string_split(a, ' '))) as s, list_sort(list_distinct(string_split(b, ' '))) as t from compared),
+    kinds as (select a, b, array_to_string(list_filter(s, lambda x: list_contains(t, x)), ' ') as sh, array_to_string(list_filter(s, lambda x: not list_contains(t, x)), ' ') as oa, array_to_string(list_filter(t, lambda x: not list_contains(s, x)), ' ') as ob from sets),
+    sides as (select *, trim(concat(sh, ' ', oa)) as lf, trim(concat(sh, ' ', ob)) as rt from kinds),
+    pairs as (select a as x, b as y from sides union select lf, rt from sides),
+    dp as (select x, y, 0 as i, list_transform(range(length(y) + 1), lambda k: 0) as r from pairs
+      union all select x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, case when substr(x, i + 1, 1) = substr(y, j, 1) then r[j] + 1 else greatest(acc[j], r[j + 1]) end), [0]) from dp where i < length(x)),
+    lcs as (select x, y, r[length(y) + 1] as n from dp where i = length(x)),
+    ratios as (select a, b, cast(trunc(cast(200 * p.n as double) / (length(a) + length(b))) as int) as ratio,
+      case when sh <> '' and (oa = '' or ob = '') then 100 else cast(trunc(greatest(cast(200 * q.n as double) / (length(lf) + length(rt)),
+        case when sh = '' then 0 else cast(200 * length(sh) as double) / (length(sh) + length(lf)) end, case when sh = '' then 0 else cast(200 * length(sh) as double) / (length(sh) + length(rt)) end)) as int) end as token_set
+      from sides join lcs p on p.x = a and p.y = b join lcs q on q.x = lf and q.y = rt)"""
+
+
+@query(
+    f"""with recursive compared as (select distinct l.title as a, r.title as b from v_works l join v_works r on r.brand = l.brand and r.year = l.year where not l.held and r.held), {_RATIOS},
+    ranked as (select l.work_id as id, r.work_id as match_id, token_set, ratio, row_number() over (partition by l.work_id order by token_set desc, ratio desc, r.work_id) as rn
+      from v_works l join v_works r on r.brand = l.brand and r.year = l.year join ratios on a = l.title and b = r.title where not l.held and r.held)
+    select id, match_id, token_set, ratio from ranked where rn = 1"""
+)
 def best_title_match(spark, d):
     from ..operators import resolution
 
@@ -452,11 +472,17 @@ def best_title_match(spark, d):
     return resolution.best_title_match(titled(w.where("not held")), titled(w.where("held")), ["brand", "year"])
 
 
-@query()
+@query(
+    f"""with recursive letters as (select *, length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')) as k from ({CITED})),
+    leads as (select brand, first(work_id order by n_citations desc, work_id) as lead_id, first(title order by n_citations desc, work_id) as lead_title from letters where k >= 5 group by all),
+    met as (select w.work_id, w.k, lower(w.title) as a, lower(lead_title) as b, lead_id from letters w join leads using (brand) where not held and w.work_id <> lead_id),
+    compared as (select distinct a, b from met), {_RATIOS}
+    select work_id as old_id, lead_id as new_id from met join ratios using (a, b) where k < 5 or (token_set >= 95 and ratio >= 40)"""
+)
 def ghost_merge(spark, d):
     from ..operators import resolution
 
-    return resolution.ghost_merges(view(spark, d, "v_works"), citations(spark, d), ["brand", "size_class"], fragment=5)
+    return resolution.ghost_merges(view(spark, d, "v_works"), citations(spark, d), ["brand"], fragment=5)
 
 
 @query("select doc_id, stage from (select distinct cast(doc_id as string) as doc_id, stage from v_runs) where (doc_id, stage) not in (select cast(doc_id as string), stage from v_runs where value < 0.3)")

@@ -46,9 +46,9 @@ def _people(spark, d):
 _PEOPLE_SQL = f"people as ({_PEOPLE.replace('{part}', 'part')})"
 
 
-@query(f"with {_PEOPLE_SQL} select work_id, title, year from v_works where year = 1907 and contains(lower(title), 'ring') and work_id in (select work_id from people where surname_normalized = 'namec')")
+@query(f"with {_PEOPLE_SQL} select work_id, title, year from v_works where year = 1911 and contains(lower(title), 'r') and work_id in (select work_id from people where surname_normalized = 'namec')")
 def search_works(spark, d):
-    return works.search_works(view(spark, d, "v_works"), _people(spark, d), "namec", 1907, "RING").select("work_id", "title", "year")
+    return works.search_works(view(spark, d, "v_works"), _people(spark, d), "namec", 1911, "R").select("work_id", "title", "year")
 
 
 @query("select doc_id from documents where doc_id % 25 = 3 or doc_id % 11 = 3")
@@ -354,11 +354,36 @@ def bibtex_entries(spark, d):
     return rows.select(F.col("p_partkey").alias("id"), writers.bibtex_entry(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), {"title": title, "year": 1900 + F.col("p_size"), "journal": journal}).alias("entry"))
 
 
-@query('select taxon_id as "taxonID", scientific_name as "scientificName", cast(null as varchar) as "scientificNameAuthorship", taxon_rank as "taxonRank", taxonomic_status as "taxonomicStatus", parent_name_usage_id as "parentNameUsageID", accepted_name_usage_id as "acceptedNameUsageID" from v_taxa')
+_NOT_THERE = ", ".join(f'cast(null as varchar) as "{t}"' for t in ("scientificNameAuthorship", "acceptedNameUsage", "kingdom", "phylum", "class", "order", "family", "genus", "bibliographicCitation"))
+
+
+@query(f'select taxon_id as "taxonID", scientific_name as "scientificName", taxon_rank as "taxonRank", taxonomic_status as "taxonomicStatus", parent_name_usage_id as "parentNameUsageID", accepted_name_usage_id as "acceptedNameUsageID", {_NOT_THERE} from v_taxa')
 def taxon_export(spark, d):
     return writers.taxon_tsv(view(spark, d, "v_taxa"))
 
 
+@query("select concat('c', c_custkey) as \"taxonID\", c_mktsegment as \"vernacularName\" from customer")
+def vernacular_export(spark, d):
+    return writers.vernacular_tsv(view(spark, d, "v_names"))
+
+
+@query("select distinct lower(name) as name from v_names")
+def name_set(spark, d):
+    return taxonomy.name_set(view(spark, d, "v_names"))
+
+
+@query("select concat('doi:10.1/X', k) as doi, case when k % 3 = 0 then k end as work_id from (select distinct p_partkey % 200 as k from part)")
+def works_by_doi(spark, d):
+    w = sql_view(spark, d, "select p_partkey as work_id, concat('https://doi.org/10.1/x', p_partkey % 200) as doi from {t} where p_partkey % 200 % 3 = 0", t="part")
+    return works.works_by_doi(w, sql_view(spark, d, "select concat('doi:10.1/X', p_partkey % 200) as doi from {t}", t="part"))
+
+
+@query("select concat('a', k) as alias_key, case when k % 3 = 0 then k end as work_id from (select distinct p_partkey % 200 as k from part)")
+def works_by_alias(spark, d):
+    have = sql_view(spark, d, "select p_partkey as work_id, concat('a', p_partkey % 200) as alias_key from {t} where p_partkey % 200 % 3 = 0", t="part")
+    return works.works_by_alias(have, sql_view(spark, d, "select concat('a', p_partkey % 200) as alias_key from {t}", t="part"))
+
+
 @query("select vec_id, string_agg(distinct cast(cited_work_id as varchar), ' ' order by cast(cited_work_id as varchar)) as cited from embeddings left join v_citations on citing_work_id = vec_id where vec_id % 10 = 3 and vec_id not in (select vec_id from embeddings where label = 2) group by vec_id")
 def hits_with_citations(spark, d):
     rows = view(spark, d, "embeddings").where("vec_id % 10 = 3").select("vec_id", F.col("vec_id").alias("doc_hash"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +42,74 @@ def write_bibtex(entries: DataFrame, path: str) -> None:
 
 
 #: Darwin Core terms of the taxon export, by our column (fixed values).
-TERMS = {"taxon_id": "taxonID", "scientific_name": "scientificName", "scientific_name_authorship": "scientificNameAuthorship", "taxon_rank": "taxonRank", "taxonomic_status": "taxonomicStatus", "parent_name_usage_id": "parentNameUsageID", "accepted_name_usage_id": "acceptedNameUsageID"}
+TERMS = {
+    "taxon_id": "taxonID", "scientific_name": "scientificName", "scientific_name_authorship": "scientificNameAuthorship", "taxon_rank": "taxonRank",
+    "taxonomic_status": "taxonomicStatus", "parent_name_usage_id": "parentNameUsageID", "accepted_name_usage_id": "acceptedNameUsageID", "accepted_name": "acceptedNameUsage",
+    "kingdom": "kingdom", "phylum": "phylum", "class": "class", "order": "order", "family": "family", "genus": "genus", "citation": "bibliographicCitation",
+}
+#: Namespaces of the archive's descriptor (fixed values).
+DWC_TEXT, DWC_TERMS = "http://rs.tdwg.org/dwc/text/", "http://rs.tdwg.org/dwc/terms/"
 
 
 def taxon_tsv(taxa: DataFrame) -> DataFrame:
-    return taxa.select(*[F.col(c).alias(t) if c in taxa.columns else F.lit(None).cast("string").alias(t) for c, t in TERMS.items()]).orderBy("taxonID")
+    return taxa.select(*[F.col(f"`{c}`").alias(t) if c in taxa.columns else F.lit(None).cast("string").alias(t) for c, t in TERMS.items()]).orderBy("taxonID")
+
+
+def vernacular_tsv(names: DataFrame) -> DataFrame:
+    """Common names by their taxon."""
+    return names.where("name_type = 'vernacular'").select(F.col("taxon_id").alias("taxonID"), F.col("name").alias("vernacularName")).orderBy("taxonID", "vernacularName")
 
 
 def write_darwin_core(taxa: DataFrame, path: str) -> None:
     taxon_tsv(taxa).write.option("sep", "\t").option("header", "true").csv(path)
 
 
-def descriptor() -> str:
-    """meta.xml of the archive."""
-    fields = "".join(f'<field index="{i}" term="http://rs.tdwg.org/dwc/terms/{t}"/>' for i, t in enumerate(TERMS.values()))
-    return f'<archive xmlns="http://rs.tdwg.org/dwc/text/"><core encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" ignoreHeaderLines="1" rowType="http://rs.tdwg.org/dwc/terms/Taxon"><files><location>taxon.tsv</location></files><id index="0"/>{fields}</core></archive>'
+def descriptor(vernacular: bool = False) -> str:
+    """meta.xml of the archive, with the extension of common names if it has them."""
+    file = lambda kind, row, name, key, fields: f'<{kind} encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" fieldsEnclosedBy="" ignoreHeaderLines="1" rowType="{DWC_TERMS}{row}"><files><location>{name}</location></files><{key} index="0"/>{fields}</{kind}>'
+    fields = "".join(f'<field index="{i}" term="{DWC_TERMS}{t}"/>' for i, t in enumerate(TERMS.values()) if i)
+    more = file("extension", "VernacularName", "vernacularname.tsv", "coreid", f'<field index="1" term="{DWC_TERMS}vernacularName"/>') if vernacular else ""
+    return f'<?xml version="1.0" encoding="UTF-8"?><archive xmlns="{DWC_TEXT}">{file("core", "Taxon", "taxon.tsv", "id", fields)}{more}</archive>'
+
+
+def write_darwin_core_archive(taxa: DataFrame, names: DataFrame | None, path: str) -> tuple[int, int]:
+    """One zip with descriptor, taxa and common names, written through the file system of
+    ``path``; the numbers of both. The driver streams the sorted rows, a partition at a time."""
+    spark = taxa.sparkSession
+    jvm = spark._jvm
+    common = None if names is None else vernacular_tsv(names)
+    common = None if common is None or common.isEmpty() else common
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm.java.util.zip.ZipOutputStream(at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True))
+
+    def entry(name: str, pieces: Iterator[str]) -> None:
+        out.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+        for piece in pieces:
+            out.write(bytearray(piece.encode()))
+        out.closeEntry()
+
+    def lines(df: DataFrame, counted: list[int]) -> Iterator[str]:
+        held = io.StringIO()
+        write = csv.writer(held, delimiter="\t", lineterminator="\n").writerow
+        write(df.columns)
+        for row in df.toLocalIterator(prefetchPartitions=True):
+            write(["" if v is None else v for v in row])
+            counted[0] += 1
+            if held.tell() > 1 << 20:
+                yield held.getvalue()
+                held.seek(0)
+                held.truncate()
+        yield held.getvalue()
+
+    n_taxa, n_names = [0], [0]
+    try:
+        entry("meta.xml", iter([descriptor(common is not None)]))
+        entry("taxon.tsv", lines(taxon_tsv(taxa), n_taxa))
+        if common is not None:
+            entry("vernacularname.tsv", lines(common, n_names))
+    finally:
+        out.close()
+    return n_taxa[0], n_names[0]
 
 
 class Versioned:

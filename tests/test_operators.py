@@ -245,7 +245,7 @@ def test_darwin_core_round_trip(spark, tmp_path, taxa):
     writers.write_darwin_core(taxa.coalesce(1), f"file://{tmp_path}/taxon")
     got = readers.darwin_core(spark, f"file://{tmp_path}/taxon")
     assert {(r.taxon_id, r.scientific_name, r.accepted_name_usage_id) for r in got.collect()} == {(r.taxon_id, r.scientific_name, r.accepted_name_usage_id) for r in taxa.collect()}
-    assert "taxonID" in writers.descriptor()
+    assert "scientificName" in writers.descriptor() and "VernacularName" not in writers.descriptor()
 
 
 def test_darwin_core_archive(spark, tmp_path):
@@ -270,6 +270,32 @@ TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStm
 <biblStruct xml:id="b5"><analytic><title>Part</title></analytic><monogr><title level="j">P.R.P.) National Centre</title></monogr></biblStruct></listBibl></back></text></TEI>"""
 
 
+def test_darwin_core_archive_round_trip(spark, tmp_path, taxa, make):
+    import zipfile
+
+    names = make([("Common one", "common one", "101", "vernacular"), ("Apolemia", "apolemia", "100", "accepted")], "name string, name_lowercase string, taxon_id string, name_type string")
+    assert writers.write_darwin_core_archive(taxa, names, f"file://{tmp_path}/out.zip") == (7, 1)
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert sorted(z.namelist()) == ["meta.xml", "taxon.tsv", "vernacularname.tsv"] and b"VernacularName" in z.read("meta.xml")
+        assert z.read("vernacularname.tsv").decode() == "taxonID\tvernacularName\n101\tCommon one\n"
+    got = readers.darwin_core_archive(spark, f"file://{tmp_path}/out.zip").collect()
+    assert {(r.taxon_id, r.scientific_name, r.accepted_name_usage_id) for r in got} == {(r.taxon_id, r.scientific_name, r.accepted_name_usage_id) for r in taxa.collect()}
+    assert writers.write_darwin_core_archive(taxa.where("false"), names.where("false"), f"file://{tmp_path}/none.zip") == (0, 0)
+    with zipfile.ZipFile(tmp_path / "none.zip") as z:
+        assert sorted(z.namelist()) == ["meta.xml", "taxon.tsv"] and b"VernacularName" not in z.read("meta.xml")
+
+
+def test_vector_records(make):
+    chunks = make([("d1", "c0", None, None, "results"), ("d2", "c0", "t", ["H"], None)], "doc_hash string, chunk_id string, text string, headings array<string>, section_class string")
+    vectors = make([("d1", "c0", [1.0]), ("d2", "c0", [2.0])], "doc_hash string, chunk_id string, vector array<float>")
+    docs = make([("d1", None, [("Dunn", "Casey"), ("Pugh", None), (None, " ")], 2005, None, "10.1/x", ["a/b.pdf", "c.pdf"], 9), ("d2", "T", None, None, "J", None, None, None)], "doc_hash string, title string, authors array<struct<surname:string,forename:string>>, year int, journal string, doi string, paths array<string>, total_pages int")
+    got = {r.metadata.doc_hash: r for r in vector.records(chunks, vectors, docs).collect()}
+    m = got["d1"].metadata
+    assert (got["d1"].text, m.filename, m.title, m.authors, m.year, m.headings, m.section_class, m.total_pages) == ("", "a/b.pdf", "", ["Casey Dunn", "Pugh"], 2005, [], "results", 9)
+    m = got["d2"].metadata
+    assert (m.filename, m.title, m.authors, m.journal, m.doi, m.headings, m.relative_paths) == ("", "T", [], "J", "", ["H"], [])
+
+
 def test_tei(make):
     docs = make([("d1", TEI), ("d2", "<broken")], "doc_hash string, xml string")
     head = readers.tei(docs, "header").collect()
