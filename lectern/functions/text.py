@@ -237,11 +237,12 @@ TOKEN_EDGE = ".,;:!?()[]{}\"'"
 def suspicious_share(c: Column) -> Column:
     """Share of tokens, punctuation stripped, of at most two characters, all digits, or
     with digits and letters. 0 for a text without tokens."""
-    edge = "[" + re.escape(TOKEN_EDGE) + "]+"
-    bare = F.transform(F.split(c, TOKEN_SPACE), lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", ""))
+    bare = F.transform(F.split(c, TOKEN_SPACE), lambda t: F.btrim(t, F.lit(TOKEN_EDGE)))
     tokens = F.filter(bare, lambda t: t != "")
-    odd = F.filter(tokens, lambda t: (F.char_length(t) <= 2) | t.rlike(r"^\p{Nd}+$") | (t.rlike(r"\p{Nd}") & t.rlike(r"\p{L}")))
-    return F.when(F.size(tokens) > 0, F.size(odd) / F.size(tokens)).otherwise(0.0)
+    odd = lambda t: (F.char_length(t) <= 2) | (t.rlike(r"\p{Nd}") & (t.rlike(r"\p{L}") | t.rlike(r"^\p{Nd}+$")))
+    # One array of tokens for both counts.
+    share = F.transform(F.array(tokens), lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, odd)) / F.size(ts)).otherwise(0.0))
+    return F.coalesce(share[0], F.lit(0.0))
 
 
 #: Section classes by pattern, first match wins (fixed values, in five languages).

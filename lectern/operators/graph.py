@@ -15,11 +15,11 @@ def walk(citations: DataFrame, start: int | str, direction: str = "out", depth:
     are kept; ``truncated`` tells of either cap. One join a step, on the frontier."""
     depth = max(1, min(depth, 3))
     a, b = ("citing_work_id", "cited_work_id") if direction == "out" else ("cited_work_id", "citing_work_id")
-    edges = citations.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    edges = citations.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     frontier = citations.sparkSession.range(1).select(F.lit(start).alias("work_id"))
     seen = frontier.select("work_id", F.lit(0).alias("depth"), F.lit(False).alias("cut"))
     for step in range(1, depth + 1):
-        out = edges.join(frontier.select(F.col("work_id").alias("src")), "src")
+        out = edges.join(frontier.select(F.col("work_id").alias("src")), "src").distinct()
         # The degree of what the frontier reaches, not of every work.
         met = citations.join(out.select(F.col("dst").alias("cited_work_id")).distinct(), "cited_work_id", "left_semi")
         out = out.join(in_degree(met).withColumnRenamed("work_id", "dst"), "dst", "left").na.fill(0, ["n_citations"])
