@@ -50,7 +50,7 @@ def totals_without_unserved(spark, d):
     return quality.totals_without(rows, rows.where("p_size > 20"), gone)
 
 
-@query("select count(*) as attempted, cast(sum(coalesce(n, 0)) as bigint) as total_chunks, sum((n is null)::int) as empty from (select s_suppkey from supplier) left join (select p_partkey % 70 as s_suppkey, count(*) as n from part group by 1) using (s_suppkey)")
+@query("select count(*) as attempted, cast(sum(coalesce(n, 0)) as bigint) as total_chunks, count(*) filter (where n is null) as empty from (select s_suppkey from supplier) left join (select p_partkey % 70 as s_suppkey, count(*) as n from part group by 1) using (s_suppkey)")
 def zero_yield(spark, d):
     attempted = sql_view(spark, d, "select s_suppkey as doc_hash from {t}", t="supplier")
     return quality.zero_yield(attempted, sql_view(spark, d, "select p_partkey % 70 as doc_hash from {t}", t="part"))

@@ -185,7 +185,7 @@ def box_pixels(spark, d):
     return rows.select("id", F.array_join(figures.to_pixels(F.col("b"), F.lit(1000), F.lit(500)).cast("array<string>"), ",").alias("pixels"))
 
 
-@query("select p_partkey as id, case when p_partkey % 2 = 0 then 800.0 - p_size - 10 else cast(p_size as double) end as top, case when p_partkey % 2 = 0 then 800.0 - p_size else p_size + 10.0 end as bottom from part")
+@query("select p_partkey as id, cast(case when p_partkey % 2 = 0 then 800 - p_size - 10 else p_size end as double) as top, cast(case when p_partkey % 2 = 0 then 800 - p_size else p_size + 10 end as double) as bottom from part")
 def page_rectangles(spark, d):
     rows = sql_view(spark, d, "select p_partkey as id, named_struct('x0', 1d, 'y0', cast(p_size as double), 'x1', 2d, 'y1', p_size + 10d) as b, case when p_partkey % 2 = 0 then 'bottom_left' else 'top_left' end as s from {t}", t="part")
     return rows.select("id", figures.page_rectangle(F.col("b"), F.col("s"), F.lit(800.0)).alias("r")).select("id", F.col("r.y0").alias("top"), F.col("r.y1").alias("bottom"))
