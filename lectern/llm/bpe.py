@@ -117,7 +117,7 @@ class Transducer:
     """Lazily determinised. A state is a tuple of guesses (pending tokens, last
     token or -1, trie node); the order of guesses is the order of their starts."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.merges = Merges(ranks)
         self.max_states = max_states
         self.next: dict[int, int] = {}  # trie: 256 * node + byte -> node
@@ -287,9 +287,9 @@ class Codec:
     """Encoder and decoder for one rank file and split pattern. Ids of a piece are
     kept as the text of their decimals, which is what digests and files need."""
 
-    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 200_000, max_states: int = 300_000):
         self.ranks = read_ranks(ranks_path)
-        self.machine = Transducer(self.ranks)
+        self.machine = Transducer(self.ranks, max_states)
         self.find = regex.compile(pattern).findall
         self.known = Pieces(self.piece, max_pieces)
         self.bytes_of = {str(r): t for t, r in self.ranks.items()}
@@ -316,20 +316,21 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, max_states: int = 300_000) -> Codec:
     """One per Python worker."""
-    return Codec(ranks_path, pattern)
+    return Codec(ranks_path, pattern, max_states=max_states)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096, keep_warm: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, portion: int = 4096, keep_warm: bool = True, carry: tuple[str, ...] = (), max_states: int = 300_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ``ids`` (array of
     int). Every text is encoded, then decoded from its ids in portions; the digest
     is of the decoded text's UTF-8 bytes. ``keep_warm``: a worker keeps its states and
-    pieces for its next task; where workers go on to other stages, they should not.
+    pieces for its next task; where workers go on to other stages, they should not, and
+    fewer states (``max_states``) leave memory to those.
     ``carry``: columns of ``docs`` that go along behind the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, max_states)
         for whole in batches:
             for i, j in slices(whole.column(1), SLICE):
                 b = whole.slice(i, j - i)
