@@ -73,7 +73,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the round trip, and its place
     in the mixed order (``mix_order``). A null text has no token; repeated rows have equal
     ids and places of their own."""
-    return bpe.encode_documents(placed(spark, docs), public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False, carry=("mix_order",))
+    return bpe.encode_documents(placed(spark, docs), public_tokenizers.path(ENCODER), public_tokenizers.PATTERN, keep_warm=False, carry=("mix_order",), max_states=100_000)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]
