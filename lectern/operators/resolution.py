@@ -53,7 +53,10 @@ def resolve_references(refs: DataFrame, works: DataFrame, min_set: int = 85, min
     neither alias nor candidates: its work follows from its text. The rest is worked
     through in order inside its block: one surname and year, or the whole surname where one
     of its references has no year and so sees all years. Works that a DOI makes take
-    part in their block from their place in the order on."""
+    part in their block from their place in the order on.
+
+    Rows of one document, place and ref_id are ordered by surname, year and title; equal
+    ones are one reference and get its answer ("new" for each, if it makes the work)."""
     raw = F.col("raw") if "raw" in refs.columns else F.lit(None).cast("string")
     place = F.col("ref_position").cast("long") if "ref_position" in refs.columns else F.lit(0).cast("long")
     blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
@@ -94,11 +97,17 @@ def resolve_references(refs: DataFrame, works: DataFrame, min_set: int = 85, min
 
         for x in pdf.sort_values("work_id").loc[lambda d: d["kind"] == 0].itertuples():
             add(x.work_id, None if pd.isna(x.year) else int(x.year), x.folded, x.alias)
-        for x in pdf[pdf["kind"] > 0].sort_values(["doc_hash", "place", "ref_id"]).itertuples():
+        last = None
+        for x in pdf[pdf["kind"] > 0].sort_values(["doc_hash", "place", "ref_id", "kind", "year", "folded", "alias", "work_id"]).itertuples():
             year = None if pd.isna(x.year) else int(x.year)
             if x.kind == 1:
                 add(x.work_id, year, x.folded, x.alias)
                 continue
+            this = (x.doc_hash, None if pd.isna(x.place) else x.place, x.ref_id, year, x.folded, x.alias)
+            if this == last:
+                out.append(out[-1])
+                continue
+            last = this
             found = (aliases[x.alias], "alias_exact", 1.0) if x.alias is not None and x.alias in aliases else None
             candidates = [w for w in works_ if year is None or w[1] == year] if found is None else []
             if found is None and x.folded:

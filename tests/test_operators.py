@@ -480,6 +480,12 @@ def test_a_doi_work_is_found_by_its_title(make):
     assert got["b2"].work_id == got["b3"].work_id != got["b4"].work_id
 
 
+def test_a_repeated_reference_gets_one_answer(make):
+    refs = [("d", "b0", "A synopsis", ["A. Totton"], 1965, None)] * 3 + [("d", "b1", "A synopsis", ["A. Totton"], 1965, None), ("e", "b0", None, ["B. Other"], 1970, None), ("e", "b0", None, ["B. Other"], 1970, None)]
+    got = sorted((r.doc_hash, r.ref_id, r.match_method) for r in resolution.resolve_references(make(refs, REF), make([], WORK)).collect())
+    assert got == [("d", "b0", "new")] * 3 + [("d", "b1", "alias_exact")] + [("e", "b0", "new")] * 2
+
+
 def test_ancestors_of_many(spark):
     taxa = spark.range(600_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("taxon_id"), F.when(F.col("id") > 1, F.concat(F.lit("t"), F.when(F.col("id") < 1000, 1).otherwise(F.col("id") % 900 + 2).cast("string"))).alias("parent_name_usage_id"))
     out = taxonomy.ancestors(taxa, taxa.select("taxon_id"))
