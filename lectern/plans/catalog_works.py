@@ -233,7 +233,7 @@ def figure_chunk_lists(spark, d):
 
 @query(f"with {_LINKED} select doc_id, chunk_id, string_agg(figure_id, ' ' order by figure_id) as figure_refs from linked group by doc_id, chunk_id")
 def chunk_figure_lists(spark, d):
-    return figures.chunk_figure_refs(_links(spark, d)).select("doc_id", "chunk_id", F.array_join("figure_refs", " ").alias("figure_refs"))
+    return figures.chunk_figure_lists(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures"), " ")
 
 
 @query(f"with {_LINKED}, top as (select doc_id, figure_id, score from ({_FIGS}) where doc_id % 3 = 1 order by score desc, doc_id, figure_id limit 50), few as (select doc_id, figure_id, string_agg(chunk_id, ' ' order by chunk_id) as chunks from (select *, row_number() over (partition by doc_id, figure_id order by chunk_id) as rn from linked) where rn <= 5 group by all) select doc_id, figure_id, cast(score as int) as score, chunks from top left join few using (doc_id, figure_id)")

@@ -205,6 +205,19 @@ def most_rows(df):
     return most
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """300 chunks and 200 figures of one document and number."""
+    chunks = spark.range(300).selectExpr("1 as doc_id", "concat('c', lpad(id, 3, '0')) as chunk_id", "'see Fig. 1' as text")
+    return chunks, spark.range(200).selectExpr("1 as doc_id", "concat('f', lpad(id, 3, '0')) as figure_id", "'figure' as figure_type", "'1' as figure_number", "concat('bell ', id) as caption_text")
+
+
+def test_chunk_lists_are_made_once_for_equal_numbers(crowded):
+    df = figures.chunk_figure_lists(*crowded)
+    assert most_rows(df) <= 300
+    assert {(len(r.figure_refs), r.figure_refs[0], r.figure_refs[-1]) for r in df.collect()} == {(200, "f000", "f199")} and df.count() == 300
+
+
 def test_compound_hosts_compare_equal_labels_once(spark):
     figs = spark.range(300).selectExpr("1 as doc_id", "id as figure_id", "array('B', 'A', 'A') as labels")
     missing = spark.range(200).selectExpr("1 as doc_id", "id as figure_number", "if(id % 2 = 0, array('A', 'C'), array('A', 'A', 'C')) as labels")
