@@ -228,7 +228,7 @@ def _links(spark, d):
 
 @query(f"with {_LINKED} select doc_id, figure_id, chunk_id from (select *, row_number() over (partition by doc_id, figure_id order by chunk_id) as rn from linked) where rn <= 2")
 def figure_chunk_lists(spark, d):
-    return figures.figure_chunks(_links(spark, d), 2).select("doc_id", "figure_id", "chunk_id")
+    return figures.first_chunks(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures"), 2).select("doc_id", "figure_id", "chunk_id")
 
 
 @query(f"with {_LINKED} select doc_id, chunk_id, string_agg(figure_id, ' ' order by figure_id) as figure_refs from linked group by doc_id, chunk_id")

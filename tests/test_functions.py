@@ -218,6 +218,12 @@ def test_chunk_lists_are_made_once_for_equal_numbers(crowded):
     assert {(len(r.figure_refs), r.figure_refs[0], r.figure_refs[-1]) for r in df.collect()} == {(200, "f000", "f199")} and df.count() == 300
 
 
+def test_first_chunks_link_no_others(crowded):
+    df = figures.first_chunks(*crowded, 2)
+    assert most_rows(df) <= 2 * 200
+    assert {(r.figure_id, r.chunk_id) for r in df.collect()} == {(f"f{i:03}", c) for i in range(200) for c in ("c000", "c001")}
+
+
 def test_compound_hosts_compare_equal_labels_once(spark):
     figs = spark.range(300).selectExpr("1 as doc_id", "id as figure_id", "array('B', 'A', 'A') as labels")
     missing = spark.range(200).selectExpr("1 as doc_id", "id as figure_number", "if(id % 2 = 0, array('A', 'C'), array('A', 'A', 'C')) as labels")
