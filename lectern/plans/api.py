@@ -221,14 +221,14 @@ class Collection:
 
     def get_figure_dossier_for_taxon(self, name: str, limit: int = 50) -> DataFrame:
         scope = taxonomy.documents_for_taxon(by_doc(self.taxon_mentions), self.resolve(name))
-        return with_hash(figures.figure_dossier(by_doc(self.figures), self.links(scope), scope, name, limit=limit))
+        return with_hash(figures.figure_dossier(by_doc(self.figures), by_doc(self.chunks), scope, name, limit=limit))
 
     def get_figure_dossier_for_term(self, category: str, term: str, limit: int = 50) -> DataFrame:
         """All documents are in scope; only figures whose caption has the term are listed."""
         self.category(category)
         rows = by_doc(self.figures)
         named = rows.where(F.contains(F.lower("caption_text"), F.lit(term.lower()))).select("doc_id")
-        return with_hash(figures.figure_dossier(rows, self.links(named), named, term, limit=limit).where("score > 0"))
+        return with_hash(figures.figure_dossier(rows, by_doc(self.chunks), named, term, limit=limit).where("score > 0"))
 
     def get_figure(self, doc_hash: str, figure_id: str) -> DataFrame:
         return works.licence_of(self.figures.where((F.col("doc_hash") == doc_hash) & (F.col("figure_id") == figure_id)), self.works)

@@ -222,10 +222,6 @@ _PFX = r"(?:fig(?:ure|\.?)|abb(?:ildung|\.?)|pl(?:ate|\.?)|рис(?:унок|\.?
 _LINKED = rf"linked as (select distinct r.doc_id, r.chunk_id, f.figure_id from (select doc_id, chunk_id, unnest(regexp_extract_all(text, '(?i)\b{_PFX}\s*(\d+)', 1)) as figure_number from v_figure_chunks) r join v_figures f using (doc_id, figure_number))"
 
 
-def _links(spark, d):
-    return figures.link_chunks(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures"))
-
-
 @query(f"with {_LINKED} select doc_id, figure_id, chunk_id from (select *, row_number() over (partition by doc_id, figure_id order by chunk_id) as rn from linked) where rn <= 2")
 def figure_chunk_lists(spark, d):
     return figures.first_chunks(view(spark, d, "v_figure_chunks"), view(spark, d, "v_figures"), 2).select("doc_id", "figure_id", "chunk_id")
@@ -239,7 +235,7 @@ def chunk_figure_lists(spark, d):
 @query(f"with {_LINKED}, top as (select doc_id, figure_id, score from ({_FIGS}) where doc_id % 3 = 1 order by score desc, doc_id, figure_id limit 50), few as (select doc_id, figure_id, string_agg(chunk_id, ' ' order by chunk_id) as chunks from (select *, row_number() over (partition by doc_id, figure_id order by chunk_id) as rn from linked) where rn <= 5 group by all) select doc_id, figure_id, cast(score as int) as score, chunks from top left join few using (doc_id, figure_id)")
 def figure_dossier(spark, d):
     figs = view(spark, d, "v_figures")
-    return figures.figure_dossier(figs, _links(spark, d), figs.where("doc_id % 3 = 1").select("doc_id"), "ring").select("doc_id", "figure_id", "score", F.array_join("chunks", " ").alias("chunks"))
+    return figures.figure_dossier(figs, view(spark, d, "v_figure_chunks"), figs.where("doc_id % 3 = 1").select("doc_id"), "ring").select("doc_id", "figure_id", "score", F.array_join("chunks", " ").alias("chunks"))
 
 
 @query("select doc_id, figure_id, figure_type from v_figures where figure_type in ('figure', 'plate', 'subpanel')")

@@ -224,6 +224,13 @@ def test_first_chunks_link_no_others(crowded):
     assert {(r.figure_id, r.chunk_id) for r in df.collect()} == {(f"f{i:03}", c) for i in range(200) for c in ("c000", "c001")}
 
 
+def test_dossier_links_only_what_it_lists(crowded):
+    chunks, figs = crowded
+    df = figures.figure_dossier(figs, chunks, figs.select("doc_id"), "bell", 3, 10)
+    assert most_rows(df) <= 300
+    assert [(r.figure_id, r.chunks) for r in df.collect()] == [(f"f{i:03}", ["c000", "c001", "c002"]) for i in range(10)]
+
+
 def test_compound_hosts_compare_equal_labels_once(spark):
     figs = spark.range(300).selectExpr("1 as doc_id", "id as figure_id", "array('B', 'A', 'A') as labels")
     missing = spark.range(200).selectExpr("1 as doc_id", "id as figure_number", "if(id % 2 = 0, array('A', 'C'), array('A', 'A', 'C')) as labels")
